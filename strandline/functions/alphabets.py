@@ -126,10 +126,17 @@ def qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:
     bits = alphabet.rank_width()
     if q < 1 or bits * q > 64:
         raise ValueError("q must be positive and q ranks must fit 64 bits")
-    r = ranks(c, alphabet)
-    n = F.size(r) - q
-    codes = F.transform(F.sequence(F.lit(0), n), lambda i: F.aggregate(F.slice(r, i + 1, F.lit(q)), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, bits).bitwiseOR(x.cast("bigint"))))
-    return F.when(n >= 0, codes).otherwise(F.array().cast("array<bigint>"))
+    c = _col(c)
+    n = F.length(c) - q
+    foreign = F.translate(c, alphabet.symbols, "")
+    if 1 <= bits <= 5:  # ranks as digits of a base that is a power of two
+        digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"[: len(alphabet)]
+        code = lambda i: F.conv(F.translate(F.substring(c, i + 1, F.lit(q)), alphabet.symbols, digits), 1 << bits, -10).cast("bigint")
+    else:
+        code = lambda i: F.aggregate(ranks(F.substring(c, i + 1, F.lit(q)), alphabet), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, bits).bitwiseOR(x.cast("bigint")))
+    codes = F.transform(F.sequence(F.lit(0), n), code)
+    bad = F.raise_error(F.concat(F.lit("symbols outside the alphabet: "), foreign)).cast("array<bigint>")
+    return F.when(foreign != "", bad).when(n >= 0, codes).otherwise(F.array().cast("array<bigint>"))
 
 
 def rev_qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:

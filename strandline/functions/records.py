@@ -30,8 +30,10 @@ def fastq_text(id_: Column | str, descr: Column | str, seq: Column | str, qual:
 
 
 def bed_text(*fixed: Column | str, aux: Column | str) -> Column:
-    """Tab separated; aux columns follow the fixed ones. A null auxiliary array has none."""
-    return F.array_join(F.concat(F.array(*[_c(c).cast("string") for c in fixed]), F.coalesce(_c(aux), F.array().cast("array<string>"))), "\t")
+    """Tab separated; aux columns follow the fixed ones. A null fixed column makes the line null, a null aux none, a null aux cell an empty one."""
+    parts = [F.lit("\t") if i % 2 else _c(fixed[i // 2]).cast("string") for i in range(2 * len(fixed) - 1)]
+    rest = F.array_join(F.transform(_c(aux), lambda x: F.concat(F.lit("\t"), F.coalesce(x, F.lit("")))), "")
+    return F.concat(*parts, F.coalesce(rest, F.lit("")))
 
 
 def aux_field(aux: Column | str, column: int, fixed: int) -> Column:

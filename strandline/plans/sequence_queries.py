@@ -249,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "fasta_text": f"SELECT rec_id, '>' || id || coalesce(' ' || descr, '') || chr(10) || s || chr(10) AS plain, md5('>' || id || coalesce(' ' || descr, '') || chr(10) || regexp_replace(s, '(.{{1,60}})', '\\1' || chr(10), 'g')) AS wrapped_md5 FROM {_FASTA}",
         "fastq_text": f"SELECT read_id, '@' || id || coalesce(' ' || descr, '') || chr(10) || s || chr(10) || '+' || chr(10) || qual || chr(10) AS txt FROM {_READS} WHERE qual IS NOT NULL",
         "fastx_convert": f"SELECT 'fasta' AS kind, id, descr, s, CAST(NULL AS VARCHAR) AS qual FROM {_READS} UNION ALL SELECT 'fastq', id, descr, s, repeat('I', length(s)) FROM {_FASTA}",
-        "bed_fields": "SELECT interval_id, aux[1] AS name, aux[2] AS score, CASE WHEN aux[3] IN ('+', '-') THEN aux[3] END AS strand, coalesce(chrom || chr(9), '') || start_pos || chr(9) || end_pos || coalesce(list_aggregate(list_transform(aux, lambda x: chr(9) || x), 'string_agg', ''), '') AS line FROM bed",
+        "bed_fields": "SELECT interval_id, aux[1] AS name, aux[2] AS score, CASE WHEN aux[3] IN ('+', '-') THEN aux[3] END AS strand, chrom || chr(9) || start_pos || chr(9) || end_pos || coalesce(list_aggregate(list_transform(aux, lambda x: chr(9) || x), 'string_agg', ''), '') AS line FROM bed",
         "bed_set": "SELECT interval_id, coalesce(aux[1], '') || '|' || coalesce(aux[2], '') || '|-' || coalesce(list_aggregate(list_transform(aux[4:], lambda x: '|' || x), 'string_agg', ''), '') AS strand_set, coalesce(list_aggregate(list_transform(aux, lambda x: x || '|'), 'string_agg', ''), '') || 'x' AS pushed FROM bed",
         "bedpe_fields": "SELECT pair_id, aux[1] AS name, aux[2] AS score, CASE WHEN aux[3] IN ('+', '-') THEN aux[3] END AS strand1, CASE WHEN aux[4] IN ('+', '-') THEN aux[4] END AS strand2 FROM bedpe",
         "gff_fields": "SELECT feature_id, CASE WHEN regexp_full_match(score, '\\+?[0-9]+') THEN TRY_CAST(score AS BIGINT) END AS score_num, CASE WHEN strand IN ('+', '-') THEN strand END AS strand_sign, coalesce(CAST(phase AS VARCHAR), '.') AS phase_txt, replace(replace(replace(replace(replace(attributes, '%', '%25'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS encoded FROM gff",
