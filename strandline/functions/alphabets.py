@@ -70,6 +70,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column | str, f) -> Column:
+    """f of c, with c evaluated once: Catalyst inlines a projected expression into lambda bodies, once for each element."""
+    return F.element_at(F.transform(F.array(_col(c)), f), 1)
+
+
 def is_word(c: Column | str, symbols: str) -> Column:
     """Every symbol is in the alphabet; true for an empty text, null for null."""
     return F.translate(_col(c), symbols, "") == ""
@@ -126,17 +131,18 @@ def qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:
     bits = alphabet.rank_width()
     if q < 1 or bits * q > 64:
         raise ValueError("q must be positive and q ranks must fit 64 bits")
-    c = _col(c)
-    n = F.length(c) - q
-    foreign = F.translate(c, alphabet.symbols, "")
-    if 1 <= bits <= 5:  # ranks as digits of a base that is a power of two
-        digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"[: len(alphabet)]
-        code = lambda i: F.conv(F.translate(F.substring(c, i + 1, F.lit(q)), alphabet.symbols, digits), 1 << bits, -10).cast("bigint")
-    else:
-        code = lambda i: F.aggregate(ranks(F.substring(c, i + 1, F.lit(q)), alphabet), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, bits).bitwiseOR(x.cast("bigint")))
-    codes = F.transform(F.sequence(F.lit(0), n), code)
-    bad = F.raise_error(F.concat(F.lit("symbols outside the alphabet: "), foreign)).cast("array<bigint>")
-    return F.when(foreign != "", bad).when(n >= 0, codes).otherwise(F.array().cast("array<bigint>"))
+
+    def codes(c: Column) -> Column:
+        foreign = F.translate(c, alphabet.symbols, "")
+        if 1 <= bits <= 5:  # ranks as digits of a base that is a power of two
+            digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"[: len(alphabet)]
+            code = lambda g: F.conv(F.translate(g, alphabet.symbols, digits), 1 << bits, -10).cast("bigint")
+        else:
+            code = lambda g: F.aggregate(ranks(g, alphabet), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, bits).bitwiseOR(x.cast("bigint")))
+        bad = F.raise_error(F.concat(F.lit("symbols outside the alphabet: "), foreign)).cast("array<bigint>")
+        return F.when(foreign != "", bad).otherwise(F.transform(kmers(c, q), code))
+
+    return bind(c, codes)
 
 
 def rev_qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:
@@ -145,10 +151,11 @@ def rev_qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:
 
 
 def kmers(c: Column | str, k: int) -> Column:
-    """Array of the k-mers as text; empty where the text is shorter."""
-    c = _col(c)
-    n = F.length(c) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(c, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of the k-mers as text; empty where the text is shorter.
+
+    One look-ahead pattern walks the text once; a substring for each place would count characters from its start anew.
+    """
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def pack_bits(c: Column | str, width: int) -> Column:

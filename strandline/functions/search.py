@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.alphabets import bind
+
 #: Pieces up to which running sums are cheaper than trying every start.
 MANY = 1000
 ALGORITHMS = ("shift_and", "bndm", "bom", "horspool", "kmp")
@@ -23,14 +25,20 @@ def find_all(text: Column | str, pattern: Column | str) -> Column:
         p = F.lit(pattern)
     else:
         p = F.when(F.length(pattern) == 0, F.raise_error(F.lit("the pattern must not be empty")).cast("string")).otherwise(pattern)
-    n, m = F.length(t), F.length(p)
-    # cut before every occurrence: the pieces' lengths add up to the starts, overlapping ones included
-    cut = F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
-    lengths = F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), F.length)
-    sums = F.aggregate(lengths, F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + k)))
-    # with very many hits the sums would copy too much: starts are tried one by one
-    tried = F.transform(F.filter(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(t, i, m) == p), lambda i: i - 1)
-    return F.when(~F.contains(t, p) | (n < m), F.array().cast("array<int>")).when(F.size(cut) <= MANY, sums).otherwise(tried)
+
+    def search(both: Column) -> Column:
+        t, p = both["t"], both["p"]
+        n, m = F.length(t), F.length(p)
+        # cut before every occurrence: the pieces' lengths add up to the starts, overlapping ones included
+        cut = F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
+        first = F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        sums = lambda c: F.aggregate(F.slice(c, F.lit(1), F.size(c) - 1), first, lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(k))))
+        # with very many hits the sums would copy too much: starts are tried one by one
+        tried = F.transform(F.filter(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(t, i, m) == p), lambda i: i - 1)
+        starts = bind(cut, lambda c: F.when(F.size(c) <= MANY, sums(c)).otherwise(tried))
+        return F.when(~F.contains(t, p) | (n < m), F.array().cast("array<int>")).otherwise(starts)
+
+    return F.when(t.isNotNull() & p.isNotNull(), bind(F.struct(t.alias("t"), p.alias("p")), search))
 
 
 def count_all(text: Column | str, pattern: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.alphabets import kmers
+
 
 def gc_content(c: Column | str) -> Column:
     """Share of G and C among all symbols, N and others included; NaN for an empty text."""
@@ -25,8 +27,7 @@ def find_orfs(df: DataFrame, id_col: str, seq_col: str, starts: list[str] = ("AT
 
     Only start and stop codons are exploded; the next stop comes from one window per record and frame.
     """
-    seq = F.col("seq")
-    codons = F.filter(F.transform(F.sequence(F.lit(1), F.length(seq) - 2), lambda i: F.struct((i - 1).alias("pos"), F.substring(seq, i, F.lit(3)).alias("codon"))), lambda x: x["codon"].isin(*starts, *stops))
+    codons = F.filter(F.transform(kmers("seq", 3), lambda c, i: F.struct(i.alias("pos"), c.alias("codon"))), lambda x: x["codon"].isin(*starts, *stops))
     hits = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq")).filter(F.length("seq") >= 3).select("id", F.explode(codons).alias("c")).select("id", "c.pos", "c.codon")
     hits = hits.withColumn("offset", F.pmod(F.col("pos"), F.lit(3)))
     ahead = Window.partitionBy("id", "offset").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
