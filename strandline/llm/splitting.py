@@ -95,9 +95,9 @@ def split_oversized(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq",
     return big.unionByName(small)
 
 
-def boundary_runs(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", limit: int = LIMIT, min_run: int = MIN_RUN) -> DataFrame:
+def boundary_runs(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", limit: int = LIMIT, overlap: int = OVERLAP, min_run: int = MIN_RUN) -> DataFrame:
     """(rec_id, gap_start): the boundaries the bisection chose among, -1 for an oversized record without any."""
-    found = bisect_records(df, id_col, seq_col, limit, min_run=min_run)
+    found = bisect_records(df, id_col, seq_col, limit, overlap, min_run)
     return found.select("rec_id", F.explode(F.when(F.size("gaps") == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col("gaps"))).alias("gap_start"))
 
 
