@@ -82,7 +82,8 @@ def bayes_model(spark, d):
     seen = lines.groupBy("l_partkey", "l_returnflag").agg(F.count("*").alias("k"))
     like = seen.join(F.broadcast(flag), "l_returnflag").groupBy("l_partkey", "o_orderpriority").agg(F.sum(F.col("k") * F.col("l")).alias("ln_likelihood"))
     post = bayes.posterior(prior, like, "o_orderpriority", "l_partkey")
-    return bayes.ranked_posteriors(post.withColumn("ln_posterior", F.round("ln_posterior", 9)), "o_orderpriority", "l_partkey").select("l_partkey", "o_orderpriority", F.round("ln_posterior", 5).alias("ln_posterior"), F.col("rank").cast("bigint").alias("rank"))
+    ranked = bayes.ranked_posteriors(post.withColumn("raw", F.col("ln_posterior")).withColumn("ln_posterior", F.round("ln_posterior", 9)), "o_orderpriority", "l_partkey")
+    return ranked.select("l_partkey", "o_orderpriority", F.round("raw", 5).alias("ln_posterior"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def bayes_factor(spark, d):
