@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import alphabets as al
 from strandline.functions import checks, records, search, seqstats
 from strandline.operators import intervals, qgrams
+from strandline.operators.pairs import spread
 from strandline.session import table
 
 _S = "upper(regexp_replace(seq, '\\s', '', 'g'))"
@@ -51,7 +52,7 @@ def rank_transform(spark, d):
 
 
 def qgram_codes(spark, d):
-    r = reads(spark, d).select("read_id", F.explode(al.qgrams("s", 8, ALPHABET)).alias("code"))
+    r = spread(reads(spark, d)).select("read_id", F.explode(al.qgrams("s", 8, ALPHABET)).alias("code"))
     return r.groupBy("read_id").agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum("code").alias("total"))
 
 
@@ -84,20 +85,20 @@ def _pairs(spark, d):
 
 def hamming(spark, d):
     """Each read against the next one, over the length both have."""
-    p = _pairs(spark, d).withColumn("n", F.least(F.length("a"), F.length("b")))
+    p = spread(_pairs(spark, d)).withColumn("n", F.least(F.length("a"), F.length("b")))
     return p.select("a_id", search.hamming(F.left("a", F.col("n")), F.left("b", F.col("n"))).alias("d"))
 
 
 def levenshtein(spark, d):
-    return _pairs(spark, d).select("a_id", search.levenshtein("a", "b").cast("bigint").alias("d"))
+    return spread(_pairs(spark, d)).select("a_id", search.levenshtein("a", "b").cast("bigint").alias("d"))
 
 
 def bounded_levenshtein(spark, d):
-    return _pairs(spark, d).select("a_id", search.bounded_levenshtein("a", "b", 100).cast("bigint").alias("d"))
+    return spread(_pairs(spark, d)).select("a_id", search.bounded_levenshtein("a", "b", 100).cast("bigint").alias("d"))
 
 
 def orf(spark, d):
-    return seqstats.find_orfs(fasta(spark, d), "rec_id", "s", min_len=60).select(F.col("id").alias("rec_id"), F.col("start").cast("bigint").alias("orf_start"), F.col("end").cast("bigint").alias("orf_end"), F.col("offset").cast("bigint").alias("frame"))
+    return seqstats.find_orfs(spread(fasta(spark, d)), "rec_id", "s", min_len=60).select(F.col("id").alias("rec_id"), F.col("start").cast("bigint").alias("orf_start"), F.col("end").cast("bigint").alias("orf_end"), F.col("offset").cast("bigint").alias("frame"))
 
 
 def fasta_text(spark, d):
@@ -186,12 +187,12 @@ def interval_hits(spark, d):
 
 
 def kmer_counts(spark, d):
-    return qgrams.gram_counts(reads(spark, d).withColumnRenamed("s", "seq"), "read_id", "seq", 8).select("gram", "n", F.col("n_records"))
+    return qgrams.gram_counts(spread(reads(spark, d)).withColumnRenamed("s", "seq"), "read_id", "seq", 8).select("gram", "n", F.col("n_records"))
 
 
 def _seeds(spark, d, q):
-    x = reads(spark, d).select(F.col("read_id").alias("id"), F.col("s").alias("seq"))
-    y = fasta(spark, d).select(F.col("rec_id").alias("id"), F.col("s").alias("seq"))
+    x = spread(reads(spark, d)).select(F.col("read_id").alias("id"), F.col("s").alias("seq"))
+    y = spread(fasta(spark, d)).select(F.col("rec_id").alias("id"), F.col("s").alias("seq"))
     return qgrams.kmer_matches(x, y, q, max_count=200)
 
 
