@@ -13,6 +13,8 @@ DNA_CODES = {"A": "A", "T": "T", "G": "G", "C": "C", "M": "AC", "R": "AG", "W":
 SHARE = {1: 1.0, 2: 0.5, 3: 0.333, 4: 0.25}
 PROTEIN_MONOS = "ARNDCEQGHILKMFPSTWYV"
 PSEUDO = 0.5
+#: Motifs that one scan holds in its tasks.
+MAX_MOTIFS = 10_000
 
 
 class Kind:
@@ -88,7 +90,9 @@ def best_window(texts: DataFrame, id_col: str, seq_col: str, weights: DataFrame,
     """
     rows = weights.groupBy("motif").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx", "weight"))), lambda x: x["weight"]).alias("w"), (F.max("pos") + 1).alias("n"))
     rows = rows.join(score_range(weights).select("motif", "min_score", "max_score"), "motif")
-    motifs = rows.collect()  # checked: a set of query motifs, scanned against all texts
+    motifs = rows.limit(MAX_MOTIFS + 1).collect()
+    if len(motifs) > MAX_MOTIFS:
+        raise ValueError(f"more than {MAX_MOTIFS} motifs: pass them in groups")
     k = len(kind.monos)
     t = texts.select(F.col(id_col).alias("id"), F.upper(F.col(seq_col)).alias("seq"))
     import numpy as np

@@ -2,8 +2,8 @@
 
 A field's skeleton is the field with each run of ordinary characters masked by one ``x``; delimiters, quotes and blanks
 stay. The grammar is resolved once per distinct skeleton, into a rule that names for each value the places of its tag
-and of its own tokens. Rules are broadcast while their number is within ``broadcast_rules``, and joined on the skeleton
-otherwise. The fields themselves are cut into the same tokens and picked by place, inside the JVM.
+and of its own tokens. Rules are broadcast while their number and their size are within ``broadcast_rules`` and
+``broadcast_bytes``, and joined on the skeleton otherwise. The fields themselves are cut into the same tokens and picked by place, inside the JVM.
 
 Grammar: attributes are separated by ``;``; the tag ends at the first blank or ``=``; blanks and at most one ``=`` part
 it from its values; values are separated by ``,`` or ``|``; a value that begins with a quote runs to the same closing
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.session import materialize
 
-BROADCAST_RULES = 50_000
+BROADCAST_RULES, BROADCAST_BYTES = 50_000, 32_000_000
 _ORDINARY = "[^;=,|\"' \\t]+"
 _RULE = pa.struct([("tf", pa.int32()), ("tl", pa.int32()), ("vf", pa.int32()), ("vl", pa.int32()), ("q", pa.bool_())])
 
@@ -107,13 +107,14 @@ def percent_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), F.url_decode(safe)).otherwise(c)
 
 
-def split_packed(df: DataFrame, id_col: str, field_col: str, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def split_packed(df: DataFrame, id_col: str, field_col: str, broadcast_rules: int = BROADCAST_RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, val_pos, tag, val): one row per value, numbered from 0 from left to right in its field."""
     field = F.trim(F.col(field_col))
     rows = df.select(F.col(id_col).alias("id"), F.col(field_col).alias("field")).filter(F.col("field").isNotNull() & ~field.isin("", "."))
     rows = rows.withColumn("sk", skeleton("field"))
     rules = materialize(rules_for(rows.select("sk").distinct()), "p4-rules")
-    few = rules.limit(broadcast_rules + 1).count() <= broadcast_rules
+    size = rules.agg(F.count("*").alias("n"), F.sum(F.length("sk") + 20 * F.size("rules")).alias("bytes")).first()
+    few = size.n <= broadcast_rules and (size.bytes or 0) <= broadcast_bytes
     joined = rows.join(F.broadcast(rules) if few else rules, "sk").select("id", tokens("field").alias("tok"), "rules")
 
     def pick(r: Column) -> Column:

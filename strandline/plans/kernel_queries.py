@@ -104,8 +104,8 @@ def hmm_decode(spark, d):
 
 
 def hmm_train(spark, d):
-    """One model for the reads of each length, from at most a few steps."""
-    r = reads(spark, d).filter(~F.col("s").rlike("[^ACGT]") & (F.length("s") > 0)).select(F.length("s").alias("m"), "read_id", F.transform(F.split(F.translate("s", "ACGT", "0123"), ""), lambda x: x.cast("int")).alias("obs"))
+    """One model for every fifty reads, from at most a few steps."""
+    r = reads(spark, d).filter(~F.col("s").rlike("[^ACGT]") & (F.length("s") > 0)).select((F.col("read_id") / 50).cast("bigint").alias("m"), "read_id", F.transform(F.split(F.translate("s", "ACGT", "0123"), ""), lambda x: x.cast("int")).alias("obs"))
     out = pairs.hmm_train(r, "m", "read_id", "obs", COMPOSITION, 1e-3, 2)
     return out.select("model", F.round(F.col("transition")[0], 3).alias("stay"), "n_steps")
 
