@@ -87,23 +87,26 @@ def similar_representatives(reps: DataFrame, width: int = WIDTH, threshold: floa
 
     def index(batches):
         for b in batches:
-            keys, sizes, count = [], [], []
+            keys, sizes, count, ranks = [], [], [], []
             for s in b.column(1).to_pylist():
                 c = codes_of(s, width)
                 n = len(c)
                 first = n - math.ceil(threshold * n) + level
-                if first < n:
-                    c = c[np.lexsort((c, rank[_position(c)]))[:first]]
+                c = c[np.lexsort((c, rank[_position(c)]))[: min(first, n)]]
                 keys.append(c)
                 sizes.append(n)
                 count.append(len(c))
+                ranks.append(np.arange(len(c), dtype=np.int32))
             row = np.repeat(np.arange(b.num_rows), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), b.column(0).take(pa.array(row)), pa.array(np.array(sizes, np.int32)[row] if len(row) else np.zeros(0, np.int32))], ["code", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), b.column(0).take(pa.array(row)), pa.array(np.array(sizes, np.int32)[row] if len(row) else np.zeros(0, np.int32)), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int32))], ["code", "rep", "n", "r"])
 
-    postings = materialize(reps.select("rep", "seq").mapInArrow(index, f"code bigint, rep {rep_type}, n int"), "p2-index")
+    postings = materialize(reps.select("rep", "seq").mapInArrow(index, f"code bigint, rep {rep_type}, n int, r int"), "p2-index")
     x, y = postings.alias("x"), postings.alias("y")
     ratio = threshold / (1 + threshold)
     sized = (F.col("x.n") >= F.col("y.n") * threshold) & (F.col("y.n") >= F.col("x.n") * threshold)
+    # with both sizes known the bytes that must be shared lie further ahead than the index of either alone reaches
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * ratio - 1e-9)
+    sized = sized & (F.col("x.r") < F.col("x.n") - least + level) & (F.col("y.r") < F.col("y.n") - least + level)
     pairs = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.rep") < F.col("y.rep")) & sized)
     pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("tally"), F.max(F.col("x.n") + F.col("y.n")).alias("total"))
     pairs = pairs.filter(F.col("tally") >= F.least(F.lit(level), F.ceil(F.col("total") * ratio - 1e-9))).select("a", "b")
