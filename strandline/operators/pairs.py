@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.kernels import approx, hmm, pairhmm, pairwise, poa, sparse, textindex
+from strandline.kernels import approx, hmm, integrate, pairhmm, pairwise, poa, sparse, textindex
 
 CELLS = 4_000_000
 
@@ -257,3 +257,8 @@ def pair_related(df: DataFrame, id_col: str, x: str, y: str, model: pairhmm.Pair
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "ln_p"])
 
     return spread(df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))).mapInArrow(run, f"id {kind}, ln_p double")
+
+
+def integrate_adaptive(df: DataFrame, id_col: str, lo: str, hi: str, params: list[str], density: Callable[..., float], resolution: float) -> DataFrame:
+    """(id, ln_integral): for each row the integral of exp(density(x, *params)) over its interval, on an adaptive grid."""
+    return map_rows(df, [id_col, lo, hi, *params], "ln_integral double", lambda a, b, *p: [(integrate.adaptive(lambda x: density(x, *p), float(a), float(b), resolution),)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.kernels import approx, hmm, pairhmm, pairwise
 from strandline.operators import pairs
 from strandline.plans.sequence_queries import _FASTA, _READS, _pairs, fasta, reads
+from strandline.session import table
 
 SCORING = pairwise.Scoring.from_scores(-5, -1, 1, -1)
 PATTERN = "GATTACAG"
@@ -120,12 +122,20 @@ def homopolymer_hmm(spark, d):
     return p.select("id", F.round("ln_p", 4).alias("ln_p"))
 
 
+def adaptive_integral(spark, d):
+    """The mass within 0..1 of a normal density around each line's discount, whose width its tax sets."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("mean"), (F.col("l_tax") + 0.05).alias("sd"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    one = l.groupBy("mean", "sd").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi")).withColumn("id", F.concat_ws("/", F.round("mean", 2), F.round("sd", 2)))
+    out = pairs.integrate_adaptive(one, "id", "lo", "hi", ["mean", "sd"], lambda x, mean, sd: -0.5 * ((x - mean) / sd) ** 2 - math.log(sd * math.sqrt(2 * math.pi)), 1e-3)
+    return out.join(one.select("id", "n"), "id").select("id", "n", F.round(F.exp("ln_integral"), 3).alias("mass"))
+
+
 _ALIGN = {"align_global": ("global", None), "align_semiglobal": ("semiglobal", None), "align_local": ("local", None), "align_banded": ("semiglobal", (8, 6))}
 _ENDS = f"""SELECT id, end_pos, dist FROM (SELECT read_id AS id, e - 1 AS end_pos, min(levenshtein('{PATTERN}', substr(s, e - n + 1, n))) AS dist FROM (SELECT read_id, s, unnest(generate_series(1, length(s))) AS e FROM {_READS}), (SELECT unnest(generate_series(7, 9)) AS n) WHERE e >= n GROUP BY 1, 2) WHERE dist <= 1"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (align_custom, align_matrix, seed_chains, myers_ends, myers_matches, myers_best, myers_long, ukkonen_ends, suffix_array, lcp_sus, fm_search, fm_map, smems, poa_consensus, hmm_decode, hmm_train, pair_hmm, homopolymer_hmm)
+    fs = (align_custom, align_matrix, seed_chains, myers_ends, myers_matches, myers_best, myers_long, ukkonen_ends, suffix_array, lcp_sus, fm_search, fm_map, smems, poa_consensus, hmm_decode, hmm_train, pair_hmm, homopolymer_hmm, adaptive_integral)
     return {n: _align(*a) for n, a in _ALIGN.items()} | {f.__name__: f for f in fs}
 
 

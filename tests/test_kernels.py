@@ -6,7 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from strandline.kernels import approx, hmm, pairhmm, pairwise, poa, sparse, textindex
+from strandline.kernels import approx, hmm, integrate, pairhmm, pairwise, poa, sparse, textindex
 from strandline.operators import pairs
 
 S = pairwise.Scoring.from_scores
@@ -266,3 +266,14 @@ def test_operators_on_edges(spark):
     assert pairs.suffix_arrays(df, "i", "x").filter("id = 1").count() == 18
     assert pairs.chains(df, "i", "x", "y", 4).filter("id = 1").first().n_matches > 0
     assert pairs.poa_consensus(df, "i", "y", "y").filter("group = 1").first().consensus == "ACGTTACGT"
+
+
+def test_adaptive_integral():
+    for mean, sd in ((0.3, 0.001), (5.0, 1.0), (9.99, 0.01)):
+        got = integrate.adaptive(lambda x: -0.5 * ((x - mean) / sd) ** 2 - np.log(sd * np.sqrt(2 * np.pi)), 0.0, 10.0, 1e-4)
+        inside = 1.0 if mean < 9 else 0.841345
+        assert np.exp(got) == pytest.approx(inside, rel=5e-3)
+    assert integrate.adaptive(lambda x: float("-inf"), 0, 1, 0.1) == -np.inf
+    assert np.exp(integrate.adaptive(lambda x: 0.0, 0, 2, 0.1)) == pytest.approx(2)
+    with pytest.raises(ValueError):
+        integrate.adaptive(lambda x: 0.0, 2, 1, 0.1)
