@@ -70,7 +70,7 @@ def ukkonen_ends(spark, d):
 
 
 def suffix_array(spark, d):
-    return pairs.suffix_arrays(reads(spark, d).select("read_id", F.left("s", F.lit(60)).alias("w")), "read_id", "w").select("id", "rnk", "pos", "bwt")
+    return pairs.suffix_arrays(reads(spark, d), "read_id", "s").select("id", "rnk", "pos", "bwt")
 
 
 def lcp_sus(spark, d):
@@ -94,8 +94,8 @@ def smems(spark, d):
 
 
 def poa_consensus(spark, d):
-    """The reads of one flow cell tile and length class, as families of a bounded size."""
-    r = reads(spark, d).select((F.col("read_id") / 3).cast("bigint").alias("family"), "read_id", F.left("s", F.lit(80)).alias("s"))
+    """Reads that follow one another, as families of a bounded size."""
+    r = reads(spark, d).select((F.col("read_id") / 3).cast("bigint").alias("family"), "read_id", "s")
     return pairs.poa_consensus(r, "family", "read_id", "s")
 
 
@@ -113,12 +113,12 @@ def hmm_train(spark, d):
 
 
 def pair_hmm(spark, d):
-    p = pairs.pair_related(_pairs(spark, d).withColumn("y", F.substring("b", 20, 54)), "a_id", "a", "y", pairhmm.PairModel())
+    p = pairs.pair_related(_pairs(spark, d), "a_id", "a", "b", pairhmm.PairModel())
     return p.select("id", F.round("ln_p", 4).alias("ln_p"))
 
 
 def homopolymer_hmm(spark, d):
-    p = pairs.pair_related(_pairs(spark, d).withColumn("x", F.left("a", F.lit(80))).withColumn("y", F.substring("b", 20, 54)), "a_id", "x", "y", pairhmm.PairModel(hop_x=1e-5, hop_y=1e-5, hop_x_extend=0.1, hop_y_extend=0.1), True)
+    p = pairs.pair_related(_pairs(spark, d), "a_id", "a", "b", pairhmm.PairModel(hop_x=1e-5, hop_y=1e-5, hop_x_extend=0.1, hop_y_extend=0.1), True)
     return p.select("id", F.round("ln_p", 4).alias("ln_p"))
 
 
@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "myers_ends": _ENDS,
         "ukkonen_ends": _ENDS,
-        "suffix_array": f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY substr(t, pos + 1)) - 1 AS rnk, pos, CASE WHEN pos = 0 THEN right(t, 1) ELSE substr(t, pos, 1) END AS bwt FROM (SELECT read_id AS id, substr(s, 1, 60) || '$' AS t, unnest(generate_series(0, least(length(s), 60))) AS pos FROM {_READS})",
+        "suffix_array": f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY substr(t, pos + 1)) - 1 AS rnk, pos, CASE WHEN pos = 0 THEN right(t, 1) ELSE substr(t, pos, 1) END AS bwt FROM (SELECT read_id AS id, s || '$' AS t, unnest(generate_series(0, length(s))) AS pos FROM {_READS})",
         "fm_search": f"""WITH k AS (SELECT rec_id, s, pattern, coalesce(max(n), 0) AS n FROM (SELECT rec_id, s, pattern, unnest(generate_series(1, length(pattern))) AS n FROM {_FASTA}, (VALUES {pats}) v(pattern)) WHERE contains(s, right(pattern, n)) GROUP BY 1, 2, 3),
             b AS (SELECT f.rec_id, f.s, v.pattern, coalesce(n, 0) AS n FROM {_FASTA} f CROSS JOIN (VALUES {pats}) v(pattern) LEFT JOIN k ON k.rec_id = f.rec_id AND k.pattern = v.pattern)
             SELECT rec_id AS id, pattern, CASE WHEN n = length(pattern) THEN 'Complete' ELSE 'Partial' END AS kind, n AS length, i AS pos FROM (SELECT *, unnest(generate_series(0, length(s) - n)) AS i FROM b WHERE n > 0) WHERE substr(s, i + 1, n) = right(pattern, n)

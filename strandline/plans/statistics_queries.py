@@ -143,9 +143,9 @@ def less_table(spark, d):
 
 
 def _motifs(spark, d):
-    """Motifs: the first 12 symbols of the reads of one length."""
-    r = reads(spark, d).filter(~F.left("s", F.lit(12)).rlike("[^ATGCMRWSYKVHDBN]") & (F.length("s") >= 12))
-    return motif.weight_matrix(r.select(F.length("s").cast("string").alias("m"), F.left("s", F.lit(12)).alias("w")), "m", "w")
+    """Motifs: the reads of one length, whole."""
+    r = reads(spark, d).filter(~F.col("s").rlike("[^ATGCMRWSYKVHDBN]") & (F.length("s") > 0))
+    return motif.weight_matrix(r.select(F.length("s").cast("string").alias("m"), "s"), "m", "s")
 
 
 def motif_weights(spark, d):
@@ -174,9 +174,9 @@ pmf AS (SELECT l_returnflag, l_quantity, count(*) / sum(count(*)) OVER (PARTITIO
 c AS (SELECT *, least(1, sum(pmf) OVER (PARTITION BY l_returnflag ORDER BY l_quantity)) AS cdf FROM pmf)"""
 _CODES = ", ".join(f"('{c}', '{m}', {motif.SHARE[len(ms)]})" for c, ms in motif.DNA_CODES.items() for m in ms)
 _W = f"""
-r AS (SELECT CAST(length(s) AS VARCHAR) AS motif, substr(s, 1, 12) AS w FROM {_READS} WHERE length(s) >= 12 AND NOT regexp_matches(substr(s, 1, 12), '[^ATGCMRWSYKVHDBN]')),
-k(code, mono, share) AS (VALUES {_CODES}), g AS (SELECT motif, pos, mono, idx FROM (SELECT DISTINCT motif FROM r), (SELECT unnest(generate_series(0, 11)) AS pos), (VALUES ('A', 0), ('T', 1), ('G', 2), ('C', 3)) m(mono, idx)),
-n AS (SELECT motif, i AS pos, mono, sum(share) AS c FROM (SELECT motif, i, substr(w, i + 1, 1) AS code FROM (SELECT motif, w, unnest(generate_series(0, 11)) AS i FROM r)) JOIN k USING (code) GROUP BY 1, 2, 3),
+r AS (SELECT CAST(length(s) AS VARCHAR) AS motif, s AS w, length(s) AS len FROM {_READS} WHERE length(s) > 0 AND NOT regexp_matches(s, '[^ATGCMRWSYKVHDBN]')),
+k(code, mono, share) AS (VALUES {_CODES}), g AS (SELECT motif, pos, mono, idx FROM (SELECT motif, unnest(generate_series(0, len - 1)) AS pos FROM (SELECT DISTINCT motif, len FROM r)), (VALUES ('A', 0), ('T', 1), ('G', 2), ('C', 3)) m(mono, idx)),
+n AS (SELECT motif, i AS pos, mono, sum(share) AS c FROM (SELECT motif, i, substr(w, i + 1, 1) AS code FROM (SELECT motif, w, unnest(generate_series(0, len - 1)) AS i FROM r)) JOIN k USING (code) GROUP BY 1, 2, 3),
 f AS (SELECT g.motif, g.pos, g.mono, idx, coalesce(c, 0) + 0.5 AS c FROM g LEFT JOIN n ON n.motif = g.motif AND n.pos = g.pos AND n.mono = g.mono),
 pw AS (SELECT motif, pos, mono, idx, c / sum(c) OVER (PARTITION BY motif, pos) AS weight FROM f)"""
 _SITES = "('TATAAT'), ('TATGAT'), ('TACAAT'), ('TATACT'), ('GATAAT')"
@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "symbol_rank": f"SELECT read_id, right(s, 1) AS last_symbol, length(s) - length(replace(s, right(s, 1), '')) AS last_rank, greatest(length(s) - length(replace(s, 'A', '')), length(s) - length(replace(s, 'C', '')), length(s) - length(replace(s, 'G', '')), length(s) - length(replace(s, 'T', '')), length(s) - length(replace(s, 'N', ''))) AS top_rank FROM {_READS}",
         "less_table": f"SELECT read_id, c, n, CAST(coalesce(sum(n) OVER (PARTITION BY read_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS less FROM (SELECT read_id, c, count(*) AS n FROM (SELECT read_id, unnest(string_split(s, '')) AS c FROM {_READS}) GROUP BY 1, 2)",
         "motif_weights": f"WITH {_W} SELECT motif, pos, mono, round(weight, 6) AS weight FROM pw",
-        "motif_information": f"WITH {_W} SELECT motif, round(24 + sum(weight * log2(weight)), 6) AS bits, round(any_value(lo), 6) AS min_score, round(any_value(hi), 6) AS max_score FROM pw JOIN (SELECT motif, sum(a) AS lo, sum(b) AS hi FROM (SELECT motif, pos, min(weight) AS a, max(weight) AS b FROM pw GROUP BY 1, 2) GROUP BY 1) USING (motif) GROUP BY 1",
+        "motif_information": f"WITH {_W} SELECT motif, round(2 * count(DISTINCT pos) + sum(weight * log2(weight)), 6) AS bits, round(any_value(lo), 6) AS min_score, round(any_value(hi), 6) AS max_score FROM pw JOIN (SELECT motif, sum(a) AS lo, sum(b) AS hi FROM (SELECT motif, pos, min(weight) AS a, max(weight) AS b FROM pw GROUP BY 1, 2) GROUP BY 1) USING (motif) GROUP BY 1",
         "motif_consensus": f"""WITH {_W}, o AS (SELECT motif, pos, list(round(weight, 9) ORDER BY round(weight, 9) DESC, idx DESC) AS w, list(mono ORDER BY round(weight, 9) DESC, idx DESC) AS m FROM pw GROUP BY 1, 2),
             s AS (SELECT motif, pos, CASE WHEN w[1] > 0.5 AND w[1] > 2 * w[2] THEN m[1] WHEN w[1] + w[2] > 0.75 THEN CASE list_aggregate(list_sort(m[1:2]), 'string_agg', '') WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'AT' THEN 'W' WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' ELSE 'K' END
               WHEN w[4] < 1e-5 THEN CASE list_aggregate(list_sort(m[1:3]), 'string_agg', '') WHEN 'ACG' THEN 'V' WHEN 'ACT' THEN 'H' WHEN 'AGT' THEN 'D' ELSE 'B' END ELSE 'N' END AS y FROM o)
