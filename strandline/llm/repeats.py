@@ -25,6 +25,8 @@ from strandline.session import materialize
 WINDOW = 48
 #: A single interior symbol whose dependence span is at least this long serves as key alone.
 ALONE = 24
+#: Rounds of compression: symbols of later ones reach beyond a window of this size and key none.
+ROUNDS = 5
 #: Symbols that a worker parses at once.
 CHUNK = 1_000_000
 _BASES = np.full(256, 255, np.uint8)
@@ -50,7 +52,7 @@ def recompress(codes: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndar
     name = mix(codes.astype(np.uint64) + np.uint64(1))
     ds, de = at, at + 1
     levels = [(ds, de)]
-    for level in range(12):
+    for level in range(ROUNDS):
         head = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))  # runs
         k = np.diff(np.append(head, len(name)))
         tail = head + k - 1
