@@ -16,8 +16,6 @@ partner; N and any other symbol is a symbol like the rest; equal ids are one rec
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,34 +26,45 @@ from strandline.session import materialize
 
 WIDTH, THRESHOLD, LEVEL = 12, 0.5, 4
 POSITIONS = 1 << 16
+#: Records that a worker takes at once.
+ROWS = 1024
 _BASES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _BASES[_c] = _i
 
 
-def codes_of(seq: str, width: int = WIDTH) -> np.ndarray:
-    """The distinct positional bytes of a record as position * 256 + byte.
+def codes_of(seqs: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code): the distinct positional bytes of records as position * 256 + byte, by row and code.
 
     Substrings with other symbols than bases get a 62-bit fingerprint behind the space of the bases.
     """
-    n = len(seq) - width + 1
+    if not 4 < width <= 30:
+        raise ValueError("width must be 5 to 30")
+    raw = np.frombuffer(("\n".join(seqs) + "\n").encode("utf-32-le"), np.uint32)
+    n = len(raw) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64)
-    raw = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
-    base = _BASES[np.minimum(raw, 255)].astype(np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    base = _BASES[np.minimum(raw, 255)]
+    bits = (base & 3).astype(np.int64)
     code = np.zeros(n, np.int64)
     for j in range(width):
-        code = (code << 2) | (base[j : j + n] & 3)
-    odd = np.convolve(base > 3, np.ones(width, np.int64), "valid") > 0
-    if odd.any():
-        h = np.zeros(n, np.uint64)
+        code = (code << 2) | bits[j : j + n]
+    breaks = np.concatenate(([0], np.cumsum(raw == 10)))
+    odd = np.concatenate(([0], np.cumsum(base > 3)))
+    at = np.flatnonzero(breaks[width:] == breaks[:n])
+    row = breaks[at]
+    out = code[at]
+    strange = np.flatnonzero(odd[at + width] > odd[at])
+    if len(strange):
+        h = np.zeros(len(strange), np.uint64)
         for j in range(width):
-            h = (h ^ raw[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ raw[at[strange] + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        code[odd] = (h[odd] >> np.uint64(2)).astype(np.int64) | (1 << 61)
-    elif 2 * width > 62:
-        raise ValueError("width must be at most 31")
-    return np.unique(code)
+        out[strange] = (h >> np.uint64(2)).astype(np.int64) | (1 << 61)
+    order = np.lexsort((out, row))
+    row, out = row[order], out[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (out[1:] != out[:-1]))) if len(row) else np.zeros(0, bool)
+    return row[new], out[new]
 
 
 def _position(code: np.ndarray) -> np.ndarray:
@@ -68,9 +77,8 @@ def position_loads(reps: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         load = np.zeros(POSITIONS, np.int64)
         for b in batches:
-            for s in b.column(0).to_pylist():
-                p = _position(codes_of(s, width))
-                np.add.at(load, p, 1)
+            for lo in range(0, b.num_rows, ROWS):
+                load += np.bincount(_position(codes_of(b.column(0).slice(lo, ROWS).to_pylist(), width)[1]), minlength=POSITIONS)
         at = np.flatnonzero(load)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(load[at])], ["position", "n"])
 
@@ -87,18 +95,16 @@ def similar_representatives(reps: DataFrame, width: int = WIDTH, threshold: floa
 
     def index(batches):
         for b in batches:
-            keys, sizes, count, ranks = [], [], [], []
-            for s in b.column(1).to_pylist():
-                c = codes_of(s, width)
-                n = len(c)
-                first = n - math.ceil(threshold * n) + level
-                c = c[np.lexsort((c, rank[_position(c)]))[: min(first, n)]]
-                keys.append(c)
-                sizes.append(n)
-                count.append(len(c))
-                ranks.append(np.arange(len(c), dtype=np.int32))
-            row = np.repeat(np.arange(b.num_rows), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), b.column(0).take(pa.array(row)), pa.array(np.array(sizes, np.int32)[row] if len(row) else np.zeros(0, np.int32)), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int32))], ["code", "rep", "n", "r"])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                row, code = codes_of(part.column(1).to_pylist(), width)
+                order = np.lexsort((code, rank[_position(code)], row))
+                code = code[order]
+                size = np.bincount(row, minlength=part.num_rows)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                keep = place < (size - np.ceil(threshold * size).astype(np.int64) + level)[row]
+                row, code, place = row[keep], code[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(code), part.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["code", "rep", "n", "r"])
 
     postings = materialize(reps.select("rep", "seq").mapInArrow(index, f"code bigint, rep {rep_type}, n int, r int"), "p2-index")
     x, y = postings.alias("x"), postings.alias("y")
