@@ -229,6 +229,110 @@ class FMDIndex(FMIndex):
         return [s for s in self.all_smems(pattern, min_len) if s[3] <= at < s[3] + s[4]]
 
 
+#: Codes of three bits: 0 parts texts, 6 is a read's symbol that matches nothing, 7 a read's end.
+_CODES = np.zeros(128, np.uint8)
+for _i, _c in enumerate("ACGTN", 1):
+    _CODES[[ord(_c), ord(_c.lower())]] = _i
+_OTHER_STRAND = np.array([0, 4, 3, 2, 1, 5], np.uint8)
+_POWERS = 8 ** np.arange(21, dtype=np.int64)
+
+
+def _codes(s: str) -> np.ndarray:
+    raw = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    return np.where(raw < 128, _CODES[np.minimum(raw, 127)], 0).astype(np.uint8)
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """For each place the 21 symbols that begin there, in one number; zeros follow the last."""
+    out, padded = np.zeros(len(codes), np.int64), np.concatenate((codes, np.zeros(20, np.uint8)))
+    for k in range(21):
+        out <<= 3
+        out |= padded[k : k + len(codes)]
+    return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols two keys begin alike with."""
+    return 21 - np.searchsorted(_POWERS, a ^ b, "right")
+
+
+class BothStrands:
+    """Sorted 21-symbol keys of texts and of their reverse complements; longer matches are followed place by place.
+
+    Texts are (symbols, number of first places at which matches may begin, the same of the other strand).
+    """
+
+    def __init__(self, texts: list[tuple[str, int, int]]):
+        parts, owned = [np.zeros(1, np.uint8)], [np.zeros(1, bool)]
+        for s, own, own_back in texts:
+            c = _codes(s)
+            for strand, n in ((c, own), (_OTHER_STRAND[c[::-1]], own_back)):
+                parts += [strand, np.zeros(1, np.uint8)]
+                owned += [np.arange(len(c)) < n, np.zeros(1, bool)]
+        codes = np.concatenate(parts)
+        self.at = _keys(codes)
+        places = np.flatnonzero((codes > 0) & np.concatenate(owned)).astype(np.int32)
+        order = np.argsort(self.at[places])
+        self.places = places[order]
+        self.sorted = self.at[self.places]
+
+    def smems(self, reads: list[str], min_len: int) -> tuple[np.ndarray, ...]:
+        """(read, start, length, hits) of the super-maximal exact matches of at least min_len symbols, in order."""
+        parts = [_codes(s) for s in reads]
+        size = np.array([len(c) for c in parts], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        codes = np.full(int((size + 1).sum()), 7, np.uint8)
+        owner = np.repeat(np.arange(len(reads)), size + 1)
+        inside = np.ones(len(codes), bool)
+        inside[begin + size] = False
+        if inside.any():
+            c = np.concatenate(parts)
+            codes[inside] = np.where(c == 0, 6, c)
+        if not len(self.sorted) or not len(codes):
+            return (np.zeros(0, np.int64),) * 4
+        keys = _keys(codes)
+        order = np.argsort(keys)
+        k = keys[order]
+        up = np.searchsorted(self.sorted, k)
+        best = np.maximum(_common(self.sorted[np.maximum(up - 1, 0)], k), _common(self.sorted[np.minimum(up, len(self.sorted) - 1)], k))
+        longest = np.empty(len(codes), np.int64)
+        longest[order] = best
+        count = np.zeros(len(codes), np.int64)
+        far = order[best == 21]
+        longest[far], count[far] = self._follow(keys, far)
+        end = np.arange(len(codes)) + longest
+        first = np.zeros(len(codes), bool)
+        first[begin] = True
+        chosen = inside & (longest >= min_len) & (first | (end > np.concatenate(([-1], end[:-1]))))
+        near = order[chosen[order] & (best < 21)]
+        shift = 3 * (21 - longest[near])
+        low = keys[near] >> shift
+        count[near] = np.searchsorted(self.sorted, (low + 1) << shift) - np.searchsorted(self.sorted, low << shift)
+        i = np.flatnonzero(chosen)
+        return owner[i], i - begin[owner[i]], longest[i], count[i]
+
+    def _follow(self, keys: np.ndarray, starts: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+        """(longest match, how many places have it) of places of the reads whose 21 symbols occur; ``most`` pairs are held at once."""
+        lo, hi = (np.searchsorted(self.sorted, keys[starts], side) for side in ("left", "right"))
+        longest, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        total = np.concatenate(([0], np.cumsum(hi - lo)))
+        a = 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+            n = hi[a:b] - lo[a:b]
+            row = np.repeat(np.arange(a, b), n)
+            x, y = starts[row], self.places[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]].astype(np.int64)
+            length, live = np.full(len(row), 21), np.arange(len(row))
+            while len(live):
+                more = _common(keys[x[live] + length[live]], self.at[y[live] + length[live]])
+                length[live] += more
+                live = live[more == 21]
+            np.maximum.at(longest, row, length)
+            np.add.at(count, row[length == longest[row]], 1)
+            a = b
+        return longest, count
+
+
 def wavelet_rank(text: str, symbol: str, at: int) -> int:
     """How often a symbol occurs up to a place, it included."""
     return text.count(symbol, 0, at + 1)

@@ -5,11 +5,12 @@ Kernels run on Arrow batches inside ``mapInArrow``; pairs are grouped by length
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.kernels import approx, hmm, integrate, pairhmm, pairwise, poa, sparse, textindex
@@ -149,32 +150,150 @@ def fm_search(texts: DataFrame, id_col: str, seq_col: str, patterns: list[str])
     return map_rows(texts, [id_col, seq_col], "pattern string, kind string, length bigint, pos bigint", rows)
 
 
-def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, reference: str, sample: int = 1) -> DataFrame:
-    """(id, kind, length, pos): reads searched in one reference text, whose index is built once and broadcast.
-
-    The reference must be small enough to hold (a text of at most MAX_REFERENCE symbols); longer ones are cut by the caller.
-    """
-    if len(reference) > MAX_REFERENCE:
-        raise ValueError(f"the reference exceeds {MAX_REFERENCE} symbols")
-    held = reads.sparkSession.sparkContext.broadcast(textindex.FMIndex(reference + "$", sample=sample))
-
-    def rows(s: str):
-        kind, lo, hi, n = held.value.backward_search(s)
-        return [(kind, n, p) for p in held.value.positions(lo, hi)] or [(kind, n, None)]
-
-    return map_rows(reads, [id_col, seq_col], "kind string, length bigint, pos bigint", rows)
+#: Symbols of a text block that one task indexes, about; longer texts are cut into overlapping pieces of a quarter of it.
+MAX_REFERENCE = 2_000_000
 
 
-MAX_REFERENCE = 4_000_000
+def _against_texts(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str, run: Callable, schema: str) -> DataFrame:
+    """``run(block, pieces, batches of (ids, reads))`` of every read and every block of texts, in one task for each block and share of the reads.
 
+    Pieces are (text id, place in the text, own, own_back, symbols): at its first ``own`` places matches may begin, and at
+    the first ``own_back`` of its other strand; from elsewhere they are another piece's. Pieces overlap by a read.
+    A task has its pieces first, then its reads.
+    """
+    reads = reads.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).filter("s is not null")
+    texts = texts.select(F.col(text_id).alias("text"), F.col(text_col).alias("s")).filter("s is not null")
+    total = texts.agg(F.sum(F.length("s"))).first()[0] or 0
+    over = max(reads.agg(F.max(F.length("s"))).first()[0] or 0, 1) - 1
+    spark = reads.sparkSession
+    blocks = -(-total // MAX_REFERENCE) or 1
+    shares = -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // blocks)
+    step = MAX_REFERENCE // 4
+    cut = texts.select("text", "s", F.explode(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(step))).alias("at"))
+    cut = cut.select("text", "at", F.least(F.length("s") - F.col("at"), F.lit(step)).alias("own"), F.substring("s", F.col("at") + 1, F.lit(step + over)).alias("s"))
+    cut = cut.withColumn("own_back", F.when(F.col("at") == 0, F.length("s")).otherwise(F.greatest(F.length("s") - over, F.lit(0))))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("text", "at"), F.lit(blocks)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    r = reads.withColumn("share", F.pmod(F.xxhash64("id", "s"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = cut.withColumn("is_read", F.lit(False)).unionByName(r.withColumn("is_read", F.lit(True)), allowMissingColumns=True)
+    rows = rows.select((F.col("block") * shares + F.col("share")).alias("task"), "block", "is_read", "id", "s", "text", "at", "own", "own_back")
+
+    def task(batches):
+        block, pieces = 0, []
+
+        def live():
+            nonlocal block
+            for b in batches:
+                block, flags = b.column(1)[0].as_py() if b.num_rows else block, b.column(2).to_pylist()
+                n = flags.index(True) if True in flags else len(flags)
+                pieces.extend(zip(*(b.column(k).slice(0, n).to_pylist() for k in (5, 6, 7, 8, 4))))
+                if n < len(flags):
+                    yield b.column(3).slice(n), b.column(4).slice(n).to_pylist()
+
+        shared = live()
+        first = next(shared, None)
+        if first is not None:
+            yield from run(block, pieces, itertools.chain([first], shared))
+
+    return rows.repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("is_read").mapInArrow(task, f"id {reads.schema['id'].dataType.simpleString()}, {schema}")
+
+
+def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str) -> DataFrame:
+    """(id, kind, length, text, pos): all places of each read, or of its longest suffix that occurs, in all texts. Ids of reads are unique.
+
+    Empty reads are Absent. Each block of texts is indexed; of a read's hits in the blocks the longest are kept.
+    """
+    kind = texts.schema[text_id].dataType
+
+    def run(block, pieces, batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        index = textindex.FMIndex("".join(p[4] + "\0" for p in pieces) or "\0")
+        begins = np.cumsum([0, *(len(p[4]) + 1 for p in pieces)])[:-1]
+        names, at, own = pa.array([p[0] for p in pieces], to_arrow_type(kind)), np.array([p[1] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64)
+        none = np.zeros(1, np.int64)
+        for ids, seqs in batches:
+            row, length, full, piece, pos = [], [], [], [], []
+            for i, s in enumerate(seqs):
+                found, lo, hi, n = index.backward_search(s)
+                if n:
+                    places = index.sa[lo:hi]
+                    k = np.searchsorted(begins, places, "right") - 1
+                    places = places - begins[k]
+                    k, places = k[places < own[k]], places[places < own[k]]
+                elif block:
+                    continue
+                else:  # Absent, unless another block has it
+                    k, places = none - 1, none
+                row.append(np.full(len(k), i))
+                length.append(np.full(len(k), n))
+                full.append(np.full(len(k), found == "Complete"))
+                piece.append(k)
+                pos.append(places)
+            if not row:
+                continue
+            row, length, full, piece, pos = map(np.concatenate, (row, length, full, piece, pos))
+            gone = piece < 0
+            what = np.where(gone, "Absent", np.where(full, "Complete", "Partial"))
+            text = names.take(pa.array(piece, pa.int64(), mask=gone))
+            where = pa.array(pos + (at[piece] if len(at) else 0), pa.int64(), mask=gone)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(what.tolist(), pa.string()), pa.array(length, pa.int64()), text, where], ["id", "kind", "length", "text", "pos"])
+
+    hits = _against_texts(reads, id_col, seq_col, texts, text_id, text_col, run, f"kind string, length bigint, text {kind.simpleString()}, pos bigint")
+    best = F.max("length").over(Window.partitionBy("id"))
+    return hits.withColumn("best", best).filter("length = best").drop("best")
+
+
+def smems(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str, min_len: int) -> DataFrame:
+    """(id, start_pos, length, n_hits): super-maximal exact matches of reads with either strand of all texts. Ids of reads are unique.
+
+    Symbols beyond ACGTN match nothing. A match that no block of texts can extend is super-maximal in each block that
+    has it, so the matches of the blocks are put together, those within others left out and hits of one span added.
+    """
 
-def smems(reads: DataFrame, id_col: str, seq_col: str, reference: str, min_len: int) -> DataFrame:
-    """(id, start_pos, length, n_hits): super-maximal exact matches of reads with either strand of a reference of bounded length."""
-    if len(reference) > MAX_REFERENCE:
-        raise ValueError(f"the reference exceeds {MAX_REFERENCE} symbols")
-    other = reference[::-1].translate(str.maketrans("ACGTNacgtn", "TGCANtgcan"))
-    held = reads.sparkSession.sparkContext.broadcast(textindex.FMDIndex(f"{reference}${other}$"))
-    return map_rows(reads, [id_col, seq_col], "start_pos bigint, length bigint, n_hits bigint", lambda s: [(at, n, size) for _, _, size, at, n in held.value.all_smems(s, min_len)])
+    def run(block, pieces, batches):
+        index = textindex.BothStrands([(p[4], p[2], p[3]) for p in pieces])
+        for all_ids, all_seqs in batches:
+            for k in range(0, len(all_seqs), 2000):
+                ids, seqs = all_ids.slice(k, 2000), all_seqs[k : k + 2000]
+                row, start, length, n = index.smems(seqs, min_len)
+                ends = np.cumsum(np.bincount(row, minlength=len(seqs)))
+                # planes of bytes, most of them zero, shrink well on their way
+                spans = [np.stack([start[a:b], length[a:b], n[a:b]]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(spans, pa.binary())], ["id", "spans"])
+
+    def whole(parts):
+        m = np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view("<i4").reshape(3, -1) for p in parts], 1).astype(np.int64)
+        m = m[:, np.lexsort((-m[1], m[0]))]
+        new = np.flatnonzero(np.diff(m[0], prepend=-1) | np.diff(m[1], prepend=-1))
+        if not len(new):
+            return m
+        start, length, hits = m[0][new], m[1][new], np.add.reduceat(m[2], new)
+        end = start + length
+        keep = end > np.maximum.accumulate(np.concatenate(([0], end[:-1])))
+        return np.stack([start, length, hits])[:, keep]
+
+    def merge(batches):
+        """Rows come by id, those of one id perhaps in several batches."""
+        rows = ((i, p) for b in batches for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        ids, out = [], []
+        for i, same in itertools.groupby(rows, lambda r: r[0]):
+            ids.append(i)
+            out.append(whole([p for _, p in same]))
+            if len(ids) == 1000:
+                yield packed(ids, out)
+                ids, out = [], []
+        if ids:
+            yield packed(ids, out)
+
+    def packed(ids, out):
+        row = np.repeat(np.arange(len(ids)), [m.shape[1] for m in out])
+        return pa.RecordBatch.from_arrays([pa.array(ids, arrow).take(pa.array(row, pa.int64())), *map(pa.array, np.concatenate(out, 1))], ["id", "start_pos", "length", "n_hits"])
+
+    spans = _against_texts(reads, id_col, seq_col, texts, text_id, text_col, run, "spans binary")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow, kind = to_arrow_type(spans.schema["id"].dataType), spans.schema["id"].dataType.simpleString()
+    return spread(spans, "id").sortWithinPartitions("id").mapInArrow(merge, f"id {kind}, start_pos bigint, length bigint, n_hits bigint")
 
 
 def chains(df: DataFrame, id_col: str, x: str, y: str, k: int, match: int = 1, gap_open: int = -1, gap_extend: int = -1, mismatches: int = 0) -> DataFrame:

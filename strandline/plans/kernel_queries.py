@@ -83,14 +83,12 @@ def fm_search(spark, d):
 
 
 def fm_map(spark, d):
-    """Reads searched in the longest record of bounded length."""
-    ref = fasta(spark, d).filter(F.length("s") <= pairs.MAX_REFERENCE).select(F.max_by("s", F.struct(F.length("s"), -F.col("rec_id")))).first()[0]
-    return pairs.fm_map_reads(reads(spark, d), "read_id", "s", ref or "", sample=4)
+    """Reads searched in all records."""
+    return pairs.fm_map_reads(reads(spark, d), "read_id", "s", fasta(spark, d), "rec_id", "s").withColumnRenamed("text", "rec_id")
 
 
 def smems(spark, d):
-    ref = fasta(spark, d).filter((F.length("s") <= pairs.MAX_REFERENCE) & ~F.col("s").rlike("[^ACGTN]")).select(F.max_by("s", F.struct(F.length("s"), -F.col("rec_id")))).first()[0]
-    return pairs.smems(reads(spark, d), "read_id", "s", ref or "", 10)
+    return pairs.smems(reads(spark, d), "read_id", "s", fasta(spark, d), "rec_id", "s", 10)
 
 
 def poa_consensus(spark, d):

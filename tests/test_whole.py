@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
+from strandline.operators import pairs
 
 
 def query(spark, path, name, **tables):
@@ -31,3 +34,56 @@ def test_frequent_seeds(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(i, 1, 3, 0, 60, 3, 63, 45) for i in range(250)]
     got = query(spark, tmp_path, "exact_matches", fasta=fasta, fastq=fastq)
     assert sorted(map(tuple, got)) == [(i, 1, 0, 60, 3, 63) for i in range(250)]
+
+
+def search_tables():
+    rng = random.Random(2)
+    texts = [bases(rng, n) for n in (1, 300, 90, 400, 50)]
+    texts[2] += texts[1][100:190] + "N" * 30 + texts[1][150:250]
+    texts[3] = texts[3][:200] + "R" + texts[3][200:] + "A" * 40
+    back = texts[3][::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    reads = ["A" * 30, "TTT", "GGNNNNNNNNNNNNNNNNNNNNNNNNNCC", "R", "ACGTR", "X", bases(rng, 80)]
+    for t in (*texts, back):
+        reads += [t[a : a + n] for a in range(0, len(t) - 20, 23) for n in (20, 60, 75)]
+    reads += [a[:30] + b[-30:] for a, b in zip(reads[7:], reads[20:])]
+    return texts, reads
+
+
+def searched(spark, monkeypatch, tmp_path, name, limit):
+    """Rows of a query over these tables, in blocks and pieces of a limit."""
+    texts, reads = search_tables()
+    if limit:
+        monkeypatch.setattr(pairs, "MAX_REFERENCE", limit)
+    fasta = [(i, f"f{i}", None, t) for i, t in enumerate(texts)], FASTA
+    return texts, reads, query(spark, tmp_path, name, fasta=fasta, fastq=([(i, f"r{i}", None, r, None) for i, r in enumerate(reads)], FASTQ))
+
+
+def places(s, t):
+    return [i for i in range(len(t) - len(s) + 1) if t.startswith(s, i)]
+
+
+@pytest.mark.parametrize("limit", [0, 320])
+def test_fm_map_searches_all_records(spark, tmp_path, monkeypatch, limit):
+    texts, reads, got = searched(spark, monkeypatch, tmp_path, "fm_map", limit)
+    want = []
+    for i, r in enumerate(reads):
+        n = next(n for n in range(len(r), -1, -1) if any(r[len(r) - n :] in t for t in texts))
+        want += [(i, "Complete" if n == len(r) else "Partial", n, k, p) for k, t in enumerate(texts) for p in places(r[len(r) - n :], t)] if n else [(i, "Absent", 0, None, None)]
+    assert sorted(map(str, ((g.id, g.kind, g.length, g.rec_id, g.pos) for g in got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("limit", [0, 320])
+def test_smems_search_all_records(spark, tmp_path, monkeypatch, limit):
+    texts, reads, got = searched(spark, monkeypatch, tmp_path, "smems", limit)
+    strands = [s for t in texts for s in (t, t[::-1].translate(str.maketrans("ACGTN", "TGCAN")))]
+    want = []
+    for i, r in enumerate(reads):
+        last = 0
+        for a in range(len(r)):
+            b = a
+            while b < len(r) and r[b] in "ACGTN" and any(r[a : b + 1] in s for s in strands):
+                b += 1
+            if b > last and b - a >= 10:
+                want.append((i, a, b - a, sum(len(places(r[a:b], s)) for s in strands)))
+            last = max(last, b)
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 200
