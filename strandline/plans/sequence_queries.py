@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions import alphabets as al
 from strandline.functions import checks, records, search, seqstats
-from strandline.operators import intervals, qgrams
+from strandline.operators import intervals, packed, periods, qgrams
 from strandline.operators.pairs import spread
+from strandline.plans.core_queries import _P4
 from strandline.session import table
 
 _S = "upper(regexp_replace(seq, '\\s', '', 'g'))"
@@ -137,13 +138,25 @@ def gff_fields(spark, d):
 
 
 def spliced_bed(spark, d):
-    """The features of a name and source as exons of one 12-column record."""
+    """The span of a name and source, its first and last base as blocks of one 12-column record; for exons see spliced_transcripts."""
     g = table(spark, d, "gff").filter("seqname is not null and source is not null and end_pos > start_pos")
-    top = g.groupBy("seqname", "source").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"), F.count("*").alias("n"))
+    top = g.groupBy("seqname", "source").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
     rec = records.spliced_to_bed12("seqname", F.array(F.struct(F.col("lo").alias("start"), (F.col("lo") + 1).alias("end")), F.struct((F.col("hi") - 1).alias("start"), F.col("hi").alias("end"))), F.lit("+"), F.col("source"))
     return top.select("seqname", "source", records.bed_text(rec["chrom"], rec["start"], rec["end"], aux=rec["aux"]).alias("line"))
 
 
+def spliced_transcripts(spark, d):
+    """The features of a transcript on a strand, merged, as exons of one 12-column record; a feature of no transcript is a record of its own."""
+    g = table(spark, d, "gff").filter("seqname is not null and end_pos > start_pos")
+    tags = packed.split_packed(g, "feature_id", "attributes").filter(F.col("tag").isin("Parent", "transcript_id"))
+    tags = tags.select(F.col("id").alias("feature_id"), F.col("val").alias("transcript")).distinct()
+    key = F.coalesce("transcript", F.concat(F.lit("feature "), F.col("feature_id").cast("string")))
+    rows = g.join(tags, "feature_id", "left").select("seqname", F.coalesce(records.gff_strand("strand"), F.lit(".")).alias("strand"), key.alias("name"), "start_pos", "end_pos")
+    exons = periods.merge_intervals(rows, ["seqname", "strand", "name"], "start_pos", "end_pos").groupBy("k0", "k1", "k2").agg(F.sort_array(F.collect_list(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end")))).alias("exons"))
+    rec = records.spliced_to_bed12("k0", F.col("exons"), F.col("k1"), F.col("k2"))
+    return exons.select(F.col("k0").alias("seqname"), F.col("k1").alias("strand"), F.col("k2").alias("name"), records.bed_text(rec["chrom"], rec["start"], rec["end"], aux=rec["aux"]).alias("line"))
+
+
 def fai_fetch(spark, d):
     """Regions by name: the middle third of each record that its index describes correctly, with the byte it begins at."""
     i = table(spark, d, "fai").filter("len is not null and name is not null").distinct()
@@ -224,7 +237,7 @@ _FINDERS = ("find_shift_and", "find_bndm", "find_bom", "find_horspool", "find_km
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, spliced_bed, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
+    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, spliced_bed, spliced_transcripts, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
     return {f.__name__: f for f in fs} | {n: _find(n) for n in _FINDERS}
 
 
@@ -256,6 +269,14 @@ def oracle_sql() -> dict[str, str]:
         "bedpe_fields": "SELECT pair_id, aux[1] AS name, aux[2] AS score, CASE WHEN aux[3] IN ('+', '-') THEN aux[3] END AS strand1, CASE WHEN aux[4] IN ('+', '-') THEN aux[4] END AS strand2 FROM bedpe",
         "gff_fields": "SELECT feature_id, CASE WHEN regexp_full_match(score, '\\+?[0-9]+') THEN TRY_CAST(score AS BIGINT) END AS score_num, CASE WHEN strand IN ('+', '-') THEN strand END AS strand_sign, coalesce(CAST(phase AS VARCHAR), '.') AS phase_txt, replace(replace(replace(replace(replace(attributes, '%', '%25'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS encoded FROM gff",
         "spliced_bed": "SELECT seqname, source, seqname || chr(9) || lo || chr(9) || hi || chr(9) || source || chr(9) || '0' || chr(9) || '+' || chr(9) || lo || chr(9) || hi || chr(9) || '0' || chr(9) || '2' || chr(9) || '1,1,' || chr(9) || '0,' || (hi - 1 - lo) || ',' AS line FROM (SELECT seqname, source, min(start_pos) AS lo, max(end_pos) AS hi FROM gff WHERE seqname IS NOT NULL AND source IS NOT NULL AND end_pos > start_pos GROUP BY 1, 2)",
+        "spliced_transcripts": f"""WITH {_P4},
+            par AS (SELECT DISTINCT feature_id, val FROM p4 WHERE tag IN ('Parent', 'transcript_id')),
+            sp AS (SELECT DISTINCT seqname, CASE WHEN strand IN ('+', '-') THEN strand ELSE '.' END AS strand, coalesce(val, 'feature ' || g.feature_id) AS name, start_pos AS s, end_pos AS e FROM gff g LEFT JOIN par ON par.feature_id = g.feature_id WHERE seqname IS NOT NULL AND end_pos > start_pos),
+            re AS (SELECT *, max(e) OVER (PARTITION BY seqname, strand, name ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sp),
+            isl AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY seqname, strand, name ORDER BY s, e) AS k FROM re),
+            ex AS (SELECT seqname, strand, name, min(s) AS a, max(e) AS b FROM isl GROUP BY seqname, strand, name, k),
+            al AS (SELECT *, min(a) OVER (PARTITION BY seqname, strand, name) AS lo FROM ex)
+            SELECT seqname, strand, name, concat_ws(chr(9), seqname, lo, max(b), name, '0', strand, lo, max(b), '0', count(*), string_agg((b - a) || ',', '' ORDER BY a), string_agg((a - lo) || ',', '' ORDER BY a)) AS line FROM al GROUP BY seqname, strand, name, lo""",
         "fai_fetch": f"SELECT rec_id, byte_offset, CAST(byte_offset + (a // line_bases) * line_bytes + a % line_bases AS BIGINT) AS at_byte, substr(s, a + 1, len * 2 // 3 - a) AS part FROM (SELECT DISTINCT rec_id, s, i.*, len // 3 AS a FROM {_FASTA} f JOIN fai i ON f.id = i.name WHERE i.len = length(s))",
         "fai_names": "SELECT i.name, n_claims, max_len, n FROM (SELECT name, count(*) AS n_claims, max(len) AS max_len FROM fai WHERE name IS NOT NULL GROUP BY 1) i LEFT JOIN (SELECT id AS name, length(regexp_replace(seq, '\\s', '', 'g')) AS n FROM fasta) f ON f.name = i.name",
         "interval_keyed": f"SELECT feature_id, interval_id FROM gff g JOIN bed b ON {_OVER}",

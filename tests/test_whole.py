@@ -87,3 +87,11 @@ def test_smems_search_all_records(spark, tmp_path, monkeypatch, limit):
                 want.append((i, a, b - a, sum(len(places(r[a:b], s)) for s in strands)))
             last = max(last, b)
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 200
+
+
+def test_all_exons(spark, tmp_path):
+    """Features of a transcript are all exons of its record, overlapping ones merged."""
+    spans = [("Parent=t1", 60, 70), ("Parent=t1,t2", 10, 20), ("transcript_id 't1' ;", 15, 25), ("Parent=t1", 40, 45), ("ID=x", 5, 9), (None, 5, 8)]
+    gff = [(i, "c", "s", a, b, "+", x) for i, (x, a, b) in enumerate(spans)], "feature_id bigint, seqname string, source string, start_pos bigint, end_pos bigint, strand string, attributes string"
+    got = query(spark, tmp_path, "spliced_transcripts", gff=gff)
+    assert {r.name: r.line.split("\t")[9:] for r in got} == {"t1": ["3", "15,5,10,", "0,30,50,"], "t2": ["1", "10,", "0,"], "feature 4": ["1", "4,", "0,"], "feature 5": ["1", "3,", "0,"]}
