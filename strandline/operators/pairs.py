@@ -345,7 +345,9 @@ def hmm_decode(df: DataFrame, id_col: str, obs_col: str, model: hmm.Discrete) ->
 
 
 def hmm_train(df: DataFrame, model_col: str, order_col: str, obs_col: str, start: hmm.Discrete, tolerance: float = 1e-6, steps: int = 500) -> DataFrame:
-    """(model, transition, emission, initial, n_steps): one model for each group, updated after each of its sequences.
+    """(model, transition, emission, initial, n_steps, settled): one model for each group, updated after each of its sequences.
+
+    A model has settled if its last step changed the log probability by less than ``tolerance``.
 
     Updates follow one another, so a group is one task; parallelism is across groups.
     """
@@ -356,10 +358,10 @@ def hmm_train(df: DataFrame, model_col: str, order_col: str, obs_col: str, start
 
         seqs = [list(o) for o in pdf.sort_values("o")["obs"] if o is not None and len(o)]
         m, history = hmm.train(start, seqs, tolerance, steps) if seqs else (start, [])
-        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "transition": [m.transition.ravel().tolist()], "emission": [m.emission.ravel().tolist()], "initial": [m.initial.tolist()], "n_steps": [len(history)]})
+        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "transition": [m.transition.ravel().tolist()], "emission": [m.emission.ravel().tolist()], "initial": [m.initial.tolist()], "n_steps": [len(history)], "settled": [len(history) > 1 and abs(history[-1] - history[-2]) < tolerance]})
 
     src = df.select(F.col(model_col).alias("model"), F.col(order_col).alias("o"), F.col(obs_col).alias("obs"))
-    return spread(src, "model").groupBy("model").applyInPandas(fit, f"model {kind}, transition array<double>, emission array<double>, initial array<double>, n_steps bigint")
+    return spread(src, "model").groupBy("model").applyInPandas(fit, f"model {kind}, transition array<double>, emission array<double>, initial array<double>, n_steps bigint, settled boolean")
 
 
 def pair_related(df: DataFrame, id_col: str, x: str, y: str, model: pairhmm.PairModel, homopolymer: bool = False, max_edit: int | None = None) -> DataFrame:

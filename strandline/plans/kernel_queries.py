@@ -97,17 +97,21 @@ def poa_consensus(spark, d):
     return pairs.poa_consensus(r, "family", "read_id", "s")
 
 
+def _observed(spark, d):
+    """Reads as ranks of A, C, G, T; other symbols are -1, not known."""
+    return reads(spark, d).filter(F.length("s") > 0).select("read_id", F.transform(F.split("s", ""), lambda x: F.instr(F.lit("ACGT"), x) - 1).alias("obs"))
+
+
 def hmm_decode(spark, d):
-    r = reads(spark, d).filter(~F.col("s").rlike("[^ACGT]") & (F.length("s") > 0)).select("read_id", F.transform(F.split(F.translate("s", "ACGT", "0123"), ""), lambda x: x.cast("int")).alias("obs"))
-    out = pairs.hmm_decode(r, "read_id", "obs", COMPOSITION)
+    out = pairs.hmm_decode(_observed(spark, d), "read_id", "obs", COMPOSITION)
     return out.select("id", F.aggregate("path", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_rich"), F.round("ln_viterbi", 6).alias("ln_viterbi"), F.round("ln_forward", 6).alias("ln_forward"), F.round("ln_backward", 6).alias("ln_backward"))
 
 
 def hmm_train(spark, d):
-    """One model for every fifty reads, from at most a few steps."""
-    r = reads(spark, d).filter(~F.col("s").rlike("[^ACGT]") & (F.length("s") > 0)).select((F.col("read_id") / 50).cast("bigint").alias("m"), "read_id", F.transform(F.split(F.translate("s", "ACGT", "0123"), ""), lambda x: x.cast("int")).alias("obs"))
-    out = pairs.hmm_train(r, "m", "read_id", "obs", COMPOSITION, 1e-3, 2)
-    return out.select("model", F.round(F.col("transition")[0], 3).alias("stay"), "n_steps")
+    """One model for every fifty reads, trained until it settles or for the operator's 500 steps."""
+    r = _observed(spark, d).withColumn("m", (F.col("read_id") / 50).cast("bigint"))
+    out = pairs.hmm_train(r, "m", "read_id", "obs", COMPOSITION)
+    return out.select("model", F.round(F.col("transition")[0], 3).alias("stay"), "n_steps", "settled")
 
 
 def pair_hmm(spark, d):

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from strandline.kernels import hmm
 from strandline.operators import pairs
 
 
@@ -95,3 +97,20 @@ def test_all_exons(spark, tmp_path):
     gff = [(i, "c", "s", a, b, "+", x) for i, (x, a, b) in enumerate(spans)], "feature_id bigint, seqname string, source string, start_pos bigint, end_pos bigint, strand string, attributes string"
     got = query(spark, tmp_path, "spliced_transcripts", gff=gff)
     assert {r.name: r.line.split("\t")[9:] for r in got} == {"t1": ["3", "15,5,10,", "0,30,50,"], "t2": ["1", "10,", "0,"], "feature 4": ["1", "4,", "0,"], "feature 5": ["1", "3,", "0,"]}
+
+
+def test_training_settles_on_all_reads(spark, tmp_path):
+    """More steps than two, and reads with unknown symbols take part."""
+    rng = random.Random(3)
+    seqs = [bases(rng, 30), bases(rng, 15) + "N" + bases(rng, 15)]
+    fastq = [(i, f"r{i}", None, s, None) for i, s in enumerate(seqs)] + [(60, "n", None, "ACNGTACGGT", None)], FASTQ
+    got = {r.model: r for r in query(spark, tmp_path, "hmm_train", fastq=fastq)}
+    assert set(got) == {0, 1} and all(r.settled or r.n_steps == 500 for r in got.values()) and max(r.n_steps for r in got.values()) > 2
+    got = {r.id: r for r in query(spark, tmp_path, "hmm_decode", fastq=fastq)}
+    assert set(got) == {0, 1, 60} and all(abs(r.ln_forward - r.ln_backward) < 1e-5 for r in got.values())
+
+
+def test_unknown_symbols_add_nothing():
+    m = hmm.Discrete([[0.9, 0.1], [0.2, 0.8]], [[0.7, 0.3], [0.2, 0.8]], [0.5, 0.5])
+    assert hmm.forward(m, [0, -1, 1])[1] == pytest.approx(np.logaddexp(*(hmm.forward(m, [0, k, 1])[1] for k in (0, 1))))
+    assert hmm.baum_welch_step(m, [0, -1, 1]).emission.sum(1) == pytest.approx([1, 1])
