@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per track and chromosome: how many periods, what they cover and what the gaps between them amount to."""
     m = periods.merge_intervals(_first_ends(spark, sf_dir), ["track_id", "chrom1"], "start1", "end1")
-    return m.groupBy(F.col("k0").alias("track_id"), F.col("k1").alias("chrom1")).agg(F.count("*").alias("n_periods"), F.sum(F.col("span_end") - F.col("span_start")).alias("covered"), F.coalesce(F.sum(F.col("next_start") - F.col("span_end")), F.lit(0)).cast("bigint").alias("uncovered"))
+    return m.groupBy(F.col("k0").alias("track_id"), F.col("k1").alias("chrom1")).agg(F.count("*").alias("n_periods"), F.sum(F.col("span_end") - F.col("span_start")).alias("covered"), F.coalesce(F.sum(F.col("span_start") - F.col("prev_end")), F.lit(0)).cast("bigint").alias("uncovered"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
