@@ -1,9 +1,11 @@
 """Problem 4: several values packed in one field, split by delimiter skeletons.
 
-A field's skeleton is the field with each run of ordinary characters masked by one ``x``; delimiters, quotes and blanks
-stay. The grammar is resolved once per distinct skeleton, into a rule that names for each value the places of its tag
-and of its own tokens. Rules are broadcast while their number and their size are within ``broadcast_rules`` and
-``broadcast_bytes``, and joined on the skeleton otherwise. The fields themselves are cut into the same tokens and picked by place, inside the JVM.
+A field is cut at its outer ``;`` into attributes and these at their outer ``,`` and ``|`` into values, each with the
+head of its attribute before it. The skeleton of such a piece is what is left when ordinary characters are masked: a
+tag, and a value or the content of its quotes, become one ``x``, a run of blanks one blank; ``;``, ``=`` and enclosing
+quotes stay. So there are no more than 48 skeletons, whatever the data. The grammar is resolved once for each, into
+a rule that names the places of the tag and of the value among the piece's tokens; the rules are broadcast, and the
+pieces are cut into tokens and picked from by place, inside the JVM and without a shuffle.
 
 Grammar: attributes are separated by ``;``; the tag ends at the first blank or ``=``; blanks and at most one ``=`` part
 it from its values; values are separated by ``,`` or ``|``; a value that begins with a quote runs to the same closing
@@ -16,23 +18,15 @@ is kept; repeated rows give their values again; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pyarrow as pa
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialize
-
-BROADCAST_RULES, BROADCAST_BYTES = 50_000, 32_000_000
-_ORDINARY = "[^;=,|\"' \\t]+"
-_RULE = pa.struct([("tf", pa.int32()), ("tl", pa.int32()), ("vf", pa.int32()), ("vl", pa.int32()), ("q", pa.bool_())])
-
-
-def skeleton(c: Column | str) -> Column:
-    return F.regexp_replace(c, _ORDINARY, "x")
-
-
-def tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({_ORDINARY}|[;=,|\"' \\t])"), F.lit(1))
+_HEAD = "[ \\t]*+[^ \\t=;]*+[ \\t]*+=?+"
+_VALUE = """[ \\t]*+(?:"[^"]*+(?:""[^"]*+)*+"[^,|;]*+|'[^']*+'[^,|;]*+|[^,|;]*+)"""
+_ATTRIBUTE = f";{_HEAD}{_VALUE}(?:[,|]{_VALUE})*+"
+_DOUBLE, _SINGLE = '^"[^"]*+(?:""[^"]*+)*+"$', "^'[^']*+'$"
 
 
 def resolve(sk: str) -> list[tuple[int, int, int, int, bool]]:
@@ -92,13 +86,15 @@ def _closing(sk: str, i: int) -> int:
     return -1
 
 
-def rules_for(skeletons: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            rules = [[dict(zip(("tf", "tl", "vf", "vl", "q"), r)) for r in resolve(s)] for s in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rules, pa.list_(_RULE))], ["sk", "rules"])
+def skeletons() -> list[str]:
+    """All skeletons of a piece: blanks, tag, blanks and ``=``, each there or not, before a value in either quotes or in none."""
+    return [";" + "".join(p) for p in product(("", " "), ("", "x"), ("", " "), ("", "="), ("x", '"x"', "'x'"))]
 
-    return skeletons.mapInArrow(run, "sk string, rules array<struct<tf:int,tl:int,vf:int,vl:int,q:boolean>>")
+
+def rule_table(spark) -> DataFrame:
+    """(sk, tf, tl, vf, vl, q): the rule of each skeleton that has a value."""
+    found = {sk: resolve(sk) for sk in skeletons()}
+    return spark.createDataFrame([(sk, *r[0]) for sk, r in found.items() if r], "sk string, tf int, tl int, vf int, vl int, q boolean")
 
 
 def percent_decode(c: Column) -> Column:
@@ -107,20 +103,31 @@ def percent_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), F.url_decode(safe)).otherwise(c)
 
 
-def split_packed(df: DataFrame, id_col: str, field_col: str, broadcast_rules: int = BROADCAST_RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _pieces(field: Column) -> Column:
+    """Array of (head, val): every value that is not empty, without the blanks around it, with the head of its attribute."""
+    blanks = F.lit(" \t")
+
+    def values(a: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(a, F.lit(f"(?:^;{_HEAD}|[,|])({_VALUE})"), F.lit(1)), lambda v: F.btrim(v, blanks))
+        head = F.regexp_extract(a, f"^;{_HEAD}", 0)
+        return F.transform(F.filter(found, lambda v: ~v.isin("", '""', "''")), lambda v: F.struct(head.alias("head"), v.alias("val")))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.concat(F.lit(";"), field), F.lit(_ATTRIBUTE), F.lit(0)), values))
+
+
+def split_packed(df: DataFrame, id_col: str, field_col: str) -> DataFrame:
     """(id, val_pos, tag, val): one row per value, numbered from 0 from left to right in its field."""
-    field = F.trim(F.col(field_col))
-    rows = df.select(F.col(id_col).alias("id"), F.col(field_col).alias("field")).filter(F.col("field").isNotNull() & ~field.isin("", "."))
-    rows = rows.withColumn("sk", skeleton("field"))
-    rules = materialize(rules_for(rows.select("sk").distinct()), "p4-rules")
-    size = rules.agg(F.count("*").alias("n"), F.sum(F.length("sk") + 20 * F.size("rules")).alias("bytes")).first()
-    few = size.n <= broadcast_rules and (size.bytes or 0) <= broadcast_bytes
-    joined = rows.join(F.broadcast(rules) if few else rules, "sk").select("id", tokens("field").alias("tok"), "rules")
-
-    def pick(r: Column) -> Column:
-        val = F.array_join(F.slice("tok", r["vf"] + 1, r["vl"]), "")
-        val = F.when(r["q"], F.replace(val, F.lit('""'), F.lit('"'))).otherwise(val)
-        return F.struct(F.array_join(F.slice("tok", r["tf"] + 1, r["tl"]), "").alias("tag"), val.alias("val"))
-
-    out = joined.select("id", F.posexplode(F.transform("rules", pick)).alias("val_pos", "v"))
-    return out.select("id", "val_pos", "v.tag", percent_decode(F.col("v.val")).alias("val"))
+    rows = df.select(F.col(id_col).alias("id"), F.trim(F.col(field_col)).alias("field")).filter(F.col("field").isNotNull() & ~F.col("field").isin("", "."))
+    rows = rows.select("id", F.posexplode(_pieces(F.col("field"))).alias("val_pos", "piece")).select("id", "val_pos", F.col("piece.head").alias("head"), F.col("piece.val").alias("val"))
+    head, val = F.col("head"), F.col("val")
+    # tokens and their mask: one symbol of the skeleton for each token
+    quote = F.when(val.rlike(_DOUBLE), '"').when(val.rlike(_SINGLE), "'").otherwise("")
+    rows = rows.withColumn("quote", F.when(F.left(val, F.lit(1)).isin('"', "'"), quote).otherwise(""))
+    masked = F.regexp_replace(F.regexp_replace(head, "[^ \\t=;]+", "x"), "[ \\t]+", " ")
+    sk = F.concat(masked, F.col("quote"), F.lit("x"), F.col("quote"))
+    inner = F.when(F.col("quote") == "", F.array(val)).otherwise(F.array(F.col("quote"), F.substring(val, F.lit(2), F.length(val) - 2), F.col("quote")))
+    tokens = F.concat(F.regexp_extract_all(head, F.lit("([^ \\t=;]+|[ \\t]+|[;=])"), F.lit(1)), inner)
+    joined = rows.select("id", "val_pos", sk.alias("sk"), tokens.alias("tok")).join(F.broadcast(rule_table(df.sparkSession)), "sk")
+    pick = lambda f, n: F.array_join(F.slice("tok", F.col(f) + 1, F.col(n)), "")
+    value = F.when(F.col("q"), F.replace(pick("vf", "vl"), F.lit('""'), F.lit('"'))).otherwise(pick("vf", "vl"))
+    return joined.select("id", "val_pos", pick("tf", "tl").alias("tag"), percent_decode(value).alias("val"))
