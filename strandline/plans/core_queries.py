@@ -37,18 +37,21 @@ def p4_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gff = skew.hot_keys(table(spark, sf_dir, "gff"), "seqname").select(F.lit("gff").alias("table_name"), F.col("key").alias("key_val"))
-    bed = skew.hot_keys(table(spark, sf_dir, "bed"), "chrom").select(F.lit("bed").alias("table_name"), F.col("key").alias("key_val"))
-    return gff.unionByName(bed)
+    """Names by the counts of their shards."""
+    out = None
+    for name, key, row in (("gff", "seqname", "feature_id"), ("bed", "chrom", "interval_id")):
+        one = skew.hot_keys(table(spark, sf_dir, name), key, F.col(row)).select(F.lit(name).alias("table_name"), F.col("key").alias("key_val"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sequence name of gff and bed: rows and covered length (1-based closed spans of gff taken as half-open from start)."""
     out = None
-    for name, key in (("gff", "seqname"), ("bed", "chrom")):
-        t = table(spark, sf_dir, name).filter(F.col(key).isNotNull())
-        cover = periods.merge_intervals(t, [key], "start_pos", "end_pos").groupBy(F.col("k0").alias("key_val")).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("covered"))
-        counts = t.groupBy(F.col(key).alias("key_val")).agg(F.count("*").alias("n_rows"))
+    for name, key, row in (("gff", "seqname", "feature_id"), ("bed", "chrom", "interval_id")):
+        t = table(spark, sf_dir, name)
+        cover = skew.covered_length(t, key, "start_pos", "end_pos", F.col(row)).withColumnRenamed("key", "key_val")
+        counts = skew.per_key(t, key, F.col(row), {"n_rows": (F.count("*"), F.sum)}).withColumnRenamed(key, "key_val")
         one = counts.join(cover, "key_val", "left").select(F.lit(name).alias("table_name"), "key_val", "n_rows", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -61,11 +64,11 @@ def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per feature type and name: features with the rows of bed that their name has, by a fragment-replicate join."""
-    gff = table(spark, sf_dir, "gff").select("feature_id", "seqname", "feature_type")
-    bed = table(spark, sf_dir, "bed").groupBy("chrom").agg(F.count("*").alias("n_bed"), F.min("start_pos").alias("first_start"))
-    j = skew.fragment_replicate_join(gff, bed, "seqname", "chrom", F.col("feature_id"))
-    return j.groupBy("seqname", "feature_type").agg(F.count("*").alias("n_features"), F.max("n_bed").alias("n_bed"), F.min("first_start").alias("first_start"))
+    """Per feature type and name: features, and the rows of bed that begin in the same 4,096 symbols of the name, by a fragment-replicate join."""
+    gff = table(spark, sf_dir, "gff").select("feature_id", "seqname", "feature_type", F.expr("start_pos div 4096").alias("block"))
+    bed = table(spark, sf_dir, "bed").groupBy("chrom", F.expr("start_pos div 4096").alias("at")).agg(F.count("*").alias("n_bed"))
+    j = skew.fragment_replicate_join(gff, bed, "seqname", "chrom", F.col("feature_id"), [("block", "at")])
+    return j.groupBy("seqname", "feature_type").agg(F.count("*").alias("n_features"), F.sum("n_bed").alias("n_bed"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +127,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": "SELECT 'gff' AS table_name, seqname AS key_val FROM gff WHERE seqname IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.04 * (SELECT count(*) FROM gff) UNION ALL SELECT 'bed', chrom FROM bed WHERE chrom IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.04 * (SELECT count(*) FROM bed)",
         "p5_stats": _covered("gff", "seqname") + " UNION ALL " + _covered("bed", "chrom"),
         "p5_top": "SELECT seqname, feature_id, span, CAST(rank AS INT) AS rank FROM (SELECT seqname, feature_id, end_pos - start_pos AS span, row_number() OVER (PARTITION BY seqname ORDER BY end_pos - start_pos DESC NULLS LAST, feature_id) AS rank FROM gff WHERE seqname IS NOT NULL) WHERE rank <= 3",
-        "p5_depth": "SELECT seqname, feature_type, count(*) AS n_features, max(n_bed) AS n_bed, min(first_start) AS first_start FROM gff JOIN (SELECT chrom, count(*) AS n_bed, min(start_pos) AS first_start FROM bed GROUP BY 1) ON seqname = chrom GROUP BY 1, 2",
+        "p5_depth": "SELECT seqname, feature_type, count(*) AS n_features, CAST(sum(n_bed) AS BIGINT) AS n_bed FROM gff JOIN (SELECT chrom, start_pos // 4096 AS block, count(*) AS n_bed FROM bed GROUP BY 1, 2) ON seqname = chrom AND start_pos // 4096 = block GROUP BY 1, 2",
     }

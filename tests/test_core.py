@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from strandline.operators import packed, periods, rejects, skew
 from tests.brute_rejects import rejects as brute_rejects
 
@@ -62,21 +64,25 @@ FIELDS = {
     'a="open, b': [("a", '"open'), ("a", "b")],
     'a="x" y,z': [("a", '"x" y'), ("a", "z")],
     "a=%C3%A9": [("a", "é")],
+    "; =v;\"a b\"=c;t\t= x y , 'p' q,'r'": [("", "v"), ('"a', 'b"=c'), ("t", "x y"), ("t", "'p' q"), ("t", "r")],
+    'n="""";m="a""";k="b"";j=1': [("n", '"'), ("m", 'a"'), ("k", '"b""'), ("j", "1")],
+    'w "' + "x;" * 50_000 + '"': [("w", "x;" * 50_000)],
+    'u "' + 'x""' * 20_000 + '"': [("u", 'x"' * 20_000)],
     "t " + ",".join(f"v{i}" for i in range(3000)): [("t", f"v{i}") for i in range(3000)],
+    ";".join(f"t{i}=v" for i in range(9000)): [(f"t{i}", "v") for i in range(9000)],
 }
 
 
 def test_packed_fields(spark):
     rows = [(i, f, 1, "k", 0, 0) for i, f in enumerate(FIELDS)] + [(5, "ID=x", 1, "k", 0, 0), (None, "q=1", 1, "k", 0, 0)]
     df = spark.createDataFrame(rows, "fid int, field string, id int, sk string, rules int, tok int")
-    for limit in (0, 1000):
-        got = defaultdict(list)
-        for r in packed.split_packed(df, "fid", "field", limit).collect():
-            got[r.id].append((r.val_pos, r.tag, r.val))
-        for i, want in enumerate(FIELDS.values()):
-            values = [(t, v) for _, t, v in sorted(got[i])]
-            assert values == (sorted(want * 2) if i == 5 else want), (i, values[:5])
-        assert got[None] == [(0, "q", "1")]
+    got = defaultdict(list)
+    for r in packed.split_packed(df, "fid", "field").collect():
+        got[r.id].append((r.val_pos, r.tag, r.val))
+    for i, want in enumerate(FIELDS.values()):
+        values = [(t, v) for _, t, v in sorted(got[i])]
+        assert values == (sorted(want * 2) if i == 5 else want), (i, values[:5])
+    assert got[None] == [(0, "q", "1")]
     assert packed.split_packed(df.limit(0), "fid", "field").count() == 0
 
 
@@ -86,9 +92,9 @@ def test_packed_fields(spark):
 def test_hot_keys_and_plan(spark):
     rows = [("hot",)] * 50 + [("warm",)] * 4 + [(None,)] * 6 + [(f"k{i}",) for i in range(40)]
     df = spark.createDataFrame([(r[0], 1, 2) for r in rows], "name string, key int, load int")
-    assert sorted(r.key for r in skew.hot_keys(df, "name").collect()) == ["hot", "warm"]
-    assert skew.hot_keys(df.limit(0), "name").count() == 0
-    plan = {k: (t, n) for k, t, n in skew.pack_keys([("hot", 50), ("warm", 4), ("w2", 4)], 100, 8)}
+    assert sorted(r.key for r in skew.hot_keys(df, "name", F.col("key")).collect()) == ["hot", "warm"]
+    assert skew.hot_keys(df.limit(0), "name", F.col("key")).count() == 0
+    plan = {k: (t, n) for k, t, n in skew.pack_keys([("hot", 50), ("warm", 4), ("w2", 4)], 100, 8)[0]}
     assert plan["hot"][1] == 4 and plan["warm"][1] == 1 and plan["warm"][0] != plan["w2"][0]
 
 
@@ -98,11 +104,9 @@ def test_fragment_replicate_join_and_top(spark):
     right = [("hot", 1), ("hot", 2), ("a", 3), ("zz", 4), (None, 5)]
     a = spark.createDataFrame(left, "i int, k string")
     b = spark.createDataFrame(right, "kk string, v int")
-    from pyspark.sql import functions as F
-
     got = Counter((r.i, r.v) for r in skew.fragment_replicate_join(a, b, "k", "kk", F.col("i"), tasks=8).collect())
     assert got == Counter((i, v) for i, k in left for kk, v in right if k is not None and k == kk)
-    shards = skew.with_tasks(a.filter("k is not null"), "k", skew.shard_plan(a, "k", 8), F.col("i"), 8)
+    shards = skew.fragment(a, "k", F.col("i"), 8)
     per = Counter(r["__task"] for r in shards.collect())
     assert max(per.values()) < 130
     top = skew.top_per_key(a, "k", [F.desc("i")], 3, F.col("i"), tasks=8).collect()
@@ -110,6 +114,23 @@ def test_fragment_replicate_join_and_top(spark):
         assert [r.i for r in sorted((r for r in top if r.k == k), key=lambda r: r["__rank"])] == sorted((i for i, x in left if x == k), reverse=True)[:3]
 
 
+def test_one_key_of_half_the_rows_is_spread_evenly(spark):
+    rows = [(i, "hot" if i % 2 else f"k{i % 500}", i * 7 % 1000, 1) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "i int, k string, s int, __x int")
+    placed = skew.fragment(df, "k", F.col("i"), 8)
+    assert "__task" in placed._jdf.queryExecution().executedPlan().toString()
+    per = [r.n for r in placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(per) == 8 and max(per) < 1.5 * 40_000 / 8
+    counts = {r.k: r.n for r in skew.per_key(df, "k", F.col("i"), {"n": (F.count("*"), F.sum)}, 8).collect()}
+    assert counts == Counter(r[1] for r in rows)
+    spans = df.select("i", "k", "s", (F.col("s") + F.pmod("i", F.lit(5))).alias("e"))
+    want = defaultdict(set)
+    for r in spans.collect():
+        want[r.k] |= set(range(r.s, r.e))
+    got = {r.key: r.covered for r in skew.covered_length(spans, "k", "s", "e", F.col("i"), 8).collect()}
+    assert got == {k: len(v) for k, v in want.items() if v}
+
+
 # problem 6
 
 LINES = [
