@@ -150,6 +150,11 @@ def rev_qgrams(c: Column | str, q: int, alphabet: Alphabet) -> Column:
     return F.reverse(qgrams(c, q, alphabet))
 
 
+def chunks(c: Column | str, size: int, overlap: int) -> Column:
+    """Array of the pieces of ``size`` symbols, each with up to ``overlap`` symbols of what follows; empty for an empty text."""
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+
+
 def kmers(c: Column | str, k: int) -> Column:
     """Array of the k-mers as text; empty where the text is shorter.
 

@@ -7,12 +7,15 @@ of zero are written out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
 _PHRED = -10 / math.log(10)
+#: By how much the log of a cumulative probability may exceed 0 (fixed value).
+OVERSHOOT = 1e-5
 
 
 def _c(c: Column | str) -> Column:
@@ -50,7 +53,7 @@ def ln_one_minus_exp(x: Column | str) -> Column:
 def ln_add_exp(a: Column | str, b: Column | str) -> Column:
     a, b = _c(a), _c(b)
     hi, lo = F.greatest(a, b), F.least(a, b)
-    return F.when(lo == NEG_INF, hi).otherwise(hi + F.log1p(F.exp(lo - hi)))
+    return F.when((lo == NEG_INF) | (hi == -NEG_INF), hi).otherwise(hi + F.log1p(F.exp(lo - hi)))
 
 
 def ln_sub_exp(a: Column | str, b: Column | str) -> Column:
@@ -70,21 +73,27 @@ def cap_overshoot(x: Column | str, epsilon: float) -> Column:
     return F.when(x <= 0, x).when(x <= epsilon, F.lit(0.0)).otherwise(F.raise_error(F.lit("probability exceeds 1 beyond the tolerance")).cast("double"))
 
 
-def ln_sum_exp(x: Column | str) -> Column:
-    """Aggregate: ln of the sum of the exponentials; minus infinity over nothing. One pass, partial sums on the map side.
+#: Width of the ranges of logs that are summed on one scale.
+_SCALE = 256
 
-    Log probabilities need no shift against overflow; terms below exp(-700) of an absolute scale vanish.
-    """
-    x = _c(x)
-    return F.coalesce(ln(F.sum(F.exp(x))), F.lit(NEG_INF))
 
+def ln_sum_exp(df: DataFrame, keys: list[str], x: str, out: str = "ln_sum", others: dict[str, tuple[Column, Callable[[str], Column]]] | None = None) -> DataFrame:
+    """(keys, out): ln of the sum of the exponentials of each group, for logs of any size; minus infinity over nothing.
 
-def ln_sum_exp_stable(df: DataFrame, keys: list[str], x: str, out: str = "ln_sum") -> DataFrame:
-    """The same for logs of any size: the largest of each group first, then the sum relative to it."""
-    top = df.groupBy(*keys).agg(F.max(x).alias("__top"))
-    joined = df.join(top, keys) if keys else df.crossJoin(F.broadcast(top))
-    rel = F.when(F.col("__top") == NEG_INF, 0.0).otherwise(F.exp(F.col(x) - F.col("__top")))
-    return joined.groupBy(*keys, "__top").agg(F.sum(rel).alias("__s")).withColumn(out, F.when(F.col("__top") == NEG_INF, F.col("__top")).otherwise(F.col("__top") + F.log("__s"))).drop("__top", "__s")
+    Logs are summed by ranges of 256, each on its own scale, with partial sums on the map side; a group's few ranges are
+    put together on the scale of the highest. ``others`` adds aggregates: of the rows, and of a range's results.
+    """
+    others = others or {}
+    level = F.when((F.col(x) > NEG_INF) & (F.col(x) < -NEG_INF), F.floor(F.col(x) / _SCALE).cast("double"))
+    rows = df.withColumn("__level", F.when(F.col(x).isNotNull(), F.coalesce(level, F.col(x))))
+    part = F.when(level.isNotNull(), F.exp(F.col(x) - F.col("__level") * _SCALE)).otherwise(1.0)
+    parts = rows.groupBy(*keys, "__level").agg(F.sum(F.when(F.col(x).isNotNull(), part)).alias("__s"), *[a.alias(n) for n, (a, _) in others.items()])
+    kept = F.when(F.col("__level").isNotNull(), F.struct(F.col("__level").alias("l"), F.col("__s").alias("s")))
+    sums = parts.groupBy(*keys).agg(F.max("__level").alias("__top"), F.collect_list(kept).alias("__parts"), *[f(n).alias(n) for n, (_, f) in others.items()])
+    total = F.aggregate("__parts", F.lit(0.0), lambda a, p: a + p["s"] * F.exp((p["l"] - F.col("__top")) * _SCALE))
+    top = F.col("__top")
+    value = F.when(top.isNull() | (top == NEG_INF), F.lit(NEG_INF)).when(top == -NEG_INF, top).otherwise(top * _SCALE + F.log(total))
+    return sums.withColumn(out, value).drop("__top", "__parts")
 
 
 def ln_product(x: Column | str) -> Column:
@@ -92,9 +101,50 @@ def ln_product(x: Column | str) -> Column:
     return F.sum(_c(x))
 
 
-def ln_cumsum_exp(x: Column | str, window) -> Column:
-    """Running ln sum over an ordered window."""
-    return ln(F.sum(F.exp(_c(x))).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def scan_rows(df: DataFrame, keys: list[str], order: list[str], value: str, op, out: str = "scan") -> DataFrame:
+    """``df`` with the running result of any associative operation of two numbers, by key and in the given order.
+
+    ``op`` is a NumPy ufunc (``np.add``, ``np.maximum``, ``np.logaddexp``) or any function of two numbers. Rows are
+    sorted and streamed; a key of any size is carried over from batch to batch in one number. Nulls are passed over and
+    give null.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = df.columns
+
+    def run(batches):
+        last, carry = None, None
+        step = op if isinstance(op, np.ufunc) else np.frompyfunc(op, 2, 1)
+        for b in batches:
+            ids = list(zip(*(b.column(names.index(k)).to_pylist() for k in keys))) if keys else [()] * b.num_rows
+            x = b.column(names.index(value))
+            live = pc.is_valid(x).to_numpy(zero_copy_only=False)
+            v = pc.fill_null(x.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+            got = np.full(len(v), np.nan)
+            heads = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            for a, z in zip(heads, [*heads[1:], len(ids)]):
+                if last is None or ids[a] != last:
+                    last, carry = ids[a], None
+                at = a + np.flatnonzero(live[a:z])
+                if len(at):
+                    part = v[at] if carry is None else np.concatenate(([carry], v[at]))
+                    run_ = np.asarray(step.accumulate(part if step is op else part.astype(object)), float)
+                    got[at] = run_ if carry is None else run_[1:]
+                    carry = float(run_[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, mask=~live)], [*names, out])
+
+    rows = df.repartition(*keys) if keys else df.repartition(1)
+    schema = df.schema.add(out, "double")
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def ln_cumsum_exp(df: DataFrame, keys: list[str], order: list[str], x: str, out: str = "ln_cum") -> DataFrame:
+    """``df`` with the running ln of the sum of exponentials, for logs of any size."""
+    import numpy as np
+
+    return scan_rows(df, keys, order, x, np.logaddexp, out)
 
 
 def distributed_running(df: DataFrame, order: list[str], value: Column, kind: str = "sum", partitions: int | None = None) -> DataFrame:
@@ -128,11 +178,13 @@ def expected_fdr(df: DataFrame, order: list[str], pep: str, out: str = "fdr") ->
 
 
 def cdf(df: DataFrame, keys: list[str], value: str, p: str) -> DataFrame:
-    """(keys, value, pmf, cdf): duplicates merged, cumulative probabilities capped at 1."""
+    """(keys, value, pmf, cdf): duplicates merged; a total that exceeds 1 by rounding is 1, one beyond the tolerance an error."""
     pmf = df.groupBy(*keys, value).agg(F.sum(p).alias("pmf"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("pmf").over(w)
-    return pmf.withColumn("cdf", F.when(total > 1, 1.0).otherwise(total))
+    pmf = pmf.withColumn("cdf", total)
+    beyond = F.raise_error(F.concat(F.lit("cumulative probability above 1: "), F.col("cdf").cast("string"))).cast("double")
+    return pmf.withColumn("cdf", F.when(F.col("cdf") <= 1, F.col("cdf")).when(F.col("cdf") <= math.exp(OVERSHOOT), 1.0).otherwise(beyond))
 
 
 def cdf_reduce(c: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -162,6 +214,13 @@ def cdf_get(c: DataFrame, probes: DataFrame, value: str, at: str) -> DataFrame:
     return run.filter("kind = 1").select(at, F.col("__run").alias("p"))
 
 
+def cdf_get_pmf(c: DataFrame, probes: DataFrame, value: str, at: str) -> DataFrame:
+    """``probes`` with ``p``: the mass at ``at`` where the distribution has it, else the cumulative one below it; one distribution."""
+    mass = c.select(F.col(value).cast("double").alias("__x"), F.col("pmf").alias("__m"))
+    got = cdf_get(c, probes, value, at)
+    return got.join(mass, F.col(at).cast("double") == F.col("__x"), "left").select(at, F.coalesce("__m", "p").alias("p"))
+
+
 def cdf_moments(c: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, mean, variance, std_dev, total, map): moments over the mass; the most probable value, the last of ties."""
     v, p = F.col(value), F.col("pmf")
@@ -211,7 +270,7 @@ def integrate(spark, density, a: float, b: float, n: int, rule: str = "trapezoid
     end = (F.col("id") == 0) | (F.col("id") == n - 1)
     weight = F.when(end, 0.5).otherwise(1.0) if rule == "trapezoid" else F.when(end, 1.0).when(F.pmod(F.col("id"), F.lit(2)) == 1, 4.0).otherwise(2.0) / 3
     terms = grid.select((density(F.col("x")) + F.log(weight)).alias("t"))
-    return ln_sum_exp_stable(terms, [], "t", "s").select((F.col("s") + math.log(step)).alias("ln_integral"))
+    return ln_sum_exp(terms, [], "t", "s").select((F.col("s") + math.log(step)).alias("ln_integral"))
 
 
 def integrate_grid(df: DataFrame, keys: list[str], x: str, ln_density: str) -> DataFrame:
@@ -219,7 +278,7 @@ def integrate_grid(df: DataFrame, keys: list[str], x: str, ln_density: str) -> D
     w = Window.partitionBy(*keys).orderBy(x)
     both = df.withColumn("__x", F.lag(x).over(w)).withColumn("__d", F.lag(ln_density).over(w)).filter("__x is not null")
     area = ln_add_exp(ln_density, "__d") + F.log((F.col(x) - F.col("__x")) / 2)
-    return both.groupBy(*keys).agg(ln_sum_exp(area).alias("ln_integral"))
+    return ln_sum_exp(both.withColumn("__a", area), keys, "__a", "ln_integral")
 
 
 def interpolate(x: Column | str, x0: Column | str, y0: Column | str, x1: Column | str, y1: Column | str) -> Column:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.alphabets import bind
 
-#: Pieces up to which running sums are cheaper than trying every start.
-MANY = 1000
-ALGORITHMS = ("shift_and", "bndm", "bom", "horspool", "kmp")
+#: Hits whose places are summed up in one array, and symbols of the chunks in which texts with more hits are searched.
+MANY = 512
 
 
 def find_all(text: Column | str, pattern: Column | str) -> Column:
@@ -26,17 +25,21 @@ def find_all(text: Column | str, pattern: Column | str) -> Column:
     else:
         p = F.when(F.length(pattern) == 0, F.raise_error(F.lit("the pattern must not be empty")).cast("string")).otherwise(pattern)
 
+    def cut(t: Column, p: Column) -> Column:
+        return F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
+
+    def sums(t: Column, p: Column, c: Column) -> Column:
+        """The text is cut before every occurrence: the pieces' lengths add up to the starts, overlapping ones included."""
+        first = F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.slice(c, F.lit(1), F.size(c) - 1), first, lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(k))))
+
     def search(both: Column) -> Column:
         t, p = both["t"], both["p"]
-        n, m = F.length(t), F.length(p)
-        # cut before every occurrence: the pieces' lengths add up to the starts, overlapping ones included
-        cut = F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
-        first = F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        sums = lambda c: F.aggregate(F.slice(c, F.lit(1), F.size(c) - 1), first, lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(k))))
-        # with very many hits the sums would copy too much: starts are tried one by one
-        tried = F.transform(F.filter(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(t, i, m) == p), lambda i: i - 1)
-        starts = bind(cut, lambda c: F.when(F.size(c) <= MANY, sums(c)).otherwise(tried))
-        return F.when(~F.contains(t, p) | (n < m), F.array().cast("array<int>")).otherwise(starts)
+        # adding to an array copies it: a text of many hits is taken in chunks of MANY symbols and a pattern's length less one
+        chunks = F.regexp_extract_all(t, F.concat(F.lit("(?s)(?=(.{1,"), (F.length(p) + MANY - 1).cast("string"), F.lit(f"}})).{{1,{MANY}}}")), F.lit(1))
+        by_chunk = F.flatten(F.transform(chunks, lambda k, i: F.when(F.contains(k, p), F.transform(sums(k, p, cut(k, p)), lambda x: x + i * MANY)).otherwise(F.array().cast("array<int>"))))
+        starts = bind(cut(t, p), lambda c: F.when(F.size(c) <= MANY, sums(t, p, c)).otherwise(by_chunk))
+        return F.when(~F.contains(t, p), F.array().cast("array<int>")).otherwise(starts)
 
     return F.when(t.isNotNull() & p.isNotNull(), bind(F.struct(t.alias("t"), p.alias("p")), search))
 

@@ -94,13 +94,12 @@ def _chain(matches: list[tuple[int, int]], k: int, match: int, gap_open: int, ga
         if p <= 0 and best > float("-inf"):
             p = -p
             ex, ey = matches[p][0] + k, matches[p][1] + k
-            gap = (x - ex) + (y - ey)
+            gap = max(x - ex, y - ey)
             cost = (gap_open + gap_extend * gap if gap else 0) if gaps else 0
-            if score[p] + cost + k * match > score[i]:
-                score[i], prev[i] = score[p] + cost + k * match, p
+            score[i], prev[i] = max((score[i], prev[i]), (max(0, score[p] + cost + k * match), p))
         q = place.get((x - 1, y - 1))
-        if q is not None and score[q] + match > score[i]:
-            score[i], prev[i] = score[q] + match, q
+        if q is not None:
+            score[i], prev[i] = max((score[i], prev[i]), (score[q] + match, q))
     if not n:
         return Chain([], 0, [])
     at = max(range(n), key=lambda i: (score[i], -i))
@@ -117,18 +116,18 @@ def lcskpp(matches: list[tuple[int, int]], k: int) -> Chain:
 
 
 def sdpkpp(matches: list[tuple[int, int]], k: int, match: int, gap_open: int, gap_extend: int) -> Chain:
-    """The chain of the best score, gaps between matches costing ``gap_open`` and ``gap_extend`` per skipped symbol."""
+    """The chain of the best score; a gap between matches costs ``gap_open`` and ``gap_extend`` for each symbol skipped
+    in that sequence which skips more. The match before a gap is the one that is best if both sequences' skips counted."""
     if match <= 0 or gap_open > 0 or gap_extend > 0:
         raise ValueError("matches must score above 0 and gaps not above 0")
     return _chain(matches, k, match, gap_open, gap_extend, True)
 
 
 def union_path(matches: list[tuple[int, int]], k: int, match: int, gap_open: int, gap_extend: int) -> list[int]:
-    """The chain with gap costs, led on at both ends by the covering chain where that reaches further."""
+    """The chain with gap costs, led on by the covering chain: by what that has before the first and behind the last match
+    of the former. Where the two share no such match, all of the covering chain is led on behind, and nothing before."""
     core, cover = sdpkpp(matches, k, match, gap_open, gap_extend).path, lcskpp(matches, k).path
     if not core:
         return cover
-    (x0, y0), (x1, y1) = matches[core[0]], matches[core[-1]]
-    before = [i for i in cover if matches[i][0] < x0 and matches[i][1] < y0 and i < core[0]]
-    after = [i for i in cover if matches[i][0] > x1 and matches[i][1] > y1 and i > core[-1]]
-    return before + core + after
+    place = {m: i for i, m in enumerate(cover)}
+    return cover[: place.get(core[0], 0)] + core + cover[place.get(core[-1], len(cover)) + 1 :]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.prob import ln_sum_exp_stable
+from strandline.functions.prob import ln_sum_exp
 
 
 def posterior(prior: DataFrame, likelihood: DataFrame, event: str, data: str, ln_prior: str = "ln_prior", ln_likelihood: str = "ln_likelihood") -> DataFrame:
     """(data, event, ln_joint, ln_marginal, ln_posterior) for every event of each data set. Both logs may be minus infinity."""
     joint = likelihood.join(prior.select(event, ln_prior), event).select(data, event, (F.col(ln_prior) + F.col(ln_likelihood)).alias("ln_joint"))
-    marginal = ln_sum_exp_stable(joint, [data], "ln_joint", "ln_marginal")
+    marginal = ln_sum_exp(joint, [data], "ln_joint", "ln_marginal")
     return joint.join(marginal, data).withColumn("ln_posterior", F.col("ln_joint") - F.col("ln_marginal"))
 
 

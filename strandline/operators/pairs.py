@@ -19,10 +19,18 @@ CELLS = 4_000_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores: kernels cost far more than the shuffle, and few bytes may mean many seconds."""
+    """Small inputs over all cores, as few bytes may mean many seconds; with ``keys``, rows of a key in one task.
+
+    Inputs of enough splits to keep every core busy stay where they are.
+    """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    if keys:
+        return df.repartition(*keys)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= 2 * n * split else df.repartition(n)
 
 
 def _groups(xs: list[str], ys: list[str]):

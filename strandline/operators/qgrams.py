@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.alphabets import kmers
+from strandline.functions.alphabets import chunks, kmers
+
+#: Symbols of a chunk.
+CHUNK = 8192
 
 
 def positions(df: DataFrame, id_col: str, seq_col: str, q: int, max_count: int | None = None) -> DataFrame:
-    """(id, pos, gram): one row for each q-gram occurrence; grams that occur more than ``max_count`` times are masked."""
-    grams = df.select(F.col(id_col).alias("id"), F.posexplode(kmers(seq_col, q)).alias("pos", "gram"))
+    """(id, pos, gram): one row for each q-gram occurrence; grams that occur more than ``max_count`` times are masked.
+
+    Sequences are cut into overlapping chunks first, so that no row holds the grams of a whole chromosome.
+    """
+    cut = df.select(F.col(id_col).alias("id"), F.posexplode(chunks(seq_col, CHUNK, q - 1)).alias("chunk", "text"))
+    grams = cut.select("id", "chunk", F.posexplode(kmers("text", q)).alias("place", "gram"))
+    grams = grams.select("id", (F.col("chunk") * CHUNK + F.col("place")).alias("pos"), "gram")
     if max_count is not None:
         frequent = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") <= max_count).select("gram")
         grams = grams.join(frequent, "gram", "left_semi").select("id", "pos", "gram")

@@ -65,11 +65,9 @@ def fastq_check(spark, d):
     return table(spark, d, "fastq").select("read_id", checks.fastq_check("id", "seq", "qual").alias("reason"), checks.is_empty_record("id", "seq").alias("is_empty"))
 
 
-def _find(column: str):
-    def query(spark, d):
-        return fasta(spark, d).select("rec_id", F.explode(search.find_all("s", PATTERN)).alias("pos"))
-
-    return query
+def find_exact(spark, d):
+    """All places of a pattern; one query for all exact matchers, as their results are the same."""
+    return fasta(spark, d).select("rec_id", F.explode(search.find_all("s", PATTERN)).alias("pos"))
 
 
 def find_counts(spark, d):
@@ -78,16 +76,15 @@ def find_counts(spark, d):
 
 
 def _pairs(spark, d):
-    r = reads(spark, d).select("read_id", "s").filter(F.length("s") >= 60)
+    r = reads(spark, d).select("read_id", "s")
     a = r.select(F.col("read_id").alias("a_id"), F.col("s").alias("a"))
     b = r.select((F.col("read_id") - 1).alias("a_id"), F.col("s").alias("b"))
     return a.join(b, "a_id")
 
 
 def hamming(spark, d):
-    """Each read against the next one, over the length both have."""
-    p = spread(_pairs(spark, d)).withColumn("n", F.least(F.length("a"), F.length("b")))
-    return p.select("a_id", search.hamming(F.left("a", F.col("n")), F.left("b", F.col("n"))).alias("d"))
+    """Each read, whole, against its reverse complement: both are of one length."""
+    return spread(reads(spark, d)).select("read_id", search.hamming("s", al.dna_revcomp("s")).alias("d"))
 
 
 def levenshtein(spark, d):
@@ -186,17 +183,24 @@ def interval_plain(spark, d):
     p = table(spark, d, "bedpe").filter("start1 >= 0 and end1 > start1 and start2 >= 0 and end2 > start2")
     a = p.select(F.col("pair_id").alias("a_id"), "start1", "end1")
     b = p.select(F.col("pair_id").alias("b_id"), "start2", "end2")
-    return intervals.interval_join(a, b, ("start1", "end1"), ("start2", "end2"), [], 2048, levels=3).groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("first_b"))
+    return intervals.interval_join(a, b, ("start1", "end1"), ("start2", "end2"), [], 2048).groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("first_b"))
 
 
 def interval_semi(spark, d):
+    """Features that any interval of their name overlaps."""
+    b = table(spark, d, "bed").select("chrom", "start_pos", "end_pos")
+    return intervals.interval_join(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], 8192, how="left_semi").select("feature_id")
+
+
+def interval_anti(spark, d):
+    """Features that none overlaps."""
     b = table(spark, d, "bed").select("chrom", "start_pos", "end_pos")
     return intervals.interval_join(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], 8192, how="left_anti").select("feature_id")
 
 
 def interval_hits(spark, d):
     b = table(spark, d, "bed").select("chrom", "start_pos", "end_pos")
-    return intervals.annotate_hits(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], "feature_id", bin_width=8192).select("feature_id", "n_hits")
+    return intervals.annotate_hits(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], "feature_id").select("feature_id", "n_hits")
 
 
 def kmer_counts(spark, d):
@@ -227,18 +231,16 @@ def exact_matches(spark, d):
 _SEEDS = f"""
 xg AS (SELECT read_id AS x_id, i AS x, substr(s, i + 1, 16) AS g FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 16)) AS i FROM {_READS} WHERE length(s) >= 16)),
 yg AS (SELECT rec_id AS y_id, i AS y, substr(s, i + 1, 16) AS g FROM (SELECT rec_id, s, unnest(generate_series(0, length(s) - 16)) AS i FROM {_FASTA} WHERE length(s) >= 16)),
-xc AS (SELECT g FROM xg GROUP BY g HAVING count(*) <= 200), yc AS (SELECT g FROM yg GROUP BY g HAVING count(*) <= 200),
-hits AS (SELECT x_id, y_id, x, y FROM (SELECT * FROM xg SEMI JOIN xc USING (g)) JOIN (SELECT * FROM yg SEMI JOIN yc USING (g)) USING (g))"""
+hits AS (SELECT x_id, y_id, x, y FROM xg JOIN yg USING (g))"""
 _FIND = f"SELECT rec_id, CAST(i AS INT) AS pos FROM (SELECT rec_id, s, unnest(generate_series(0, length(s) - 7)) AS i FROM {_FASTA} WHERE length(s) >= 7) WHERE substr(s, i + 1, 7) = '{PATTERN}'"
 _TR = "translate({}, 'AGCTYRWSKMDVHBN', 'TCGARYWSMKHBDVN')"
-_PAIR = f"(SELECT a.read_id AS a_id, a.s AS a, b.s AS b FROM (SELECT * FROM {_READS} WHERE length(s) >= 60) a JOIN (SELECT * FROM {_READS} WHERE length(s) >= 60) b ON b.read_id = a.read_id + 1)"
+_PAIR = f"(SELECT a.read_id AS a_id, a.s AS a, b.s AS b FROM {_READS} a JOIN {_READS} b ON b.read_id = a.read_id + 1)"
 _OVER = "seqname = chrom AND g.end_pos > b.start_pos AND g.start_pos < b.end_pos AND g.end_pos > g.start_pos AND b.end_pos > b.start_pos"
-_FINDERS = ("find_shift_and", "find_bndm", "find_bom", "find_horspool", "find_kmp")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, spliced_bed, spliced_transcripts, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
-    return {f.__name__: f for f in fs} | {n: _find(n) for n in _FINDERS}
+    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_exact, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, spliced_bed, spliced_transcripts, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_anti, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
+    return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -253,9 +255,9 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 8)) AS i FROM {_READS} WHERE length(s) >= 8)) GROUP BY read_id""",
         "fasta_check": "SELECT rec_id, CASE WHEN coalesce(id, '') = '' THEN 'EmptyId' WHEN regexp_matches(coalesce(seq, ''), '[^\\x00-\\x7F]') THEN 'NonAsciiSequence' WHEN regexp_matches(coalesce(seq, ''), '[^A-Za-z\\-.*]') THEN 'InvalidCharacters' END AS reason FROM fasta",
         "fastq_check": "SELECT read_id, CASE WHEN coalesce(id, '') = '' THEN 'EmptyId' WHEN regexp_matches(coalesce(seq, ''), '[^\\x00-\\x7F]') THEN 'NonAsciiSequence' WHEN regexp_matches(coalesce(seq, ''), '[^A-Za-z\\-.*]') THEN 'InvalidCharacters' WHEN regexp_matches(coalesce(qual, ''), '[^\\x00-\\x7F]') THEN 'NonAsciiQuality' WHEN length(coalesce(seq, '')) <> length(coalesce(qual, '')) THEN 'UnequalLengths' END AS reason, coalesce(id, '') = '' AND coalesce(seq, '') = '' AS is_empty FROM fastq",
-        **{n: _FIND for n in _FINDERS},
+        "find_exact": _FIND,
         "find_counts": f"SELECT rec_id, CAST(len(list_filter(generate_series(1, length(s) - 2), lambda i: substr(s, i, 3) = 'AAA')) AS BIGINT) AS n, CAST(len(list_filter(generate_series(1, length(s) - 3), lambda i: substr(s, i, 4) = 'ATAT')) AS BIGINT) AS n_atat FROM {_FASTA}",
-        "hamming": f"SELECT a_id, CAST(hamming(substr(a, 1, least(length(a), length(b))), substr(b, 1, least(length(a), length(b)))) AS BIGINT) AS d FROM {_PAIR}",
+        "hamming": f"SELECT read_id, CAST(hamming(s, reverse({_TR.format('s')})) AS BIGINT) AS d FROM {_READS}",
         "levenshtein": f"SELECT a_id, levenshtein(a, b) AS d FROM {_PAIR}",
         "bounded_levenshtein": f"SELECT a_id, CASE WHEN levenshtein(a, b) <= 100 THEN levenshtein(a, b) END AS d FROM {_PAIR}",
         "orf": f"""WITH c AS (SELECT rec_id, i, i % 3 AS f, substr(s, i + 1, 3) AS c FROM (SELECT rec_id, s, unnest(generate_series(0, length(s) - 3)) AS i FROM {_FASTA} WHERE length(s) >= 3)),
@@ -281,7 +283,8 @@ def oracle_sql() -> dict[str, str]:
         "fai_names": "SELECT i.name, n_claims, max_len, n FROM (SELECT name, count(*) AS n_claims, max(len) AS max_len FROM fai WHERE name IS NOT NULL GROUP BY 1) i LEFT JOIN (SELECT id AS name, length(regexp_replace(seq, '\\s', '', 'g')) AS n FROM fasta) f ON f.name = i.name",
         "interval_keyed": f"SELECT feature_id, interval_id FROM gff g JOIN bed b ON {_OVER}",
         "interval_plain": "SELECT a.pair_id AS a_id, count(*) AS n, min(b.pair_id) AS first_b FROM (SELECT * FROM bedpe WHERE start1 >= 0 AND end1 > start1 AND start2 >= 0 AND end2 > start2) a JOIN (SELECT * FROM bedpe WHERE start1 >= 0 AND end1 > start1 AND start2 >= 0 AND end2 > start2) b ON a.end1 > b.start2 AND a.start1 < b.end2 GROUP BY 1",
-        "interval_semi": f"SELECT feature_id FROM gff g WHERE NOT EXISTS (SELECT 1 FROM bed b WHERE {_OVER})",
+        "interval_semi": f"SELECT feature_id FROM gff g WHERE EXISTS (SELECT 1 FROM bed b WHERE {_OVER})",
+        "interval_anti": f"SELECT feature_id FROM gff g WHERE NOT EXISTS (SELECT 1 FROM bed b WHERE {_OVER})",
         "interval_hits": f"SELECT g.feature_id, coalesce(n, 0) AS n_hits FROM gff g LEFT JOIN (SELECT feature_id, count(*) AS n FROM gff g JOIN bed b ON {_OVER} GROUP BY 1) h ON h.feature_id = g.feature_id",
         "kmer_counts": f"SELECT g AS gram, count(*) AS n, count(DISTINCT read_id) AS n_records FROM (SELECT read_id, substr(s, i + 1, 8) AS g FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 8)) AS i FROM {_READS} WHERE length(s) >= 8)) GROUP BY g",
         "kmer_join": f"WITH {_SEEDS} SELECT x_id, y_id, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM hits GROUP BY 1, 2",

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import records
 from strandline.plans.sequence_queries import _FASTA, _READS, fasta, reads
 from strandline.session import checkpoint_root, table
 from strandline.sources import formats, text
@@ -48,7 +47,7 @@ def source_fastx(spark, d):
 
 def source_bed(spark, d):
     path = _path(spark, "bed")
-    text.write_bed(table(spark, d, "bed").filter("chrom is not null"), path)
+    text.write_bed(table(spark, d, "bed"), path)
     return text.read_bed(spark, path, extra=[("name", "string")]).select("chrom", "start_pos", "end_pos", F.array_join("aux", "|").alias("aux"), "name")
 
 
@@ -59,12 +58,30 @@ def source_bedpe(spark, d):
 
 
 def source_gff(spark, d):
+    """The table as GFF3 with two attributes of its own, read back with every value."""
     path = _path(spark, "gff")
-    g = table(spark, d, "gff").filter("seqname is not null and attributes is not null")
-    line = F.concat_ws("\t", "seqname", "source", "feature_type", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.coalesce("score", F.lit(".")), F.coalesce("strand", F.lit(".")), records.phase_text("phase"), "attributes")
-    text.write_lines(g.filter("source is not null and feature_type is not null"), line, path)
-    r = text.read_gff(spark, path, "gff3")
-    return r.select("seqname", "source", "feature_type", "start_pos", "end_pos", records.gff_score("score").alias("score"), "strand", F.col("phase").cast("int").alias("phase"), F.col("attributes").isNotNull().alias("has_attributes"))
+    attrs = F.create_map(F.lit("ID"), F.array(F.col("feature_id").cast("string")), F.lit("Note"), F.array(F.coalesce("attributes", F.lit("none")), F.coalesce("seqname", F.lit("no name"))))
+    text.write_gff(table(spark, d, "gff").withColumn("attributes", attrs), path)
+    r = text.read_gff(spark, path)
+    return r.select("seqname", "source", "feature_type", "start_pos", "end_pos", "score", "strand", F.col("phase").cast("int").alias("phase"), F.col("attributes")["ID"][0].cast("bigint").alias("feature_id"), F.col("attributes")["Note"][0].alias("note"), F.col("attributes")["Note"][1].alias("name"))
+
+
+def source_gff_custom(spark, d):
+    """Attributes with separators of their own: ``:`` after a key, ``/`` between attributes, ``+`` between values."""
+    path = _path(spark, "gff-own")
+    own = (":", "/", "+")
+    attrs = F.create_map(F.lit("id"), F.array(F.col("feature_id").cast("string")), F.lit("span"), F.array(F.col("start_pos").cast("string"), F.col("end_pos").cast("string")))
+    text.write_gff(table(spark, d, "gff").withColumn("attributes", attrs), path, own)
+    r = text.read_gff(spark, path, own)
+    return r.select(F.col("attributes")["id"][0].cast("bigint").alias("feature_id"), F.array_join(F.col("attributes")["span"], "-").alias("span"))
+
+
+def source_fai(spark, d):
+    """The index as a text file, read back."""
+    path = _path(spark, "fai")
+    i = table(spark, d, "fai").select("name", "len", "byte_offset", "line_bases", "line_bytes")
+    i.write.csv(path, sep="\t")
+    return text.read_fai(spark, path)
 
 
 def source_newick(spark, d):
@@ -77,7 +94,7 @@ def source_newick(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (source_fasta, source_fasta_reader, source_fastq, source_fastx, source_bed, source_bedpe, source_gff, source_newick)}
+    return {f.__name__: f for f in (source_fasta, source_fasta_reader, source_fastq, source_fastx, source_bed, source_bedpe, source_gff, source_gff_custom, source_fai, source_newick)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,8 +104,10 @@ def oracle_sql() -> dict[str, str]:
         "source_fasta_reader": f"SELECT id, descr, s AS seq FROM {_FASTA}",
         "source_fastq": f"SELECT id, descr, s AS seq, qual {fastq}",
         "source_fastx": f"SELECT 'fastq' AS kind, id, descr, s AS seq, qual {fastq}",
-        "source_bed": "SELECT chrom, start_pos, end_pos, coalesce(list_aggregate(aux, 'string_agg', '|'), '') AS aux, aux[1] AS name FROM bed WHERE chrom IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL",
-        "source_bedpe": "SELECT chrom1, start1, end1, chrom2, start2, end2, coalesce(list_aggregate(aux, 'string_agg', '|'), '') AS aux FROM bedpe WHERE chrom1 IS NOT NULL AND start1 IS NOT NULL AND end1 IS NOT NULL AND chrom2 IS NOT NULL AND start2 IS NOT NULL AND end2 IS NOT NULL",
-        "source_gff": "SELECT seqname, source, feature_type, start_pos, end_pos, CASE WHEN regexp_full_match(score, '\\+?[0-9]+') THEN TRY_CAST(score AS BIGINT) END AS score, coalesce(strand, '.') AS strand, CAST(phase AS INT) AS phase, TRUE AS has_attributes FROM gff WHERE seqname IS NOT NULL AND attributes IS NOT NULL AND source IS NOT NULL AND feature_type IS NOT NULL",
+        "source_bed": "SELECT coalesce(chrom, '.') AS chrom, coalesce(start_pos, -1) AS start_pos, coalesce(end_pos, -1) AS end_pos, coalesce(list_aggregate(aux, 'string_agg', '|'), '') AS aux, aux[1] AS name FROM bed",
+        "source_bedpe": "SELECT nullif(chrom1, '.') AS chrom1, nullif(start1, -1) AS start1, nullif(end1, -1) AS end1, nullif(chrom2, '.') AS chrom2, nullif(start2, -1) AS start2, nullif(end2, -1) AS end2, coalesce(list_aggregate(aux, 'string_agg', '|'), '') AS aux FROM bedpe",
+        "source_gff": "SELECT coalesce(seqname, '.') AS seqname, coalesce(source, '.') AS source, coalesce(feature_type, '.') AS feature_type, start_pos, end_pos, coalesce(score, '.') AS score, coalesce(strand, '.') AS strand, CAST(phase AS INT) AS phase, feature_id, coalesce(attributes, 'none') AS note, coalesce(seqname, 'no name') AS name FROM gff",
+        "source_gff_custom": "SELECT feature_id, start_pos || '-' || end_pos AS span FROM gff",
+        "source_fai": "SELECT name, len, byte_offset, line_bases, line_bytes FROM fai",
         "source_newick": "SELECT r_regionkey, n_name AS node, FALSE AS is_root, round(n_nationkey / 4, 4) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name, TRUE, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",
     }

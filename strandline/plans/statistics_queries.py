@@ -28,14 +28,17 @@ def ln_arithmetic(spark, d):
 
 
 def log_sum_exp(spark, d):
+    """Sums of discounts in log space, also where each is 900 orders of e smaller than a double can hold."""
     l = table(spark, d, "lineitem").select("l_suppkey", prob.ln("l_discount").alias("x"))
-    return l.groupBy("l_suppkey").agg(F.round(prob.ln_sum_exp("x"), 6).alias("ln_total"), F.round(prob.ln_product(F.when(F.col("x") > prob.NEG_INF, F.col("x"))), 4).alias("ln_product"), F.count("*").alias("n"))
+    logs = F.when(F.col("x") > prob.NEG_INF, F.col("x"))
+    s = prob.ln_sum_exp(l, ["l_suppkey"], "x", "ln_total", {"ln_product": (prob.ln_product(logs), F.sum), "n": (F.count("*"), F.sum)})
+    far = prob.ln_sum_exp(l.withColumn("x", F.col("x") - 900), ["l_suppkey"], "x", "far")
+    return s.join(far, "l_suppkey").select("l_suppkey", F.round("ln_total", 6).alias("ln_total"), F.round("far", 6).alias("ln_far"), F.round("ln_product", 4).alias("ln_product"), "n")
 
 
 def log_cumsum(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_tax")
-    l = table(spark, d, "lineitem").filter("l_tax > 0").withColumn("x", prob.ln("l_tax"))
-    return l.select("l_orderkey", "l_linenumber", F.round(prob.ln_cumsum_exp("x", w), 6).alias("ln_cum"))
+    l = table(spark, d, "lineitem").filter("l_tax > 0").select("l_orderkey", "l_linenumber", "l_tax", (prob.ln("l_tax") - 900).alias("x"))
+    return prob.ln_cumsum_exp(l, ["l_orderkey"], ["l_linenumber", "l_tax"], "x").select("l_orderkey", "l_linenumber", F.round("ln_cum", 6).alias("ln_cum"))
 
 
 def expected_fdr(spark, d):
@@ -69,7 +72,7 @@ def cdf_sample(spark, d):
 
 
 def cdf_get(spark, d):
-    one = prob.cdf(table(spark, d, "part").groupBy("p_size").agg((F.count("*") / F.lit(1.0)).alias("n")).crossJoin(F.broadcast(table(spark, d, "part").agg(F.count("*").alias("t")))).select("p_size", (F.col("n") / F.col("t")).alias("p")), [], "p_size", "p")
+    one = prob.cdf(table(spark, d, "part").groupBy("p_size").agg((F.count("*") / F.lit(1.0)).alias("n")).select("p_size", (F.col("n") / table(spark, d, "part").count()).alias("p")), [], "p_size", "p")
     probes = table(spark, d, "part").select((F.col("p_retailprice") / 30).alias("size_at")).distinct()
     return prob.cdf_get(one, probes, "p_size", "size_at").select(F.round("size_at", 6).alias("size_at"), F.round("p", 6).alias("p"))
 
@@ -104,8 +107,10 @@ def integrate(spark, d):
 
 
 def interpolate(spark, d):
+    """Squares from a table, between its points too, and beyond it by the function itself."""
     look = prob.tabulated(lambda x: x * x, 0.0, 0.1, 0.001, lambda x: x * x)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(look(F.col("l_discount")), 4).alias("y"))
+    l = table(spark, d, "lineitem").withColumn("x", F.col("l_discount") + F.col("l_quantity") / 7000)
+    return l.select("l_orderkey", "l_linenumber", F.round(look(F.col("x")) + 1e-9, 7).alias("y"))
 
 
 def prefix_ops(spark, d):
@@ -191,8 +196,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "phred": "SELECT read_id, round(p, 6) AS p, round(ln(p), 6) AS ln_p, round(-10 * log10(p), 6) AS phred FROM (SELECT read_id, avg(pow(10, -(ascii(c) - 33) / 10.0)) AS p FROM (SELECT read_id, unnest(string_split(qual, '')) AS c FROM fastq WHERE qual IS NOT NULL AND length(qual) > 0 AND seq IS NOT NULL) GROUP BY read_id)",
         "ln_arithmetic": "SELECT l_orderkey, l_linenumber, CASE WHEN a + b > 0 THEN round(ln(a + b), 6) END AS ln_sum, CASE WHEN abs(a - b) > 1e-12 THEN round(ln(abs(a - b)), 6) END AS ln_diff, CASE WHEN a < 1 THEN round(ln(1 - a), 6) END AS ln_rest FROM (SELECT *, l_discount AS a, l_tax AS b FROM lineitem)",
-        "log_sum_exp": "SELECT l_suppkey, round(ln(sum(l_discount)), 6) AS ln_total, round(sum(CASE WHEN l_discount > 0 THEN ln(l_discount) END), 4) AS ln_product, count(*) AS n FROM lineitem GROUP BY 1",
-        "log_cumsum": "SELECT l_orderkey, l_linenumber, round(ln(sum(l_tax) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax ROWS UNBOUNDED PRECEDING)), 6) AS ln_cum FROM lineitem WHERE l_tax > 0",
+        "log_sum_exp": "SELECT l_suppkey, round(ln(sum(l_discount)), 6) AS ln_total, round(ln(sum(l_discount)) - 900, 6) AS ln_far, round(sum(CASE WHEN l_discount > 0 THEN ln(l_discount) END), 4) AS ln_product, count(*) AS n FROM lineitem GROUP BY 1",
+        "log_cumsum": "SELECT l_orderkey, l_linenumber, round(ln(sum(l_tax) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax ROWS UNBOUNDED PRECEDING)) - 900, 6) AS ln_cum FROM lineitem WHERE l_tax > 0",
         "expected_fdr": "SELECT l_orderkey, l_linenumber, round(least(1, sum(pep) OVER w / row_number() OVER w) + 1e-9, 6) AS fdr FROM (SELECT *, l_discount + l_tax AS pep FROM lineitem) WINDOW w AS (ORDER BY pep, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)",
         "cdf": f"WITH {_CDF} SELECT l_returnflag, l_quantity, round(pmf, 6) AS pmf, round(cdf, 6) AS cdf FROM c",
         "cdf_moments": f"""WITH {_CDF}, m AS (SELECT l_returnflag, sum(l_quantity * pmf) AS mean FROM c GROUP BY 1)
@@ -209,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "combinations": """SELECT p_partkey, CASE WHEN k > n THEN 0.0 ELSE round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)), 3) END AS c, CASE WHEN k > n THEN 0.0 ELSE round(0.5 * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)), 3) END AS scaled,
             CASE WHEN k = 0 THEN 1.0 ELSE round(exp(lgamma(n + k) - lgamma(k + 1) - lgamma(n)), 3) END AS rep FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS n, CAST(p_partkey % 5 AS DOUBLE) AS k FROM part)""",
         "integrate": "SELECT l_suppkey, round(ln(sum((q - pq) * (v + pv) / 2)), 6) AS ln_integral FROM (SELECT l_suppkey, l_quantity AS q, v, lag(l_quantity) OVER w AS pq, lag(v) OVER w AS pv FROM (SELECT l_suppkey, l_quantity, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)) WHERE pq IS NOT NULL GROUP BY 1",
-        "interpolate": "SELECT l_orderkey, l_linenumber, round(l_discount * l_discount, 4) AS y FROM lineitem",
+        "interpolate": "SELECT l_orderkey, l_linenumber, round(CASE WHEN x > 0.1 THEN x * x ELSE (k / 1000.0) * (k / 1000.0) + (2 * k + 1) / 1e6 * (x * 1000 - k) END + 1e-9, 7) AS y FROM (SELECT *, least(floor(x / 0.001), 99) AS k FROM (SELECT *, l_discount + l_quantity / 7000 AS x FROM lineitem))",
         "prefix_ops": "SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS incl, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS excl, round(max(o_totalprice) OVER w, 2) AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
         "bit_rank": "SELECT event_id, bit, CAST(sum(bit::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank1, CAST(sum((NOT bit)::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank0 FROM (SELECT event_id, event_type = 'error' AS bit FROM events)",
         "bit_select": "SELECT row_number() OVER (PARTITION BY bit ORDER BY event_id) AS j, event_id, CAST(bit AS INT) AS kind FROM (SELECT event_id, event_type = 'error' AS bit FROM events)",

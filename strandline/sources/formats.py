@@ -1,7 +1,9 @@
 """Python data sources ``fasta``, ``fastq`` and ``fastx``: batch and streaming readers, and writers.
 
-A file is one partition, read record by record; paths may be local or of any file system that pyarrow knows, single
-files, directories or patterns. Errors are those of the formats: a record that does not begin with its mark, one that
+FASTQ of four lines a record is read in splits of ``split`` bytes, as Arrow batches: a split begins at its first line with
+``@`` that a line with ``+`` follows after one more, which no quality line can imitate. Files whose first records wrap their lines,
+and the other formats, are one partition each, read record by record. Paths may be local or of any file system that
+pyarrow knows, single files, directories or patterns. Errors are those of the formats: a record that does not begin with its mark, one that
 ends early. ``register(spark)`` makes the formats known to a session.
 """
 
@@ -50,7 +52,9 @@ def list_files(path: str) -> list[str]:
             raise FileNotFoundError(path)
         names = [p] if info.type == fs.FileType.File else [i.path for i in system.get_file_info(fs.FileSelector(p, recursive=True)) if i.type == fs.FileType.File]
     prefix = path.split("://")[0] + "://" if "://" in path else ""
-    return sorted(prefix + n.lstrip("/") if prefix and not prefix.startswith("file") else n for n in names if not posixpath.basename(n).startswith(("_", ".")))
+    hidden = lambda n: any(part.startswith(("_", ".")) for part in posixpath.relpath(n, p if info_dir else posixpath.dirname(n)).split("/"))
+    info_dir = not any(c in p for c in "*?[") and names != [p]
+    return sorted(prefix + n.lstrip("/") if prefix and not prefix.startswith("file") else n for n in names if not hidden(n))
 
 
 def open_lines(path: str) -> Iterator[str]:
@@ -130,8 +134,11 @@ def parse_fastx(lines: Iterable[str]) -> Iterator[tuple]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
+    """A file, or the records that begin in ``start`` to ``stop`` of it."""
+
+    def __init__(self, path: str, start: int = 0, stop: int | None = None):
         super().__init__(path)
+        self.start, self.stop = start, stop
 
 
 class _Reader(DataSourceReader):
@@ -145,42 +152,132 @@ class _Reader(DataSourceReader):
         yield from self.parse(open_lines(partition.value))
 
 
+#: Bytes of a split, and of what is read at a time.
+SPLIT, BLOCK = 64 << 20, 8 << 20
+
+
+def _four_lines(head: bytes) -> bool:
+    """Whether the first records of a file take four lines each."""
+    lines = head.split(b"\n")[:-1]
+    whole = len(lines) // 4 * 4
+    return whole > 0 and all(a[:1] == b"@" and c[:1] == b"+" and len(b.rstrip()) == len(d.rstrip()) for a, b, c, d in zip(*(lines[k:whole:4] for k in range(4))))
+
+
+def record_start(data: bytes, at: int = 0) -> int:
+    """Where the first whole record after a line's end begins, or -1. ``data`` begins at the start of a line if ``at`` is 0."""
+    while at >= 0:
+        one = data.find(b"\n", at)
+        two = data.find(b"\n", one + 1) if one >= 0 else -1
+        if two < 0:
+            return -1
+        if data[at : at + 1] == b"@" and data[two + 1 : two + 2] == b"+":
+            return at
+        at = one + 1
+    return -1
+
+
+class _FastqReader(_Reader):
+    def __init__(self, path: str, parse, split: int):
+        super().__init__(path, parse)
+        self.split = split
+
+    def partitions(self):
+        out = []
+        for path in list_files(self.path):
+            system, p = _fs(path)
+            size = system.get_file_info(p).size
+            with system.open_input_file(p) as raw:
+                plain = size > 0 and _four_lines(raw.read_at(min(size, 1 << 20), 0) + (b"\n" if size <= 1 << 20 else b""))
+            out += [_File(path, a, min(size, a + self.split)) for a in range(0, size, self.split)] if plain else [_File(path)]
+        return out
+
+    def read(self, partition):
+        if partition.stop is None:
+            yield from self.parse(open_lines(partition.value))
+            return
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        system, p = _fs(partition.value)
+        with system.open_input_file(p) as raw:
+            size, at = raw.size(), partition.start
+            data = b""
+            if at:  # the record that a split's border cuts belongs to the split before
+                at -= 1
+                while True:
+                    data += raw.read_at(min(BLOCK, size - at - len(data)), at + len(data))
+                    line = data.find(b"\n") + 1
+                    first = record_start(data, line) if line else -1
+                    if first >= 0:
+                        break
+                    if at + len(data) >= size:
+                        return
+                at, data = at + first, data[first:]
+            while at < partition.stop:
+                if at + len(data) < size:
+                    data += raw.read_at(min(BLOCK, size - at - len(data)), at + len(data))
+                end = at + len(data) >= size
+                lines = (data if not end or data.endswith(b"\n") else data + b"\n").split(b"\n")[:-1]
+                if end:
+                    while lines and not lines[-1].strip() and len(lines) % 4:
+                        lines.pop()
+                    if len(lines) % 4:
+                        raise FormatError("Incomplete record.")
+                whole = len(lines) // 4 * 4
+                begins, k = at, 0
+                while k < whole and begins < partition.stop:  # records that begin in the split
+                    begins += sum(map(len, lines[k : k + 4])) + 4
+                    k += 4
+                lines = lines[:k]
+                if any(h[:1] != b"@" for h in lines[::4]):
+                    raise FormatError("Expected @ at record start.")
+                if any(not q.strip() and s.strip() or m[:1] != b"+" for s, m, q in zip(lines[1::4], lines[2::4], lines[3::4])):
+                    raise FormatError("Incomplete record.")
+                seq, qual = (pc.utf8_rtrim_whitespace(pa.array([x.decode("utf-8", "replace") for x in lines[n::4]], pa.string())) for n in (1, 3))
+                cells = [h[1:].rstrip(b"\r").decode("utf-8", "replace").split(" ", 1) for h in lines[::4]]
+                if cells:
+                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] if len(c) > 1 else None for c in cells], pa.string()), seq, qual], ["id", "descr", "seq", "qual"])
+                data = data[begins - at :]
+                at = begins
+                if end:
+                    return
+
+
 class _StreamReader(DataSourceStreamReader):
-    """Offsets count files in order of name; files are never changed once they are there."""
+    """An offset names the files seen so far, as names need not rise with time; files are never changed once they are there."""
 
     def __init__(self, path: str, parse):
         self.path, self.parse = path, parse
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self):
-        return {"files": len(list_files(self.path))}
+        return {"files": list_files(self.path)}
 
     def partitions(self, start, end):
-        return [_File(p) for p in list_files(self.path)[start["files"] : end["files"]]]
+        seen = set(start["files"])
+        return [_File(p) for p in end["files"] if p not in seen]
 
     def read(self, partition):
         yield from self.parse(open_lines(partition.value))
 
 
 class _Writer(DataSourceWriter):
-    """One file for each task; files of failed attempts are removed and never mixed with others."""
+    """One file for each task, written to a hidden folder and moved into place once all tasks have ended; only then goes
+    what is overwritten. Files of failed attempts go with the hidden folder."""
 
     def __init__(self, path: str, suffix: str, text, overwrite: bool):
         self.path, self.suffix, self.text, self.overwrite, self.run = path, suffix, text, overwrite, uuid.uuid4().hex
-        if overwrite:
-            system, p = _fs(path)
-            from pyarrow import fs
 
-            if system.get_file_info(p).type == fs.FileType.Directory:
-                system.delete_dir_contents(p)
+    def _staging(self, p: str) -> str:
+        return posixpath.join(p, f"_staging-{self.run}")
 
     def write(self, iterator):
         system, p = _fs(self.path)
-        system.create_dir(p, recursive=True)
-        name = posixpath.join(p, f"part-{self.run}-{uuid.uuid4().hex}.{self.suffix}")
-        with system.open_output_stream(name) as out:
+        system.create_dir(self._staging(p), recursive=True)
+        name = f"part-{self.run}-{uuid.uuid4().hex}.{self.suffix}"
+        with system.open_output_stream(posixpath.join(self._staging(p), name)) as out:
             for row in iterator:
                 out.write(self.text(row).encode())
         message = WriterCommitMessage()
@@ -188,16 +285,29 @@ class _Writer(DataSourceWriter):
         return message
 
     def commit(self, messages):
-        pass
+        from pyarrow import fs
 
-    def abort(self, messages):
-        system, _ = _fs(self.path)
+        system, p = _fs(self.path)
+        system.create_dir(p, recursive=True)
+        old = [i for i in system.get_file_info(fs.FileSelector(p)) if i.path.rstrip("/") != self._staging(p)] if self.overwrite else []
         for m in messages:
             if m is not None:
-                system.delete_file(m.name)
+                system.move(posixpath.join(self._staging(p), m.name), posixpath.join(p, m.name))
+        for i in old:
+            system.delete_dir(i.path) if i.type == fs.FileType.Directory else system.delete_file(i.path)
+        self.abort([])
+
+    def abort(self, messages):
+        from pyarrow import fs
+
+        system, p = _fs(self.path)
+        if system.get_file_info(self._staging(p)).type == fs.FileType.Directory:
+            system.delete_dir(self._staging(p))
 
 
 def fasta_record(id_: str, descr: str | None, seq: str, wrap: int | None = None) -> str:
+    if id_ is None or seq is None:
+        raise FormatError("a record needs an id and a sequence")
     head = f">{id_} {descr}\n" if descr is not None else f">{id_}\n"
     if not wrap:
         return head + seq + "\n"
@@ -205,6 +315,8 @@ def fasta_record(id_: str, descr: str | None, seq: str, wrap: int | None = None)
 
 
 def fastq_record(id_: str, descr: str | None, seq: str, qual: str) -> str:
+    if id_ is None or seq is None or qual is None:
+        raise FormatError("a record needs an id, a sequence and a quality")
     return f"@{id_}{'' if descr is None else ' ' + descr}\n{seq}\n+\n{qual}\n"
 
 
@@ -243,12 +355,17 @@ class FastaSource(_Base):
 
 
 class FastqSource(_Base):
+    """Option ``split``: bytes of a split when reading."""
+
     columns, parser, suffix = FASTQ_SCHEMA, staticmethod(parse_fastq), "fastq"
 
     @classmethod
     def name(cls):
         return "fastq"
 
+    def reader(self, schema):
+        return _FastqReader(self._path(), type(self).parser, int(self.options.get("split", SPLIT)))
+
     def _text(self):
         return lambda r: fastq_record(r["id"], r["descr"], r["seq"], r["qual"])
 

@@ -5,18 +5,23 @@ The text reader cuts files into splits at record borders, so a file of any size
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import records
 from strandline.operators.packed import percent_decode
 
-#: Separators by GFF type: between key and value, between attributes, between values.
+#: Separators by GFF type: between key and value, between attributes, between values (fixed values).
 GFF_TYPES = {"gff3": ("=", ";", ","), "gff2": (" ", ";", None), "gtf2": (" ", ";", None)}
 
 
 def read_fasta(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """(id, descr, seq). Records are split at ``\\n>``; the header parts at its first white space."""
+    """(id, descr, seq). Records are split at ``\\n>``; the header parts at its first white space.
+
+    A file that does not begin with ``>`` is an error.
+    """
     reader = spark.readStream if streaming else spark.read
     raw = reader.option("lineSep", "\n>").text(path)
     body = F.regexp_replace("value", "^>", "")
@@ -61,20 +66,32 @@ def read_bed(spark: SparkSession, path: str, streaming: bool = False, extra: lis
 
 
 def read_bedpe(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    return _fields(spark, path, streaming).select(F.col("f")[0].alias("chrom1"), _long(1).alias("start1"), _long(2).alias("end1"), F.col("f")[3].alias("chrom2"), _long(4).alias("start2"), _long(5).alias("end2"), _rest(6).alias("aux"))
+    """Fields that the format marks as not known, ``.`` for a name and -1 for a place, are null."""
+    b = _fields(spark, path, streaming).select(F.col("f")[0].alias("chrom1"), _long(1).alias("start1"), _long(2).alias("end1"), F.col("f")[3].alias("chrom2"), _long(4).alias("start2"), _long(5).alias("end2"), _rest(6).alias("aux"))
+    return b.select(*[F.nullif(F.col(c), F.lit("." if c.startswith("chrom") else -1)).alias(c) for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2")], "aux")
+
+
+def gff_separators(kind: str | tuple[str, str, str | None]) -> tuple[str, str, str | None]:
+    """Those of a named type, or three of one's own: between key and value, between attributes, between values (or None)."""
+    if isinstance(kind, tuple):
+        return kind
+    if kind not in GFF_TYPES:
+        raise ValueError(f"{kind!r} is no known version of the GFF format: {', '.join(GFF_TYPES)}")
+    return GFF_TYPES[kind]
 
 
-def parse_attributes(c: Column | str, kind: str) -> Column:
-    """map of key to values. GFF3 splits values at commas and decodes them; the others lose all quotes around them."""
+def parse_attributes(c: Column | str, kind: str | tuple[str, str, str | None]) -> Column:
+    """map of key to values. GFF3 splits values at commas and decodes them; values of the others lose all quotes around them."""
     c = F.col(c) if isinstance(c, str) else c
-    delim, end, values = GFF_TYPES[kind]
-    parts = F.filter(F.transform(F.split(c, end), lambda x: F.trim(x)), lambda x: x != "")
+    delim, end, values = gff_separators(kind)
+    one = (lambda v: percent_decode(v)) if kind == "gff3" else (lambda v: records.trim_quotes(v))
+    parts = F.filter(F.transform(F.split(c, re.escape(end)), lambda x: F.trim(x)), lambda x: x != "")
 
     def pair(x: Column) -> Column:
         at = F.position(F.lit(delim), x)
         key = F.when(at > 0, F.left(x, at - 1)).otherwise(x)
         val = F.when(at > 0, F.trim(F.substring(x, at + 1, F.length(x)))).otherwise(F.lit(""))
-        vals = F.transform(F.split(val, values), percent_decode) if values else F.array(records.trim_quotes(val))
+        vals = F.transform(F.split(val, re.escape(values)) if values else F.array(val), one)
         return F.struct(key.alias("k"), vals.alias("v"))
 
     pairs = F.transform(parts, pair)
@@ -82,41 +99,46 @@ def parse_attributes(c: Column | str, kind: str) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("map<string,array<string>>")).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: F.flatten(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))))
 
 
-def read_gff(spark: SparkSession, path: str, kind: str = "gff3", streaming: bool = False) -> DataFrame:
-    """The nine columns, score and strand as texts, phase as a number, attributes as a map."""
-    if kind not in GFF_TYPES:
-        raise ValueError(f"String '{kind}' is not a valid GFFType (GFF/GTF format version).")
+def read_gff(spark: SparkSession, path: str, kind: str | tuple[str, str, str | None] = "gff3", streaming: bool = False) -> DataFrame:
+    """The nine columns, score and strand as texts, phase as a number, attributes as a map. ``kind``: a version or separators of one's own."""
+    gff_separators(kind)
     f = _fields(spark, path, streaming)
     cols = [F.col("f")[0].alias("seqname"), F.col("f")[1].alias("source"), F.col("f")[2].alias("feature_type"), _long(3).alias("start_pos"), _long(4).alias("end_pos"), F.col("f")[5].alias("score"), F.col("f")[6].alias("strand")]
     return f.select(*cols, records.parse_phase(F.col("f")[7]).alias("phase"), parse_attributes(F.col("f")[8], kind).alias("attributes"))
 
 
-def gff_text(df: DataFrame, kind: str = "gff3") -> Column:
-    """The line of each row; all values of a key are written, in GFF3 as one list."""
-    delim, end, values = GFF_TYPES[kind]
+def gff_text(df: DataFrame, kind: str | tuple[str, str, str | None] = "gff3") -> Column:
+    """The line of each row; all values of a key are written, in one list where the type separates values. A null column is ``.``."""
+    delim, end, values = gff_separators(kind)
+    code = records.gff3_encode if kind == "gff3" else (lambda v: F.concat(F.lit('"'), v, F.lit('"')))
 
     def entry(e: Column) -> Column:
         if values:
-            return F.concat(e["key"], F.lit(delim), F.array_join(F.transform(e["value"], records.gff3_encode), values))
-        return F.array_join(F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(delim + '"'), v, F.lit('"'))), end)
+            return F.concat(e["key"], F.lit(delim), F.array_join(F.transform(e["value"], code), values))
+        return F.array_join(F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(delim), code(v))), end)
 
-    attrs = F.array_join(F.transform(F.map_entries("attributes"), entry), end)
-    return F.concat_ws("\t", "seqname", "source", "feature_type", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.coalesce("score", F.lit(".")), F.coalesce("strand", F.lit(".")), records.phase_text("phase"), attrs)
+    attrs = F.nullif(F.array_join(F.transform(F.map_entries("attributes"), entry), end), F.lit(""))
+    columns = [F.col("seqname"), F.col("source"), F.col("feature_type"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.col("score"), F.col("strand"), records.phase_text("phase"), attrs]
+    return F.concat_ws("\t", *[F.coalesce(c, F.lit(".")) for c in columns])
 
 
 def write_lines(df: DataFrame, line: Column, path: str, mode: str = "errorifexists") -> None:
-    df.select(line.alias("value")).filter("value is not null").write.mode(mode).text(path)
+    """A row without a line is an error: nothing is left out silently."""
+    df.select(F.coalesce(line, F.raise_error(F.lit("a record lacks a field that its format needs")).cast("string")).alias("value")).write.mode(mode).text(path)
 
 
 def write_bed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    write_lines(df, records.bed_text("chrom", "start_pos", "end_pos", aux="aux"), path, mode)
+    """A null name is written as ``.``, a null place as -1; the format knows no nulls, so they are read as they stand."""
+    write_lines(df, records.bed_text(F.coalesce("chrom", F.lit(".")), F.coalesce("start_pos", F.lit(-1)), F.coalesce("end_pos", F.lit(-1)), aux="aux"), path, mode)
 
 
 def write_bedpe(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    write_lines(df, records.bed_text("chrom1", "start1", "end1", "chrom2", "start2", "end2", aux="aux"), path, mode)
+    """What is not known is written as the format says: ``.`` for a name, -1 for a place."""
+    fixed = [F.coalesce(F.col(c), F.lit("." if c.startswith("chrom") else -1)) for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2")]
+    write_lines(df, records.bed_text(*fixed, aux="aux"), path, mode)
 
 
-def write_gff(df: DataFrame, path: str, kind: str = "gff3", mode: str = "errorifexists") -> None:
+def write_gff(df: DataFrame, path: str, kind: str | tuple[str, str, str | None] = "gff3", mode: str = "errorifexists") -> None:
     write_lines(df, gff_text(df, kind), path, mode)
 
 

@@ -115,7 +115,7 @@ def test_probabilities(spark):
     assert one(spark, prob.combinations_with_repetition(F.lit(5.0), F.lit(3.0))) == 35
     assert one(spark, prob.kass_raftery(F.lit(151.0))) == "VeryStrong" and one(spark, prob.kass_raftery(F.lit(3.0))) == "Barely"
     big = spark.createDataFrame([("a", 1000.0), ("a", 1000.0), ("b", prob.NEG_INF)], "k string, x double")
-    got = {r.k: r.ln_sum for r in prob.ln_sum_exp_stable(big, ["k"], "x").collect()}
+    got = {r.k: r.ln_sum for r in prob.ln_sum_exp(big, ["k"], "x").collect()}
     assert got["a"] == pytest.approx(1000 + math.log(2)) and got["b"] == prob.NEG_INF
     for rule in ("trapezoid", "simpson"):
         area = prob.integrate(spark, lambda x: F.log(x), 1.0, 3.0, 101, rule).first().ln_integral
@@ -212,3 +212,60 @@ def test_qgram_matches(spark):
     z = spark.createDataFrame([(3, "GCTAAGA")], "id int, seq string")
     e = {(r.x_start, r.x_stop, r.y_start, r.y_stop) for r in qgrams.exact_matches(qgrams.kmer_matches(z, y, 3), 3).collect()}
     assert e == {(0, 3, 4, 7), (4, 7, 7, 10)} or (4, 7, 7, 10) in e
+
+
+def test_logs_of_any_size(spark):
+    import numpy as np
+
+    data = [("a", -800.0), ("a", -801.0), ("b", -5.0), ("b", -900.0), ("c", prob.NEG_INF), ("d", None), ("e", 700.0), ("e", 1100.0), (None, -3.0), ("f", float("inf")), ("f", 0.0)]
+    df = spark.createDataFrame([(k, x, 1) for k, x in data], "k string, x double, __n int")
+    got = {r.k: r.ln_sum for r in prob.ln_sum_exp(df, ["k"], "x").collect()}
+    want = {k: np.logaddexp.reduce([x for j, x in data if j == k and x is not None], initial=-np.inf) for k in {j for j, _ in data}}
+    assert got == pytest.approx(want)
+    assert prob.ln_sum_exp(df.limit(0), [], "x").first().ln_sum == prob.NEG_INF
+    rows = [(i % 3, i, -1000.0 + (i * 37 % 50) if i % 7 else None) for i in range(500)]
+    run = prob.ln_cumsum_exp(spark.createDataFrame(rows, "k int, i int, x double"), ["k"], ["i"], "x")
+    by = {r.i: r.ln_cum for r in run.collect()}
+    for k in range(3):
+        total = -np.inf
+        for _, i, x in (r for r in rows if r[0] == k):
+            total = total if x is None else np.logaddexp(total, x)
+            assert by[i] is None if x is None else by[i] == pytest.approx(total)
+    scanned = prob.scan_rows(spark.createDataFrame([(1, 12.0), (2, 18.0), (3, 4.0)], "i int, v double"), [], ["i"], "v", lambda a, b: math.gcd(int(a), int(b)))
+    assert [r.scan for r in scanned.orderBy("i").collect()] == [12.0, 6.0, 2.0]
+
+
+def test_masses_beyond_one(spark):
+    ok = spark.createDataFrame([(1, 0.5), (2, 0.500001)], "v int, p double")
+    assert [r.cdf for r in prob.cdf(ok, [], "v", "p").orderBy("v").collect()] == [0.5, 1.0]
+    with pytest.raises(Exception, match="above 1"):
+        prob.cdf(spark.createDataFrame([(1, 0.9), (2, 0.9)], "v int, p double"), [], "v", "p").collect()
+    c = prob.cdf(spark.createDataFrame([(1, 0.25), (3, 0.5)], "v int, p double"), [], "v", "p")
+    probes = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,)], "at double")
+    assert {r["at"]: r.p for r in prob.cdf_get_pmf(c, probes, "v", "at").collect()} == {0.0: 0.0, 1.0: 0.25, 2.0: 0.25, 3.0: 0.5}
+
+
+def test_many_hits_and_overlaps(spark):
+    import re
+    import time
+
+    for t, p in (("A" * 5000, "AA"), ("ab" * 3000 + "é😀" * 600, "bab"), ("x" * 511 + "yx" * 400, "xyx"), ("\n" * 2000, "\n")):
+        want = [m.start() for m in re.finditer(f"(?={re.escape(p)})", t)]
+        assert one(spark, search.find_all("s", p), s=t) == want
+    took = []
+    for n in (20_000, 80_000, 320_000):
+        began = time.time()
+        assert one(spark, F.size(search.find_all("s", "AA")), s="A" * n) == n - 1
+        took.append(time.time() - began)
+    assert took[2] < 16 * max(took[1], 0.3)
+
+
+def test_counted_overlaps(spark):
+    l = spark.createDataFrame([(1, "a", 0, 10), (2, "a", 10, 10), (3, "b", 5, 6), (4, None, 0, 9), (5, "z", 0, 9), (6, "a", -5, 300)], "i int, k string, s bigint, e bigint")
+    r = spark.createDataFrame([("a", 9, 20), ("a", 10, 20), ("a", -9, 0), ("a", -9, 1), ("a", 3, 3), ("b", 0, 100_000), ("b", 0, 100_000), (None, 0, 9)], "kk string, t bigint, u bigint")
+    got = {x.i: x.n_hits for x in intervals.annotate_hits(l, r, ("s", "e"), ("t", "u"), [("k", "kk")], "i").collect()}
+    assert got == {1: 2, 2: 0, 3: 2, 4: 0, 5: 0, 6: 4}
+    for a, b in ((l.limit(0), r), (l, r.limit(0))):
+        assert intervals.interval_join(a, b, ("s", "e"), ("t", "u"), [("k", "kk")]).count() == 0
+    anti = intervals.interval_join(l, r, ("s", "e"), ("t", "u"), [("k", "kk")], how="left_anti")
+    assert sorted(x.i for x in anti.collect()) == [2, 4, 5]

@@ -277,3 +277,18 @@ def test_adaptive_integral():
     assert np.exp(integrate.adaptive(lambda x: 0.0, 0, 2, 0.1)) == pytest.approx(2)
     with pytest.raises(ValueError):
         integrate.adaptive(lambda x: 0.0, 2, 1, 0.1)
+
+
+def test_chain_with_gap_costs():
+    assert sparse.sdpkpp([(0, 0), (9, 12)], 4, 10, 0, -1).score == 72  # eight symbols and a gap of max(5, 8)
+    assert sparse.sdpkpp([(0, 0), (4, 4)], 4, 1, -5, -1).score == 8 and sparse.sdpkpp([(0, 0), (5, 4)], 4, 1, -1, -1).score == 6
+    m = [(0, 0), (20, 20), (21, 21), (40, 90)]
+    assert sparse.union_path(m, 4, 1, -3, -1) == [0, 1, 2, 3]
+
+
+def test_only_plain_models_are_trained():
+    g = hmm.Gaussian([[0.5, 0.5], [0.5, 0.5]], [[0.0, 1.0], [2.0, 1.0]], [0.5, 0.5])
+    with pytest.raises(TypeError, match="Gaussian"):
+        hmm.train(g, [[0.1, 2.0, 1.5]])
+    m = hmm.Discrete([[0.5, 0.5], [0.4, 0.6]], [[0.5, 0.5], [0.1, 0.9]], [0.5, 0.5])
+    assert list(hmm.states(m)) == [0, 1] and list(hmm.transitions(m))[2] == (1, 0, 0.4)

@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.sources import formats, text
 from strandline.streaming import matcher
@@ -145,3 +147,74 @@ def test_streams(spark, tmp_path):
     q = matcher.find_in_chunks(s, "k", "o", "c", "GATTACA").writeStream.format("memory").queryName("fc").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert sorted(r.pos for r in spark.sql("select pos from fc").collect()) == [0, 7]
+
+
+def test_fastq_splits_meet_at_record_borders(spark, tmp_path):
+    rng = random.Random(8)
+    records = []
+    for i in range(300):
+        n = rng.randint(1, 40)
+        records.append((f"r{i}", rng.choice([None, "x y", ""]), "".join(rng.choice("ACGT") for _ in range(n)), rng.choice("@+I") + "".join(rng.choice("@+I!~") for _ in range(n - 1))))
+    text_ = "".join(formats.fastq_record(*r) for r in records)
+    formats.register(spark)
+    for name, content in (("a", text_), ("b", text_[:-1]), ("c", text_.replace("\n", "\r\n")), ("d", text_ + "\n\n")):
+        p = tmp_path / f"{name}.fastq"
+        p.write_bytes(content.encode())
+        for split in (37, 1000, 10**6):
+            df = spark.read.format("fastq").option("split", split).load(str(p))
+            assert rows(df) == sorted(records, key=str), (name, split)
+    assert df.rdd.getNumPartitions() == 1 and spark.read.format("fastq").option("split", 1000).load(str(p)).rdd.getNumPartitions() > 10
+    (tmp_path / "bad.fastq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
+    with pytest.raises(Exception, match="Incomplete"):
+        spark.read.format("fastq").load(str(tmp_path / "bad.fastq")).collect()
+
+
+def test_sinks_lose_nothing(spark, tmp_path):
+    bed = spark.createDataFrame([(None, 1, 2, ["n"]), ("c", 3, None, None)], "chrom string, start_pos bigint, end_pos bigint, aux array<string>")
+    text.write_bed(bed, str(tmp_path / "b"))
+    assert rows(text.read_bed(spark, str(tmp_path / "b"))) == [(".", 1, 2, ["n"]), ("c", 3, -1, [])]
+    pe = spark.createDataFrame([(None, None, 5, "d", 1, None, ["n"])], "chrom1 string, start1 bigint, end1 bigint, chrom2 string, start2 bigint, end2 bigint, aux array<string>")
+    text.write_bedpe(pe, str(tmp_path / "p"))
+    assert rows(text.read_bedpe(spark, str(tmp_path / "p"))) == rows(pe)
+    gff = spark.createDataFrame([(None, None, None, 1, 2, None, None, None, None)], "seqname string, source string, feature_type string, start_pos bigint, end_pos bigint, score string, strand string, phase tinyint, attributes map<string,array<string>>")
+    text.write_gff(gff, str(tmp_path / "g"))
+    assert spark.read.text(str(tmp_path / "g")).first()[0] == ".\t.\t.\t1\t2\t.\t.\t.\t."
+    own = gff.withColumn("attributes", F.expr("map('k', array('a b', 'c'), 'l', array('d'))"))
+    text.write_gff(own, str(tmp_path / "h"), (":", "|", "+"))
+    assert spark.read.text(str(tmp_path / "h")).first()[0].endswith('k:"a b"+"c"|l:"d"')
+    assert text.read_gff(spark, str(tmp_path / "h"), (":", "|", "+")).first().attributes == {"k": ["a b", "c"], "l": ["d"]}
+    formats.register(spark)
+    for bad, write in ((spark.createDataFrame([("a", None, None)], formats.FASTA_SCHEMA), lambda d: text.write_fasta(d, str(tmp_path / "x2"))), (spark.createDataFrame([("a", None, None)], formats.FASTA_SCHEMA), lambda d: d.write.format("fasta").mode("append").save(str(tmp_path / "x3")))):
+        with pytest.raises(Exception, match="needs"):
+            write(bad)
+
+
+def test_overwriting_waits_for_success(spark, tmp_path):
+    formats.register(spark)
+    out = str(tmp_path / "o")
+    one = spark.createDataFrame([("a", None, "AC")], formats.FASTA_SCHEMA)
+    one.write.format("fasta").mode("append").save(out)
+    with pytest.raises(Exception, match="needs"):
+        spark.createDataFrame([("b", None, None)], formats.FASTA_SCHEMA).write.format("fasta").mode("overwrite").save(out)
+    assert rows(spark.read.format("fasta").load(out)) == rows(one)
+    two = spark.createDataFrame([("b", None, "GG")], formats.FASTA_SCHEMA)
+    two.write.format("fasta").mode("overwrite").save(out)
+    assert rows(spark.read.format("fasta").load(out)) == rows(two)
+    assert not [n for n in os.listdir(out) if n.startswith("_")]
+
+
+def test_files_that_arrive_out_of_order(spark, tmp_path):
+    formats.register(spark)
+    src, mark = tmp_path / "in", str(tmp_path / "mark")
+    src.mkdir()
+    seen = []
+
+    def take():
+        q = spark.readStream.format("fasta").load(str(src)).writeStream.foreachBatch(lambda df, _: seen.extend(r.id for r in df.collect())).trigger(availableNow=True).option("checkpointLocation", mark).start()
+        q.awaitTermination()
+
+    (src / "b.fa").write_text(">b\nAC\n")
+    take()
+    (src / "a.fa").write_text(">a\nAC\n")
+    take()
+    assert seen == ["b", "a"]
