@@ -110,7 +110,7 @@ def read_gff(spark: SparkSession, path: str, kind: str | tuple[str, str, str | N
 def gff_text(df: DataFrame, kind: str | tuple[str, str, str | None] = "gff3") -> Column:
     """The line of each row; all values of a key are written, in one list where the type separates values. A null column is ``.``."""
     delim, end, values = gff_separators(kind)
-    code = records.gff3_encode if kind == "gff3" else (lambda v: F.concat(F.lit('"'), v, F.lit('"')))
+    code = (lambda v: F.regexp_replace(records.gff3_encode(v), "^ | $", "%20")) if kind == "gff3" else (lambda v: F.concat(F.lit('"'), v, F.lit('"')))
 
     def entry(e: Column) -> Column:
         if values:
