@@ -2,7 +2,8 @@
 
 A record above ``limit`` symbols is bisected: the cut goes into the strongest boundary (the longest run of unknown
 bases) within reach of the midpoint, or onto the midpoint where none is in reach; halves that still exceed
-``limit - overlap`` are bisected again; at the end every piece but the first is extended to the left by ``overlap``.
+``limit - overlap`` are bisected again; at the end every piece but the first is extended to the left by ``overlap``. A piece knows the boundaries that begin in its own
+part, before any overlap, so that together the pieces of a record name each of its boundaries once.
 
 Defined results: a null sequence counts as empty and comes out as one empty piece; a record of at most ``limit``
 symbols is one piece; a null id stays null; rows with equal ids are split separately; an empty table gives no rows.
@@ -12,6 +13,7 @@ Only the named columns are read, so extra columns of any name do no harm.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,29 +58,30 @@ def bisect(length: int, runs: list[tuple[int, int]], limit: int, overlap: int, r
 
 
 def _between(runs: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left, bisect_right
-
     i, j = bisect_left(runs, lo, key=lambda r: r[1]), bisect_right(runs, hi, key=lambda r: r[0])
     return runs[i:j]
 
 
-_PIECE = pa.struct([("piece_no", pa.int32()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("cut", pa.string())])
+_PIECE = pa.struct([("piece_no", pa.int32()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("cut", pa.string()), ("gaps", pa.list_(pa.int64()))])
 
 
 def bisect_records(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", limit: int = LIMIT, overlap: int = OVERLAP, min_run: int = MIN_RUN, reach: float = REACH) -> DataFrame:
-    """One row per oversized record: id, seq (cleaned), its boundary runs and its pieces."""
+    """(rec_id, seq, pieces): one row per oversized record, its cleaned symbols, and its pieces with the boundaries in each."""
     src = df.select(F.col(id_col).alias("rec_id"), clean_seq(seq_col).alias("seq")).filter(F.length("seq") > limit)
     schema = df.select(F.col(id_col).alias("rec_id")).schema
-    out = f"rec_id {schema[0].dataType.simpleString()}, seq string, gaps array<bigint>, pieces array<struct<piece_no:int,start_pos:bigint,end_pos:bigint,cut:string>>"
+    out = f"rec_id {schema[0].dataType.simpleString()}, seq string, pieces array<struct<piece_no:int,start_pos:bigint,end_pos:bigint,cut:string,gaps:array<bigint>>>"
+
+    def split(s: str) -> list[dict]:
+        runs = gap_runs(s, min_run)
+        parts = bisect(len(s), runs, limit, overlap, reach)
+        own = [0] + [a + overlap for a, _, _ in parts[1:]] + [len(s)]
+        starts = [a for a, _ in runs]
+        at = [bisect_left(starts, p) for p in own]
+        return [{"piece_no": i, "start_pos": a, "end_pos": b, "cut": k, "gaps": starts[at[i] : at[i + 1]]} for i, (a, b, k) in enumerate(parts)]
 
     def run(batches):
         for b in batches:
-            gaps, pieces = [], []
-            for s in b.column(1).to_pylist():
-                runs = gap_runs(s, min_run)
-                gaps.append([r[0] for r in runs])
-                pieces.append([{"piece_no": i, "start_pos": x, "end_pos": y, "cut": k} for i, (x, y, k) in enumerate(bisect(len(s), runs, limit, overlap, reach))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gaps, pa.list_(pa.int64())), pa.array(pieces, pa.list_(_PIECE))], ["rec_id", "seq", "gaps", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([split(s) for s in b.column(1).to_pylist()], pa.list_(_PIECE))], ["rec_id", "seq", "pieces"])
 
     return src.mapInArrow(run, out)
 
@@ -96,9 +99,10 @@ def split_oversized(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq",
 
 
 def boundary_runs(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", limit: int = LIMIT, overlap: int = OVERLAP, min_run: int = MIN_RUN) -> DataFrame:
-    """(rec_id, gap_start): the boundaries the bisection chose among, -1 for an oversized record without any."""
+    """(rec_id, gap_start): the boundaries in the pieces of each oversized record; -1 for a record without any in its pieces."""
     found = bisect_records(df, id_col, seq_col, limit, overlap, min_run)
-    return found.select("rec_id", F.explode(F.when(F.size("gaps") == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col("gaps"))).alias("gap_start"))
+    gaps = F.flatten(F.transform("pieces", lambda p: p["gaps"]))
+    return found.select("rec_id", F.explode(F.when(F.size(gaps) == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(gaps)).alias("gap_start"))
 
 
 def claimed_lengths(fai: DataFrame) -> DataFrame:
