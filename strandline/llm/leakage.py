@@ -5,7 +5,7 @@ The patterns are all runs of ``span`` consecutive words of the test items. The s
 holds allows the full shift of ``span - BLOCK + 1`` words. The scan looks at blocks one full shift apart: every
 occurrence holds exactly one whole such block, so windows between blocks that no pattern holds are skipped unread.
 At the other blocks the windows that the shift leaves open are looked up in buckets by their suffix block and
-fingerprint, and every bucket entry is confirmed by comparing its words one by one.
+fingerprint; where all their words' fingerprints agree the words themselves are compared, one by one.
 
 The items are the stated query set: they are taken in groups of ``block_words`` words, each a pass over the documents,
 so that what a worker holds has a fixed bound.
@@ -24,6 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SPAN, BLOCK = 12, 3
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -47,6 +48,10 @@ class WordPrints(dict):
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 
+def words_of(text: str | None) -> list[str]:
+    return [w for chunk in (text or "").split() for w in _WORD.findall(chunk.lower())]
+
+
 def _blocks(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of n words from each place."""
     h = np.zeros(len(at), np.uint64)
@@ -63,6 +68,7 @@ class Patterns:
         prints = WordPrints()
         self.span, self.full = span, span - BLOCK + 1
         words, item, first = [], [], []
+        self.texts: list[str] = []
         blocks, shift = [], []
         base = 0
         for i, (_, text) in enumerate(items):
@@ -70,6 +76,7 @@ class Patterns:
             if len(w) < span:
                 continue
             words.append(w)
+            self.texts += words_of(text)
             n = len(w) - span + 1
             item.append(np.full(n, i))
             first.append(base + np.arange(n))
@@ -101,11 +108,11 @@ class Patterns:
         out[maybe[hit]] = i[hit]
         return out
 
-    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first word, item number) of all occurrences."""
+    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the first word, item number, place of the first word in the items) of all occurrences, by fingerprints of words."""
         none = np.zeros(0, np.int64)
         if not self.size or len(words) < self.span:
-            return none, none
+            return none, none, none
         at = np.arange(0, len(words) - BLOCK + 1, self.full)
         i = self._lookup(_blocks(words, at, BLOCK))
         at, reach = at[i >= 0], self.span - BLOCK - self.shift[i[i >= 0]]
@@ -121,7 +128,7 @@ class Patterns:
         same = np.ones(len(start), bool)
         for j in range(self.span):
             same &= words[start + j] == self.words[self.first[entry] + j]
-        return start[same], self.item[entry[same]]
+        return start[same], self.item[entry[same]], self.first[entry[same]]
 
 
 def item_groups(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
@@ -144,7 +151,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     spark = docs.sparkSession
     kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, n_spans bigint"
     src = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    item_type = pa.int64() if "bigint" in kinds.split("item_id")[1] else None
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     out = None
     gap = b"\0" * 8 * span
     for group in item_groups(items, item_id, item_text, block_words):
@@ -158,8 +165,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
                     part = b.slice(at, rows)
                     texts = [prints.of(t) for t in part.column(1).to_pylist()]
                     begin = np.cumsum([0, *(len(t) // 8 + span for t in texts)])
-                    start, item = patterns.search(np.frombuffer(gap.join(texts) + gap, np.uint64))
+                    start, item, first = patterns.search(np.frombuffer(gap.join(texts) + gap, np.uint64))
                     doc = np.searchsorted(begin, start, side="right") - 1
+                    own = {int(d): words_of(part.column(1)[int(d)].as_py()) for d in np.unique(doc)}
+                    same = np.array([own[d][s : s + span] == patterns.texts[f : f + span] for d, s, f in zip(doc.tolist(), (start - begin[doc]).tolist(), first.tolist())], bool)
+                    doc, item = doc[same], item[same]
                     both, n = np.unique(np.stack([doc, item], 1), axis=0, return_counts=True) if len(doc) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(both[:, 0])), pa.array([ids[i] for i in both[:, 1]], item_type), pa.array(n)], ["doc_id", "item_id", "n_spans"])
 
