@@ -1,19 +1,23 @@
 """Problem 10: missing or wrong language labels, by language-bitmask n-gram filters.
 
 One table of slots holds a Bloom filter for every language side by side: bit ``l`` of a slot belongs to language ``l``,
-and the AND over an n-gram's slots is the set of all languages that contain it. For a word the bits of its n-grams are
-counted by language; each count is corrected by the share of slots that are set by chance, and the languages whose
-corrected count is complete enough and largest keep the word. A paragraph's counts are the words kept by each language;
-the largest decides, and the confidence is its lead over the next one as a share of both.
-
-The filters are fitted on the samples of certain language and on a bounded sample of documents (``fit_docs`` rows, those
-of the smallest hash of their id): paragraphs that the samples' own filters decide clearly add the words that recur in
-them. All documents, whole texts and all paragraphs are labelled.
-
-Defined results: a document without numbered paragraphs is one paragraph; a null or empty text, or one without a known
-word, has a null language and confidence 0 and is never reported as wrong; a paragraph without a known word takes the
-document's language; ties go to the language with more words in the document, then by name; null ids and repeated rows
-are kept, each row on its own; an empty table gives no rows.
+and the AND over an n-gram's slots is the set of all languages that contain it. For a word the bits of its n-grams of 3
+and 4 letters are counted by language; each count is corrected by the share of slots that are set by chance, and the
+languages whose corrected count is complete enough and largest keep the word. A text's counts are the words kept by
+each language; the largest decides, and the confidence is its lead over the next one as a share of both.
+
+The languages are those of the samples of certain language, of which at most ``fit_rows`` are taken. Filters of the
+samples alone decide the paragraphs of all documents first; the words of clear ones are counted by language over the
+whole corpus, and those that are frequent enough in a language, and not far more so in another, widen its filter. Then all
+documents, whole texts and all paragraphs are labelled.
+
+A document without numbered paragraphs is cut into sentences, and these are put together into its segments of one
+language by the cheapest path: a change of language costs ``SWITCH`` words.
+
+Defined results: a null or empty text, or one without a known word, has a null language and confidence 0 and is never
+reported as wrong; a paragraph without a known word takes the document's language; ties go to the language with more
+words in the document, then by name; null ids and repeated rows are kept, each row on its own; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,8 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, HASHES, FIT_DOCS, KEEP_SHARE = 1 << 17, 2, 2000, 0.8
-#: Usual codes and names of languages, in lower case and without accents.
+from strandline.session import materialize
+
+SLOTS, HASHES, KEEP_SHARE = 1 << 17, 2, 0.8
+#: Samples of certain language that are taken, those of the smallest hash.
+FIT_ROWS = 10_000
+#: Paragraphs of a language that must hold a word, at least and as a share of all: a filter has at most the mean paragraph's words / MIN_SHARE.
+MIN_COUNT, MIN_SHARE = 3, 2e-4
+#: Least confidence of a clear paragraph.
+CLEAR = 0.18
+#: Words that a change of language within a text without numbers must gain.
+SWITCH = 6
+#: Usual codes and names of languages, in lower case and without accents. Any other language is named by its code.
 NAMES = {
     "en": ["en", "eng", "english", "anglais", "ingles", "inglese", "englisch", "engels"],
     "fr": ["fr", "fra", "fre", "french", "francais", "frances", "francese", "franzosisch", "frans"],
@@ -37,6 +51,17 @@ NAMES = {
     "it": ["it", "ita", "italian", "italiano", "italien", "italienisch", "italiaans"],
     "nl": ["nl", "nld", "dut", "dutch", "nederlands", "flemish", "vlaams", "neerlandais", "holandes", "olandese", "niederlandisch"],
     "pt": ["pt", "por", "portuguese", "portugues", "portugais", "portoghese", "portugiesisch", "portugees"],
+    "sv": ["sv", "swe", "swedish", "svenska"],
+    "da": ["da", "dan", "danish", "dansk"],
+    "no": ["no", "nor", "nb", "nn", "norwegian", "norsk"],
+    "fi": ["fi", "fin", "finnish", "suomi"],
+    "pl": ["pl", "pol", "polish", "polski"],
+    "cs": ["cs", "ces", "cze", "czech", "cestina"],
+    "ro": ["ro", "ron", "rum", "romanian", "romana"],
+    "hu": ["hu", "hun", "hungarian", "magyar"],
+    "tr": ["tr", "tur", "turkish", "turkce"],
+    "ca": ["ca", "cat", "catalan", "catala"],
+    "la": ["la", "lat", "latin"],
 }
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKER = re.compile(r"^[ \t]*(?:(\()(\d+)\)|(\[)(\d+)\]|(§) ?(\d+)(?=\s)|()(\d+)([).]?))(?=[ \t]+\S|[ \t]*$)", re.M)
@@ -44,6 +69,7 @@ _PAGE = re.compile(r"^.*—\s+\S+\s+\d+\s+\S+\s+\d+\s*$", re.M)
 #: What a paragraph begins with that a wrapped line after a bare number does not.
 _BEGIN = re.compile(r"[ \t]+(?:[*█…]|[(\[][^\d\s]|[^\W\d_a-zß-öø-ÿ])")
 _END = tuple(".?!:;)]\"»”’…█*")
+_SENTENCE = re.compile(r"(?:[^.!?;\n]|[.!?;](?!\s))*(?:[.!?;]+\s+|\n\s*|$)")
 
 
 def fold(text: str) -> str:
@@ -51,13 +77,16 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-def label_language(c: Column | str) -> Column:
-    """The language a label names, whatever its case, blanks and region; null where it names none that is known."""
+def label_language(c: Column | str, langs: list[str] | None = None) -> Column:
+    """The language a label names, whatever its case, blanks and region; null where it names none that is known.
+
+    ``langs``: codes that are known beside those with names.
+    """
     c = F.col(c) if isinstance(c, str) else c
     plain = F.translate(F.lower(F.trim(c)), "àáâãäçèéêëìíîïñòóôõöùúûü", "aaaaaceeeeiiiinooooouuuu")
     head = F.element_at(F.split(plain, r"[-_ (,;./]"), 1)
     out = F.lit(None).cast("string")
-    for lang, names in NAMES.items():
+    for lang, names in ({l: [l.lower()] for l in langs or []} | NAMES).items():
         out = F.when(head.isin(names), lang).otherwise(out)
     return out
 
@@ -88,8 +117,30 @@ def paragraphs(text: str) -> list[tuple[int, str]]:
     return [(k, _PAGE.sub("", text[e:end])) for (k, _, e), end in zip(best, ends)]
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """The spans of a text's sentences and lines, without those that are blank."""
+    return [m.span() for m in _SENTENCE.finditer(text) if m.group().strip()]
+
+
+def segments(votes: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, int]]:
+    """(first, end, language number) of the segments of a sequence of units, from their votes: the path that keeps most words, less ``switch`` a change."""
+    n, size = len(votes), votes.shape[1] - 1
+    score, back = votes[0, :size].astype(float), np.zeros((n, size), np.int64)
+    for t in range(1, n):
+        top = int(score.argmax())
+        stay = score >= score[top] - switch
+        back[t] = np.where(stay, np.arange(size), top)
+        score = np.where(stay, score, score[top] - switch) + votes[t, :size]
+    path = [int(score.argmax())]
+    for t in range(n - 1, 0, -1):
+        path.append(int(back[t, path[-1]]))
+    path = np.array(path[::-1])
+    cut = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [n]))
+    return [(int(a), int(b), int(path[a])) for a, b in zip(cut, cut[1:])]
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, hash) of all n-grams of 2 to 4 letters of the words, their edges included."""
+    """(word number, hash) of all n-grams of 3 and 4 letters of the words, their edges included."""
     raw = ("\1" + "\1\1".join(words) + "\1").encode("utf-32-le")
     c = np.frombuffer(raw, np.uint32).astype(np.uint64)
     word = np.cumsum(np.concatenate(([False], (c[1:] == 1) & (c[:-1] == 1))))
@@ -198,96 +249,149 @@ def decide(votes: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarr
     rest = v.copy()
     rest[r, best] = -1
     second = np.maximum(rest.max(1), 0) if size > 1 else np.zeros(len(v))
-    confidence = np.round(np.where(top > 0, (top - np.floor(second + 0.5)) / np.maximum(top, 1), 0), 4)
+    second = np.floor(second + 0.5)
+    confidence = np.round(np.where(top > 0, (top - second) / np.maximum(top + second, 1), 0), 4)
     return np.where(top > 0, best, -1), np.clip(confidence, 0, 1)
 
 
-def fit(samples: list[tuple[str, str]], texts: list[str], slots: int = SLOTS) -> Filters:
-    """Filters from (language, text) samples, widened by the clear paragraphs of a bounded list of texts."""
+def fit(samples: list[tuple[str, str]], more: dict[str, list[str]] | None = None, slots: int = SLOTS) -> Filters:
+    """Filters from (language, text) samples, and from further words by language."""
     langs = sorted({l for l, t in samples if l and t})
-    words = {l: set() for l in langs}
+    words = {l: set((more or {}).get(l, ())) for l in langs}
     for l, t in samples:
         if l and t:
             words[l].update(_LETTERS.findall(fold(t)))
-    first = Filters(langs, slots)
+    out = Filters(langs, slots)
     for l in langs:
-        first.add(l, sorted(words[l]))
-    first.seal()
+        out.add(l, sorted(words[l]))
+    out.seal()
+    return out
+
+
+def _clear(voter: Voter, texts: list[str]) -> list[tuple[int, set[str]]]:
+    """(language number, words) of the numbered paragraphs of texts that are clearly of one language."""
     pars = [p for t in texts if t for _, p in paragraphs(t)]
     if not pars:
-        return first
-    lang, sure = decide(Voter(first).votes(pars))
-    counts: dict[str, Counter] = defaultdict(Counter)
-    total = Counter()
-    for p, l, s in zip(pars, lang, sure):
-        if l >= 0 and s >= 0.3:
-            for w in set(_LETTERS.findall(fold(p))):
-                counts[w][l] += 1
-            total[l] += 1
-    second = Filters(langs, slots)
-    for i, l in enumerate(langs):
-        kept = [w for w, n in counts.items() if n[i] >= 3 and n[i] / total[i] >= 0.1 * max(n[j] / total[j] for j in n)]
-        second.add(l, sorted(words[l] | set(kept)))
-    second.seal()
-    return second
-
-
-def fit_filters(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> Filters:
-    texts = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(fit_docs).toArrow()
-    pairs = samples.filter("lang is not null and text is not null").select("lang", "text").toArrow()
-    return fit(list(zip(pairs.column("lang").to_pylist(), pairs.column("text").to_pylist())), texts.column("t").to_pylist())
-
-
-def label_segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, rows: int = 256) -> DataFrame:
-    """(doc_id, par_no, lang, confidence, n_words, doc_lang, label_lang): par_no 0 is the document, then each numbered paragraph."""
-    filters = docs.sparkSession.sparkContext.broadcast(fit_filters(docs, samples, id_col, text_col, fit_docs))
+        return []
+    lang, sure = decide(voter.votes(pars))
+    return [(int(l), set(_LETTERS.findall(fold(p)))) for p, l, s in zip(pars, lang, sure) if l >= 0 and s >= CLEAR]
+
+
+def frequent_words(docs: DataFrame, text_col: str, first: Filters) -> dict[str, list[str]]:
+    """By language the words of clear paragraphs, counted over all documents, that speak for it.
+
+    Counts are summed up by the workers first. What comes back is bounded by MIN_SHARE: each word stands in at least that
+    share of the language's clear paragraphs.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(first)
+
+    def count(batches):
+        voter = Voter(held.value)
+        counts: Counter = Counter()
+
+        def batch():
+            word, lang = zip(*counts) if counts else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(lang, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "lang", "n"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for l, words in _clear(voter, b.column(0).slice(at, 256).to_pylist()):
+                    counts[None, l] += 1
+                    counts.update((w, l) for w in words)
+                if len(counts) > 300_000:
+                    yield batch()
+                    counts.clear()
+        yield batch()
+
+    rows = materialize(docs.select(text_col).mapInArrow(count, "word string, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")), "p10-words")
+    total = {r.lang: r.n for r in rows.filter("word is null").collect()}  # one row for each language
+    if not total:
+        return {}
+    of = F.create_map(*[F.lit(x) for l, n in total.items() for x in (l, float(n))])[F.col("lang")]
+    share = rows.filter("word is not null").select("word", "lang", "n", (F.col("n") / of).alias("share"), of.alias("total"))
+    top = share.groupBy("word").agg(F.max("share").alias("top"))
+    often = share.filter((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE))
+    kept = often.join(top, "word").filter(F.col("share") >= 0.1 * F.col("top")).select("lang", "word").toArrow()
+    out = defaultdict(list)
+    for l, w in zip(kept.column("lang").to_pylist(), kept.column("word").to_pylist()):
+        out[first.langs[l]].append(w)
+    return out
+
+
+def fit_filters(docs: DataFrame, samples: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> Filters:
+    pairs = samples.filter("lang is not null and text is not null").select("lang", "text").orderBy(F.xxhash64("lang", "text")).limit(fit_rows).toArrow()
+    known = list(zip(pairs.column("lang").to_pylist(), pairs.column("text").to_pylist()))
+    return fit(known, frequent_words(docs, text_col, fit(known)))
+
+
+def label_segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, rows: int = 256) -> DataFrame:
+    """(doc_id, par_no, lang, confidence, n_words, doc_lang, label_lang, seg_start, seg_end), for each row of ``docs``.
+
+    par_no 0 is the document, k > 0 the paragraph numbered k. In a document without numbers -1, -2, ... are its segments
+    from the first to the last, where it has more than one language; they have their places in the text.
+    """
+    found = fit_filters(docs, samples, text_col, fit_rows)
+    filters = docs.sparkSession.sparkContext.broadcast(found)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         f = filters.value
         voter = Voter(f)
-        names = pa.array([*f.langs, None])
+        names = pa.array([*f.langs, None], pa.string())
+        n = len(f.langs)
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                doc, no, texts = [], [], []
+                doc, no, texts, spans = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    for k, p in paragraphs(t or "") or [(-1, t or "")]:
+                    t = t or ""
+                    units = [(k, p, None) for k, p in paragraphs(t)] or [(-1, t[x:y], (x, y)) for x, y in sentences(t)] or [(-1, t, (0, 0))]
+                    for k, p, span in units:
                         doc.append(i)
                         no.append(k)
                         texts.append(p)
-                doc, no = np.array(doc), np.array(no)
+                        spans.append(span)
+                doc, no = np.array(doc, np.int64), np.array(no, np.int64)
                 votes = voter.votes(texts)
                 per_doc = np.zeros((part.num_rows, votes.shape[1]), np.int64)
                 np.add.at(per_doc, doc, votes)
+                numbered = no > 0
                 lang, sure = decide(votes, per_doc[doc, :-1])
                 ballots = np.zeros_like(per_doc)
-                np.add.at(ballots, (doc[lang >= 0], lang[lang >= 0]), 1)
+                np.add.at(ballots, (doc[(lang >= 0) & numbered], lang[(lang >= 0) & numbered]), 1)
+                free = np.flatnonzero(np.bincount(doc[~numbered], minlength=part.num_rows))
+                ballots[free] = per_doc[free]
                 main, _ = decide(ballots, per_doc[:, :-1])
                 r = np.arange(part.num_rows)
                 share = np.where(main >= 0, per_doc[r, main] / np.maximum(per_doc[:, :-1].max(1), 1), 0)
                 _, lead = decide(per_doc)
-                main_sure = np.round(share * lead, 4)
-                numbered = no > 0
+                out = [(int(i), 0, int(main[i]), float(c), int(w), None) for i, c, w in zip(r, np.round(share * lead, 4), per_doc[:, -1])]
                 lang = np.where(lang < 0, main[doc], lang)
-                rec = np.concatenate((r, doc[numbered]))
-                got = np.concatenate((main, lang[numbered]))
-                n = len(f.langs)
+                out += zip(doc[numbered].tolist(), no[numbered].tolist(), lang[numbered].tolist(), sure[numbered].tolist(), votes[numbered, -1].tolist(), [None] * int(numbered.sum()))
+                for i in free:
+                    unit = np.flatnonzero(doc == i)
+                    found_ = segments(votes[unit])
+                    for k, (x, y, l) in enumerate(found_ if len(found_) > 1 else [], 1):
+                        own = votes[unit[x:y]].sum(0, keepdims=True)
+                        out.append((int(i), -k, l, float(decide(own)[1][0]), int(own[0, -1]), (spans[unit[x]][0], spans[unit[y - 1]][1])))
+                rec, par, got, conf, words, place = zip(*out)
+                rec, got = np.array(rec), np.array(got)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(rec)),
-                        pa.array(np.concatenate((np.zeros(len(r), np.int64), no[numbered]))),
+                        pa.array(par, pa.int64()),
                         names.take(pa.array(np.where(got < 0, n, got))),
-                        pa.array(np.concatenate((main_sure, sure[numbered])).astype(float)),
-                        pa.array(np.concatenate((per_doc[:, -1], votes[numbered, -1]))),
+                        pa.array(conf, pa.float64()),
+                        pa.array(words, pa.int64()),
                         names.take(pa.array(np.where(main[rec] < 0, n, main[rec]))),
                         part.column(2).take(pa.array(rec)),
+                        *(pa.array([None if x is None else x[k] for x in place], pa.int64()) for k in (0, 1)),
                     ],
-                    ["doc_id", "par_no", "lang", "confidence", "n_words", "doc_lang", "label_lang"],
+                    ["doc_id", "par_no", "lang", "confidence", "n_words", "doc_lang", "label_lang", "seg_start", "seg_end"],
                 )
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), label_language(lang_col).alias("label_lang"))
-    return src.mapInArrow(run, f"doc_id {id_type}, par_no bigint, lang string, confidence double, n_words bigint, doc_lang string, label_lang string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), label_language(lang_col, found.langs).alias("label_lang"))
+    return src.mapInArrow(run, f"doc_id {id_type}, par_no bigint, lang string, confidence double, n_words bigint, doc_lang string, label_lang string, seg_start bigint, seg_end bigint")
 
 
 def mislabelled(segments: DataFrame) -> DataFrame:
