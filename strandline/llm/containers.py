@@ -1,7 +1,8 @@
 """Problem 8: filling fixed-capacity containers, by exact-complement hashing.
 
 Sizes are counted in tokens by the workers. What the driver plans on is the histogram of sizes: at most ``capacity``
-counters, however many documents there are. The plan takes sizes from the largest down; for the gap a size leaves it
+counters, however many documents there are; ranks within a size are formed by salts whose number follows that of the
+documents, and added up where they are. The plan takes sizes from the largest down; for the gap a size leaves it
 looks up a single size, then a pair, then a triple whose sum is exactly the gap, and consumes the combination as many
 times as the counts allow. What remains is placed best fit. Each step empties a counter or a kind of container, so the
 plan has a few thousand lines. A document finds its container by its rank among the documents of its size.
@@ -10,7 +11,8 @@ Documents above the capacity, and only these, are split: into full containers of
 like a document.
 
 Defined results: a null or empty text has 0 tokens and no container (-1); a null id is kept; rows with equal ids are
-packed separately; ties within a size are ordered by id and then by row; an empty table gives no rows.
+packed separately; ties within a size are ordered by id and then by a hash of the text, so that the same documents fill
+the same containers however they are stored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts text before the merges of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SALTS = 32
+#: Documents to a salt, about: as many as may be ranked in one task.
+PER_SALT = 100_000
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -66,15 +69,16 @@ class TokenCounter(dict):
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens), one row per row."""
+    """(doc_id, print, n_tokens), one row per row; ``print`` is a hash of the text."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         counter = TokenCounter(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counter.count(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([counter.count(t) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "print", "n_tokens"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint")
+    src = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"doc_id {id_type}, print bigint, n_tokens bigint")
 
 
 def pack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -164,38 +168,34 @@ def pack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return plan
 
 
-def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, per_salt: int = PER_SALT) -> DataFrame:
     """(doc_id, piece_no, tok_start, n_tokens, container_id): where each document, or each piece of an oversized one, goes."""
     spark = df.sparkSession
-    sizes = materialize(token_counts(df, id_col, text_col, tokenizer).withColumn("row", F.monotonically_increasing_id()), "p8-sizes")
+    sizes = materialize(token_counts(df, id_col, text_col, tokenizer), "p8-sizes")
+    salts = 16 + sizes.count() // per_salt  # from the files' footers
     whole = F.floor(F.col("n_tokens") / capacity).cast("bigint")
-    rest = F.when(F.col("n_tokens") == capacity, 0).otherwise(F.col("n_tokens") - whole * capacity)
-    items = sizes.withColumn("rest", rest.cast("int")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    per_salt = items.filter("rest > 0").groupBy(F.col("rest").alias("size"), "salt").agg(F.count("*").alias("n"))
-    # at most capacity x salts rows: the histogram and, from it, the offset of each salt
-    table = per_salt.orderBy("size", "salt").toArrow()
-    size, salt, n = (table.column(k).to_numpy() for k in ("size", "salt", "n"))
-    counts = {int(s): int(n[size == s].sum()) for s in np.unique(size)}
-    plan = pack_plan(counts, capacity)
-    before = np.concatenate(([0], np.cumsum(n)))[:-1].astype(np.int64)
-    start = {int(s): int(before[np.argmax(size == s)]) for s in counts}
-    offsets = spark.createDataFrame([(int(s), int(t), int(b) - start[int(s)]) for s, t, b in zip(size, salt, before)], "size int, salt int, skip bigint")
+    rest = F.when(F.col("n_tokens") == capacity, capacity).otherwise(F.col("n_tokens") - whole * capacity)
+    items = sizes.withColumn("size", rest.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "print"), F.lit(salts)).cast("int"))
+    parts = items.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))
+    counts = parts.groupBy("size").agg(F.sum("n").alias("n")).toArrow()  # at most ``capacity`` rows
+    plan = pack_plan(dict(zip(counts.column("size").to_pylist(), counts.column("n").to_pylist())), capacity)
     lines = spark.createDataFrame(plan, "plan_size int, rank_from bigint, rank_to bigint, base bigint, per bigint")
     n_packed = max([b + -(-(t - f) // per) for _, f, t, b, per in plan], default=0)
 
-    w = Window.partitionBy("size", "salt").orderBy("doc_id", "row")
-    small = items.filter("rest > 0").withColumnRenamed("rest", "size").join(F.broadcast(offsets), ["size", "salt"])
+    earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    small = items.filter("size > 0").join(offsets.hint("merge"), ["size", "salt"])
+    w = Window.partitionBy("size", "salt").orderBy("doc_id", "print")
     small = small.withColumn("rank", F.col("skip") + F.row_number().over(w) - 1)
     small = small.join(F.broadcast(lines), (F.col("size") == F.col("plan_size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     big = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0)
     small = small.select("doc_id", big.cast("int").alias("piece_no"), (big * capacity).cast("bigint").alias("tok_start"), F.col("size").cast("bigint").alias("n_tokens"), (F.col("base") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per"))).cast("bigint").alias("container_id"))
-    # full containers: numbered behind the packed ones, by offsets per salt again
-    full = items.withColumn("k", F.when(F.col("n_tokens") > 0, whole).otherwise(0)).filter("k > 0")
-    per = full.groupBy("salt").agg(F.sum("k").alias("n")).orderBy("salt").toArrow()
-    at = np.concatenate(([0], np.cumsum(per.column("n").to_numpy())))[:-1].astype(np.int64) + n_packed
-    skips = spark.createDataFrame([(int(s), int(a)) for s, a in zip(per.column("salt").to_numpy(), at)], "salt int, skip bigint")
-    v = Window.partitionBy("salt").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    full = full.join(F.broadcast(skips), "salt").withColumn("base", F.col("skip") + F.coalesce(F.sum("k").over(v), F.lit(0)))
+    # full containers: numbered behind the packed ones, salt by salt
+    full = items.withColumn("k", F.when(F.col("n_tokens") > capacity, whole).otherwise(0)).filter("k > 0")
+    before = Window.partitionBy(F.lit(0)).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row for each salt
+    skips = full.groupBy("salt").agg(F.sum("k").alias("n")).select("salt", (F.coalesce(F.sum("n").over(before), F.lit(0)) + n_packed).alias("skip"))
+    v = Window.partitionBy("salt").orderBy("doc_id", "print").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.join(skips.hint("merge"), "salt").withColumn("base", F.col("skip") + F.coalesce(F.sum("k").over(v), F.lit(0)))
     full = full.select("doc_id", "base", F.explode(F.expr("sequence(0L, k - 1)")).alias("i"))
     full = full.select("doc_id", F.col("i").cast("int").alias("piece_no"), (F.col("i") * capacity).alias("tok_start"), F.lit(capacity).cast("bigint").alias("n_tokens"), (F.col("base") + F.col("i")).alias("container_id"))
     empty = sizes.filter("n_tokens = 0").select("doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("tok_start"), F.col("n_tokens"), F.lit(-1).cast("bigint").alias("container_id"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import containers, languages, leakage
 
@@ -63,7 +64,7 @@ def test_fill_containers(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["court", "seller", "goods", "the"]) for _ in range(rng.choice([1, 3, 10, 40, 64, 65, 200]))), None) for i in range(200)]
     rows += [(500, None, None), (501, "", None), (502, rows[0][1], None), (502, rows[0][1], None), (None, "court", None), (503, "goods " * 1000, None)]
-    out = containers.fill_containers(table(spark, rows), capacity=64, salts=4).collect()
+    out = containers.fill_containers(table(spark, rows), capacity=64, per_salt=20).collect()
     counter = containers.TokenCounter(containers.TOKENIZER)
     fill, per, starts = Counter(), Counter(), defaultdict(list)
     for r in out:
@@ -180,6 +181,38 @@ def test_segments(spark):
     assert languages.label_segments(table(spark, []), samples).count() == 0
 
 
+def test_segments_without_numbers(spark):
+    samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
+    text = {l: " ".join(r[0] for r in duckdb.sql(f"select text from '{DATA}/lang_samples.parquet' where lang = '{l}' order by sample_id limit 4").fetchall()) for l in ("en", "fr")}
+    rows = [(1, text["en"] + "\n" + text["fr"], "en"), (2, text["en"], "en"), (3, "", None), (4, f"{text['fr']} {text['en']} {text['fr']}", "fr")]
+    out = languages.label_segments(table(spark, rows), samples)
+    got = {i: [(r.lang, r.seg_start, r.seg_end) for r in out.filter(f"doc_id = {i} and par_no < 0").orderBy(F.desc("par_no")).collect()] for i in range(1, 5)}
+    assert [l for l, _, _ in got[1]] == ["en", "fr"] and got[1][0][1] == 0 and got[1][1][2] == len(rows[0][1])
+    assert abs(got[1][1][1] - len(text["en"]) - 1) < 3 and got[2] == got[3] == [] and [l for l, _, _ in got[4]] == ["fr", "en", "fr"]
+
+
+def test_any_language_of_the_samples(spark):
+    samples = spark.createDataFrame([("zz", "qorvex blanit drumpol skaven tirrel moqua"), ("yy", "halimo peshta grundel vicoma rasteny")], "lang string, text string")
+    rows = [(1, "1) qorvex blanit drumpol skaven\n\n2) halimo peshta grundel vicoma\n\n3) tirrel moqua", "zz"), (2, "tirrel moqua qorvex", "YY-aa"), (3, "halimo peshta", "yy")]
+    wrong = {(r.doc_id, r.par_no, r.lang) for r in languages.mislabelled(languages.label_segments(table(spark, rows), samples)).collect()}
+    assert wrong == {(1, 2, "yy"), (2, 0, "zz")}
+
+
+def test_containers_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, i, i, i]), "goods " * rng.choice([1, 3, 3, 3, 40, 70, 130]), None) for i in range(400)]
+    got = [Counter(map(tuple, containers.fill_containers(table(spark, rows).repartition(n), capacity=64, per_salt=50).collect())) for n in (2, 7)]
+    assert got[0] == got[1]
+
+
+def test_leaks_with_other_ids(spark):
+    t = " ".join(f"w{i}" for i in range(15))
+    for kind, ids in (("string", ("a", "b")), ("int", (1, 2)), ("smallint", (1, 2))):
+        d = spark.createDataFrame([(ids[0], t), (ids[1], "x")], f"doc_id {kind}, text string")
+        it = spark.createDataFrame([(ids[1], "Yes, " + t)], f"item_id {kind}, text string")
+        assert [tuple(r) for r in leakage.find_leaks(d, it).collect()] == [(ids[0], ids[1], 4)]
+
+
 def test_held_out_accuracy():
     """Fitted without half of the samples' sentences, the filters tell the other half's languages."""
     rows = duckdb.sql(f"select lang, text from '{DATA}/lang_samples.parquet' order by sample_id").fetchall()
@@ -187,7 +220,13 @@ def test_held_out_accuracy():
     by = defaultdict(list)
     for l, t in rows:
         by[l].append(t)
-    f = languages.fit([(l, t) for l, ts in by.items() for t in ts[::2]], docs)
+    known = [(l, t) for l, ts in by.items() for t in ts[::2]]
+    first = languages.fit(known)
+    count, total = Counter(), Counter()
+    for l, ws in languages._clear(languages.Voter(first), docs):
+        total[l] += 1
+        count.update((w, l) for w in ws)
+    f = languages.fit(known, {first.langs[l]: [w for (w, k), n in count.items() if k == l and n >= 3 and n / total[l] >= 0.1 * max(count[w, j] / total[j] for j in total)] for l in total})
     held = [(l, t) for l, ts in by.items() for t in ts[1::2]]
     got, _ = languages.decide(languages.Voter(f).votes([t for _, t in held]))
     assert sum(f.langs[g] == l for g, (l, _) in zip(got, held) if g >= 0) >= 0.97 * len(held)
