@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from strandline.session import materialize
 SLOTS, HASHES, KEEP_SHARE = 1 << 17, 2, 0.8
 #: Samples of certain language that are taken, those of the smallest hash.
 FIT_ROWS = 10_000
-#: Paragraphs of a language that must hold a word, at least and as a share of all: a filter has at most the mean paragraph's words / MIN_SHARE.
+#: Paragraphs of a language that must hold a word, in any one form, at least and as a share of all: a filter has at most the mean paragraph's words / MIN_SHARE.
 MIN_COUNT, MIN_SHARE = 3, 2e-4
 #: Least confidence of a clear paragraph.
 CLEAR = 0.18
@@ -77,6 +78,10 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
+def words_in(chunk: str) -> list[str]:
+    return [w.lower() for w in _LETTERS.findall(chunk if chunk.isascii() else fold(chunk))]
+
+
 def label_language(c: Column | str, langs: list[str] | None = None) -> Column:
     """The language a label names, whatever its case, blanks and region; null where it names none that is known.
 
@@ -202,40 +207,55 @@ class Filters:
 
 
 class Voter:
-    """Votes of the chunks between white space; the n-grams of unseen ones are looked up together."""
+    """Votes of the chunks between white space, each of which has a number; the n-grams of unseen ones are looked up together."""
 
     def __init__(self, filters: Filters, keep: int = 400_000):
-        self.filters, self.keep, self.seen = filters, keep, {}
+        self.filters, self.keep = filters, keep
+        self.forget()
 
-    def votes(self, texts: list[str]) -> np.ndarray:
-        """Texts x languages: how many chunks of each text each language keeps; the last column counts chunks with letters."""
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.mask = np.zeros(0, np.uint64)
+
+    def full(self) -> bool:
+        return len(self.number) > self.keep
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number of the chunk) for every chunk of the texts."""
         chunks = [t.split() for t in texts]
-        if len(self.seen) > self.keep:
-            self.seen = {}
-        seen = self.seen
-        new = [c for c in set().union(*chunks) if c not in seen]
-        words, owner = [], []
-        for i, c in enumerate(new):
-            for w in _LETTERS.findall(c if c.isascii() else fold(c)):
-                words.append(w.lower())
-                owner.append(i)
-        size = len(self.filters.langs)
+        new = [c for c in set().union(*chunks) if c not in self.number]
         if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             mask = np.zeros(len(new), np.uint64)
+            words, owner = [], []
+            for i, c in enumerate(new):
+                for w in words_in(c):
+                    words.append(w)
+                    owner.append(i)
             if words:
                 # of a chunk of several words the longest decides
                 m, o = self.filters.masks(words), np.array(owner)
-                length = np.array([len(w) for w in words])
-                order = np.lexsort((length, o))
+                order = np.lexsort((np.array([len(w) for w in words]), o))
                 mask[o[order]] = m[order] | np.uint64(1 << 63)
-            seen.update(zip(new, mask.tolist()))
-        flat = np.fromiter((seen[c] for cs in chunks for c in cs), np.uint64, sum(map(len, chunks)))
-        row = np.repeat(np.arange(len(texts)), [len(cs) for cs in chunks])
-        out = np.zeros((len(texts), size + 1), np.int64)
+            self.mask = np.concatenate((self.mask, mask))
+        sizes = [len(cs) for cs in chunks]
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chunks)), np.int64, sum(sizes))
+        return np.repeat(np.arange(len(texts)), sizes), flat
+
+    def count(self, row: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """Texts x languages: how many chunks of each text each language keeps; the last column counts chunks with letters."""
+        size = len(self.filters.langs)
+        flat = self.mask[number]
+        out = np.zeros((n, size + 1), np.int64)
         for i in [*range(size), 63]:
-            out[:, min(i, size)] = np.bincount(row[((flat >> np.uint64(i)) & np.uint64(1)).astype(bool)], minlength=len(texts))
+            out[:, min(i, size)] = np.bincount(row[((flat >> np.uint64(i)) & np.uint64(1)).astype(bool)], minlength=n)
         return out
 
+    def votes(self, texts: list[str]) -> np.ndarray:
+        if self.full():
+            self.forget()
+        return self.count(*self.numbers(texts), len(texts))
+
 
 def decide(votes: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(language number or -1, confidence) by row; ``prior`` breaks ties, then the order of the languages."""
@@ -268,13 +288,35 @@ def fit(samples: list[tuple[str, str]], more: dict[str, list[str]] | None = None
     return out
 
 
-def _clear(voter: Voter, texts: list[str]) -> list[tuple[int, set[str]]]:
-    """(language number, words) of the numbered paragraphs of texts that are clearly of one language."""
-    pars = [p for t in texts if t for _, p in paragraphs(t)]
-    if not pars:
-        return []
-    lang, sure = decide(voter.votes(pars))
-    return [(int(l), set(_LETTERS.findall(fold(p)))) for p, l, s in zip(pars, lang, sure) if l >= 0 and s >= CLEAR]
+class WordCounts:
+    """By language, in how many clear paragraphs each chunk stands, for the chunks that a voter knows."""
+
+    def __init__(self, filters: Filters):
+        self.voter, self.total = Voter(filters), np.zeros(len(filters.langs), np.int64)
+        self.seen = np.zeros((len(filters.langs), 0), np.int64)
+
+    def add(self, texts: list[str | None]) -> None:
+        pars = [p for t in texts if t for _, p in paragraphs(t)]
+        if not pars:
+            return
+        row, number = self.voter.numbers(pars)
+        lang, sure = decide(self.voter.count(row, number, len(pars)))
+        lang = np.where(sure >= CLEAR, lang, -1)
+        self.total += np.bincount(lang[lang >= 0], minlength=len(self.total))
+        size = len(self.voter.number)
+        self.seen = np.pad(self.seen, ((0, 0), (0, size - self.seen.shape[1])))
+        once = np.unique((row * size + number)[lang[row] >= 0])
+        np.add.at(self.seen, (lang[once // size], once % size), 1)
+
+    def take(self) -> Counter:
+        """Counts by (word, language number), those of all paragraphs under a word of None; nothing is kept."""
+        out = Counter({(None, l): int(n) for l, n in enumerate(self.total) if n})
+        chunks = list(self.voter.number)
+        for l, c in zip(*np.nonzero(self.seen)):
+            for w in set(words_in(chunks[c])):
+                out[w, int(l)] += int(self.seen[l, c])
+        self.__init__(self.voter.filters)
+        return out
 
 
 def frequent_words(docs: DataFrame, text_col: str, first: Filters) -> dict[str, list[str]]:
@@ -286,21 +328,18 @@ def frequent_words(docs: DataFrame, text_col: str, first: Filters) -> dict[str,
     held = docs.sparkSession.sparkContext.broadcast(first)
 
     def count(batches):
-        voter = Voter(held.value)
-        counts: Counter = Counter()
+        counts = WordCounts(held.value)
 
         def batch():
-            word, lang = zip(*counts) if counts else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(lang, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "lang", "n"])
+            found = counts.take()
+            word, lang = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(lang, pa.int32()), pa.array(found.values(), pa.int64())], ["word", "lang", "n"])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                for l, words in _clear(voter, b.column(0).slice(at, 256).to_pylist()):
-                    counts[None, l] += 1
-                    counts.update((w, l) for w in words)
-                if len(counts) > 300_000:
+                counts.add(b.column(0).slice(at, 256).to_pylist())
+                if counts.voter.full():
                     yield batch()
-                    counts.clear()
         yield batch()
 
     rows = materialize(docs.select(text_col).mapInArrow(count, "word string, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")), "p10-words")
@@ -308,7 +347,7 @@ def frequent_words(docs: DataFrame, text_col: str, first: Filters) -> dict[str,
     if not total:
         return {}
     of = F.create_map(*[F.lit(x) for l, n in total.items() for x in (l, float(n))])[F.col("lang")]
-    share = rows.filter("word is not null").select("word", "lang", "n", (F.col("n") / of).alias("share"), of.alias("total"))
+    share = rows.filter("word is not null").select("word", "lang", "n", (F.col("n") / of).alias("share"))
     top = share.groupBy("word").agg(F.max("share").alias("top"))
     often = share.filter((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE))
     kept = often.join(top, "word").filter(F.col("share") >= 0.1 * F.col("top")).select("lang", "word").toArrow()

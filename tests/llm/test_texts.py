@@ -222,11 +222,12 @@ def test_held_out_accuracy():
         by[l].append(t)
     known = [(l, t) for l, ts in by.items() for t in ts[::2]]
     first = languages.fit(known)
-    count, total = Counter(), Counter()
-    for l, ws in languages._clear(languages.Voter(first), docs):
-        total[l] += 1
-        count.update((w, l) for w in ws)
-    f = languages.fit(known, {first.langs[l]: [w for (w, k), n in count.items() if k == l and n >= 3 and n / total[l] >= 0.1 * max(count[w, j] / total[j] for j in total)] for l in total})
+    counts = languages.WordCounts(first)
+    counts.add(docs)
+    count = counts.take()
+    total = {l: n for (w, l), n in count.items() if w is None}
+    assert all(n > 0 for n in count.values()) and counts.take() == Counter()
+    f = languages.fit(known, {first.langs[l]: [w for (w, k), n in count.items() if w and k == l and n >= 3 and n / total[l] >= 0.1 * max(count[w, j] / total[j] for j in total)] for l in total})
     held = [(l, t) for l, ts in by.items() for t in ts[1::2]]
     got, _ = languages.decide(languages.Voter(f).votes([t for _, t in held]))
     assert sum(f.langs[g] == l for g, (l, _) in zip(got, held) if g >= 0) >= 0.97 * len(held)
