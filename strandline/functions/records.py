@@ -93,6 +93,12 @@ def contig_to_bed(chrom: Column | str, start: Column | str, length: Column | str
     return F.struct(_c(chrom).alias("chrom"), _c(start).alias("start"), (_c(start) + _c(length)).alias("end"), F.array(name, F.lit("0"), _c(strand)).alias("aux"))
 
 
+def points_to_bedpe(chrom1: Column | str, pos1: Column | str, strand1: Column | str, chrom2: Column | str, pos2: Column | str, strand2: Column | str, name: Column) -> Column:
+    """struct of a BEDPE row for two positions."""
+    a, b = _c(pos1), _c(pos2)
+    return F.struct(_c(chrom1).alias("chrom1"), a.alias("start1"), (a + 1).alias("end1"), _c(chrom2).alias("chrom2"), b.alias("start2"), (b + 1).alias("end2"), F.array(name, F.lit("0"), _c(strand1), _c(strand2)).alias("aux"))
+
+
 def spliced_to_bed12(chrom: Column | str, exons: Column | str, strand: Column | str, name: Column) -> Column:
     """The 12-column form of an array of (start, end) exons in ascending order, with thick ends at the whole span."""
     e = _c(exons)
@@ -155,6 +161,16 @@ def fetch(seq: Column | str, start: Column | str, stop: Column | str) -> Column:
     )
 
 
+def symbol_at(seq: Column | str, i: Column) -> Column:
+    """The symbol at a place from 0; null beyond the end."""
+    return F.nullif(F.substring(_c(seq), (i + 1).cast("int"), F.lit(1)), F.lit(""))
+
+
+def quality_at(qual: Column | str, i: Column, offset: int = 33) -> Column:
+    """The quality at a place from 0, as a number; null beyond the end."""
+    return F.ascii(symbol_at(qual, i)) - offset
+
+
 def fill_qual(seq: Column | str, q: str) -> Column:
     """A constant quality string for a sequence."""
     return F.repeat(F.lit(q), F.length(_c(seq)))

@@ -6,6 +6,8 @@ expression on the JVM's own string search.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +27,18 @@ def find_all(text: Column | str, pattern: Column | str) -> Column:
     else:
         p = F.when(F.length(pattern) == 0, F.raise_error(F.lit("the pattern must not be empty")).cast("string")).otherwise(pattern)
 
+    # a pattern that cannot overlap itself is cut out, by a plain search; another one is cut before, by a look ahead
+    plain = isinstance(pattern, str) and not any(pattern.startswith(pattern[-k:]) for k in range(1, len(pattern)))
+
     def cut(t: Column, p: Column) -> Column:
+        if plain:
+            return F.split(t, F.lit(re.sub(r"([^\w\s])", r"\\\1", pattern)), -1)
         return F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
 
     def sums(t: Column, p: Column, c: Column) -> Column:
-        """The text is cut before every occurrence: the pieces' lengths add up to the starts, overlapping ones included."""
+        """The text is cut at every occurrence: the pieces' lengths add up to the starts, overlapping ones included."""
+        if plain:
+            return F.aggregate(F.slice(c, F.lit(1), F.size(c) - 1), F.array().cast("array<int>"), lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(pattern), F.lit(0)) + F.length(k))))
         first = F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
         return F.aggregate(F.slice(c, F.lit(1), F.size(c) - 1), first, lambda acc, k: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(k))))
 
@@ -46,8 +55,6 @@ def find_all(text: Column | str, pattern: Column | str) -> Column:
 
 def count_all(text: Column | str, pattern: str) -> Column:
     """How many occurrences, overlapping ones included, by one look-ahead pattern."""
-    import re
-
     return F.regexp_count(text, F.lit(f"(?={re.escape(pattern)})"))
 
 

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LOW = -np.inf
+#: Stands for the log of 0: sums of several still fit a double, and differences of two are plain numbers.
+LOW = -1e300
 _BASES = b"ACGT"
 
 
@@ -18,6 +19,24 @@ def _ln(p: float) -> float:
     return float(np.log(p)) if p > 0 else LOW
 
 
+def lse(*terms: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of arrays, element by element."""
+    top = terms[0]
+    for x in terms[1:]:
+        top = np.maximum(top, x)
+    total = np.exp(terms[0] - top)
+    for x in terms[1:]:
+        total += np.exp(x - top)
+    np.log(total, out=total)
+    total += top
+    return total
+
+
+def lse_axis(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis, keepdims=True)
+    return np.log(np.exp(a - top).sum(axis)) + top.squeeze(axis)
+
+
 @dataclass
 class PairModel:
     """Probabilities; ``gap_x`` opens a gap in x (a symbol of y alone). Hops lengthen runs of one base (14-state model)."""
@@ -83,7 +102,6 @@ def pair_probability(xs: list[str], ys: list[str], p: PairModel, max_edit: int |
     M2, X2, Y2, M1, X1, Y1 = (np.full(shape, LOW) for _ in range(6))
     total = np.full(pairs, LOW)
     edits = _Edits(shape, max_edit, p.semiglobal)
-    add = np.logaddexp
     big_m, big_n = int(m.max()), int(n.max())
     with np.errstate(invalid="ignore"):
         for d in range(big_m + big_n + 1):
@@ -93,9 +111,9 @@ def pair_probability(xs: list[str], ys: list[str], p: PairModel, max_edit: int |
             up = np.maximum(i - 1, 0)
             eq = X[:, up] == Y[:, np.maximum(j - 1, 0)]
             inner = (i > 0) & (j > 0)
-            mm = np.where(eq, same, other) + add(add(none + M2[:, up], close_y + X2[:, up]), close_x + Y2[:, up])
-            xx = alone + add(open_y + M1[:, up], more_y + X1[:, up])
-            yy = alone + add(open_x + M1[:, i], more_x + Y1[:, i])
+            mm = np.where(eq, same, other) + lse(none + M2[:, up], close_y + X2[:, up], close_x + Y2[:, up])
+            xx = alone + lse(open_y + M1[:, up], more_y + X1[:, up])
+            yy = alone + lse(open_x + M1[:, i], more_x + Y1[:, i])
             start = np.where(j == 0, np.where(i == 0, _ln(2.0) if p.semiglobal else 0.0, 0.0 if p.semiglobal else LOW), LOW)
             mm = np.where(inner, mm, start)
             xx, yy = np.where(inner, xx, LOW), np.where(inner, yy, LOW)
@@ -104,11 +122,11 @@ def pair_probability(xs: list[str], ys: list[str], p: PairModel, max_edit: int |
                 mm, xx, yy = np.where(out, LOW, mm), np.where(out, LOW, xx), np.where(out, LOW, yy)
             M0, X0, Y0 = (np.full(shape, LOW) for _ in range(3))
             M0[:, i], X0[:, i], Y0[:, i] = mm, xx, yy
-            here = add(add(mm, xx), yy)
+            here = lse(mm, xx, yy)
             at_end = (j == n[:, None]) & (i > 0) & ((i <= m[:, None]) if p.semiglobal else (i == m[:, None]))
-            total = add(total, np.logaddexp.reduce(np.where(at_end, here, LOW), axis=1))
+            total = lse(total, lse_axis(np.where(at_end, here, LOW), 1))
             M2, X2, Y2, M1, X1, Y1 = M1, X1, Y1, M0, X0, Y0
-    total[(m == 0) | (n == 0)] = LOW
+    total[(m == 0) | (n == 0) | (total < LOW / 1e6)] = -np.inf
     return np.minimum(total, 0.0)
 
 
@@ -135,7 +153,6 @@ def homopolymer_probability(xs: list[str], ys: list[str], p: PairModel, max_edit
     two, one = (np.full((states, *shape), LOW) for _ in range(2))
     total = np.full(pairs, LOW)
     edits = _Edits(shape, max_edit, p.semiglobal)
-    add, fold = np.logaddexp, np.logaddexp.reduce
     into = np.array([stay] * 4 + [close_x, close_y] + back_x + back_y)[:, None, None]
     big_m, big_n = int(m.max()), int(n.max())
     with np.errstate(invalid="ignore"):
@@ -147,25 +164,25 @@ def homopolymer_probability(xs: list[str], ys: list[str], p: PairModel, max_edit
             cx, cy = X[:, up], Y[:, np.maximum(j - 1, 0)]
             eq, inner = cx == cy, (i > 0) & (j > 0)
             now = np.full((states, *shape), LOW)
-            before = fold(two[:, :, up] + into, axis=0)
+            before = lse_axis(two[:, :, up] + into, 0)
             start = np.where(j == 0, np.where(i == 0, _ln(0.5) if p.semiglobal else _ln(0.25), _ln(0.25) if p.semiglobal else LOW), LOW)
             left, top = one[:, :, up], one[:, :, i]
             out = edits.step(d, a, b, i, j, eq)
-            gap_x = alone + add(open_x + fold(top[:4], axis=0), more_x + top[4])
-            gap_y = alone + add(open_y + fold(left[:4], axis=0), more_y + left[5])
+            gap_x = alone + lse(open_x + lse_axis(top[:4], 0), more_x + top[4])
+            gap_y = alone + lse(open_y + lse_axis(left[:4], 0), more_y + left[5])
             cells = []
             for k, base in enumerate(_BASES):
                 fits = (cx == base) | (cy == base)
                 cells.append(np.where(inner, np.where(fits, np.where(eq, same, other) + before, LOW), start))
             cells += [np.where(inner, gap_x, LOW), np.where(inner, gap_y, LOW)]
-            cells += [np.where(inner, add(lhx[k] + top[k], lhxe[k] + top[6 + k]), LOW) for k in range(4)]
-            cells += [np.where(inner, add(lhy[k] + left[k], lhye[k] + left[10 + k]), LOW) for k in range(4)]
+            cells += [np.where(inner, lse(lhx[k] + top[k], lhxe[k] + top[6 + k]), LOW) for k in range(4)]
+            cells += [np.where(inner, lse(lhy[k] + left[k], lhye[k] + left[10 + k]), LOW) for k in range(4)]
             block = np.array(cells)
             if out is not None:
                 block = np.where(out, LOW, block)
             now[:, :, i] = block
             at_end = (j == n[:, None]) & (i > 0) & ((i <= m[:, None]) if p.semiglobal else (i == m[:, None]))
-            total = add(total, fold(np.where(at_end, fold(block, axis=0), LOW), axis=1))
+            total = lse(total, lse_axis(np.where(at_end, lse_axis(block, 0), LOW), 1))
             two, one = one, now
-    total[(m == 0) | (n == 0)] = LOW
+    total[(m == 0) | (n == 0) | (total < LOW / 1e6)] = -np.inf
     return np.minimum(total, 0.0)

@@ -103,8 +103,8 @@ def encode(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
 
 
-def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "custom", bands: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[Alignment]:
-    """Best alignments of pairs. ``bands`` gives for each pair the first and last row i of every anti-diagonal i + j."""
+def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "custom") -> list[Alignment]:
+    """Best alignments of pairs."""
     sc = scoring.with_mode(mode)
     n_pairs = len(xs)
     if not n_pairs:
@@ -122,21 +122,9 @@ def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "cus
     at = np.zeros((2, n_pairs), np.int64)
     weight = (big_n + 2) * (big_m + 1)
     go, ge = sc.gap_open, sc.gap_extend
-    bound = None
-    if bands is not None:
-        bound = np.zeros((2, big_m + big_n + 1, n_pairs), np.int64)
-        bound[0] = big_m + 1
-        bound[1] = -1
-        for k, (lo, hi) in enumerate(bands):
-            bound[0, : len(lo), k], bound[1, : len(hi), k] = lo, hi
     for d in range(big_m + big_n + 1):
         a, b = max(0, d - big_n), min(big_m, d)
-        if bound is not None:
-            a, b = max(a, int(bound[0, d].min())), min(b, int(bound[1, d].max()))
-        s0, i0, d0 = (np.full(shape, low) for _ in range(3)) if bound is not None else (np.empty(shape, np.int64) for _ in range(3))
-        if bound is None:
-            for arr in (s0, i0, d0):
-                arr.fill(low)
+        s0, i0, d0 = (np.full(shape, low) for _ in range(3))
         if a <= b:
             i = np.arange(a, b + 1)
             j = d - i
@@ -159,9 +147,6 @@ def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "cus
             better = begin > score
             score = np.where(better, begin, score)
             code = np.where(better, code & 12, code)
-            if bound is not None:
-                out = (i < bound[0, d][:, None]) | (i > bound[1, d][:, None])
-                score, iv, dv = np.where(out, low, score), np.where(out, low, iv), np.where(out, low, dv)
             s0[:, a : b + 1], i0[:, a : b + 1], d0[:, a : b + 1] = score, iv, dv
             trace[d, :, a : b + 1] = code
             end = score + np.where(i == m[:, None], 0, sc.xclip_suffix) + np.where(j == n[:, None], 0, sc.yclip_suffix)
@@ -175,13 +160,78 @@ def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "cus
             at[0] = np.where(new, i[k], at[0])
             at[1] = np.where(new, j[k], at[1])
         s2, s1, ins, dele = s1, s0, i0, d0
-    return [_trace(trace[:, k], X[k], Y[k], int(at[0, k]), int(at[1, k]), int(best[k] // weight), int(m[k]), int(n[k]), mode) for k in range(n_pairs)]
+    return [_trace(trace[:, k], None, X[k], Y[k], int(at[0, k]), int(at[1, k]), int(best[k] // weight), int(m[k]), int(n[k]), mode) for k in range(n_pairs)]
 
 
-def _trace(codes: np.ndarray, x: np.ndarray, y: np.ndarray, i: int, j: int, score: int, m: int, n: int, mode: str) -> Alignment:
+def _align_bands(xs: list[str], ys: list[str], scoring: Scoring, mode: str, bands: list[tuple[np.ndarray, np.ndarray]]) -> list[Alignment]:
+    """The same within bands, that give for each pair the first and last row i of every anti-diagonal i + j.
+
+    Only cells of bands are held: a column stands for a row counted from the band's first one on the diagonal.
+    """
+    sc = scoring.with_mode(mode)
+    pairs = len(xs)
+    if not pairs:
+        return []
+    m, n = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    big_m, big_n = int(m.max()), int(n.max())
+    X, Y = np.zeros((pairs, big_m + 1), np.uint8), np.zeros((pairs, big_n + 1), np.uint8)
+    for k, (x, y) in enumerate(zip(xs, ys)):
+        X[k, : len(x)], Y[k, : len(y)] = encode(x), encode(y)
+    diagonals = int((m + n).max()) + 1
+    lo, hi = np.zeros((diagonals, pairs), np.int64), np.full((diagonals, pairs), -1, np.int64)
+    for k, (a, b) in enumerate(bands):
+        lo[: len(a), k], hi[: len(b), k] = a, b
+    width = max(int((hi - lo).max()) + 1, 1)
+    low = np.int64(-(10**12))
+    c, r = np.arange(width)[None, :], np.arange(pairs)[:, None]
+    s1, s2, ins, dele = (np.full((pairs, width), low) for _ in range(4))
+    trace = np.zeros((diagonals, pairs, width), np.uint8)
+    weight = (big_n + 2) * (big_m + 1)
+    best, at = np.full(pairs, low * 2 * weight), np.zeros((2, pairs), np.int64)
+    M, N = m[:, None], n[:, None]
+
+    def before(cells: np.ndarray, d: int, back: int, up: int) -> np.ndarray:
+        """The cells of the diagonal ``back`` before d, at ``up`` rows less."""
+        if d < back:
+            return np.full((pairs, width), low)
+        k = c + (lo[d] - lo[d - back] - up)[:, None]
+        return np.where((k >= 0) & (k < width), cells[r, np.clip(k, 0, width - 1)], low)
+
+    for d in range(diagonals):
+        i = lo[d][:, None] + c
+        j = d - i
+        inside = (i <= hi[d][:, None]) & (i <= M) & (j <= N) & (j >= 0)
+        above, left = i > 0, j > 0
+        score = np.where(above & left, before(s2, d, 2, 1) + sc.table[X[r, np.clip(i - 1, 0, big_m)], Y[r, np.clip(j - 1, 0, big_n)]], low)
+        code = np.ones(score.shape, np.uint8)
+        ext, opn = before(ins, d, 1, 1) + sc.gap_extend, before(s1, d, 1, 1) + sc.gap_open
+        iv = np.where(above, np.maximum(ext, opn), low)
+        code |= np.where(ext > opn, 4, 0).astype(np.uint8)
+        ext, opn = before(dele, d, 1, 0) + sc.gap_extend, before(s1, d, 1, 0) + sc.gap_open
+        dv = np.where(left, np.maximum(ext, opn), low)
+        code |= np.where(ext > opn, 8, 0).astype(np.uint8)
+        for k, other in ((2, iv), (3, dv), (0, np.where(above, sc.xclip_prefix, 0) + np.where(left, sc.yclip_prefix, 0))):
+            better = other > score
+            score = np.where(better, other, score)
+            code = np.where(better, (code & 12) | k, code).astype(np.uint8)
+        score, iv, dv = np.where(inside, score, low), np.where(inside, iv, low), np.where(inside, dv, low)
+        trace[d] = code
+        end = np.where(inside, score + np.where(i == M, 0, sc.xclip_suffix) + np.where(j == N, 0, sc.yclip_suffix), 2 * low)
+        key = np.maximum(end, 2 * low) * weight + np.where(j == N, big_n + 1, big_n - j) * (big_m + 1) + (big_m - i)
+        k = key.argmax(1)
+        top = key[np.arange(pairs), k]
+        new = top > best
+        best = np.where(new, top, best)
+        at[0] = np.where(new, i[np.arange(pairs), k], at[0])
+        at[1] = np.where(new, j[np.arange(pairs), k], at[1])
+        s2, s1, ins, dele = s1, score, iv, dv
+    return [_trace(trace[:, k], lo[:, k], X[k], Y[k], int(at[0, k]), int(at[1, k]), int(best[k] // weight), int(m[k]), int(n[k]), mode) for k in range(pairs)]
+
+
+def _trace(codes: np.ndarray, base: np.ndarray | None, x: np.ndarray, y: np.ndarray, i: int, j: int, score: int, m: int, n: int, mode: str) -> Alignment:
     xend, yend, ops, layer = i, j, [], 0
     while True:
-        code = int(codes[i + j, i])
+        code = int(codes[i + j, i if base is None else i - base[i + j]])
         if layer == 0:
             layer = code & 3
             if layer == 0:
@@ -261,11 +311,54 @@ def align_banded(xs: list[str], ys: list[str], scoring: Scoring, k: int, w: int,
         else:
             todo.append(p)
             bands.append((lo, hi))
-    for p, a in zip(todo, align_batch([xs[p] for p in todo], [ys[p] for p in todo], scoring, mode, bands)):
-        out[p] = a
+    # pairs of bands of like width go together
+    size = [int((hi - lo).max()) + 1 for lo, hi in bands]
+    order = sorted(range(len(todo)), key=lambda k: (size[k], len(bands[k][0])))
+    group: list[int] = []
+    for k in [*order, -1]:
+        if group and (k < 0 or (len(group) + 1) * size[k] * max(len(bands[g][0]) for g in (*group, k)) > MAX_CELLS):
+            got = _align_bands([xs[todo[g]] for g in group], [ys[todo[g]] for g in group], scoring, mode, [bands[g] for g in group])
+            for g, a in zip(group, got):
+                out[todo[g]] = a
+            group = []
+        group.append(k)
     return out
 
 
+def align_with_path(x: str, y: str, scoring: Scoring, k: int, w: int, path: list[tuple[int, int]], mode: str = "custom") -> Alignment:
+    """Within the band around a given chain of k-mer matches."""
+    return align_banded([x], [y], scoring, k, w, mode, [path])[0]
+
+
+def align_with_matches(x: str, y: str, scoring: Scoring, k: int, w: int, matches: list[tuple[int, int]], mode: str = "custom", mismatches: int = 0, union: bool = False) -> Alignment:
+    """Within the band around the best chain of given matches.
+
+    With ``mismatches`` the matches are led on along their diagonals first; with ``union`` the chain is led on by the covering one.
+    """
+    from strandline.kernels.sparse import expand_matches, sdpkpp, union_path
+
+    hits = expand_matches(x, y, k, sorted(matches), mismatches) if mismatches else sorted(matches)
+    match = max(1, int(scoring.table.max()))
+    path = union_path(hits, k, match, scoring.gap_open, scoring.gap_extend) if union else sdpkpp(hits, k, match, scoring.gap_open, scoring.gap_extend).path
+    return align_with_path(x, y, scoring, k, w, [hits[i] for i in path], mode)
+
+
+def show_band(x: str, y: str, band: tuple[np.ndarray, np.ndarray], alignment: Alignment | None = None) -> str:
+    """The matrix as text, a line for each symbol of x and one before them: ``.`` outside of the band, ``x`` inside, ``\\`` on the alignment's path."""
+    lo, hi = band
+    rows = [["." for _ in range(len(y) + 1)] for _ in range(len(x) + 1)]
+    for d, (a, b) in enumerate(zip(lo, hi)):
+        for i in range(max(int(a), 0, d - len(y)), min(int(b), len(x), d) + 1):
+            rows[i][d - i] = "x"
+    if alignment is not None:
+        i, j = alignment.xstart, alignment.ystart
+        rows[i][j] = "\\"
+        for op in alignment.ops:
+            i, j = i + (op != "D"), j + (op != "I")
+            rows[i][j] = "\\"
+    return "\n".join("".join(r) for r in rows)
+
+
 def read_matrix(text: str) -> np.ndarray:
     """A 256 x 256 table from a substitution matrix in its usual text form: ``#`` comments, a head line of symbols, rows.
 

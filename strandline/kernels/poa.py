@@ -53,39 +53,29 @@ class Graph:
         q = np.array(list(query))
         free = mode != "global"
         place = {v: r + 1 for r, v in enumerate(self.order)}
-        low = -(10**9)
-        S = np.full((len(self.order) + 1, n + 1), low, np.int64)
-        P = np.zeros((len(self.order) + 1, n + 1), np.int64)  # row the cell came from
-        O = np.zeros((len(self.order) + 1, n + 1), np.uint8)  # 1 match, 2 node alone, 3 symbol alone
-        j = np.arange(n + 1)
-        S[0] = 0 if mode == "local" else gap * j
-        O[0, 1:] = 0 if mode == "local" else 3
+        low = -(10**8)
+        S = np.full((len(self.order) + 1, n + 1), low, np.int32)
+        B = np.full((len(self.order) + 1, n + 1), low, np.int32)  # before a query symbol alone
+        slope = (gap * np.arange(n + 1)).astype(np.int32)
+        S[0] = 0 if mode == "local" else slope
+        subs = {c: np.where(q == c, match, mismatch).astype(np.int32) for c in set(self.base)}
         depth = np.zeros(len(self.order) + 1, np.int64)
-        for r, v in enumerate(self.order, 1):
-            preds = [place[p] for p in self.into[v]] or [0]
-            depth[r] = max(depth[p] for p in preds) + 1
-            sub = np.where(q == self.base[v], match, mismatch)
-            row, frm, op = np.full(n + 1, low, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.uint8)
+        rows_of = [[place[p] for p in self.into[v]] or [0] for v in self.order]
+        for r, (v, preds) in enumerate(zip(self.order, rows_of), 1):
+            sub, row = subs[self.base[v]], B[r]
             for p in preds if not free or 0 in preds else [*preds, 0]:
-                d = np.concatenate(([low], S[p, :-1] + sub))
-                up = d > row
-                row, frm, op = np.where(up, d, row), np.where(up, p, frm), np.where(up, 1, op).astype(np.uint8)
+                np.maximum(row[1:], S[p, :-1] + sub, out=row[1:])
             for p in preds:
-                d = S[p] + gap
-                up = d > row
-                row, frm, op = np.where(up, d, row), np.where(up, p, frm), np.where(up, 2, op).astype(np.uint8)
-            if free and row[0] < 0:
-                row[0], op[0] = 0, 0
-            run = np.maximum.accumulate(row - gap * j) + gap * j
-            side = run > row
-            op = np.where(side, 3, op).astype(np.uint8)
-            row = run
+                np.maximum(row, S[p] + gap, out=row)
+            if free:
+                row[0] = max(row[0], 0)
+            run = np.maximum.accumulate(row - slope) + slope
             if mode == "local":
-                zero = row < 0
-                row, op = np.where(zero, 0, row), np.where(zero, 0, op).astype(np.uint8)
+                np.maximum(run, 0, out=run)
             if band is not None:
-                row = np.where(np.abs(j - depth[r]) > band, low, row)
-            S[r], P[r], O[r] = row, frm, op
+                depth[r] = max(depth[p] for p in preds) + 1
+                run[np.abs(np.arange(n + 1) - depth[r]) > band] = low
+            S[r] = run
         if mode == "local":
             r, c = np.unravel_index(int(S.argmax()), S.shape)
         elif mode == "semiglobal":
@@ -93,17 +83,33 @@ class Graph:
         else:
             ends = [place[v] for v in self.order if not self.out[v]] or [0]
             r, c = max(ends, key=lambda e: S[e, n]), n
+        # of equal ways a match goes first, then a node alone, then a symbol alone
         score, ops = int(S[r, c]), []
         while r > 0 or c > 0:
-            o = O[r, c]
-            if o == 0:
-                break
-            if o == 3:
+            if r == 0:
+                if mode == "local":
+                    break
                 c -= 1
                 ops.append(("I", -1, int(c)))
-            else:
-                ops.append(("M" if o == 1 else "D", self.order[r - 1], int(c) - 1 if o == 1 else -1))
-                r, c = int(P[r, c]), c - 1 if o == 1 else c
+                continue
+            here, preds, v = int(S[r, c]), rows_of[r - 1], self.order[r - 1]
+            if here > B[r, c]:
+                if mode == "local" and (c == 0 or int(S[r, c - 1]) + gap < 0):
+                    break
+                c -= 1
+                ops.append(("I", -1, int(c)))
+                continue
+            sub = int(subs[self.base[v]][c - 1]) if c else 0
+            p = next((p for p in (preds if not free or 0 in preds else [*preds, 0]) if c and int(S[p, c - 1]) + sub == here), None)
+            if p is not None:
+                ops.append(("M", v, int(c) - 1))
+                r, c = p, c - 1
+                continue
+            p = next((p for p in preds if int(S[p, c]) + gap == here), None)
+            if p is None:
+                break
+            ops.append(("D", v, -1))
+            r = p
         return score, ops[::-1]
 
     def add(self, query: str, ops: list[tuple[str, int, int]]) -> None:

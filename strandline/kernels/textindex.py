@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 
 
+class Suffixes(Protocol):
+    """What serves as a suffix array: places by rank."""
+
+    def __len__(self) -> int: ...
+
+    def __getitem__(self, rank: int) -> int: ...
+
+
+class Indexed(Protocol):
+    """What can be searched backwards: counts of symbols before a row, and places of rows."""
+
+    less: list[int]
+
+    def occ(self, symbol: int, row: int) -> int: ...
+
+    def backward_search(self, pattern: str) -> tuple[str, int, int, int]: ...
+
+    def positions(self, lo: int, hi: int) -> list[int]: ...
+
+
 def suffix_array(text: str) -> np.ndarray:
     """Places of the suffixes in sorted order, by prefix doubling.
 

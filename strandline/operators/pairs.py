@@ -343,13 +343,20 @@ def poa_consensus(df: DataFrame, group_col: str, order_col: str, seq_col: str, m
 def hmm_decode(df: DataFrame, id_col: str, obs_col: str, model: hmm.Discrete) -> DataFrame:
     """(id, path, ln_viterbi, ln_forward, ln_backward) of arrays of observations; empty ones give no row."""
 
-    def rows(obs):
-        if not obs:
-            return []
-        path, v = hmm.viterbi(model, obs)
-        return [(path, v, hmm.forward(model, obs)[1], hmm.backward(model, obs)[1])]
+    kind = df.schema[id_col].dataType.simpleString()
 
-    return map_rows(df, [id_col, obs_col], "path array<int>, ln_viterbi double, ln_forward double, ln_backward double", rows)
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                obs = part.column(1).to_pylist()
+                at = [i for i, o in enumerate(obs) if o]
+                got = hmm.decode_batch(model, [obs[i] for i in at])
+                cells = [pa.array([g[0] for g in got], pa.list_(pa.int32())), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2, 3))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *cells], ["id", "path", "ln_viterbi", "ln_forward", "ln_backward"])
+
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(obs_col).alias("obs")))
+    return src.mapInArrow(run, f"id {kind}, path array<int>, ln_viterbi double, ln_forward double, ln_backward double")
 
 
 def hmm_train(df: DataFrame, model_col: str, order_col: str, obs_col: str, start: hmm.Discrete, tolerance: float = 1e-6, steps: int = 500) -> DataFrame:

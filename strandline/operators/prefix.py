@@ -38,6 +38,18 @@ def bit_ranks(df: DataFrame, idx: str, bit: str) -> DataFrame:
     return run.select(idx, bit, F.col("__run").cast("bigint").alias("rank1"), (F.col("__pos") - F.col("__run")).cast("bigint").alias("rank0"))
 
 
+def extend_ranks(ranks: DataFrame, more: DataFrame, idx: str, bit: str) -> DataFrame:
+    """Ranks of a vector to which further bits, all of larger indexes, are appended; what there is is not counted again."""
+    last = ranks.agg(F.max("rank1").alias("r1"), F.max("rank0").alias("r0")).first()
+    added = bit_ranks(more, idx, bit).withColumn("rank1", F.col("rank1") + (last.r1 or 0)).withColumn("rank0", F.col("rank0") + (last.r0 or 0))
+    return ranks.unionByName(added)
+
+
+def rank_samples(ranks: DataFrame, idx: str, k: int) -> DataFrame:
+    """The ranks at the last index of every ``k`` bits: samples from which any other follows by counting at most ``k`` bits."""
+    return ranks.filter((F.col("rank1") + F.col("rank0")) % k == 0)
+
+
 def bit_select(ranks: DataFrame, idx: str, bit: str, one: bool = True) -> DataFrame:
     """(j, idx): the smallest index whose rank is j, for every j from 1."""
     hit = ranks.filter(F.col(bit) if one else ~F.col(bit))

@@ -106,6 +106,21 @@ x AS (SELECT feature_id, i, j, tag, CASE WHEN length(trim(v)) > 1 AND trim(v) LI
 p4 AS (SELECT feature_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY i, j) - 1 AS INT) AS val_pos, tag, url_decode(regexp_replace(v, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)', '%25\1', 'g')) AS val FROM x WHERE v <> '')"""
 
 
+_P6 = r"""
+src AS (SELECT raw_id, file_name, line_no, lower(fmt) AS fmt, raw, CASE WHEN right(raw, 1) = chr(13) THEN left(raw, length(raw) - 1) ELSE raw END AS l FROM raw_records WHERE raw IS NOT NULL),
+ln AS (SELECT *, regexp_extract_all(chr(9) || l, '(?s)\t("(?:[^"]|"")*"|[^\t]*)', 1) AS f FROM src WHERE fmt <> 'fastq' AND l <> '' AND NOT starts_with(raw, '#')),
+wd AS (SELECT fmt, file_name, arg_min(len(f), line_no) AS width FROM ln WHERE fmt IN ('bed', 'bedpe') GROUP BY 1, 2),
+ck AS (SELECT ln.*, regexp_full_match(l, '(?s)("[^"]*(""[^"]*)*"|[^"\t][^\t]*|)(\t("[^"]*(""[^"]*)*"|[^"\t][^\t]*|))*') AND NOT (ln.fmt = 'gtf' AND (length(coalesce(f[9], '')) - length(replace(coalesce(f[9], ''), '"', ''))) % 2 = 1) AS quoted,
+       CASE WHEN ln.fmt IN ('bed', 'bedpe') THEN width ELSE 9 END AS width, list_transform(f, lambda x: CASE WHEN length(x) > 1 AND x LIKE '"%"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c
+       FROM ln LEFT JOIN wd ON wd.fmt = ln.fmt AND wd.file_name IS NOT DISTINCT FROM ln.file_name),
+nm AS (SELECT *, list_transform(c, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN TRY_CAST(x AS BIGINT) END) AS v FROM ck),
+lr AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> width THEN 'layout' WHEN NOT coalesce(CASE fmt WHEN 'bed' THEN v[2] <= v[3] WHEN 'bedpe' THEN v[2] <= v[3] AND v[5] <= v[6] ELSE v[4] <= v[5] END, FALSE) THEN 'coords'
+       WHEN fmt IN ('gff3', 'gtf') AND c[8] NOT IN ('.', '0', '1', '2') THEN 'phase' END AS reason FROM nm),
+fq AS (SELECT raw_id, list_transform(string_split(raw, chr(10)), lambda x: CASE WHEN right(x, 1) = chr(13) THEN left(x, length(x) - 1) ELSE x END) AS p FROM src WHERE fmt = 'fastq'),
+fr AS (SELECT *, CASE WHEN len(p) <> 4 OR NOT starts_with(p[1], '@') OR NOT starts_with(p[3], '+') THEN 'layout' WHEN NOT regexp_full_match(p[2], '[ACGTRYSWKMBDHVNacgtryswkmbdhvn]+') THEN 'seq'
+       WHEN length(p[4]) <> length(p[2]) OR NOT regexp_full_match(p[4], '[!-~]*') THEN 'qual' END AS reason FROM fq)"""
+
+
 def _covered(name: str, key: str) -> str:
     return f"""SELECT '{name}' AS table_name, key_val, n_rows, CAST(coalesce(c, 0) AS BIGINT) AS covered FROM (SELECT {key} AS key_val, count(*) AS n_rows FROM {name} WHERE {key} IS NOT NULL GROUP BY 1)
     LEFT JOIN (SELECT k, sum(b - a) AS c FROM (SELECT k, min(s) AS a, max(e) AS b FROM (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g
@@ -124,6 +139,11 @@ def oracle_sql() -> dict[str, str]:
         "p3_coverage": f"WITH {_P3} SELECT track_id, chrom1, count(*) AS n_periods, CAST(sum(b - a) AS BIGINT) AS covered, CAST(coalesce(sum(c - b), 0) AS BIGINT) AS uncovered FROM n GROUP BY 1, 2",
         "p4_found": f"WITH {_P4} SELECT feature_id, val_pos, tag, val FROM p4",
         "p4_tags": f"WITH {_P4} SELECT tag, count(*) AS n_values, count(DISTINCT val) AS n_distinct FROM p4 GROUP BY tag",
+        "p6_found": f"WITH {_P6} SELECT raw_id, reason FROM lr WHERE reason IS NOT NULL UNION ALL SELECT raw_id, reason FROM fr WHERE reason IS NOT NULL",
+        "p6_loaded_bed": f"WITH {_P6} SELECT raw_id, c[1] AS chrom, v[2] AS start_pos, v[3] AS end_pos, CASE WHEN len(c) > 3 THEN c[4:] END AS aux FROM lr WHERE reason IS NULL AND fmt = 'bed'",
+        "p6_loaded_bedpe": f"WITH {_P6} SELECT raw_id, c[1] AS chrom1, v[2] AS start1, v[3] AS end1, c[4] AS chrom2, v[5] AS start2, v[6] AS end2, CASE WHEN len(c) > 6 THEN c[7:] END AS aux FROM lr WHERE reason IS NULL AND fmt = 'bedpe'",
+        **{f"p6_loaded_{k}": f"WITH {_P6} SELECT raw_id, c[1] AS seqname, c[2] AS source, c[3] AS feature_type, v[4] AS start_pos, v[5] AS end_pos, c[6] AS score, c[7] AS strand, TRY_CAST(c[8] AS TINYINT) AS phase, c[9] AS attributes FROM lr WHERE reason IS NULL AND fmt = '{k}'" for k in ("gff3", "gtf")},
+        "p6_loaded_fastq": f"WITH {_P6} SELECT raw_id, split_part(substr(p[1], 2), ' ', 1) AS id, CASE WHEN contains(p[1], ' ') THEN substr(p[1], instr(p[1], ' ') + 1) END AS descr, p[2] AS seq, p[4] AS qual FROM fr WHERE reason IS NULL",
         "p5_found": "SELECT 'gff' AS table_name, seqname AS key_val FROM gff WHERE seqname IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.04 * (SELECT count(*) FROM gff) UNION ALL SELECT 'bed', chrom FROM bed WHERE chrom IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.04 * (SELECT count(*) FROM bed)",
         "p5_stats": _covered("gff", "seqname") + " UNION ALL " + _covered("bed", "chrom"),
         "p5_top": "SELECT seqname, feature_id, span, CAST(rank AS INT) AS rank FROM (SELECT seqname, feature_id, end_pos - start_pos AS span, row_number() OVER (PARTITION BY seqname ORDER BY end_pos - start_pos DESC NULLS LAST, feature_id) AS rank FROM gff WHERE seqname IS NOT NULL) WHERE rank <= 3",

@@ -143,9 +143,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     pats = ", ".join(f"('{p}')" for p in SEARCH)
+    emit = [f"CASE substr(s, {{}}, 1) WHEN 'A' THEN ln({a}) WHEN 'C' THEN ln({c}) WHEN 'G' THEN ln({g}) WHEN 'T' THEN ln({t}) ELSE 0 END" for a, c, g, t in COMPOSITION.emission.tolist()]
+    (t00, t01), (t10, t11) = ([f"ln({x})" for x in row] for row in COMPOSITION.transition.tolist())
+    lse = lambda a, b: f"greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b}))))"
     return {
         "myers_ends": _ENDS,
         "ukkonen_ends": _ENDS,
+        "myers_best": f"""SELECT id, arg_min(end_pos, (dist, end_pos)) AS end_pos, min(dist) AS dist FROM (SELECT read_id AS id, e - 1 AS end_pos, min(levenshtein('GATTAC', substr(s, e - n + 1, n))) AS dist
+            FROM (SELECT read_id, s, unnest(generate_series(1, length(s))) AS e FROM {_READS}), (SELECT unnest(generate_series(1, 12)) AS n) WHERE e >= n GROUP BY 1, 2) GROUP BY 1""",
+        "lcp_sus": f"""WITH sfx AS (SELECT id, pos, substr(t, pos + 1) AS f, length(t) AS len FROM (SELECT read_id AS id, s || '$' AS t, unnest(generate_series(0, length(s))) AS pos FROM {_READS})),
+            ord AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f) AS r, lag(f) OVER (PARTITION BY id ORDER BY f) AS g FROM sfx),
+            lcp AS (SELECT id, r, max(CASE WHEN left(f, k) = left(g, k) THEN k ELSE 0 END) AS l FROM (SELECT *, unnest(generate_series(0, least(length(f), length(g)))) AS k FROM ord WHERE g IS NOT NULL) GROUP BY 1, 2),
+            both_ AS (SELECT o.id, o.pos, o.len, coalesce(a.l, -1) AS l, greatest(1 + greatest(coalesce(a.l, -1), coalesce(b.l, -1)), 1) AS need FROM ord o LEFT JOIN lcp a ON a.id = o.id AND a.r = o.r LEFT JOIN lcp b ON b.id = o.id AND b.r = o.r + 1)
+            SELECT id, max(l) AS longest_repeat, min(CASE WHEN pos + need <= len THEN need END) AS shortest_unique, count(CASE WHEN pos + need <= len THEN 1 END) AS n_unique FROM both_ GROUP BY id""",
+        "hmm_decode": f"""WITH RECURSIVE h AS (SELECT read_id AS id, s, 1 AS t, ln(0.5) + {emit[0].format(1)} AS f0, ln(0.5) + {emit[1].format(1)} AS f1, ln(0.5) + {emit[0].format(1)} AS v0, ln(0.5) + {emit[1].format(1)} AS v1, 0 AS c0, 1 AS c1 FROM {_READS} WHERE length(s) > 0
+            UNION ALL SELECT id, s, t + 1, {lse(f"f0 + {t00}", f"f1 + {t10}")} + {emit[0].format("t + 1")}, {lse(f"f0 + {t01}", f"f1 + {t11}")} + {emit[1].format("t + 1")}, greatest(v0 + {t00}, v1 + {t10}) + {emit[0].format("t + 1")}, greatest(v0 + {t01}, v1 + {t11}) + {emit[1].format("t + 1")},
+            CASE WHEN v0 + {t00} >= v1 + {t10} THEN c0 ELSE c1 END, 1 + CASE WHEN v0 + {t01} >= v1 + {t11} THEN c0 ELSE c1 END FROM h WHERE t < length(s))
+            SELECT id, CAST(CASE WHEN v0 >= v1 THEN c0 ELSE c1 END AS BIGINT) AS n_rich, round(greatest(v0, v1), 6) AS ln_viterbi, round({lse("f0", "f1")}, 6) AS ln_forward, round({lse("f0", "f1")}, 6) AS ln_backward FROM h WHERE t = length(s)""",
         "suffix_array": f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY substr(t, pos + 1)) - 1 AS rnk, pos, CASE WHEN pos = 0 THEN right(t, 1) ELSE substr(t, pos, 1) END AS bwt FROM (SELECT read_id AS id, s || '$' AS t, unnest(generate_series(0, length(s))) AS pos FROM {_READS})",
         "fm_search": f"""WITH k AS (SELECT rec_id, s, pattern, coalesce(max(n), 0) AS n FROM (SELECT rec_id, s, pattern, unnest(generate_series(1, length(pattern))) AS n FROM {_FASTA}, (VALUES {pats}) v(pattern)) WHERE contains(s, right(pattern, n)) GROUP BY 1, 2, 3),
             b AS (SELECT f.rec_id, f.s, v.pattern, coalesce(n, 0) AS n FROM {_FASTA} f CROSS JOIN (VALUES {pats}) v(pattern) LEFT JOIN k ON k.rec_id = f.rec_id AND k.pattern = v.pattern)

@@ -134,12 +134,14 @@ def gff_fields(spark, d):
     return g.select("feature_id", records.gff_score("score").alias("score_num"), records.gff_strand("strand").alias("strand_sign"), records.phase_text("phase").alias("phase_txt"), records.gff3_encode("attributes").alias("encoded"))
 
 
-def spliced_bed(spark, d):
-    """The span of a name and source, its first and last base as blocks of one 12-column record; for exons see spliced_transcripts."""
-    g = table(spark, d, "gff").filter("seqname is not null and source is not null and end_pos > start_pos")
-    top = g.groupBy("seqname", "source").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
-    rec = records.spliced_to_bed12("seqname", F.array(F.struct(F.col("lo").alias("start"), (F.col("lo") + 1).alias("end")), F.struct((F.col("hi") - 1).alias("start"), F.col("hi").alias("end"))), F.lit("+"), F.col("source"))
-    return top.select("seqname", "source", records.bed_text(rec["chrom"], rec["start"], rec["end"], aux=rec["aux"]).alias("line"))
+def located_bed(spark, d):
+    """Each feature as a BED line, so its first symbol, and both its ends as one BEDPE line."""
+    g = table(spark, d, "gff").filter("seqname is not null and end_pos > start_pos")
+    strand, name = F.coalesce(records.gff_strand("strand"), F.lit(".")), F.col("feature_id").cast("string")
+    whole, first = records.contig_to_bed("seqname", "start_pos", F.col("end_pos") - F.col("start_pos"), strand, name), records.point_to_bed("seqname", "start_pos", strand, name)
+    ends = records.points_to_bedpe("seqname", "start_pos", strand, "seqname", F.col("end_pos") - 1, strand, name)
+    line = lambda b: records.bed_text(b["chrom"], b["start"], b["end"], aux=b["aux"])
+    return g.select("feature_id", line(whole).alias("whole"), line(first).alias("first"), records.bed_text(*[ends[c] for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2")], aux=ends["aux"]).alias("ends"))
 
 
 def spliced_transcripts(spark, d):
@@ -154,6 +156,42 @@ def spliced_transcripts(spark, d):
     return exons.select(F.col("k0").alias("seqname"), F.col("k1").alias("strand"), F.col("k2").alias("name"), records.bed_text(rec["chrom"], rec["start"], rec["end"], aux=rec["aux"]).alias("line"))
 
 
+def base_at(spark, d):
+    """The first, the middle and the hundredth symbol of each read, and their qualities."""
+    r, mid = reads(spark, d), F.floor(F.length("s") / 2)
+    return r.select("read_id", records.symbol_at("s", F.lit(0)).alias("first"), records.symbol_at("s", mid).alias("middle"), records.symbol_at("s", F.lit(99)).alias("far"), records.quality_at("qual", mid).cast("bigint").alias("q_middle"), records.quality_at("qual", F.lit(99)).cast("bigint").alias("q_far"))
+
+
+def pack_bits(spark, d):
+    """Ranks of each read packed by eights, 4 bits each, and unpacked again."""
+    p = spread(reads(spark, d)).select("read_id", "s", al.pack_bits(al.ranks("s", ALPHABET), 4).alias("packed"))
+    back = al.from_ranks(al.unpack_bits("packed", 4, F.length("s")), ALPHABET)
+    return p.select("read_id", F.size("packed").cast("bigint").alias("n_blocks"), F.try_element_at("packed", F.lit(2)).alias("second"), F.md5(back).alias("digest"))
+
+
+def rev_qgrams(spark, d):
+    """Codes of 8-grams from right to left: the first and last of each read."""
+    r = spread(reads(spark, d)).filter(F.length("s") >= 8).select("read_id", al.rev_qgrams("s", 8, ALPHABET).alias("c"))
+    return r.select("read_id", F.element_at("c", 1).alias("last_code"), F.element_at("c", -1).alias("first_code"), F.size("c").cast("bigint").alias("n"))
+
+
+def alphabet_sets(spark, d):
+    """Symbols of each record: those of the bases, those beyond, and all of either."""
+    have, bases = al.chars(al.symbols_of("s")), al.chars(F.lit("ACGT"))
+    text = lambda a: F.array_join(F.array_sort(a), "")
+    return fasta(spark, d).select("rec_id", text(F.array_intersect(have, bases)).alias("common"), text(F.array_except(have, bases)).alias("beyond"), text(F.array_union(have, bases)).alias("either"), F.size(have).cast("bigint").alias("n_symbols"))
+
+
+def trim_newline(spark, d):
+    """Written form of each record without its last line feed."""
+    return table(spark, d, "fasta").select("rec_id", F.md5(records.trim_newline(F.concat("seq", F.lit("\n")))).alias("one"), F.length(records.trim_newline("seq")).cast("bigint").alias("n"))
+
+
+def validity(spark, d):
+    """Intervals whose end is not below their start."""
+    return table(spark, d, "bedpe").select("pair_id", checks.valid_interval("start1", "end1").alias("first_ok"), checks.valid_interval("start2", "end2").alias("second_ok"))
+
+
 def fai_fetch(spark, d):
     """Regions by name: the middle third of each record that its index describes correctly, with the byte it begins at."""
     i = table(spark, d, "fai").filter("len is not null and name is not null").distinct()
@@ -238,8 +276,12 @@ _PAIR = f"(SELECT a.read_id AS a_id, a.s AS a, b.s AS b FROM {_READS} a JOIN {_R
 _OVER = "seqname = chrom AND g.end_pos > b.start_pos AND g.start_pos < b.end_pos AND g.end_pos > g.start_pos AND b.end_pos > b.start_pos"
 
 
+def _code(at: str) -> str:
+    return f"CAST(list_sum(list_transform(range(0, 8), lambda k: CAST((instr('{ALPHABET.symbols}', s[{at} + k]) - 1) AS BIGINT) * CAST(pow(16, 7 - k) AS BIGINT))) AS BIGINT)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_exact, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, spliced_bed, spliced_transcripts, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_anti, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
+    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_exact, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, located_bed, spliced_transcripts, base_at, pack_bits, rev_qgrams, alphabet_sets, trim_newline, validity, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_anti, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
     return {f.__name__: f for f in fs}
 
 
@@ -270,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "bed_set": "SELECT interval_id, coalesce(aux[1], '') || '|' || coalesce(aux[2], '') || '|-' || coalesce(list_aggregate(list_transform(aux[4:], lambda x: '|' || x), 'string_agg', ''), '') AS strand_set, coalesce(list_aggregate(list_transform(aux, lambda x: x || '|'), 'string_agg', ''), '') || 'x' AS pushed FROM bed",
         "bedpe_fields": "SELECT pair_id, aux[1] AS name, aux[2] AS score, CASE WHEN aux[3] IN ('+', '-') THEN aux[3] END AS strand1, CASE WHEN aux[4] IN ('+', '-') THEN aux[4] END AS strand2 FROM bedpe",
         "gff_fields": "SELECT feature_id, CASE WHEN regexp_full_match(score, '\\+?[0-9]+') THEN TRY_CAST(score AS BIGINT) END AS score_num, CASE WHEN strand IN ('+', '-') THEN strand END AS strand_sign, coalesce(CAST(phase AS VARCHAR), '.') AS phase_txt, replace(replace(replace(replace(replace(attributes, '%', '%25'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS encoded FROM gff",
-        "spliced_bed": "SELECT seqname, source, seqname || chr(9) || lo || chr(9) || hi || chr(9) || source || chr(9) || '0' || chr(9) || '+' || chr(9) || lo || chr(9) || hi || chr(9) || '0' || chr(9) || '2' || chr(9) || '1,1,' || chr(9) || '0,' || (hi - 1 - lo) || ',' AS line FROM (SELECT seqname, source, min(start_pos) AS lo, max(end_pos) AS hi FROM gff WHERE seqname IS NOT NULL AND source IS NOT NULL AND end_pos > start_pos GROUP BY 1, 2)",
+        "located_bed": "SELECT feature_id, concat_ws(chr(9), seqname, start_pos, end_pos, feature_id, '0', sd) AS whole, concat_ws(chr(9), seqname, start_pos, start_pos + 1, feature_id, '0', sd) AS first, concat_ws(chr(9), seqname, start_pos, start_pos + 1, seqname, end_pos - 1, end_pos, feature_id, '0', sd, sd) AS ends FROM (SELECT *, CASE WHEN strand IN ('+', '-') THEN strand ELSE '.' END AS sd FROM gff WHERE seqname IS NOT NULL AND end_pos > start_pos)",
         "spliced_transcripts": f"""WITH {_P4},
             par AS (SELECT DISTINCT feature_id, val FROM p4 WHERE tag IN ('Parent', 'transcript_id')),
             sp AS (SELECT DISTINCT seqname, CASE WHEN strand IN ('+', '-') THEN strand ELSE '.' END AS strand, coalesce(val, 'feature ' || g.feature_id) AS name, start_pos AS s, end_pos AS e FROM gff g LEFT JOIN par ON par.feature_id = g.feature_id WHERE seqname IS NOT NULL AND end_pos > start_pos),
@@ -279,6 +321,12 @@ def oracle_sql() -> dict[str, str]:
             ex AS (SELECT seqname, strand, name, min(s) AS a, max(e) AS b FROM isl GROUP BY seqname, strand, name, k),
             al AS (SELECT *, min(a) OVER (PARTITION BY seqname, strand, name) AS lo FROM ex)
             SELECT seqname, strand, name, concat_ws(chr(9), seqname, lo, max(b), name, '0', strand, lo, max(b), '0', count(*), string_agg((b - a) || ',', '' ORDER BY a), string_agg((a - lo) || ',', '' ORDER BY a)) AS line FROM al GROUP BY seqname, strand, name, lo""",
+        "base_at": f"SELECT read_id, substr(s, 1, 1) AS first, nullif(substr(s, length(s) // 2 + 1, 1), '') AS middle, nullif(substr(s, 100, 1), '') AS far, CAST(ascii(nullif(substr(qual, length(s) // 2 + 1, 1), '')) - 33 AS BIGINT) AS q_middle, CAST(ascii(nullif(substr(qual, 100, 1), '')) - 33 AS BIGINT) AS q_far FROM {_READS}",
+        "pack_bits": f"SELECT read_id, CAST(ceil(length(s) / 8) AS BIGINT) AS n_blocks, CAST(list_sum(list_transform(range(0, least(8, length(s) - 8)), lambda k: (instr('{ALPHABET.symbols}', s[9 + k]) - 1) * (1::BIGINT << (4 * k)))) AS BIGINT) AS second, md5(s) AS digest FROM {_READS}",
+        "rev_qgrams": f"SELECT read_id, {_code('length(s) - 7')} AS last_code, {_code('1')} AS first_code, length(s) - 7 AS n FROM {_READS} WHERE length(s) >= 8",
+        "alphabet_sets": f"SELECT rec_id, translate(sym, translate(sym, 'ACGT', ''), '') AS common, translate(sym, 'ACGT', '') AS beyond, list_aggregate(list_sort(list_distinct(list_concat(list_filter(string_split(sym, ''), lambda x: x <> ''), ['A', 'C', 'G', 'T']))), 'string_agg', '') AS either, length(sym) AS n_symbols FROM (SELECT rec_id, coalesce(list_aggregate(list_sort(list_distinct({chars})), 'string_agg', ''), '') AS sym FROM {_FASTA})",
+        "trim_newline": "SELECT rec_id, md5(seq) AS one, length(CASE WHEN right(seq, 1) = chr(10) THEN left(seq, length(seq) - 1) ELSE seq END) AS n FROM fasta",
+        "validity": "SELECT pair_id, end1 >= start1 AS first_ok, end2 >= start2 AS second_ok FROM bedpe",
         "fai_fetch": f"SELECT rec_id, byte_offset, CAST(byte_offset + (a // line_bases) * line_bytes + a % line_bases AS BIGINT) AS at_byte, substr(s, a + 1, len * 2 // 3 - a) AS part FROM (SELECT DISTINCT rec_id, s, i.*, len // 3 AS a FROM {_FASTA} f JOIN fai i ON f.id = i.name WHERE i.len = length(s))",
         "fai_names": "SELECT i.name, n_claims, max_len, n FROM (SELECT name, count(*) AS n_claims, max(len) AS max_len FROM fai WHERE name IS NOT NULL GROUP BY 1) i LEFT JOIN (SELECT id AS name, length(regexp_replace(seq, '\\s', '', 'g')) AS n FROM fasta) f ON f.name = i.name",
         "interval_keyed": f"SELECT feature_id, interval_id FROM gff g JOIN bed b ON {_OVER}",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import prob
+from strandline.functions import prob, vectors
 from strandline.operators import bayes, motif, prefix
 from strandline.plans.sequence_queries import _READS, reads
 from strandline.session import table
@@ -135,6 +135,40 @@ def bit_select(spark, d):
     return prefix.bit_select(r, "event_id", "bit").withColumn("kind", F.lit(1)).unionByName(prefix.bit_select(r, "event_id", "bit", False).withColumn("kind", F.lit(0)))
 
 
+def bit_extend(spark, d):
+    """Ranks of all events, those of odd days' halves of the table being appended to the others', at every 64th bit."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("bit"))
+    half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    r = prefix.extend_ranks(prefix.bit_ranks(e.filter(F.col("event_id") <= half), "event_id", "bit"), e.filter(F.col("event_id") > half), "event_id", "bit")
+    return prefix.rank_samples(r, "event_id", 64).select("event_id", "rank1", "rank0")
+
+
+def scans(spark, d):
+    """Running products of what is left after each line's discount, and running maxima, by order: scans with two operations."""
+    import numpy as np
+
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", (1 - F.col("l_discount")).alias("x"))
+    s = prob.scan_rows(l, ["l_orderkey"], ["l_linenumber", "l_tax", "x"], "x", np.multiply, "product")
+    s = prob.scan_rows(s, ["l_orderkey"], ["l_linenumber", "l_tax", "x"], "x", max, "top")
+    return s.select("l_orderkey", "l_linenumber", F.round("product", 6).alias("product"), "top")
+
+
+def small_ints(spark, d):
+    """Prices of each order in cents as a vector of mostly small numbers: read, changed, lengthened and written out again."""
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))), lambda x: F.when(x["l_linenumber"] % 2 == 0, x["l_quantity"]).otherwise(F.round(x["l_extendedprice"] * 100)).cast("bigint")).alias("v"))
+    o = o.select("l_orderkey", vectors.compress("v").alias("c"))
+    changed = vectors.push(vectors.put("c", F.lit(0), F.lit(7).cast("bigint")), F.lit(10**12).cast("bigint"))
+    return o.select("l_orderkey", vectors.decompress("c").alias("v"), vectors.get("c", F.lit(1)).alias("second"), vectors.decompress(changed).alias("changed"), vectors.length(changed).cast("bigint").alias("n"))
+
+
+def cdf_pmf(spark, d):
+    """Masses of a distribution at given values, also at some that it does not have."""
+    n = table(spark, d, "part").count()
+    one = prob.cdf(table(spark, d, "part").groupBy("p_size").agg((F.count("*") / n).alias("p")), [], "p_size", "p")
+    probes = spark.range(1, 60).select((F.col("id") * 1.0).alias("size_at"))
+    return prob.cdf_get_pmf(one, probes, "p_size", "size_at").select("size_at", F.round("p", 6).alias("p"))
+
+
 def symbol_rank(spark, d):
     """For the last symbol of each read: how often it occurs in it."""
     r = reads(spark, d).select("read_id", F.posexplode(F.split("s", "")).alias("i", "c"))
@@ -188,7 +222,7 @@ _SITES = "('TATAAT'), ('TATGAT'), ('TACAAT'), ('TATACT'), ('GATAAT')"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (phred, ln_arithmetic, log_sum_exp, log_cumsum, expected_fdr, cdf, cdf_moments, cdf_sample, cdf_get, bayes_model, bayes_factor, combinations, integrate, interpolate, prefix_ops, bit_rank, bit_select, symbol_rank, less_table, motif_weights, motif_information, motif_consensus, motif_scan)
+    fs = (phred, ln_arithmetic, log_sum_exp, log_cumsum, expected_fdr, cdf, cdf_moments, cdf_sample, cdf_get, bayes_model, bayes_factor, combinations, integrate, interpolate, prefix_ops, bit_rank, bit_select, bit_extend, scans, small_ints, cdf_pmf, symbol_rank, less_table, motif_weights, motif_information, motif_consensus, motif_scan)
     return {f.__name__: f for f in fs}
 
 
@@ -218,6 +252,10 @@ def oracle_sql() -> dict[str, str]:
         "prefix_ops": "SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS incl, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS excl, round(max(o_totalprice) OVER w, 2) AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
         "bit_rank": "SELECT event_id, bit, CAST(sum(bit::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank1, CAST(sum((NOT bit)::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank0 FROM (SELECT event_id, event_type = 'error' AS bit FROM events)",
         "bit_select": "SELECT row_number() OVER (PARTITION BY bit ORDER BY event_id) AS j, event_id, CAST(bit AS INT) AS kind FROM (SELECT event_id, event_type = 'error' AS bit FROM events)",
+        "bit_extend": "SELECT event_id, rank1, rank0 FROM (SELECT event_id, CAST(sum(bit::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank1, CAST(sum((NOT bit)::INT) OVER (ORDER BY event_id) AS BIGINT) AS rank0 FROM (SELECT event_id, event_type = 'error' AS bit FROM events)) WHERE (rank1 + rank0) % 64 = 0",
+        "scans": "SELECT l_orderkey, l_linenumber, round(product(1 - l_discount) OVER w, 6) AS product, max(1 - l_discount) OVER w AS top FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax, 1 - l_discount ROWS UNBOUNDED PRECEDING)",
+        "small_ints": "SELECT l_orderkey, v, v[2] AS second, list_concat([7], v[2:], [1000000000000]) AS changed, len(v) + 1 AS n FROM (SELECT l_orderkey, list(CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE round(l_extendedprice * 100) END AS BIGINT) ORDER BY l_linenumber, l_quantity, l_extendedprice) AS v FROM lineitem GROUP BY 1)",
+        "cdf_pmf": "SELECT CAST(x AS DOUBLE) AS size_at, round(CASE WHEN x IN (SELECT p_size FROM part) THEN (SELECT count(*) FROM part WHERE p_size = x) ELSE (SELECT count(*) FROM part WHERE p_size < x) END / (SELECT count(*) FROM part), 6) AS p FROM (SELECT unnest(generate_series(1, 59)) AS x)",
         "symbol_rank": f"SELECT read_id, right(s, 1) AS last_symbol, length(s) - length(replace(s, right(s, 1), '')) AS last_rank, greatest(length(s) - length(replace(s, 'A', '')), length(s) - length(replace(s, 'C', '')), length(s) - length(replace(s, 'G', '')), length(s) - length(replace(s, 'T', '')), length(s) - length(replace(s, 'N', ''))) AS top_rank FROM {_READS}",
         "less_table": f"SELECT read_id, c, n, CAST(coalesce(sum(n) OVER (PARTITION BY read_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS less FROM (SELECT read_id, c, count(*) AS n FROM (SELECT read_id, unnest(string_split(s, '')) AS c FROM {_READS}) GROUP BY 1, 2)",
         "motif_weights": f"WITH {_W} SELECT motif, pos, mono, round(weight, 6) AS weight FROM pw",

@@ -269,3 +269,26 @@ def test_counted_overlaps(spark):
         assert intervals.interval_join(a, b, ("s", "e"), ("t", "u"), [("k", "kk")]).count() == 0
     anti = intervals.interval_join(l, r, ("s", "e"), ("t", "u"), [("k", "kk")], how="left_anti")
     assert sorted(x.i for x in anti.collect()) == [2, 4, 5]
+
+
+def test_small_numbers(spark):
+    from strandline.functions import vectors
+
+    v = [0, 7, 32766, 32767, -1, 10**12]
+    df = spark.createDataFrame([(v, [])], "v array<bigint>, w array<bigint>").select(vectors.compress("v").alias("c"), vectors.compress("w").alias("e"))
+    r = df.select(
+        vectors.decompress("c").alias("all"), vectors.length("c").alias("n"), vectors.get("c", F.lit(5)).alias("big"), vectors.get("c", F.lit(6)).alias("none"), vectors.decompress(vectors.put("c", F.lit(5), F.lit(3))).alias("low"),
+        vectors.decompress(vectors.put("c", F.lit(0), F.lit(99_999))).alias("high"), vectors.decompress(vectors.push("e", F.lit(-5))).alias("one"), vectors.decompress("e").alias("empty"), F.size("c.high").alias("n_high"),
+    ).first()
+    assert r.all == v and r.n == 6 and r.big == 10**12 and r.none is None and r.low == [*v[:5], 3] and r.high == [99_999, *v[1:]] and r.one == [-5] and r.empty == [] and r.n_high == 3
+    assert one(spark, records.symbol_at("s", F.lit(1)), s="ACG") == "C" and one(spark, records.symbol_at("s", F.lit(3)), s="ACG") is None
+    assert one(spark, records.quality_at("s", F.lit(0)), s="I") == 40
+
+
+def test_appended_bits(spark):
+    bits = [(i, i % 3 == 0) for i in range(50)]
+    df = spark.createDataFrame(bits, "i int, b boolean")
+    r = prefix.extend_ranks(prefix.bit_ranks(df.filter("i < 20"), "i", "b"), df.filter("i >= 20"), "i", "b")
+    assert sorted(map(tuple, r.collect())) == sorted(map(tuple, prefix.bit_ranks(df, "i", "b").collect()))
+    assert sorted(x.i for x in prefix.rank_samples(r, "i", 16).collect()) == [15, 31, 47]
+    assert prefix.extend_ranks(prefix.bit_ranks(df.limit(0), "i", "b"), df, "i", "b").count() == 50

@@ -51,7 +51,7 @@ def test_alignment_brute_force(mode):
     ys = ["".join(rng.choice("ACG") for _ in range(rng.randint(0, 10))) for _ in range(80)]
     wide = [(np.maximum(0, np.arange(len(x) + len(y) + 1) - len(y)), np.minimum(len(x), np.arange(len(x) + len(y) + 1))) for x, y in zip(xs, ys)]
     for bands in (None, wide):
-        for a, x, y in zip(pairwise.align_batch(xs, ys, sc, mode, bands), xs, ys):
+        for a, x, y in zip(pairwise.align_batch(xs, ys, sc, mode) if bands is None else pairwise._align_bands(xs, ys, sc, mode, bands), xs, ys):
             assert a.score == brute_score(x, y, sc.with_mode(mode))
             i, j = a.xstart, a.ystart
             for o in a.ops:
@@ -292,3 +292,33 @@ def test_only_plain_models_are_trained():
         hmm.train(g, [[0.1, 2.0, 1.5]])
     m = hmm.Discrete([[0.5, 0.5], [0.4, 0.6]], [[0.5, 0.5], [0.1, 0.9]], [0.5, 0.5])
     assert list(hmm.states(m)) == [0, 1] and list(hmm.transitions(m))[2] == (1, 0, 0.4)
+
+
+def test_batches_of_hidden_models():
+    rng = random.Random(6)
+    for end in (None, [0.1, 0.2, 0.3]):
+        m = hmm.Discrete([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]], [[0.7, 0.2, 0.1], [0.1, 0.6, 0.3], [0.3, 0.3, 0.4]], [0.5, 0.3, 0.2], end)
+        obs = [[rng.randint(-1, 2) for _ in range(rng.choice([1, 2, 7, 40, 300]))] for _ in range(25)]
+        for o, (path, v, f, b) in zip(obs, hmm.decode_batch(m, obs)):
+            assert path == hmm.viterbi(m, o)[0] and v == pytest.approx(hmm.viterbi(m, o)[1])
+            assert f == pytest.approx(hmm.forward(m, o)[1]) and b == pytest.approx(hmm.backward(m, o)[1]) and f == pytest.approx(b)
+    assert hmm.decode_batch(m, []) == []
+    g = hmm.Gaussian([[0.5, 0.5], [0.5, 0.5]], [[0.0, 1.0], [2.0, 1.0]], [0.5, 0.5])
+    assert hmm.decode_batch(g, [[0.1, 1.9], [2.2]])[0][0] == hmm.viterbi(g, [0.1, 1.9])[0]
+
+
+def test_wide_bands_find_the_best_alignment():
+    rng = random.Random(7)
+    s = pairwise.Scoring.from_scores(-5, -1, 1, -1)
+    xs = ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 60))) for _ in range(20)]
+    ys = [x[: rng.randint(1, len(x))] + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 9))) for x in xs]
+    for mode in ("global", "semiglobal", "local"):
+        whole = pairwise.align_batch(xs, ys, s, mode)
+        banded = pairwise.align_banded(xs, ys, s, 5, 200, mode)
+        assert [a.score for a in whole] == [b.score for b in banded]
+    m = sparse.find_kmer_matches(xs[0], ys[0], 4)
+    a = pairwise.align_with_matches(xs[0], ys[0], s, 4, 100, m, "semiglobal", mismatches=1, union=True)
+    assert a.score == pairwise.align(xs[0], ys[0], s, "semiglobal").score
+    picture = pairwise.show_band("ACGT", "ACT", pairwise.band_around([(0, 0)], 4, 3, 2, 1), pairwise.align("ACGT", "ACT", s, "global"))
+    assert picture.count("\n") == 4 and picture[0] == picture[-1] == "\\" and "x" in picture
+    assert pairwise.align_banded(["A" * 50], ["A" * 50], s, 5, 10, "global", max_cells=10)[0].ops == ""
