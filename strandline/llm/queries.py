@@ -24,6 +24,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.join(named, "rec_id")
 
 
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record put together again from its pieces, and whether these keep the limit and overlap as they should."""
+    overlap = splitting.OVERLAP
+    p = splitting.split_oversized(table(spark, sf_dir, "fasta")).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("p"))
+    rest = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.lit(overlap + 1), F.length(x["piece"]))))
+    chained = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.element_at("p", i)["start_pos"] == F.element_at("p", F.greatest(i - 1, F.lit(1)))["end_pos"] - overlap))
+    whole = F.array_join(rest, "")
+    return p.select("rec_id", F.md5(whole).alias("digest"), F.length(whole).cast("bigint").alias("n_symbols"), F.forall("p", lambda x: F.length(x["piece"]) <= splitting.LIMIT).alias("within"), chained.alias("chained"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "fastq")).select(F.col("id_a").alias("read_id_a"), F.col("id_b").alias("read_id_b"))
 
@@ -48,6 +58,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.container_fill(p8_containers(spark, sf_dir))
 
 
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document: is all of it placed, in one piece unless it exceeds a container, and are its containers within their capacity?"""
+    a = containers.fill_containers(table(spark, sf_dir, "documents"))
+    full = a.filter("container_id >= 0").groupBy("container_id").agg(F.sum("n_tokens").alias("held"))
+    d = a.join(full, "container_id", "left").groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("tok_start") + F.col("n_tokens")).alias("reach"), F.max(F.coalesce("held", F.lit(0))).alias("held"))
+    cap = containers.CAPACITY
+    return d.select("doc_id", (F.col("n") == F.col("reach")).alias("complete"), (F.col("pieces") == F.greatest(F.ceil(F.col("n") / cap), F.lit(1))).alias("whole"), (F.col("held") <= cap).alias("within"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
@@ -99,13 +118,20 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p7_found, p7_share, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_groups, p7_found, p7_share, p8_containers, p8_documents, p8_fill, p9_found, p9_items, p10_found, p10_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_RUNS} SELECT rec_id, gap_start FROM runs UNION ALL SELECT DISTINCT rec_id, CAST(-1 AS BIGINT) FROM toks WHERE rec_id NOT IN (SELECT rec_id FROM runs)",
         "p2_found": f"WITH {_P2_PAIRS} SELECT a AS read_id_a, b AS read_id_b FROM both_ JOIN sizes p ON p.read_id = a JOIN sizes q ON q.read_id = b WHERE k >= 0.5 * (p.n + q.n - k)",
+        "p1_rebuilt": f"SELECT rec_id, md5(coalesce({_CLEAN}, '')) AS digest, CAST(length(coalesce({_CLEAN}, '')) AS BIGINT) AS n_symbols, TRUE AS within, TRUE AS chained FROM fasta",
+        "p2_groups": f"""WITH RECURSIVE {_P2_PAIRS}, rd AS (SELECT read_id, s, min(read_id) OVER (PARTITION BY s) AS rep FROM (SELECT read_id, {_CLEAN} AS s FROM fastq WHERE seq IS NOT NULL) WHERE length(s) >= 12),
+            ln AS (SELECT a, b FROM both_ JOIN sizes p ON p.read_id = a JOIN sizes q ON q.read_id = b WHERE k >= 0.5 * (p.n + q.n - k) AND a IN (SELECT rep FROM rd) AND b IN (SELECT rep FROM rd)),
+            e AS (SELECT a AS s, b AS t FROM ln UNION ALL SELECT b, a FROM ln), reach AS (SELECT DISTINCT rep AS n, rep AS m FROM rd UNION SELECT reach.n, e.t FROM reach JOIN e ON e.s = reach.m),
+            g AS (SELECT n, min(m) AS group_id FROM reach GROUP BY n), dg AS (SELECT s AS n, count(*) AS n_links FROM e GROUP BY s)
+            SELECT read_id, rep, group_id, coalesce(n_links, 0) AS n_links FROM rd JOIN g ON g.n = rep LEFT JOIN dg ON dg.n = rep""",
+        "p8_documents": "SELECT doc_id, TRUE AS complete, TRUE AS whole, TRUE AS within FROM documents",
         "p7_found": f"WITH {_P7_SPANS} SELECT rec_id, span_start, span_end FROM spans",
         "p7_share": f"""WITH {_P7_SPANS} SELECT f.rec_id, CAST(coalesce(length({_CLEAN.replace('seq', 'f.seq')}), 0) AS BIGINT) AS n_symbols, CAST(coalesce(n, 0) AS BIGINT) AS n_shared,
             CASE WHEN coalesce(length({_CLEAN.replace('seq', 'f.seq')}), 0) > 0 THEN round(coalesce(n, 0) / length({_CLEAN.replace('seq', 'f.seq')}), 6) ELSE 0.0 END AS share
