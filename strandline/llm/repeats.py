@@ -4,9 +4,13 @@ Rounds of run and pair compression rename the text: a maximal run of one symbol,
 fall on opposite sides of a coin flipped per name and round, become one symbol. Names are fingerprints of what they
 stand for, so they are global without a dictionary and rounds need no shuffle. Every symbol carries its *dependence
 span*, the stretch of text that alone decides that the symbol arises there; a window of text therefore holds the same
-interior symbols wherever it occurs. Each window is keyed by the interior symbols of its highest level. Keys found in
-one record only exclude their windows; windows of shared keys are verified symbol by symbol (48 bases packed into 96
-bits, without loss), so that the result is exact: no shared window is missed and none is invented.
+interior symbols wherever it occurs. Of a window's interior symbols on a level whose dependence spans are about a third
+of a window long, the one with the least fingerprint is its key, which neighbouring windows share; windows without such a
+symbol go a level down, and at the bottom are their own keys. Keys found in one record only exclude their windows; windows
+of shared keys are verified symbol by symbol (48 bases packed into 96 bits, without loss), so that the result is exact:
+no shared window is missed and none is invented.
+
+Records are parsed in overlapping pieces, and whatever is put together per record goes by pieces first.
 
 Defined results: a null sequence and one shorter than the window share nothing; symbols other than A, C, G, T end a
 stretch; a null id is left out; repeated rows with one id count as one record; an empty table gives no rows.
@@ -14,103 +18,171 @@ stretch; a null id is left out; repeated rows with one id count as one record; a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.alphabets import chunks
 from strandline.llm.sequences import clean_seq
 from strandline.session import materialize
 
 WINDOW = 48
-#: A single interior symbol whose dependence span is at least this long serves as key alone.
-ALONE = 24
-#: Rounds of compression: symbols of later ones reach beyond a window of this size and key none.
-ROUNDS = 5
-#: Symbols that a worker parses at once.
-CHUNK = 1_000_000
+#: Symbols of the pieces in which records are parsed.
+CHUNK = 65_536
 _BASES = np.full(256, 255, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _BASES[_c] = _i
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: An odd root for polynomials modulo 2**64 and its inverse.
+_ROOT = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Symbols that a worker parses at once, about.
+GROUP = 1_000_000
+#: Ranks below this are tried first: about a third.
+_FEW = (1 << 64) // 3
+_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(30)
-    x *= _M1
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x *= _M2
+    x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
 
-def recompress(codes: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Names of symbols: two that are equal by chance cost a candidate, never a result."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+#: Names and values of the codes of single symbols; two of the four bases fall on either side of the first coin.
+_NAMES = mix32(np.arange(2001, 2257, dtype=np.uint32))
+_VALUES = mix(np.arange(11, 267, dtype=np.uint64))
+
+
+def rounds_for(window: int) -> int:
+    """Rounds after which dependence spans are about a third of a window long: they grow by about a half each round."""
+    return max(1, round(math.log(max(window, 12) / 6) / math.log(1.5)) - 2)
+
+
+def recompress(codes: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Dependence spans (ds, de) of the symbols of every level, lowest first; both rise along the text."""
-    n = len(codes)
-    at = np.arange(n, dtype=np.int64)
-    name = mix(codes.astype(np.uint64) + np.uint64(1))
+    at = np.arange(len(codes), dtype=np.int32)
+    name = _NAMES[codes]
     ds, de = at, at + 1
     levels = [(ds, de)]
-    for level in range(ROUNDS):
+    for level in range(rounds):
         head = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))  # runs
         k = np.diff(np.append(head, len(name)))
         tail = head + k - 1
-        name = np.where(k > 1, mix(name[head] ^ (k.astype(np.uint64) << np.uint64(1))), name[head])
+        name = name[head]
+        long = np.flatnonzero(k > 1)
+        name[long] = mix32(name[long] ^ (k[long].astype(np.uint32) << np.uint32(1)))
         ds, de = ds[np.maximum(head - 1, 0)], de[np.minimum(tail + 1, len(de) - 1)]
         levels.append((ds, de))
-        side = (mix(name + np.uint64(level * 2 + 1)) & np.uint64(1)).astype(bool)  # pairs: left where False, right where True
-        first = np.append(~side[:-1] & side[1:], False)
-        second = np.concatenate(([False], first[:-1]))
-        right = np.minimum(np.arange(len(name)) + 1, len(name) - 1)
-        left = np.maximum(np.arange(len(name)) - 1, 0)
-        merged = np.where(first, mix(name * np.uint64(3) ^ mix(name[right])), name)
-        ds, de = np.where(side & ~second, ds[left], ds), np.where(~side, de[right], de)
-        keep = ~second
-        name, ds, de = merged[keep], ds[keep], de[keep]
+        side = (mix32(name + np.uint32(level * 2 + 1)) & np.uint32(1)).astype(bool)  # pairs: left where False, right where True
+        pair = np.flatnonzero(~side[:-1] & side[1:])
+        keep = np.ones(len(name), bool)
+        keep[pair + 1] = False
+        lone = side & keep  # looks to its left; one that is no right side looks to its right
+        new_ds, new_de = ds.copy(), de.copy()
+        new_ds[1:][lone[1:]] = ds[:-1][lone[1:]]
+        new_de[:-1][~side[:-1]] = de[1:][~side[:-1]]
+        name[pair] = mix32(name[pair] * np.uint32(3) ^ mix32(name[pair + 1]))
+        name, ds, de = name[keep], new_ds[keep], new_de[keep]
         levels.append((ds, de))
-        if len(ds) < 2 or (de - ds).min() > window:
+        if len(ds) < 2:
             break
     return levels
 
 
-def window_keys(codes: np.ndarray, window: int = WINDOW, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(of: str, root: np.uint64, n: int) -> np.ndarray:
+    if len(_POWERS.get(of, ())) < n:
+        _POWERS[of] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, root))))
+    return _POWERS[of][:n]
+
+
+def _prints(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the fingerprints of the stretches a..b: polynomials modulo 2**64, from sums of powers."""
+    n = len(codes)
+    back = _powers("back", _INVERSE, n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[codes] * _powers("forth", _ROOT, n), out=sums[1:])
+    return lambda a, b: mix((sums[b] - sums[a]) * back[a] ^ ((b - a).astype(np.uint64) << np.uint64(48)))
+
+
+def window_keys(codes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, end of windows, key) for runs of windows that one key covers. codes holds a break at both ends."""
     n = len(codes)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none
-    bad = np.concatenate(([0], np.cumsum(codes > 3)))
+    bad = np.concatenate((np.zeros(1, np.int32), np.cumsum(codes > 3, dtype=np.int32)))
     starts = np.flatnonzero(bad[window:] == bad[:-window])
     if not len(starts):
         return none, none, none
-    lo, hi = np.full(len(starts), -1, np.int64), np.full(len(starts), -1, np.int64)
+    prints = _prints(codes)
+    lo, hi = starts.copy(), starts + window  # a window that no symbol keys is its own key
     open_ = np.arange(len(starts))
-    for ds, de in reversed(recompress(codes, window)):
-        p = starts[open_]
-        i = np.searchsorted(ds, p)
-        ok = i < len(ds)
-        ok[ok] = de[i[ok]] <= p[ok] + window
-        if ok.any():
-            at, q, i = open_[ok], p[ok], i[ok]
-            last = np.searchsorted(de, q + window, side="right") - 1
-            lo[at] = ds[i]
-            hi[at] = np.where(de[i] - ds[i] >= alone, de[i], de[last])
+    for ds, de in reversed(recompress(codes, rounds_for(window))):
+        inside = (de - ds >= window // 3) & (de - ds <= window)
+        ds, de = ds[inside], de[inside]
+        if not len(ds):
+            continue
+        rank = prints(ds, de)
+        for few in (rank < np.uint64(_FEW), slice(None)):  # where there is one of low rank, it is the least
+            s, e, r = ds[few], de[few], rank[few]
+            if not len(s) or not len(open_):
+                continue
+            p = starts[open_]
+            if len(p) * 16 > n:  # spans that begin before the window, and those that end within it
+                first = np.cumsum(np.bincount(s + 1, minlength=n + 2), dtype=np.int32)[p]
+                last = np.cumsum(np.bincount(e, minlength=n + 2), dtype=np.int32)[p + window] - 1
+            else:
+                first, last = np.searchsorted(s, p), np.searchsorted(e, p + window, side="right") - 1
+            change = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (last[1:] != last[:-1]))))
+            a, b = first[change], last[change]
+            least, at = np.full(len(a), np.iinfo(np.uint64).max), np.full(len(a), -1)
+            live = np.flatnonzero(a <= b)
+            k = a[live]
+            while len(live):
+                own = r[k]
+                less = np.flatnonzero(own < least[live])
+                at[live[less]], least[live[less]] = k[less], own[less]
+                k = k + 1
+                more = np.flatnonzero(k <= b[live])
+                live, k = live[more], k[more]
+            at = np.repeat(at, np.diff(np.append(change, len(p))))
+            ok = at >= 0
+            lo[open_[ok]], hi[open_[ok]] = s[at[ok]], e[at[ok]]
             open_ = open_[~ok]
         if not len(open_):
             break
-    power = np.cumprod(np.concatenate(([1], np.full(window, 0x100000001B3))).astype(np.uint64))
-    # runs of windows with one key, and the key's text as a polynomial modulo 2**64
     change = np.flatnonzero(np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (starts[1:] != starts[:-1] + 1))))
     first, end = starts[change], np.append(starts[change[1:] - 1], starts[-1]) + 1
-    a, length = lo[change], hi[change] - lo[change]
-    key = np.zeros(len(a), np.uint64)
-    value = mix(codes.astype(np.uint64) + np.uint64(11))
-    for j in range(int(length.max())):
-        live = length > j
-        key[live] += value[a[live] + j] * power[j]
-    key = mix(key ^ (length.astype(np.uint64) << np.uint64(56)))
-    return first, end, key.view(np.int64)
+    key = prints(lo[change], hi[change])
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (first[1:] != end[:-1])))  # along a run of one symbol all windows are alike
+    last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
+    return first[new], end[last], key[new].view(np.int64)
+
+
+def _groups(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first, how many) of the rows to parse together: about GROUP symbols, and a row at least."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cut = np.flatnonzero(np.diff(size // GROUP)) + 1
+    return [(int(a), int(b - a)) for a, b in zip([0, *cut], [*cut, len(texts)]) if b > a]
 
 
 def _encode(seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +193,6 @@ def _encode(seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _BASES[raw], begin
 
 
-def _chunks(seqs: list[str], window: int):
-    """Groups of chunks of at most CHUNK symbols, long records being cut with an overlap of window - 1.
-
-    A key depends on nothing outside its window, so a cut changes no key.
-    """
-    row, off, texts, size = [], [], [], 0
-    for i, s in enumerate(seqs):
-        for o in range(0, max(1, len(s) - window + 1), CHUNK):
-            text = s[o : o + CHUNK + window - 1]
-            if size and size + len(text) > CHUNK:
-                yield np.array(row), np.array(off), texts
-                row, off, texts, size = [], [], [], 0
-            row.append(i)
-            off.append(o)
-            texts.append(text)
-            size += len(text)
-    if texts:
-        yield np.array(row), np.array(off), texts
-
-
 def pack(codes: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
     """The windows at ``starts`` as signed words of 24 bases, without loss."""
     words = []
@@ -152,66 +204,73 @@ def pack(codes: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]
     return words
 
 
-def shared_windows(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", window: int = WINDOW) -> DataFrame:
-    """(rec_id, pos): every window that also occurs in another record."""
+def pieces(df: DataFrame, id_col: str, seq_col: str, window: int, chunk: int) -> DataFrame:
+    """(rec_id, of, at, text): records in pieces that overlap by a window less one; ``of`` tells apart the sequences of one id."""
+    recs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec_id"), clean_seq(seq_col).alias("seq")).filter(F.length("seq") >= window)
+    cut = recs.select("rec_id", F.xxhash64("seq").alias("of"), F.posexplode(chunks("seq", chunk, window - 1)).alias("at", "text"))
+    return cut.filter(F.length("text") >= window)
+
+
+def shared_windows(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+    """(rec_id, at, pos): every window that also occurs in another record, with the piece it lies in."""
     id_type = df.schema[id_col].dataType.simpleString()
-    recs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec_id"), clean_seq(seq_col).alias("seq")).filter(F.length("seq") >= window).distinct()
+    cut = pieces(df, id_col, seq_col, window, chunk)
 
     def keys(batches):
         for b in batches:
-            for row, off, texts in _chunks(b.column(1).to_pylist(), window):
-                codes, begin = _encode(texts)
+            for k, n in _groups(b.column(3)):
+                part = b.slice(k, n)
+                codes, begin = _encode(part.column(3).to_pylist())
                 first, end, key = window_keys(codes, window)
                 c = np.searchsorted(begin, first, side="right") - 1
-                shift = off[c] - begin[c]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[c])), pa.array(first + shift), pa.array(end + shift), pa.array(key)], ["rec_id", "w_from", "w_to", "key"])
+                row = pa.array(c)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(3)), pa.array((first - begin[c]).astype(np.int32)), pa.array((end - begin[c]).astype(np.int32)), pa.array(key)], ["rec_id", "of", "at", "w_from", "w_to", "key"])
 
-    anchors = materialize(recs.mapInArrow(keys, f"rec_id {id_type}, w_from bigint, w_to bigint, key bigint"), "p7-keys")
+    anchors = materialize(cut.mapInArrow(keys, f"rec_id {id_type}, of bigint, at int, w_from int, w_to int, key bigint"), "p7-keys")
     revealed = anchors.groupBy("key").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")).filter("lo <> hi").select("key")
-    spans = anchors.join(revealed, "key", "left_semi").groupBy("rec_id").agg(F.collect_list(F.struct("w_from", "w_to")).alias("spans"))
-    todo = recs.join(spans, "rec_id")
+    # at most ``chunk`` spans to a piece; written, so that their size decides how the texts are joined
+    spans = materialize(anchors.join(revealed, "key", "left_semi").groupBy("rec_id", "of", "at").agg(F.collect_set(F.struct("w_from", "w_to")).alias("spans")), "p7-spans")
+    todo = cut.join(spans, ["rec_id", "of", "at"]).select("rec_id", "at", "text", "spans")
 
     n_words = -(-window // 24)
     cols = ", ".join(f"k{i} bigint" for i in range(n_words))
 
     def windows(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                codes, begin = _encode(part.column(1).to_pylist())
-                lists = part.column(2)
+            for k, rows in _groups(b.column(2)):
+                part = b.slice(k, rows)
+                codes, begin = _encode(part.column(2).to_pylist())
+                lists = part.column(3)
                 off = np.asarray(lists.offsets)
                 flat = lists.values.slice(off[0], off[-1] - off[0])
-                f, t = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                rec = np.repeat(np.arange(part.num_rows), np.diff(off))
-                step = 1_000_000
-                bounds = np.concatenate(([0], np.cumsum(t - f)))
-                lo = 0
-                while lo < len(f):  # pieces of about a million windows
-                    hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + step, side="right")) - 1)
-                    n = t[lo:hi] - f[lo:hi]
-                    r = np.repeat(rec[lo:hi], n)
-                    pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f[lo:hi], n)
-                    words = pack(codes, pos + begin[r], window)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(pos), *map(pa.array, words)], ["rec_id", "pos", *(f"k{i}" for i in range(n_words))])
-                    lo = hi
-
-    # each id may stand with several sequences: their windows count for the one record
-    seen = materialize(todo.select("rec_id", "seq", "spans").mapInArrow(windows, f"rec_id {id_type}, pos bigint, {cols}"), "p7-windows")
+                f, n = flat.field(0).to_numpy().astype(np.int64), (flat.field(1).to_numpy() - flat.field(0).to_numpy()).astype(np.int64)
+                r = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(off)), n)
+                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f, n)
+                words = pack(codes, pos + begin[r], window)
+                at = part.column(1).take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), at, pa.array(pos + at.to_numpy().astype(np.int64) * chunk), *map(pa.array, words)], ["rec_id", "at", "pos", *(f"k{i}" for i in range(n_words))])
+
+    seen = materialize(todo.mapInArrow(windows, f"rec_id {id_type}, at int, pos bigint, {cols}"), "p7-windows")
     names = [f"k{i}" for i in range(n_words)]
     common = seen.groupBy(*names).agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")).filter("lo <> hi").select(*names)
-    return seen.join(common, names, "left_semi").select("rec_id", "pos")
+    return seen.join(common, names, "left_semi").select("rec_id", "at", "pos")
 
 
-def shared_spans(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", window: int = WINDOW) -> DataFrame:
-    """(rec_id, span_start, span_end): the maximal spans of a record covered by its shared windows."""
-    from pyspark.sql import Window
+def shared_spans(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+    """(rec_id, span_start, span_end): the maximal spans of a record covered by its shared windows.
+
+    Spans are formed within pieces first; only these are put together over a record.
+    """
+
+    def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("a", "b")
+        reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("new", (reach.isNull() | (F.col("a") > reach)).cast("int"))
+        rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
-    order = Window.partitionBy("rec_id").orderBy("pos")
-    w = shared_windows(df, id_col, seq_col, window).distinct()
-    w = w.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(order), F.lit(-10**9)) + window).cast("int"))
-    w = w.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return w.groupBy("rec_id", "island").agg(F.min("pos").alias("span_start"), (F.max("pos") + window).alias("span_end")).drop("island")
+    w = shared_windows(df, id_col, seq_col, window, chunk).select("rec_id", "at", F.col("pos").alias("a"), (F.col("pos") + window).alias("b"))
+    return islands(islands(w, ["rec_id", "at"]), ["rec_id"]).select("rec_id", F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
 def shared_fraction(df: DataFrame, id_col: str = "rec_id", seq_col: str = "seq", window: int = WINDOW) -> DataFrame:

@@ -174,20 +174,15 @@ def test_shared_spans_match_brute_force(spark, window):
     assert got == brute_spans(rows, window)
 
 
-def test_cut_chunks_change_nothing(spark, monkeypatch):
+def test_cut_chunks_change_nothing(spark):
     rng = random.Random(9)
     common = random_seq(rng, 300)
-    seqs = [random_seq(rng, 500) + common + random_seq(rng, 90), random_seq(rng, 130) + common]
-    codes = [repeats._encode([s])[0] for s in seqs]
-    whole = [dict(zip(k[2].tolist(), zip(k[0].tolist(), k[1].tolist()))) for k in map(repeats.window_keys, codes)]
-    assert set(whole[0]) & set(whole[1])
-    monkeypatch.setattr(repeats, "CHUNK", 100)
-    pieces = [p for _, _, texts in repeats._chunks(seqs, 48) for p in texts]
-    assert all(len(p) <= 147 for p in pieces)
-    keys = set()
-    for _, _, texts in repeats._chunks(seqs, 48):
-        keys |= set(repeats.window_keys(repeats._encode(texts)[0])[2].tolist())
-    assert keys == set(whole[0]) | set(whole[1])
+    seqs = [random_seq(rng, 500) + common + random_seq(rng, 90), random_seq(rng, 130) + common, "A" * 700, "A" * 60 + "C", random_seq(rng, 99)]
+    whole = [dict(zip(k[2].tolist(), zip(k[0].tolist(), k[1].tolist()))) for k in (repeats.window_keys(repeats._encode([s])[0]) for s in seqs)]
+    assert set(whole[0]) & set(whole[1]) and len(whole[2]) == 1
+    rows = [*enumerate(seqs), (0, seqs[0]), (0, seqs[1][50:])]  # one id with several sequences
+    for chunk in (100, 333, 65_536):
+        assert sorted(map(tuple, repeats.shared_spans(table(spark, rows), chunk=chunk).collect())) == sorted(brute_spans(rows, 48)), chunk
 
 
 def test_every_window_has_a_key():
