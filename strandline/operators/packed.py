@@ -124,10 +124,10 @@ def split_packed(df: DataFrame, id_col: str, field_col: str) -> DataFrame:
     quote = F.when(val.rlike(_DOUBLE), '"').when(val.rlike(_SINGLE), "'").otherwise("")
     rows = rows.withColumn("quote", F.when(F.left(val, F.lit(1)).isin('"', "'"), quote).otherwise(""))
     masked = F.regexp_replace(F.regexp_replace(head, "[^ \\t=;]+", "x"), "[ \\t]+", " ")
-    sk = F.concat(masked, F.col("quote"), F.lit("x"), F.col("quote"))
+    sk = F.coalesce(F.concat(masked, F.col("quote"), F.lit("x"), F.col("quote")), F.lit(""))  # never null, so that no filter works it out before the join
     inner = F.when(F.col("quote") == "", F.array(val)).otherwise(F.array(F.col("quote"), F.substring(val, F.lit(2), F.length(val) - 2), F.col("quote")))
     tokens = F.concat(F.regexp_extract_all(head, F.lit("([^ \\t=;]+|[ \\t]+|[;=])"), F.lit(1)), inner)
     joined = rows.select("id", "val_pos", sk.alias("sk"), tokens.alias("tok")).join(F.broadcast(rule_table(df.sparkSession)), "sk")
     pick = lambda f, n: F.array_join(F.slice("tok", F.col(f) + 1, F.col(n)), "")
     value = F.when(F.col("q"), F.replace(pick("vf", "vl"), F.lit('""'), F.lit('"'))).otherwise(pick("vf", "vl"))
-    return joined.select("id", "val_pos", pick("tf", "tl").alias("tag"), percent_decode(value).alias("val"))
+    return joined.select("id", "val_pos", pick("tf", "tl").alias("tag"), value.alias("val")).withColumn("val", percent_decode(F.col("val")))
