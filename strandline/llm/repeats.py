@@ -206,7 +206,7 @@ def pack(codes: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]
 
 def pieces(df: DataFrame, id_col: str, seq_col: str, window: int, chunk: int) -> DataFrame:
     """(rec_id, of, at, text): records in pieces that overlap by a window less one; ``of`` tells apart the sequences of one id."""
-    recs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec_id"), clean_seq(seq_col).alias("seq")).filter(F.length("seq") >= window)
+    recs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec_id"), clean_seq(seq_col).alias("seq"))
     cut = recs.select("rec_id", F.xxhash64("seq").alias("of"), F.posexplode(chunks("seq", chunk, window - 1)).alias("at", "text"))
     return cut.filter(F.length("text") >= window)
 
