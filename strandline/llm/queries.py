@@ -125,6 +125,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_RUNS} SELECT rec_id, gap_start FROM runs UNION ALL SELECT DISTINCT rec_id, CAST(-1 AS BIGINT) FROM toks WHERE rec_id NOT IN (SELECT rec_id FROM runs)",
         "p2_found": f"WITH {_P2_PAIRS} SELECT a AS read_id_a, b AS read_id_b FROM both_ JOIN sizes p ON p.read_id = a JOIN sizes q ON q.read_id = b WHERE k >= 0.5 * (p.n + q.n - k)",
+        "p1_pieces": f"""WITH RECURSIVE {_P1_RUNS}, gp AS (SELECT rec_id, CAST(pos AS BIGINT) AS s, CAST(pos + length(tok) AS BIGINT) AS e FROM placed WHERE tok LIKE 'NNNNNNNNNN%'),
+            sq AS (SELECT rec_id, id, coalesce({_CLEAN}, '') AS s FROM fasta), nd AS (SELECT rec_id, 0::BIGINT AS a, length(s) AS b, 'start' AS kind FROM sq WHERE length(s) > 5000
+            UNION ALL SELECT rec_id, CASE WHEN side = 0 THEN a ELSE c END, CASE WHEN side = 0 THEN c ELSE b END, CASE WHEN side = 0 THEN kind WHEN gap THEN 'gap' ELSE 'midpoint' END
+            FROM (SELECT rec_id, a, b, kind, coalesce(arg_min(spot, {{'x': s - e, 'y': abs(spot - mid), 'z': spot}}), mid) AS c, count(spot) > 0 AS gap FROM (SELECT m.*, g.s, g.e, CASE WHEN g.s IS NOT NULL THEN least(greatest((g.s + g.e) // 2, a + 1), b - 1) END AS spot
+              FROM (SELECT *, (a + b) // 2 AS mid, greatest(1, (b - a) // 4) AS near FROM nd WHERE b - a > 4900) m LEFT JOIN gp g ON g.rec_id = m.rec_id AND g.e >= mid - near AND g.s <= mid + near AND abs(least(greatest((g.s + g.e) // 2, a + 1), b - 1) - mid) <= near)
+              GROUP BY rec_id, a, b, kind, mid), (VALUES (0), (1)) v(side)),
+            lf AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY a) - 1 AS k, a, b, kind FROM nd WHERE b - a <= 4900),
+            pc AS (SELECT rec_id, CAST(k AS INT) AS piece_no, CASE WHEN k = 0 THEN 0 ELSE a - 100 END AS start_pos, b AS end_pos, kind AS cut FROM lf UNION ALL SELECT rec_id, 0, 0, length(s), 'whole' FROM sq WHERE length(s) <= 5000)
+            SELECT pc.rec_id, piece_no, start_pos, end_pos, cut, substr(s, start_pos + 1, end_pos - start_pos) AS piece, claimed_len, coalesce(n_claims, 0) AS n_claims FROM pc JOIN sq ON sq.rec_id = pc.rec_id LEFT JOIN (SELECT name, max(len) AS claimed_len, count(*) AS n_claims FROM fai WHERE name IS NOT NULL GROUP BY 1) f ON f.name = sq.id""",
         "p1_rebuilt": f"SELECT rec_id, md5(coalesce({_CLEAN}, '')) AS digest, CAST(length(coalesce({_CLEAN}, '')) AS BIGINT) AS n_symbols, TRUE AS within, TRUE AS chained FROM fasta",
         "p2_groups": f"""WITH RECURSIVE {_P2_PAIRS}, rd AS (SELECT read_id, s, min(read_id) OVER (PARTITION BY s) AS rep FROM (SELECT read_id, {_CLEAN} AS s FROM fastq WHERE seq IS NOT NULL) WHERE length(s) >= 12),
             ln AS (SELECT a, b FROM both_ JOIN sizes p ON p.read_id = a JOIN sizes q ON q.read_id = b WHERE k >= 0.5 * (p.n + q.n - k) AND a IN (SELECT rep FROM rd) AND b IN (SELECT rep FROM rd)),
