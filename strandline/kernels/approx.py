@@ -54,6 +54,57 @@ def find_all_end(p: Pattern, text: str, k: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Cells of the table of symbols that a batch holds, and texts below which a batch is not worth its while.
+CELLS, FEW = 2_000_000, 16
+
+
+def ends_batch(p: Pattern, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, end, distance) of all ends in all texts, by text and end: a batch of texts goes along together, one word each.
+
+    Patterns above 63 symbols, and a few long texts, go one by one.
+    """
+    m = len(p.text)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    groups: list[list[int]] = []
+    for i in order:
+        if not groups or (len(groups[-1]) + 1) * len(texts[i]) > CELLS or len(texts[i]) > 2 * len(texts[groups[-1][0]]) + 64:
+            groups.append([])
+        groups[-1].append(i)
+    for g in groups:
+        if m > 63 or len(g) < FEW:
+            for i in g:
+                hits = np.array(find_all_end(p, texts[i], k), np.int64).reshape(-1, 2)
+                found.append((np.full(len(hits), i), hits[:, 0], hits[:, 1]))
+            continue
+        size = np.array([len(texts[i]) for i in g])
+        raw = np.frombuffer("".join(texts[i] for i in g).encode("utf-32-le"), np.uint32)
+        symbols, code = np.unique(raw, return_inverse=True)
+        mask = np.array([p.masks.get(chr(c), 0) for c in symbols], np.uint64)
+        eqs = np.zeros((int(size.max()), len(g)), np.uint64)
+        row = np.repeat(np.arange(len(g)), size)
+        eqs[np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size), row] = mask[code] if len(raw) else 0
+        full, top, one = np.uint64((1 << m) - 1), np.uint64(1 << (m - 1)), np.uint64(1)
+        pv, mv, dist = np.full(len(g), full), np.zeros(len(g), np.uint64), np.full(len(g), m)
+        at = np.array(g)
+        for j, eq in enumerate(eqs):
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv) & full, pv & xh
+            dist = dist + ((ph & top) != 0) - ((mh & top) != 0)
+            ph, mh = ph << one & full, mh << one & full
+            pv, mv = mh | ~(xv | ph) & full, ph & xv
+            hit = np.flatnonzero((dist <= k) & (j < size))
+            if len(hit):
+                found.append((at[hit], np.full(len(hit), j), dist[hit]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    text, end, dist = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((end, text))
+    return text[order], end[order], dist[order]
+
+
 def distance(p: Pattern, text: str) -> int | None:
     """The least distance of the pattern to any part of the text; None for an empty text."""
     ends = find_all_end(p, text, len(p.text))
@@ -98,7 +149,11 @@ def path_at(p: Pattern, text: str, end: int, dist: int) -> tuple[int, str]:
 
 def find_all(p: Pattern, text: str, k: int) -> list[tuple[int, int, int, str]]:
     """(start, end, distance, operations) of every match; the end is exclusive."""
-    return [(*path_at(p, text, e, d)[:1], e + 1, d, path_at(p, text, e, d)[1]) for e, d in find_all_end(p, text, k)]
+    out = []
+    for e, d in find_all_end(p, text, k):
+        start, ops = path_at(p, text, e, d)
+        out.append((start, e + 1, d, ops))
+    return out
 
 
 def ukkonen(pattern: str, text: str, k: int, cost: Callable[[str, str], int] = lambda a, b: int(a != b)) -> list[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +15,7 @@ DNA_CODES = {"A": "A", "T": "T", "G": "G", "C": "C", "M": "AC", "R": "AG", "W":
 SHARE = {1: 1.0, 2: 0.5, 3: 0.333, 4: 0.25}
 PROTEIN_MONOS = "ARNDCEQGHILKMFPSTWYV"
 PSEUDO = 0.5
-#: Motifs that one scan holds in its tasks.
+#: Motifs that one scan holds in its tasks; more are taken in groups, each a pass over the texts.
 MAX_MOTIFS = 10_000
 
 
@@ -80,19 +82,17 @@ def consensus(weights: DataFrame, kind: Kind = DNA) -> DataFrame:
     return one.groupBy("motif").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]), "").alias("consensus"))
 
 
-def best_window(texts: DataFrame, id_col: str, seq_col: str, weights: DataFrame, kind: Kind = DNA) -> DataFrame:
+def best_window(texts: DataFrame, id_col: str, seq_col: str, weights: DataFrame, kind: Kind = DNA, skip: bool = False) -> DataFrame:
     """(id, motif, loc, sum, score): the best window of each text for each motif, the leftmost of ties; ``score`` is
     scaled to 0..1 by the motif's range. A symbol that is no monomer, a text shorter than a motif and a motif whose
-    range is empty are errors.
+    range is empty are errors; with ``skip`` windows that hold such a symbol are passed over, and a text without any
+    window gives no row.
 
     A motif is small (positions x monomers), so each is one array of scores; texts are scanned in place, with no
     explosion into windows.
     """
     rows = weights.groupBy("motif").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx", "weight"))), lambda x: x["weight"]).alias("w"), (F.max("pos") + 1).alias("n"))
     rows = rows.join(score_range(weights).select("motif", "min_score", "max_score"), "motif")
-    motifs = rows.limit(MAX_MOTIFS + 1).collect()
-    if len(motifs) > MAX_MOTIFS:
-        raise ValueError(f"more than {MAX_MOTIFS} motifs: pass them in groups")
     k = len(kind.monos)
     t = texts.select(F.col(id_col).alias("id"), F.upper(F.col(seq_col)).alias("seq"))
     import numpy as np
@@ -101,27 +101,32 @@ def best_window(texts: DataFrame, id_col: str, seq_col: str, weights: DataFrame,
     lut = np.full(256, 255, np.uint8)
     for i, c in enumerate(kind.monos.encode()):
         lut[c] = i
-    held = [(r.motif, np.array(r.w).reshape(r.n, k), r.min_score, r.max_score) for r in motifs]
-
-    def run(batches):
+    def run(batches, held):
         for b in batches:
             ids, names, loc, tot, score = [], [], [], [], []
             for i, s in enumerate(b.column(1).to_pylist()):
                 if s is None:
                     continue
                 code = lut[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-                if (code == 255).any():
+                wrong = np.concatenate(([0], np.cumsum(code == 255)))
+                if wrong[-1] and not skip:
                     raise ValueError(f"invalid monomer: {s[int(np.argmax(code == 255))]!r}")
                 for name, w, lo, hi in held:
                     n = len(w)
                     if len(code) < n:
+                        if skip:
+                            continue
                         raise ValueError(f"the query ({len(code)}) is shorter than the motif ({n})")
                     if abs(hi - lo) < 1e-12:
                         raise ValueError("the motif has no information")
                     sums = np.zeros(len(code) - n + 1)
                     for j in range(n):
-                        sums += w[j][code[j : j + len(sums)]]
+                        sums += w[j][np.minimum(code[j : j + len(sums)], k - 1)]
+                    if wrong[-1]:
+                        sums[wrong[n:] > wrong[:-n]] = -np.inf
                     at = int(np.argmax(np.round(sums, 12)))
+                    if sums[at] == -np.inf:
+                        continue
                     ids.append(i)
                     names.append(name)
                     loc.append(at)
@@ -130,4 +135,12 @@ def best_window(texts: DataFrame, id_col: str, seq_col: str, weights: DataFrame,
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(loc, pa.int64()), pa.array(tot, pa.float64()), pa.array(score, pa.float64())], ["id", "motif", "loc", "raw", "score"])
 
     kind_of = texts.schema[id_col].dataType.simpleString()
-    return t.mapInArrow(run, f"id {kind_of}, motif string, loc bigint, raw double, score double")
+    schema = f"id {kind_of}, motif string, loc bigint, raw double, score double"
+    out, group = None, []
+    for r in itertools.chain(rows.toLocalIterator(), [None]):
+        if r is not None:
+            group.append((r.motif, np.array(r.w).reshape(r.n, k), r.min_score, r.max_score))
+        if group and (r is None or len(group) == MAX_MOTIFS):
+            found = t.mapInArrow(functools.partial(run, held=group), schema)
+            out, group = found if out is None else out.unionByName(found), []
+    return out if out is not None else texts.sparkSession.createDataFrame([], schema)

@@ -107,9 +107,25 @@ def map_rows(df: DataFrame, cols: list[str], schema: str, f: Callable[..., list[
     return spread(df.select(*[F.col(c).alias(n) for c, n in zip(cols, ["id", *(f"a{i}" for i in range(1, len(cols)))])])).mapInArrow(run, full)
 
 
+def _ends(df: DataFrame, id_col: str, seq_col: str, pattern: approx.Pattern, k: int, best: bool) -> DataFrame:
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            known = [i for i, s in enumerate(b.column(1).to_pylist()) if s is not None]
+            row, end, dist = approx.ends_batch(pattern, b.column(1).take(pa.array(known, pa.int64())).to_pylist(), k)
+            if best:
+                order = np.lexsort((end, dist, row))
+                first = order[np.concatenate(([True], np.diff(row[order]) != 0))] if len(order) else order
+                row, end, dist = row[first], end[first], dist[first]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(known, np.int64)[row])), pa.array(end.astype(np.int64)), pa.array(dist.astype(np.int64))], ["id", "end_pos", "dist"])
+
+    return spread(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s"))).mapInArrow(run, f"id {kind}, end_pos bigint, dist bigint")
+
+
 def approximate_ends(df: DataFrame, id_col: str, seq_col: str, pattern: approx.Pattern, k: int) -> DataFrame:
     """(id, end_pos, dist): ends are the place of the last symbol."""
-    return map_rows(df, [id_col, seq_col], "end_pos bigint, dist bigint", lambda s: approx.find_all_end(pattern, s, k))
+    return _ends(df, id_col, seq_col, pattern, k, False)
 
 
 def approximate_matches(df: DataFrame, id_col: str, seq_col: str, pattern: approx.Pattern, k: int) -> DataFrame:
@@ -119,7 +135,7 @@ def approximate_matches(df: DataFrame, id_col: str, seq_col: str, pattern: appro
 
 def best_approximate(df: DataFrame, id_col: str, seq_col: str, pattern: approx.Pattern) -> DataFrame:
     """(id, end_pos, dist): the least distance, at its first end."""
-    return map_rows(df, [id_col, seq_col], "end_pos bigint, dist bigint", lambda s: [r] if (r := approx.find_best_end(pattern, s)) else [])
+    return _ends(df, id_col, seq_col, pattern, len(pattern.text), True)
 
 
 def ukkonen_ends(df: DataFrame, id_col: str, seq_col: str, pattern: str, k: int, cost: Callable[[str, str], int] | None = None) -> DataFrame:

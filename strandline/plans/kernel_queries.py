@@ -15,6 +15,7 @@ from strandline.session import table
 
 SCORING = pairwise.Scoring.from_scores(-5, -1, 1, -1)
 PATTERN = "GATTACAG"
+SITE = "ACGTTGCAAGGCTTACGATCGGAT"
 SEARCH = ["ACGTAC", "GATTACAGATTACA", "TTTTTTTTTT"]
 #: A two-state model of AT-rich and GC-rich stretches over the ranks of A, C, G, T.
 COMPOSITION = hmm.Discrete([[0.95, 0.05], [0.1, 0.9]], [[0.3, 0.2, 0.2, 0.3], [0.15, 0.35, 0.35, 0.15]], [0.5, 0.5])
@@ -44,6 +45,22 @@ def align_matrix(spark, d):
     return pairs.align_pairs(_pairs(spark, d), "a_id", "a", "b", s, "local").select("id", "score", "xstart", "xend", "ystart", "yend")
 
 
+def align_site(spark, d):
+    """Scores of one site against every read, in three modes."""
+    r = reads(spark, d).select("read_id", F.lit(SITE).alias("x"), "s")
+    out = None
+    for mode in ("global", "semiglobal", "local"):
+        a = pairs.align_pairs(r, "read_id", "x", "s", SCORING, mode).select("id", F.col("score").alias(mode))
+        out = a if out is None else out.join(a, "id")
+    return out
+
+
+def pair_hmm_site(spark, d):
+    """The probability that a site comes from each read, over all its places and alignments."""
+    p = pairs.pair_related(reads(spark, d).select("read_id", "s", F.lit(SITE).alias("y")), "read_id", "s", "y", pairhmm.PairModel())
+    return p.select("id", F.when(F.col("ln_p") > float("-inf"), F.round("ln_p", 4)).alias("ln_p"))
+
+
 def seed_chains(spark, d):
     return pairs.chains(_pairs(spark, d), "a_id", "a", "b", 8, 1, -1, -1, mismatches=1)
 
@@ -137,16 +154,40 @@ _ENDS = f"""SELECT id, end_pos, dist FROM (SELECT read_id AS id, e - 1 AS end_po
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (align_custom, align_matrix, seed_chains, myers_ends, myers_matches, myers_best, myers_long, ukkonen_ends, suffix_array, lcp_sus, fm_search, fm_map, smems, poa_consensus, hmm_decode, hmm_train, pair_hmm, homopolymer_hmm, adaptive_integral)
+    fs = (align_custom, align_matrix, align_site, pair_hmm_site, seed_chains, myers_ends, myers_matches, myers_best, myers_long, ukkonen_ends, suffix_array, lcp_sus, fm_search, fm_map, smems, poa_consensus, hmm_decode, hmm_train, pair_hmm, homopolymer_hmm, adaptive_integral)
     return {n: _align(*a) for n, a in _ALIGN.items()} | {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
     pats = ", ".join(f"('{p}')" for p in SEARCH)
+    p = pairhmm.PairModel()
     emit = [f"CASE substr(s, {{}}, 1) WHEN 'A' THEN ln({a}) WHEN 'C' THEN ln({c}) WHEN 'G' THEN ln({g}) WHEN 'T' THEN ln({t}) ELSE 0 END" for a, c, g, t in COMPOSITION.emission.tolist()]
     (t00, t01), (t10, t11) = ([f"ln({x})" for x in row] for row in COMPOSITION.transition.tolist())
     lse = lambda a, b: f"greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b}))))"
     return {
+        "fm_map": f"""WITH RECURSIVE r AS (SELECT read_id AS id, s FROM {_READS}), fp AS (SELECT rec_id, p, substr(s, p + 1, 1) AS c, substr(s, p + 1, 4) AS g FROM (SELECT rec_id, s, unnest(range(0, length(s))) AS p FROM {_FASTA})),
+            h AS (SELECT id, rec_id, p, 4 AS n FROM r JOIN fp ON g = right(s, 4) WHERE length(s) >= 4), st AS (SELECT * FROM h UNION ALL SELECT id, rec_id, p, 1 FROM r JOIN fp ON c = right(s, 1) WHERE s <> '' AND id NOT IN (SELECT id FROM h)
+            UNION ALL SELECT st.id, st.rec_id, st.p - 1, n + 1 FROM st JOIN r ON r.id = st.id JOIN fp ON fp.rec_id = st.rec_id AND fp.p = st.p - 1 AND fp.c = substr(r.s, length(r.s) - n, 1) WHERE n < length(r.s)),
+            b AS (SELECT id, max(n) AS n FROM st GROUP BY id)
+            SELECT r.id, CASE WHEN b.n IS NULL THEN 'Absent' WHEN b.n = length(s) THEN 'Complete' ELSE 'Partial' END AS kind, coalesce(b.n, 0) AS length, rec_id, p AS pos FROM r LEFT JOIN b ON b.id = r.id LEFT JOIN st ON st.id = b.id AND st.n = b.n""",
+        "smems": f"""WITH x AS (SELECT id, p AS x, substr(s, p + 1, 10) AS g FROM (SELECT read_id AS id, s, unnest(range(0, length(s) - 9)) AS p FROM {_READS} WHERE length(s) >= 10)),
+            t AS (SELECT rec_id * 2 AS t, s FROM {_FASTA} UNION ALL SELECT rec_id * 2 + 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM {_FASTA}),
+            y AS (SELECT t, p AS y, substr(s, p + 1, 10) AS g FROM (SELECT t, s, unnest(range(0, length(s) - 9)) AS p FROM t WHERE length(s) >= 10)),
+            h AS (SELECT id, t, x, y FROM x JOIN y USING (g) WHERE regexp_full_match(g, '[ACGTN]+')), i AS (SELECT *, x - row_number() OVER (PARTITION BY id, t, y - x ORDER BY x) AS k FROM h),
+            m AS (SELECT id, a, b, count(*) AS n FROM (SELECT id, min(x) AS a, max(x) + 10 AS b FROM i GROUP BY id, t, y - x, k) GROUP BY 1, 2, 3),
+            r AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m)
+            SELECT id, a AS start_pos, b - a AS length, n AS n_hits FROM r WHERE reach IS NULL OR reach < b""",
+        "align_site": f"""WITH RECURSIVE r AS (SELECT read_id AS id, s FROM {_READS}),
+            st AS (SELECT id, s, 0 AS i, j, CASE WHEN j = 0 THEN 0 ELSE -4 - j END AS hg, -1000000 AS vg, 0 AS hs, -1000000 AS vs, 0 AS hl, -1000000 AS vl, 0 AS top FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS j FROM r)
+            UNION ALL SELECT id, s, i, j, greatest(bg, -4 - j + max(bg + j) OVER w) AS hg, vg, greatest(bs, -4 - j + max(bs + j) OVER w) AS hs, vs, greatest(bl, -4 - j + max(bl + j) OVER w) AS hl, vl, greatest(top, bl, -4 - j + max(bl + j) OVER w) AS top
+            FROM (SELECT id, s, i, j, vg, vs, vl, top, greatest(vg, dg + m) AS bg, greatest(vs, ds + m) AS bs, greatest(vl, dl + m, 0) AS bl FROM (SELECT id, s, i + 1 AS i, j, top, greatest(vg - 1, hg - 5) AS vg, greatest(vs - 1, hs - 5) AS vs, greatest(vl - 1, hl - 5) AS vl,
+              coalesce(lag(hg) OVER v, -1000000) AS dg, coalesce(lag(hs) OVER v, -1000000) AS ds, coalesce(lag(hl) OVER v, -1000000) AS dl, CASE WHEN substr('{SITE}', i + 1, 1) = substr(s, j, 1) THEN 1 ELSE -1 END AS m FROM st WHERE i < {len(SITE)} WINDOW v AS (PARTITION BY id ORDER BY j)))
+            WINDOW w AS (PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+            SELECT id, CAST(max(CASE WHEN j = length(s) THEN hg END) AS BIGINT) AS global, CAST(max(hs) AS BIGINT) AS semiglobal, CAST(max(top) AS BIGINT) AS local FROM st WHERE i = {len(SITE)} GROUP BY id""",
+        "pair_hmm_site": f"""WITH RECURSIVE st AS (SELECT read_id AS id, s, 0 AS j, i, CASE WHEN i = 0 THEN 2.0::DOUBLE ELSE 1.0 END AS m, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM (SELECT read_id, s, unnest(range(0, length(s) + 1)) AS i FROM {_READS})
+            UNION ALL SELECT id, s, j, i, m, CASE WHEN i = 0 THEN 0 ELSE (1 - {p.substitution}) * {p.gap_y} * lag(m) OVER (PARTITION BY id ORDER BY i) END AS x, y FROM (SELECT id, s, j + 1 AS j, i, CASE WHEN i = 0 THEN 0 ELSE (CASE WHEN substr(s, i, 1) = substr('{SITE}', j + 1, 1) THEN 1 - {p.substitution} ELSE {p.substitution} / 3 END)
+              * lag((1 - {p.gap_x} - {p.gap_y}) * m + x + y) OVER (PARTITION BY id ORDER BY i) END AS m, CASE WHEN i = 0 THEN 0 ELSE (1 - {p.substitution}) * {p.gap_x} * m END AS y FROM st WHERE j < {len(SITE)}))
+            SELECT id, round(least(ln(sum(m + x + y) FILTER (i > 0)), 0), 4) AS ln_p FROM st WHERE j = {len(SITE)} GROUP BY id""",
         "myers_ends": _ENDS,
         "ukkonen_ends": _ENDS,
         "myers_best": f"""SELECT id, arg_min(end_pos, (dist, end_pos)) AS end_pos, min(dist) AS dist FROM (SELECT read_id AS id, e - 1 AS end_pos, min(levenshtein('GATTAC', substr(s, e - n + 1, n))) AS dist

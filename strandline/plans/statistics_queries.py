@@ -202,10 +202,9 @@ def motif_consensus(spark, d):
 
 
 def motif_scan(spark, d):
-    """The best place of one motif, a fixed set of sites, in every read of plain bases."""
+    """The best place of one motif, a fixed set of sites, in every read, windows with other symbols than bases passed over."""
     sites = spark.createDataFrame([("site", s) for s in ("TATAAT", "TATGAT", "TACAAT", "TATACT", "GATAAT")], "m string, w string")
-    r = reads(spark, d).filter(~F.col("s").rlike("[^ATGC]") & (F.length("s") >= 6))
-    return motif.best_window(r, "read_id", "s", motif.weight_matrix(sites, "m", "w")).select(F.col("id").alias("read_id"), "loc", F.round("score", 6).alias("score"))
+    return motif.best_window(reads(spark, d), "read_id", "s", motif.weight_matrix(sites, "m", "w"), skip=True).select(F.col("id").alias("read_id"), "loc", F.round("score", 6).alias("score"))
 
 
 _CDF = """
@@ -267,6 +266,6 @@ def oracle_sql() -> dict[str, str]:
         "motif_scan": f"""WITH v(w) AS (VALUES {_SITES}), x AS (SELECT i, substr(w, i, 1) AS mono FROM (SELECT w, unnest(generate_series(1, 6)) AS i FROM v)),
             p AS (SELECT i, m.mono, (coalesce(n, 0) + 0.5) / 7 AS wt FROM (SELECT unnest(generate_series(1, 6)) AS i), (VALUES ('A'), ('T'), ('G'), ('C')) m(mono) LEFT JOIN (SELECT i AS j, mono AS mm, count(*) AS n FROM x GROUP BY 1, 2) ON j = i AND mm = m.mono),
             rg AS (SELECT sum(a) AS lo, sum(b) AS hi FROM (SELECT i, min(wt) AS a, max(wt) AS b FROM p GROUP BY 1)),
-            q AS (SELECT read_id, loc, sum(wt) AS t FROM (SELECT read_id, loc, i, substr(s, loc + i, 1) AS mono FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 6)) AS loc FROM {_READS} WHERE length(s) >= 6 AND NOT regexp_matches(s, '[^ATGC]')), (SELECT unnest(generate_series(1, 6)) AS i)) JOIN p USING (i, mono) GROUP BY 1, 2)
+            q AS (SELECT read_id, loc, sum(wt) AS t FROM (SELECT read_id, loc, i, substr(s, loc + i, 1) AS mono FROM (SELECT * FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 6)) AS loc FROM {_READS} WHERE length(s) >= 6) WHERE regexp_full_match(substr(s, loc + 1, 6), '[ATGC]+')), (SELECT unnest(generate_series(1, 6)) AS i)) JOIN p USING (i, mono) GROUP BY 1, 2)
             SELECT read_id, arg_min(loc, (-round(t, 12), loc)) AS loc, round((max(t) - any_value(lo)) / (any_value(hi) - any_value(lo)), 6) AS score FROM q, rg GROUP BY 1""",
     }

@@ -279,6 +279,17 @@ def test_adaptive_integral():
         integrate.adaptive(lambda x: 0.0, 2, 1, 0.1)
 
 
+def test_batches_of_approximate_search():
+    rng = random.Random(9)
+    for n in (1, 8, 40, 63, 70):
+        p = approx.Pattern("".join(rng.choice("ACGN") for _ in range(n)), {"N": "ACGT"}, "?")
+        texts = ["".join(rng.choice("ACGT?é") for _ in range(rng.choice([0, 1, 30, 33, 90, 400]))) for _ in range(90)]
+        row, end, dist = approx.ends_batch(p, texts, n // 2)
+        want = [(i, e, d) for i, t in enumerate(texts) for e, d in approx.find_all_end(p, t, n // 2)]
+        assert list(zip(row.tolist(), end.tolist(), dist.tolist())) == want
+    assert len(approx.ends_batch(p, [], 1)[0]) == 0
+
+
 def test_chain_with_gap_costs():
     assert sparse.sdpkpp([(0, 0), (9, 12)], 4, 10, 0, -1).score == 72  # eight symbols and a gap of max(5, 8)
     assert sparse.sdpkpp([(0, 0), (4, 4)], 4, 1, -5, -1).score == 8 and sparse.sdpkpp([(0, 0), (5, 4)], 4, 1, -1, -1).score == 6
