@@ -13,7 +13,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 MIN_SCORE = -858_993_459
-MAX_CELLS = 5_000_000
+#: Cells of a band beyond which a pair is not aligned, and of a matrix that may be held whole.
+MAX_CELLS, SMALL = 5_000_000, 500_000
 
 
 @dataclass
@@ -45,6 +46,11 @@ class Scoring:
     def from_function(cls, gap_open: int, gap_extend: int, score: Callable[[int, int], int]) -> Scoring:
         return cls(gap_open, gap_extend, np.array([[score(a, b) for b in range(256)] for a in range(256)], np.int64))
 
+    def plain(self) -> tuple[int, int] | None:
+        """(match, mismatch) where these are all that the table says."""
+        same, other = int(self.table[0, 0]), int(self.table[0, 1])
+        return (same, other) if (self.table == np.where(np.eye(256, dtype=bool), same, other)).all() else None
+
     def xclip(self, p: int) -> Scoring:
         return replace(self, xclip_prefix=p, xclip_suffix=p)
 
@@ -103,8 +109,8 @@ def encode(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
 
 
-def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "custom") -> list[Alignment]:
-    """Best alignments of pairs."""
+def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "custom", bands: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[Alignment]:
+    """Best alignments of pairs, all cells being held. ``bands`` gives for each pair the first and last row i of every anti-diagonal i + j that count."""
     sc = scoring.with_mode(mode)
     n_pairs = len(xs)
     if not n_pairs:
@@ -114,51 +120,84 @@ def align_batch(xs: list[str], ys: list[str], scoring: Scoring, mode: str = "cus
     X, Y = np.zeros((n_pairs, big_m + 1), np.uint8), np.zeros((n_pairs, big_n + 1), np.uint8)
     for k, (x, y) in enumerate(zip(xs, ys)):
         X[k, : len(x)], Y[k, : len(y)] = encode(x), encode(y)
-    low = np.int64(-(10**12))
+    low = -500_000_000
     shape = (n_pairs, big_m + 1)
-    s1, s2, ins, dele = (np.full(shape, low) for _ in range(4))
+    s1, s2, ins, dele = (np.full(shape, low, np.int32) for _ in range(4))
     trace = np.zeros((big_m + big_n + 1, n_pairs, big_m + 1), np.uint8)
-    best = np.full(n_pairs, low * (big_n + 3) * (big_m + 3))
-    at = np.zeros((2, n_pairs), np.int64)
     weight = (big_n + 2) * (big_m + 1)
+    best, at = np.full(n_pairs, 4 * low * weight, np.int64), np.zeros((2, n_pairs), np.int64)
     go, ge = sc.gap_open, sc.gap_extend
+    plain = sc.plain()
+    back = np.ascontiguousarray(Y[:, :big_n][:, ::-1])  # along a diagonal j falls as i rises
+    x_begin, y_begin = max(sc.xclip_prefix, low), max(sc.yclip_prefix, low)
+    begin = x_begin + y_begin
+    bound = None
+    if bands is not None:
+        bound = np.zeros((2, big_m + big_n + 1, n_pairs), np.int64)
+        bound[0], bound[1] = big_m + 1, -1
+        for k, (lo, hi) in enumerate(bands):
+            bound[0, : len(lo), k], bound[1, : len(hi), k] = lo, hi
     for d in range(big_m + big_n + 1):
         a, b = max(0, d - big_n), min(big_m, d)
-        s0, i0, d0 = (np.full(shape, low) for _ in range(3))
-        if a <= b:
-            i = np.arange(a, b + 1)
-            j = d - i
-            up = np.maximum(i - 1, 0)
-            score = np.where((i > 0) & (j > 0), s2[:, up] + sc.table[X[:, up], Y[:, np.maximum(j - 1, 0)]], low)
-            code = np.ones(score.shape, np.uint8)
+        if bound is not None:
+            a, b = max(a, int(bound[0, d].min())), min(b, int(bound[1, d].max()))
+        s0, i0, d0 = (np.full(shape, low, np.int32) for _ in range(3))
+        first, last = max(a, 1), min(b, d - 1)
+        if first <= last:  # i and j above 0
+            here, up = slice(first, last + 1), slice(first - 1, last)
+            x, y = X[:, up], back[:, big_n - d + first : big_n - d + last + 1]
+            score = s2[:, up] + (np.where(x == y, *plain) if plain else sc.table[x, y]).astype(np.int32)
             ext, opn = ins[:, up] + ge, s1[:, up] + go
-            iv = np.where(i > 0, np.maximum(ext, opn), low)
-            code |= np.where(ext > opn, 4, 0).astype(np.uint8)
-            ext, opn = dele[:, a : b + 1] + ge, s1[:, a : b + 1] + go
-            dv = np.where(j > 0, np.maximum(ext, opn), low)
-            code |= np.where(ext > opn, 8, 0).astype(np.uint8)
-            better = iv > score
-            score = np.where(better, iv, score)
-            code = np.where(better, (code & 12) | 2, code)
-            better = dv > score
-            score = np.where(better, dv, score)
-            code = np.where(better, (code & 12) | 3, code)
-            begin = np.where(i > 0, sc.xclip_prefix, 0).astype(np.int64) + np.where(j > 0, sc.yclip_prefix, 0)
-            better = begin > score
-            score = np.where(better, begin, score)
-            code = np.where(better, code & 12, code)
-            s0[:, a : b + 1], i0[:, a : b + 1], d0[:, a : b + 1] = score, iv, dv
-            trace[d, :, a : b + 1] = code
-            end = score + np.where(i == m[:, None], 0, sc.xclip_suffix) + np.where(j == n[:, None], 0, sc.yclip_suffix)
-            end = np.where((i <= m[:, None]) & (j <= n[:, None]), end, 2 * low)
-            tie = np.where(j == n[:, None], big_n + 1, big_n - j) * (big_m + 1) + (big_m - i)
-            key = np.maximum(end, low * 2) * weight + tie
+            code = (ext > opn).view(np.uint8) << 2
+            iv = np.maximum(ext, opn)
+            ext, opn = dele[:, here] + ge, s1[:, here] + go
+            code |= (ext > opn).view(np.uint8) << 3
+            dv = np.maximum(ext, opn)
+            kind = (iv > score).view(np.uint8) + np.uint8(1)
+            np.maximum(score, iv, out=score)
+            kind[dv > score] = 3
+            np.maximum(score, dv, out=score)
+            if begin > low:
+                kind[begin > score] = 0
+                np.maximum(score, begin, out=score)
+            s0[:, here], i0[:, here], d0[:, here], trace[d, :, here] = score, iv, dv, code | kind
+        if a == 0 and d == 0:
+            s0[:, 0] = 0
+        elif a == 0:  # i = 0
+            ext, opn = dele[:, 0] + ge, s1[:, 0] + go
+            d0[:, 0] = np.maximum(ext, opn)
+            s0[:, 0] = np.maximum(d0[:, 0], y_begin)
+            trace[d, :, 0] = np.where(y_begin > d0[:, 0], 0, 3) + np.where(ext > opn, 8, 0)
+        if b == d and d > 0:  # j = 0
+            ext, opn = ins[:, d - 1] + ge, s1[:, d - 1] + go
+            i0[:, d] = np.maximum(ext, opn)
+            s0[:, d] = np.maximum(i0[:, d], x_begin)
+            trace[d, :, d] = np.where(x_begin > i0[:, d], 0, 2) + np.where(ext > opn, 4, 0)
+        if a > b:
+            s2, s1, ins, dele = s1, s0, i0, d0
+            continue
+        if bound is not None:
+            i = np.arange(a, b + 1)
+            out = (i < bound[0, d][:, None]) | (i > bound[1, d][:, None])
+            for cells in (s0, i0, d0):
+                cells[:, a : b + 1][out] = low
+        if sc.xclip_suffix <= low:  # only all of x may be aligned
+            r = np.flatnonzero((m >= a) & (m <= b) & (d - m <= n))
+            i = m[r]
+        else:
+            r, i = slice(None), np.arange(a, b + 1)
+        j = d - i
+        if isinstance(r, slice):
+            end = s0[:, a : b + 1].astype(np.int64) + np.where(i == m[:, None], 0, max(sc.xclip_suffix, low)) + np.where(j == n[:, None], 0, max(sc.yclip_suffix, low))
+            end = np.where((i <= m[:, None]) & (j <= n[:, None]), end, 4 * low)
+            key = end * weight + np.where(j == n[:, None], big_n + 1, big_n - j) * (big_m + 1) + (big_m - i)
             k = key.argmax(1)
-            top = key[np.arange(n_pairs), k]
-            new = top > best
-            best = np.where(new, top, best)
-            at[0] = np.where(new, i[k], at[0])
-            at[1] = np.where(new, j[k], at[1])
+            top, i, r = key[np.arange(n_pairs), k], i[k], np.arange(n_pairs)
+        else:
+            top = (s0[r, i].astype(np.int64) + np.where(j == n[r], 0, max(sc.yclip_suffix, low))) * weight + np.where(j == n[r], big_n + 1, big_n - j) * (big_m + 1) + (big_m - i)
+        new = top > best[r]
+        r, i = r[new], i[new]
+        best[r], at[0, r], at[1, r] = top[new], i, d - i
         s2, s1, ins, dele = s1, s0, i0, d0
     return [_trace(trace[:, k], None, X[k], Y[k], int(at[0, k]), int(at[1, k]), int(best[k] // weight), int(m[k]), int(n[k]), mode) for k in range(n_pairs)]
 
@@ -311,9 +350,12 @@ def align_banded(xs: list[str], ys: list[str], scoring: Scoring, k: int, w: int,
         else:
             todo.append(p)
             bands.append((lo, hi))
-    # pairs of bands of like width go together
+    # small matrices, of which a band is a good part, are held whole; else pairs of bands of like width go together
     size = [int((hi - lo).max()) + 1 for lo, hi in bands]
-    order = sorted(range(len(todo)), key=lambda k: (size[k], len(bands[k][0])))
+    whole = [k for k, p in enumerate(todo) if 4 * size[k] > len(xs[p]) + 1 and (len(xs[p]) + len(ys[p]) + 1) * (len(xs[p]) + 1) < SMALL]
+    for k, a in zip(whole, align_batch([xs[todo[k]] for k in whole], [ys[todo[k]] for k in whole], scoring, mode, [bands[k] for k in whole])):
+        out[todo[k]] = a
+    order = sorted(set(range(len(todo))) - set(whole), key=lambda k: (size[k], len(bands[k][0])))
     group: list[int] = []
     for k in [*order, -1]:
         if group and (k < 0 or (len(group) + 1) * size[k] * max(len(bands[g][0]) for g in (*group, k)) > MAX_CELLS):
