@@ -339,21 +339,46 @@ def poa_consensus(df: DataFrame, group_col: str, order_col: str, seq_col: str, m
 
     A group is one alignment and goes to one task; groups must be bounded by the caller, as families of reads are.
     """
-    kind = df.schema[group_col].dataType.simpleString()
 
-    def build(pdf):
-        import pandas as pd
-
-        seqs = [s for s in pdf.sort_values("o")["s"] if s]
+    def build(seqs):
+        seqs = [s for s in seqs if s]
         if not seqs:
-            return pd.DataFrame({"group": [], "consensus": [], "n_nodes": [], "n_edges": []})
+            return None
         g = poa.Graph(seqs[0])
         for s in seqs[1:]:
             g.add(s, g.align(s, match, mismatch, gap, mode)[1])
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "consensus": [g.consensus()], "n_nodes": [len(g.base)], "n_edges": [len(g.edges())]})
+        return g.consensus(), len(g.base), len(g.edges())
+
+    return _by_group(df, group_col, order_col, seq_col, "group", "consensus string, n_nodes bigint, n_edges bigint", build)
+
 
-    src = df.select(F.col(group_col).alias("group"), F.col(order_col).alias("o"), F.col(seq_col).alias("s"))
-    return spread(src, "group").groupBy("group").applyInPandas(build, f"group {kind}, consensus string, n_nodes bigint, n_edges bigint")
+def _by_group(df: DataFrame, group_col: str, order_col: str, value_col: str, name: str, schema: str, f: Callable[[list], tuple | None]) -> DataFrame:
+    """(name, ...): ``f`` of the values of each group, in order, gives one row or none. Groups are streamed, one at a time being held."""
+    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = df.schema[group_col].dataType
+    arrow, id_type = to_arrow_schema(StructType(_parse_datatype_string(schema).fields)), to_arrow_type(kind)
+
+    def batch(ids, rows):
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array([r[k] for r in rows], fld.type) for k, fld in enumerate(arrow))], [name, *arrow.names])
+
+    def run(batches):
+        cells = ((i, v) for b in batches for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        ids, rows = [], []
+        for i, same in itertools.groupby(cells, lambda c: c[0]):
+            row = f([v for _, v in same])
+            if row is not None:
+                ids.append(i)
+                rows.append(row)
+            if len(ids) == 1000:
+                yield batch(ids, rows)
+                ids, rows = [], []
+        yield batch(ids, rows)
+
+    src = df.select(F.col(group_col).alias("g"), F.col(order_col).alias("o"), F.col(value_col).alias("v"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return src.repartition(n, "g").sortWithinPartitions("g", "o").select("g", "v").mapInArrow(run, f"{name} {kind.simpleString()}, {schema}")
 
 
 def hmm_decode(df: DataFrame, id_col: str, obs_col: str, model: hmm.Discrete) -> DataFrame:
@@ -382,17 +407,13 @@ def hmm_train(df: DataFrame, model_col: str, order_col: str, obs_col: str, start
 
     Updates follow one another, so a group is one task; parallelism is across groups.
     """
-    kind = df.schema[model_col].dataType.simpleString()
-
-    def fit(pdf):
-        import pandas as pd
 
-        seqs = [list(o) for o in pdf.sort_values("o")["obs"] if o is not None and len(o)]
+    def fit(seqs):
+        seqs = [o for o in seqs if o]
         m, history = hmm.train(start, seqs, tolerance, steps) if seqs else (start, [])
-        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "transition": [m.transition.ravel().tolist()], "emission": [m.emission.ravel().tolist()], "initial": [m.initial.tolist()], "n_steps": [len(history)], "settled": [len(history) > 1 and abs(history[-1] - history[-2]) < tolerance]})
+        return m.transition.ravel().tolist(), m.emission.ravel().tolist(), m.initial.tolist(), len(history), len(history) > 1 and abs(history[-1] - history[-2]) < tolerance
 
-    src = df.select(F.col(model_col).alias("model"), F.col(order_col).alias("o"), F.col(obs_col).alias("obs"))
-    return spread(src, "model").groupBy("model").applyInPandas(fit, f"model {kind}, transition array<double>, emission array<double>, initial array<double>, n_steps bigint, settled boolean")
+    return _by_group(df, model_col, order_col, obs_col, "model", "transition array<double>, emission array<double>, initial array<double>, n_steps bigint, settled boolean", fit)
 
 
 def pair_related(df: DataFrame, id_col: str, x: str, y: str, model: pairhmm.PairModel, homopolymer: bool = False, max_edit: int | None = None) -> DataFrame:
