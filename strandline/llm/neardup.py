@@ -32,6 +32,8 @@ SLOTS = 1 << 24
 _BLOCK = 1 << 16
 #: Records that a worker takes at once, and pairs that it verifies at once.
 ROWS, PAIRS = 1024, 2048
+#: Parts into which the nodes of one label are cut where labels are shortened.
+SALTS = 16
 _BASES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _BASES[_c] = _i
@@ -247,8 +249,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges.t == labels.node).groupBy(F.col("s").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = low.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        nxt = materialize(low.join(up, "label", "left").select("node", "old", F.least("label", "upper").alias("label")), "labels")
+        # one row for each label, on every salt: a component that holds a third of all nodes is one label
+        up = low.select(F.col("node").alias("label"), F.col("label").alias("upper")).join(low.select("label").distinct(), "label")
+        up = up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = low.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        nxt = materialize(salted.join(up, ["label", "salt"], "left").select("node", "old", F.least("label", "upper").alias("label")), "labels")
         labels = nxt.select("node", "label")
         if not nxt.filter("old <> label").limit(1).count():
             break
