@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 NEG_INF = float("-inf")
 _PHRED = -10 / math.log(10)
@@ -136,7 +137,7 @@ def scan_rows(df: DataFrame, keys: list[str], order: list[str], value: str, op,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, mask=~live)], [*names, out])
 
     rows = df.repartition(*keys) if keys else df.repartition(1)
-    schema = df.schema.add(out, "double")
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
     return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 

@@ -33,7 +33,8 @@ def find_all(text: Column | str, pattern: Column | str) -> Column:
     def cut(t: Column, p: Column) -> Column:
         if plain:
             return F.split(t, F.lit(re.sub(r"([^\w\s])", r"\\\1", pattern)), -1)
-        return F.split(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")), -1)
+        quoted = F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        return F.split(t, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1)
 
     def sums(t: Column, p: Column, c: Column) -> Column:
         """The text is cut at every occurrence: the pieces' lengths add up to the starts, overlapping ones included."""

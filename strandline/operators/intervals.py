@@ -33,25 +33,29 @@ def _placed(df: DataFrame, start: str, end: str, width: int, levels: list[int],
     at = F.explode(F.array_union(F.array(home), F.filter(F.array(*map(F.lit, levels or [0])), lambda l: l > home)))
     df = df.withColumn(f"__{side}level", at)
     w = F.pow(F.lit(FACTOR), F.col(f"__{side}level")) * width
-    lo, hi = F.floor(F.col(start) / w), F.floor((F.col(end) - 1) / w)
+    lo, hi = F.floor(F.col(start) / w), F.floor((F.greatest(end, F.col(start) + 1) - 1) / w)  # an empty one stands in one bin
     return df.withColumn(f"__{side}lo", lo).withColumn(f"__{side}bin", F.explode(F.sequence(lo, hi)))
 
 
-def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], keys: list[tuple[str, str]] = (), bin_width: int = BIN, levels: int = LEVELS, how: str = "inner") -> DataFrame:
-    """Pairs whose intervals overlap (``a.end > b.start and a.start < b.end``); empty intervals match nothing.
+def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], keys: list[tuple[str, str]] = (), bin_width: int = BIN, levels: int = LEVELS, how: str = "inner", empty_inside: bool = False) -> DataFrame:
+    """Pairs whose intervals overlap (``a.end > b.start and a.start < b.end``); empty intervals match nothing, or with
+    ``empty_inside`` (inner joins only) those that they lie strictly inside of, as the condition alone says.
 
     ``keys`` are further pairs of equal columns; ``how`` is inner, left_semi or left_anti. The columns of both sides
     must have different names.
     """
     (ls, le), (rs, re_) = left_span, right_span
+    if empty_inside and how != "inner":
+        raise ValueError("empty intervals have a rule of their own in inner joins only")
     if how in ("left_semi", "left_anti"):
         from strandline.session import materialize
 
         tagged = materialize(left.withColumn("__row", F.monotonically_increasing_id()), "interval-left")
         hit = count_overlaps(tagged, right, left_span, right_span, keys, "__row", "__n").filter("__n > 0").select("__row")
         return tagged.join(hit, "__row", how).drop("__row")
-    lv = left.filter(F.col(le) > F.col(ls)).withColumn("__lhome", _home(ls, le, bin_width, levels))
-    rv = right.filter(F.col(re_) > F.col(rs)).withColumn("__rhome", _home(rs, re_, bin_width, levels))
+    least = 0 if empty_inside else 1
+    lv = left.filter(F.col(le) - F.col(ls) >= least).withColumn("__lhome", _home(ls, le, bin_width, levels))
+    rv = right.filter(F.col(re_) - F.col(rs) >= least).withColumn("__rhome", _home(rs, re_, bin_width, levels))
     there = [sorted(r[0] for r in d.select(h).distinct().collect()) for d, h in ((lv, "__lhome"), (rv, "__rhome"))]  # at most ``levels`` numbers each
     a, b = _placed(lv, ls, le, bin_width, there[1], "l"), _placed(rv, rs, re_, bin_width, there[0], "r")
     on = (F.col("__llevel") == F.col("__rlevel")) & (F.col("__lbin") == F.col("__rbin"))

@@ -35,7 +35,7 @@ def gc_content(spark, d):
 
 def is_word(spark, d):
     f = fasta(spark, d)
-    return f.select("rec_id", al.is_word("s", al.DNA).alias("dna"), al.is_word("s", al.DNA_N).alias("dna_n"), al.is_word("s", al.DNA_IUPAC).alias("iupac"), al.is_word("s", al.PROTEIN).alias("protein"))
+    return f.select("rec_id", al.is_word("s", al.DNA).alias("dna"), al.is_word("s", al.DNA_N).alias("dna_n"), al.is_word("s", al.DNA_IUPAC).alias("iupac"), al.is_word("s", al.PROTEIN).alias("protein"), al.is_word(F.replace("s", F.lit("T"), F.lit("U")), al.RNA_IUPAC).alias("rna"), al.is_word("s", al.PROTEIN_IUPAC).alias("protein_iupac"), al.is_word(F.lower("s"), al.ENGLISH_LOWER).alias("letters"))
 
 
 def symbols(spark, d):
@@ -236,6 +236,13 @@ def interval_anti(spark, d):
     return intervals.interval_join(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], 8192, how="left_anti").select("feature_id")
 
 
+def interval_points(spark, d):
+    """Intervals that each feature's first place, an empty interval, lies strictly inside of."""
+    b = table(spark, d, "bed").select("interval_id", "chrom", "start_pos", "end_pos")
+    at = _features(spark, d).select("feature_id", "seqname", "fs", F.col("fs").alias("ft"))
+    return intervals.interval_join(at, b, ("fs", "ft"), ("start_pos", "end_pos"), [("seqname", "chrom")], 8192, empty_inside=True).groupBy("feature_id").agg(F.count("*").alias("n"), F.min("interval_id").alias("first_id"))
+
+
 def interval_hits(spark, d):
     b = table(spark, d, "bed").select("chrom", "start_pos", "end_pos")
     return intervals.annotate_hits(_features(spark, d), b, ("fs", "fe"), ("start_pos", "end_pos"), [("seqname", "chrom")], "feature_id").select("feature_id", "n_hits")
@@ -281,7 +288,7 @@ def _code(at: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_exact, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, located_bed, spliced_transcripts, base_at, pack_bits, rev_qgrams, alphabet_sets, trim_newline, validity, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_anti, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
+    fs = (gc_content, is_word, symbols, revcomp, rank_transform, qgram_codes, fasta_check, fastq_check, find_exact, find_counts, hamming, levenshtein, bounded_levenshtein, orf, fasta_text, fastq_text, fastx_convert, bed_fields, bed_set, bedpe_fields, gff_fields, located_bed, spliced_transcripts, base_at, pack_bits, rev_qgrams, alphabet_sets, trim_newline, validity, fai_fetch, fai_names, interval_keyed, interval_plain, interval_semi, interval_anti, interval_points, interval_hits, kmer_counts, kmer_join, diagonals, exact_matches)
     return {f.__name__: f for f in fs}
 
 
@@ -289,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     chars = "list_filter(string_split(s, ''), lambda x: x <> '')"
     return {
         "gc_content": f"SELECT rec_id, round(length(regexp_replace(s, '[^GC]', '', 'g')) / length(s), 6) AS gc, round(length(regexp_replace(t, '[^GC]', '', 'g')) / length(t), 6) AS gc3 FROM (SELECT rec_id, s, list_aggregate(list_filter({chars}, lambda x, i: (i - 1) % 3 = 0), 'string_agg', '') AS t FROM {_FASTA}) WHERE regexp_full_match(s, '[ACGTRYSWKMBDHVNZ]*')",
-        "is_word": f"SELECT rec_id, regexp_full_match(s, '[ACGT]*') AS dna, regexp_full_match(s, '[ACGTN]*') AS dna_n, regexp_full_match(s, '[ACGTRYSWKMBDHVNZ]*') AS iupac, regexp_full_match(s, '[ARNDCEQGHILKMFPSTWYV]*') AS protein FROM {_FASTA}",
+        "is_word": f"SELECT rec_id, regexp_full_match(s, '[ACGT]*') AS dna, regexp_full_match(s, '[ACGTN]*') AS dna_n, regexp_full_match(s, '[ACGTRYSWKMBDHVNZ]*') AS iupac, regexp_full_match(s, '[ARNDCEQGHILKMFPSTWYV]*') AS protein, regexp_full_match(replace(s, 'T', 'U'), '[ACGURYSWKMBDHVNZ]*') AS rna, regexp_full_match(s, '[ABCDEFGHIKLMNPQRSTVWXYZ]*') AS protein_iupac, regexp_full_match(lower(s), '[a-z]*') AS letters FROM {_FASTA}",
         "symbols": f"SELECT rec_id, sym AS symbols, translate(sym, 'ACGT', '') AS beyond, length(sym) AS n_symbols FROM (SELECT rec_id, coalesce(list_aggregate(list_sort(list_distinct({chars})), 'string_agg', ''), '') AS sym FROM {_FASTA})",
         "revcomp": f"SELECT read_id, {_TR.format('s')} AS comp, reverse({_TR.format('s')}) AS revcomp, reverse(translate(replace(s, 'T', 'U'), 'AGCUYRWSKMDVHBN', 'UCGARYWSMKHBDVN')) AS rna_revcomp FROM {_READS}",
         "rank_transform": f"SELECT read_id, list_transform({chars}, lambda x: instr('{ALPHABET.symbols}', x) - 1) AS ranks FROM {_READS}",
@@ -333,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "interval_plain": "SELECT a.pair_id AS a_id, count(*) AS n, min(b.pair_id) AS first_b FROM (SELECT * FROM bedpe WHERE start1 >= 0 AND end1 > start1 AND start2 >= 0 AND end2 > start2) a JOIN (SELECT * FROM bedpe WHERE start1 >= 0 AND end1 > start1 AND start2 >= 0 AND end2 > start2) b ON a.end1 > b.start2 AND a.start1 < b.end2 GROUP BY 1",
         "interval_semi": f"SELECT feature_id FROM gff g WHERE EXISTS (SELECT 1 FROM bed b WHERE {_OVER})",
         "interval_anti": f"SELECT feature_id FROM gff g WHERE NOT EXISTS (SELECT 1 FROM bed b WHERE {_OVER})",
+        "interval_points": "SELECT feature_id, count(*) AS n, min(interval_id) AS first_id FROM gff g JOIN bed b ON seqname = chrom AND b.start_pos < g.start_pos AND g.start_pos < b.end_pos GROUP BY 1",
         "interval_hits": f"SELECT g.feature_id, coalesce(n, 0) AS n_hits FROM gff g LEFT JOIN (SELECT feature_id, count(*) AS n FROM gff g JOIN bed b ON {_OVER} GROUP BY 1) h ON h.feature_id = g.feature_id",
         "kmer_counts": f"SELECT g AS gram, count(*) AS n, count(DISTINCT read_id) AS n_records FROM (SELECT read_id, substr(s, i + 1, 8) AS g FROM (SELECT read_id, s, unnest(generate_series(0, length(s) - 8)) AS i FROM {_READS} WHERE length(s) >= 8)) GROUP BY g",
         "kmer_join": f"WITH {_SEEDS} SELECT x_id, y_id, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM hits GROUP BY 1, 2",

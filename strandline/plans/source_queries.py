@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.plans.sequence_queries import _FASTA, _READS, fasta, reads
-from strandline.session import checkpoint_root, table
+from strandline.session import checkpoint_root, materialize, table
 from strandline.sources import formats, text
 
 
@@ -76,6 +76,16 @@ def source_gff_custom(spark, d):
     return r.select(F.col("attributes")["id"][0].cast("bigint").alias("feature_id"), F.array_join(F.col("attributes")["span"], "-").alias("span"))
 
 
+def source_fetch(spark, d):
+    """The middle third of each record, read at its place in the files by an index of them, and all of the empty ones."""
+    path = _path(spark, "fetch")
+    text.write_fasta(fasta(spark, d).select("id", "descr", F.col("s").alias("seq")), path, wrap=50)
+    index = materialize(text.build_fai(spark, path), "fai")
+    third = F.floor(F.col("len") / 3)
+    regions = index.select("name", F.when(F.col("len") > 0, third).alias("start"), F.when(F.col("len") > 0, F.col("len") - third).alias("stop"))
+    return text.fetch_regions(index, regions).select("name", "start", "stop", "seq")
+
+
 def source_fai(spark, d):
     """The index as a text file, read back."""
     path = _path(spark, "fai")
@@ -94,7 +104,7 @@ def source_newick(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (source_fasta, source_fasta_reader, source_fastq, source_fastx, source_bed, source_bedpe, source_gff, source_gff_custom, source_fai, source_newick)}
+    return {f.__name__: f for f in (source_fasta, source_fasta_reader, source_fastq, source_fastx, source_bed, source_bedpe, source_gff, source_gff_custom, source_fetch, source_fai, source_newick)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -108,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "source_bedpe": "SELECT nullif(chrom1, '.') AS chrom1, nullif(start1, -1) AS start1, nullif(end1, -1) AS end1, nullif(chrom2, '.') AS chrom2, nullif(start2, -1) AS start2, nullif(end2, -1) AS end2, coalesce(list_aggregate(aux, 'string_agg', '|'), '') AS aux FROM bedpe",
         "source_gff": "SELECT coalesce(seqname, '.') AS seqname, coalesce(source, '.') AS source, coalesce(feature_type, '.') AS feature_type, start_pos, end_pos, coalesce(score, '.') AS score, coalesce(strand, '.') AS strand, CAST(phase AS INT) AS phase, feature_id, coalesce(attributes, 'none') AS note, coalesce(seqname, 'no name') AS name FROM gff",
         "source_gff_custom": "SELECT feature_id, start_pos || '-' || end_pos AS span FROM gff",
+        "source_fetch": f"SELECT id AS name, CASE WHEN s <> '' THEN length(s) // 3 END AS start, CASE WHEN s <> '' THEN length(s) - length(s) // 3 END AS stop, substr(s, length(s) // 3 + 1, length(s) - 2 * (length(s) // 3)) AS seq FROM {_FASTA}",
         "source_fai": "SELECT name, len, byte_offset, line_bases, line_bytes FROM fai",
         "source_newick": "SELECT r_regionkey, n_name AS node, FALSE AS is_root, round(n_nationkey / 4, 4) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name, TRUE, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",
     }

@@ -177,9 +177,11 @@ def record_start(data: bytes, at: int = 0) -> int:
 
 
 class _FastqReader(_Reader):
-    def __init__(self, path: str, parse, split: int):
+    """``kind``: whether rows begin with the kind of the record, as in ``fastx``."""
+
+    def __init__(self, path: str, parse, split: int, kind: bool = False):
         super().__init__(path, parse)
-        self.split = split
+        self.split, self.kind = split, kind
 
     def partitions(self):
         out = []
@@ -236,7 +238,9 @@ class _FastqReader(_Reader):
                 seq, qual = (pc.utf8_rtrim_whitespace(pa.array([x.decode("utf-8", "replace") for x in lines[n::4]], pa.string())) for n in (1, 3))
                 cells = [h[1:].rstrip(b"\r").decode("utf-8", "replace").split(" ", 1) for h in lines[::4]]
                 if cells:
-                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] if len(c) > 1 else None for c in cells], pa.string()), seq, qual], ["id", "descr", "seq", "qual"])
+                    columns = {"kind": pa.array(["fastq"] * len(cells))} if self.kind else {}
+                    columns |= {"id": pa.array([c[0] for c in cells], pa.string()), "descr": pa.array([c[1] if len(c) > 1 else None for c in cells], pa.string()), "seq": seq, "qual": qual}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 data = data[begins - at :]
                 at = begins
                 if end:
@@ -371,8 +375,13 @@ class FastqSource(_Base):
 
 
 class FastxSource(_Base):
+    """Option ``split`` as in ``fastq``, for files of that kind."""
+
     columns, parser, suffix = FASTX_SCHEMA, staticmethod(parse_fastx), "fastx"
 
+    def reader(self, schema):
+        return _FastqReader(self._path(), type(self).parser, int(self.options.get("split", SPLIT)), True)
+
     @classmethod
     def name(cls):
         return "fastx"

@@ -5,10 +5,12 @@ The text reader cuts files into splits at record borders, so a file of any size
 
 from __future__ import annotations
 
+import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandline.functions import records
 from strandline.operators.packed import percent_decode
@@ -42,6 +44,90 @@ def index_fasta(seqs: DataFrame, fai: DataFrame, regions: DataFrame) -> DataFram
     return found.select("name", "start", "stop", at.alias("at_byte"), records.fetch("__s", "start", "stop").alias("seq"))
 
 
+def build_fai(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rid, name, len, byte_offset, line_bases, line_bytes): the index of every file of a path, records numbered from 0 in each.
+
+    A file is one task that holds a line at a time. Lines of one record must be of one length, but for the last.
+    """
+    import pyarrow as pa
+
+    from strandline.sources import formats
+
+    files = formats.list_files(path)
+    columns = ["path", "rid", "name", "len", "byte_offset", "line_bases", "line_bytes"]
+
+    def index(file: str):
+        system, p = formats._fs(file)
+        with system.open_input_stream(p) as raw:
+            rid, at, record, short = -1, 0, None, False
+            for line in io.BufferedReader(raw, 1 << 20):
+                at += len(line)
+                if line.startswith(b">"):
+                    if record:
+                        yield record
+                    rid, short = rid + 1, False
+                    record = [file, rid, line[1:].split(None, 1)[0].decode() if line[1:].split() else "", 0, at, 0, 0]
+                elif record is None:
+                    raise formats.FormatError("a record must begin with >")
+                elif bases := len(line.rstrip(b"\r\n")):
+                    if short or (record[5] and bases > record[5]):
+                        raise formats.FormatError(f"lines of {record[2]} are of different length")
+                    if not record[5]:
+                        record[5:] = [bases, len(line)]
+                    short = bases < record[5]
+                    record[3] += bases
+            if record:
+                yield record
+
+    def run(batches):
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                rows = list(index(file))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k in (0, 2) else pa.int64()) for k in range(7)], columns)
+
+    src = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
+    return src.mapInArrow(run, "path string, rid bigint, name string, len bigint, byte_offset bigint, line_bases bigint, line_bytes bigint")
+
+
+def fetch_regions(index: DataFrame, regions: DataFrame, by: str = "name") -> DataFrame:
+    """``regions`` with ``seq``: symbols start..stop of the record with that ``name`` (or ``rid``), read from its place in the file.
+
+    A null start is 0, a null stop the record's end. Only the bytes of a region are read. A record that is not in the index, a
+    stop beyond the end and a start beyond the stop are errors.
+    """
+    import pyarrow as pa
+
+    from strandline.sources import formats
+
+    place = index.select(F.col(by).alias("__by"), F.col("path").alias("__path"), F.col("len").alias("__len"), "byte_offset", "line_bases", "line_bytes")
+    found = regions.join(place, F.col(by) == F.col("__by"), "left").drop("__by")
+    start, stop = F.coalesce("start", F.lit(0)), F.coalesce("stop", "__len")
+    bad = F.when(F.col("__path").isNull(), F.lit("no such record in the index")).when(stop > F.col("__len"), F.lit("the interval reaches beyond the record")).when(start > stop, F.lit("the interval ends before it starts"))
+    stop = F.when(bad.isNull(), stop).otherwise(F.raise_error(bad).cast("bigint"))
+    lines = F.greatest("line_bases", F.lit(1))
+    found = found.withColumn("__from", records.fai_offset("byte_offset", lines, "line_bytes", start)).withColumn("__n", stop - start)
+    found = found.withColumn("__to", records.fai_offset("byte_offset", lines, "line_bytes", stop))
+    names = regions.columns
+
+    def run(batches):
+        opened: dict = {}
+        for b in batches:
+            out = []
+            for path, a, z, n in zip(*(b.column(k).to_pylist() for k in ("__path", "__from", "__to", "__n"))):
+                if path not in opened:
+                    for f in opened.values():
+                        f.close()
+                    system, p = formats._fs(path)
+                    opened = {path: system.open_input_file(p)}
+                file = opened[path]
+                raw = file.read_at(min(z, file.size()) - a, a) if n else b""
+                out.append(raw.translate(None, b"\r\n").decode()[:n])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(out, pa.string())], [*names, "seq"])
+
+    order = found.select(*names, "__path", "__from", "__to", "__n").repartition("__path").sortWithinPartitions("__path", "__from")
+    return order.mapInArrow(run, StructType([*regions.schema.fields, StructField("seq", StringType())]))
+
+
 def _fields(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
     raw = (spark.readStream if streaming else spark.read).text(path)
     line = F.regexp_replace("value", r"\r$", "")

@@ -249,7 +249,7 @@ def test_many_hits_and_overlaps(spark):
     import re
     import time
 
-    for t, p in (("A" * 5000, "AA"), ("ab" * 3000 + "é😀" * 600, "bab"), ("x" * 511 + "yx" * 400, "xyx"), ("\n" * 2000, "\n")):
+    for t, p in (("A" * 5000, "AA"), ("ab" * 3000 + "é😀" * 600, "bab"), ("x" * 511 + "yx" * 400, "xyx"), ("\n" * 2000, "\n"), ("a\\Eb\\E a\\Eb\\E", "\\Eb\\E"), ("x.y+x.y", "x.y"), ("$(^$(", "$(")):
         want = [m.start() for m in re.finditer(f"(?={re.escape(p)})", t)]
         assert one(spark, search.find_all("s", p), s=t) == want
     took = []
@@ -267,6 +267,10 @@ def test_counted_overlaps(spark):
     assert got == {1: 2, 2: 0, 3: 2, 4: 0, 5: 0, 6: 4}
     for a, b in ((l.limit(0), r), (l, r.limit(0))):
         assert intervals.interval_join(a, b, ("s", "e"), ("t", "u"), [("k", "kk")]).count() == 0
+    points = spark.createDataFrame([(1, 5, 5), (2, 0, 0), (3, 9, 9), (4, 4, 6), (5, 4096, 4096)], "i int, s bigint, e bigint")
+    whole = spark.createDataFrame([(0, 9), (5, 5), (4095, 4097), (0, 100_000)], "t bigint, u bigint")
+    inside = intervals.interval_join(points, whole, ("s", "e"), ("t", "u"), empty_inside=True)
+    assert sorted((x.i, x.t, x.u) for x in inside.collect()) == [(1, 0, 9), (1, 0, 100_000), (3, 0, 100_000), (4, 0, 9), (4, 0, 100_000), (4, 5, 5), (5, 0, 100_000), (5, 4095, 4097)]
     anti = intervals.interval_join(l, r, ("s", "e"), ("t", "u"), [("k", "kk")], how="left_anti")
     assert sorted(x.i for x in anti.collect()) == [2, 4, 5]
 

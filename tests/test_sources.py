@@ -89,6 +89,24 @@ def test_fai_fetch(spark, put):
             text.index_fasta(seqs, fai, spark.createDataFrame([bad], "name string, start bigint, stop bigint")).collect()
 
 
+def test_regions_are_read_in_place(spark, put):
+    p = put("i.fa", ">one a b\nACGTA\nCGTAC\nGT\n>two\r\nGGG\r\nCC\r\n>none\n\n>last\nTTTT")
+    index = text.build_fai(spark, p)
+    got = [(r.rid, r.name, r.len, r.byte_offset, r.line_bases, r.line_bytes) for r in index.orderBy("rid").collect()]
+    assert got == [(0, "one", 12, 9, 5, 6), (1, "two", 5, 30, 3, 5), (2, "none", 0, 45, 0, 0), (3, "last", 4, 52, 4, 4)]
+    regions = [("one", 4, 11), ("one", None, None), ("one", 5, 10), ("two", 2, 4), ("two", 0, 5), ("none", None, None), ("last", 1, 4), ("last", 4, 4)]
+    df = spark.createDataFrame(regions, "name string, start bigint, stop bigint")
+    want = {"one": "ACGTACGTACGT", "two": "GGGCC", "none": "", "last": "TTTT"}
+    assert {(r.name, r.start, r.stop): r.seq for r in text.fetch_regions(index, df).collect()} == {(n, a, z): want[n][a or 0 : len(want[n]) if z is None else z] for n, a, z in regions}
+    by_number = text.fetch_regions(index, spark.createDataFrame([(1, 1, 3)], "rid bigint, start bigint, stop bigint"), "rid").first()
+    assert by_number.seq == "GG"
+    for bad, why in ((("one", 0, 13), "beyond"), (("one", 3, 2), "before"), (("x", 0, 1), "no such")):
+        with pytest.raises(Exception, match=why):
+            text.fetch_regions(index, spark.createDataFrame([bad], df.schema)).collect()
+    with pytest.raises(Exception, match="different length"):
+        text.build_fai(spark, put("u.fa", ">a\nAC\nACG\n")).collect()
+
+
 def test_bed(spark, put, tmp_path):
     b = text.read_bed(spark, put("a.bed", "#c\n1\t5\t5000\tname1\tup\n2\t3\t5005\r\n"), extra=[("name", "string")])
     assert rows(b) == [("1", 5, 5000, ["name1", "up"], "name1"), ("2", 3, 5005, [], None)]
@@ -163,6 +181,8 @@ def test_fastq_splits_meet_at_record_borders(spark, tmp_path):
         for split in (37, 1000, 10**6):
             df = spark.read.format("fastq").option("split", split).load(str(p))
             assert rows(df) == sorted(records, key=str), (name, split)
+    both = spark.read.format("fastx").option("split", 500).load(str(tmp_path))
+    assert rows(both.filter("kind = 'fastq'").drop("kind")) == sorted(records * 4, key=str)
     assert df.rdd.getNumPartitions() == 1 and spark.read.format("fastq").option("split", 1000).load(str(p)).rdd.getNumPartitions() > 10
     (tmp_path / "bad.fastq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
     with pytest.raises(Exception, match="Incomplete"):
