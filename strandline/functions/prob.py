@@ -106,8 +106,8 @@ def scan_rows(df: DataFrame, keys: list[str], order: list[str], value: str, op,
     """``df`` with the running result of any associative operation of two numbers, by key and in the given order.
 
     ``op`` is a NumPy ufunc (``np.add``, ``np.maximum``, ``np.logaddexp``) or any function of two numbers. Rows are
-    sorted and streamed; a key of any size is carried over from batch to batch in one number. Nulls are passed over and
-    give null.
+    sorted and streamed; a key of any size is carried over from batch to batch in one number. Without keys all rows pass
+    through one task: sums and maxima over whole tables are ``distributed_running``'s. Nulls are passed over and give null.
     """
     import numpy as np
     import pyarrow as pa

@@ -58,7 +58,7 @@ def pack_keys(loads: list[tuple[object, int]], total: int, tasks: int) -> tuple[
         return t
 
     out += [(key, least(load), 1) for key, load in ordered if load <= target]
-    rest = max(0, total - sum(load for _, load in loads)) / (BUCKETS * tasks)
+    rest = max(1.0, (total - sum(load for _, load in loads)) / (BUCKETS * tasks))
     return out, [least(rest) for _ in range(BUCKETS * tasks)]
 
 
@@ -75,7 +75,8 @@ class Plan:
     tasks: int
 
     def task(self, key: Column, shard: Column) -> Column:
-        bucket = F.element_at(F.array(*map(F.lit, self.buckets)), F.pmod(F.xxhash64(key), F.lit(len(self.buckets))).cast("int") + 1)
+        table = F.split(F.lit(",".join(map(str, self.buckets))), ",").cast("array<int>")  # folded into one constant
+        bucket = F.element_at(table, F.pmod(F.xxhash64(key), F.lit(len(self.buckets))).cast("int") + 1)
         return F.when(F.col("__key").isNotNull(), F.pmod(F.col("__first") + shard, F.lit(self.tasks))).otherwise(bucket).cast("int")
 
 

@@ -124,7 +124,7 @@ def fetch_regions(index: DataFrame, regions: DataFrame, by: str = "name") -> Dat
                 out.append(raw.translate(None, b"\r\n").decode()[:n])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(out, pa.string())], [*names, "seq"])
 
-    order = found.select(*names, "__path", "__from", "__to", "__n").repartition("__path").sortWithinPartitions("__path", "__from")
+    order = found.select(*names, "__path", "__from", "__to", "__n").repartition("__path", F.floor(F.col("__from") / (64 << 20))).sortWithinPartitions("__path", "__from")
     return order.mapInArrow(run, StructType([*regions.schema.fields, StructField("seq", StringType())]))
 
 
