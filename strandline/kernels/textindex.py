@@ -54,18 +54,24 @@ def suffix_array_int(values: np.ndarray) -> np.ndarray:
 
 
 def _double(rank: np.ndarray) -> np.ndarray:
-    n, k = len(rank), 1
+    """Prefix doubling, from as many symbols as fit one number."""
+    n = len(rank)
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    bits = int(rank.max() + 1).bit_length()
+    k = min(max(1, 62 // bits), n)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] |= rank[j:] + 1  # 0 stands behind the end
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - k] = rank[k:]
-        sa = np.argsort(rank * (n + 1) + nxt + 1, kind="stable")
-        key = (rank * (n + 1) + nxt + 1)[sa]
-        new = np.empty(n, np.int64)
-        new[sa] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        rank = new
+        sa = np.argsort(key)
+        key = key[sa]
+        rank = np.empty(n, np.int64)
+        rank[sa] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         if rank[sa[-1]] == n - 1 or k >= n:
             return sa
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
         k *= 2
 
 
@@ -104,7 +110,7 @@ def shortest_unique(sa: np.ndarray, lcp: np.ndarray) -> list[int | None]:
 
 
 def bwt(text: str, sa: np.ndarray) -> str:
-    return "".join(text[p - 1] for p in sa)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)[sa - 1].tobytes().decode("utf-32-le")
 
 
 def bwt_links(b: str) -> np.ndarray:
@@ -163,6 +169,44 @@ class FMIndex:
             return "Complete", lo, hi, k
         return ("Partial", lo, hi, k) if k else ("Absent", 0, 0, 0)
 
+    def search_batch(self, patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lo, hi, length) as ``backward_search`` gives them, of patterns that go along together; lo = hi = 0 where nothing occurs."""
+        if not hasattr(self, "_rows"):
+            blocks = self.n // self.rate + 1
+            cells = np.full(blocks * self.rate, 255, np.uint8)
+            codes = np.frombuffer(self.bwt.encode("utf-32-le"), np.uint32)
+            cells[: self.n] = np.searchsorted(np.array([ord(c) for c in self.symbols], np.uint32), codes)
+            self._rows = cells.reshape(blocks, self.rate)
+            self._sums = np.array([c[: blocks + 1] + [c[-1]] * (blocks + 1 - len(c)) for c in self.check], np.int64)
+            self._less = np.array(self.less, np.int64)
+        size = np.array([len(p) for p in patterns], np.int64)
+        raw = np.frombuffer("".join(patterns).encode("utf-32-le"), np.uint32)
+        table = np.array([ord(c) for c in self.symbols], np.uint32)
+        at = np.minimum(np.searchsorted(table, raw), len(table) - 1)
+        symbol = np.where(table[at] == raw, at, -1)
+        end = np.cumsum(size)
+        lo, hi, done = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64), np.zeros(len(patterns), np.int64)
+        inside = np.arange(self.rate)
+
+        def rows(a, row):
+            block = row // self.rate
+            part = (self._rows[block] == a[:, None]) & (inside < (row - block * self.rate)[:, None])
+            return self._less[a] + self._sums[a, block] + part.sum(1)
+
+        live = np.flatnonzero(size > 0)
+        while len(live):
+            a = symbol[end[live] - 1 - done[live]]
+            live, a = live[a >= 0], a[a >= 0]
+            p, q = rows(a, lo[live]), rows(a, hi[live])
+            ok = p < q
+            live = live[ok]
+            lo[live], hi[live] = p[ok], q[ok]
+            done[live] += 1
+            live = live[done[live] < size[live]]
+        none = done == 0
+        lo[none], hi[none] = 0, 0
+        return lo, hi, done
+
     def locate(self, row: int) -> int:
         if self.sa is not None:
             return int(self.sa[row])

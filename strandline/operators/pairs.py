@@ -237,8 +237,8 @@ def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame,
         none = np.zeros(1, np.int64)
         for ids, seqs in batches:
             row, length, full, piece, pos = [], [], [], [], []
-            for i, s in enumerate(seqs):
-                found, lo, hi, n = index.backward_search(s)
+            los, his, sizes = (np.concatenate(x) for x in zip(*(index.search_batch(seqs[k : k + 1000]) for k in range(0, len(seqs), 1000))))
+            for i, (lo, hi, n) in enumerate(zip(los.tolist(), his.tolist(), sizes.tolist())):
                 if n:
                     places = index.sa[lo:hi]
                     k = np.searchsorted(begins, places, "right") - 1
@@ -250,7 +250,7 @@ def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame,
                     k, places = none - 1, none
                 row.append(np.full(len(k), i))
                 length.append(np.full(len(k), n))
-                full.append(np.full(len(k), found == "Complete"))
+                full.append(np.full(len(k), n == len(seqs[i]) and n > 0))
                 piece.append(k)
                 pos.append(places)
             if not row:

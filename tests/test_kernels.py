@@ -151,6 +151,19 @@ def test_fm_index(sample):
     assert f.backward_search("GGTTA")[0::3] == ("Partial", 3) and f.backward_search("Z")[0] == "Absent"
 
 
+def test_batches_of_backward_search():
+    rng = random.Random(11)
+    for n, rate in ((1, 4), (63, 4), (64, 4), (700, 64), (640, 64)):
+        f = textindex.FMIndex("".join(rng.choice("ACGTé") for _ in range(n)) + "$", rate)
+        pats = ["".join(rng.choice("ACGTéZ" if rng.random() < 0.2 else "ACGT") for _ in range(rng.choice([0, 1, 3, 9]))) for _ in range(200)]
+        lo, hi, k = f.search_batch(pats)
+        for p, got in zip(pats, zip(lo.tolist(), hi.tolist(), k.tolist())):
+            kind, a, b, n_ = f.backward_search(p)
+            assert got == ((a, b, n_) if n_ else (0, 0, 0)), p
+    t = "".join(rng.choice("AB") for _ in range(300)) + "$"
+    assert textindex.suffix_array(t).tolist() == sorted(range(301), key=lambda i: t[i:])
+
+
 def test_smems():
     f = textindex.FMDIndex("ATTCGGGG$CCCCGAAT$")
     assert [s[3:] for s in f.all_smems("ATTGGGG")] == [(0, 3), (3, 4)]
