@@ -253,9 +253,9 @@ def kmer_counts(spark, d):
 
 
 def _seeds(spark, d, q):
-    """All pairs of places, of frequent q-grams too; adaptive execution splits partitions that these make large."""
-    x = spread(reads(spark, d)).select(F.col("read_id").alias("id"), F.col("s").alias("seq"))
-    y = spread(fasta(spark, d)).select(F.col("rec_id").alias("id"), F.col("s").alias("seq"))
+    """All pairs of places, of frequent q-grams too."""
+    x = reads(spark, d).select(F.col("read_id").alias("id"), F.col("s").alias("seq"))
+    y = fasta(spark, d).select(F.col("rec_id").alias("id"), F.col("s").alias("seq"))
     return qgrams.kmer_matches(x, y, q)
 
 

@@ -114,3 +114,27 @@ def test_unknown_symbols_add_nothing():
     m = hmm.Discrete([[0.9, 0.1], [0.2, 0.8]], [[0.7, 0.3], [0.2, 0.8]], [0.5, 0.5])
     assert hmm.forward(m, [0, -1, 1])[1] == pytest.approx(np.logaddexp(*(hmm.forward(m, [0, k, 1])[1] for k in (0, 1))))
     assert hmm.baum_welch_step(m, [0, -1, 1]).emission.sum(1) == pytest.approx([1, 1])
+
+
+def seed_tables():
+    """Reads and texts with unknown, foreign and no symbols, and their pairs of places with one 16-mer."""
+    rng = random.Random(8)
+    texts = [bases(rng, n) for n in (15, 16, 400, 90)] + ["", "N" * 40, bases(rng, 30) + "É€" + bases(rng, 30)]
+    reads = [t[a : a + n] for t in texts for a in (0, 13) for n in (15, 17, 60)] + ["N" * 20, texts[2][:40] + texts[3][:40]]
+    hits = [(i, j, a, b) for i, r in enumerate(reads) for j, t in enumerate(texts) for a in range(len(r) - 15) for b in range(len(t) - 15) if r[a : a + 16] == t[b : b + 16]]
+    return {"fasta": ([(i, f"f{i}", None, t) for i, t in enumerate(texts)], FASTA), "fastq": ([(i, f"r{i}", None, r, None) for i, r in enumerate(reads)], FASTQ)}, hits
+
+
+def never_broadcast(spark, path, name):
+    """The q-grams of a small file are far larger than the file, so no plan may send them to all executors."""
+    assert "Broadcast" not in entry.queries()[name](spark, str(path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seeds_of_all_records(spark, tmp_path):
+    tables, hits = seed_tables()
+    want = {}
+    for i, j, a, b in hits:
+        n, x, y = want.get((i, j), (0, 1 << 30, 1 << 30))
+        want[i, j] = n + 1, min(x, a), min(y, b)
+    assert sorted(map(tuple, query(spark, tmp_path, "kmer_join", **tables))) == sorted((*k, *v) for k, v in want.items())
+    never_broadcast(spark, tmp_path, "kmer_join")
