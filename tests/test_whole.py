@@ -138,3 +138,13 @@ def test_seeds_of_all_records(spark, tmp_path):
         want[i, j] = n + 1, min(x, a), min(y, b)
     assert sorted(map(tuple, query(spark, tmp_path, "kmer_join", **tables))) == sorted((*k, *v) for k, v in want.items())
     never_broadcast(spark, tmp_path, "kmer_join")
+
+
+def test_diagonals_of_all_records(spark, tmp_path):
+    tables, hits = seed_tables()
+    want = {}
+    for i, j, a, b in hits:
+        want.setdefault((i, j, b - a), []).append(a)
+    rows = [(i, j, d, min(x), max(x) + 16, min(x) + d, max(x) + 16 + d, len(x)) for (i, j, d), x in want.items() if len(x) > 1]
+    assert sorted(map(tuple, query(spark, tmp_path, "diagonals", **tables))) == sorted(rows)
+    never_broadcast(spark, tmp_path, "diagonals")
