@@ -148,3 +148,15 @@ def test_diagonals_of_all_records(spark, tmp_path):
     rows = [(i, j, d, min(x), max(x) + 16, min(x) + d, max(x) + 16 + d, len(x)) for (i, j, d), x in want.items() if len(x) > 1]
     assert sorted(map(tuple, query(spark, tmp_path, "diagonals", **tables))) == sorted(rows)
     never_broadcast(spark, tmp_path, "diagonals")
+
+
+def test_exact_matches_of_all_records(spark, tmp_path):
+    tables, hits = seed_tables()
+    found = set(hits)
+    rows = []
+    for i, j, a, b in found:
+        if (i, j, a - 1, b - 1) not in found:
+            n = next(n for n in range(1, 1 << 30) if (i, j, a + n, b + n) not in found) + 15
+            rows.append((i, j, a, a + n, b, b + n))
+    assert sorted(map(tuple, query(spark, tmp_path, "exact_matches", **tables))) == sorted(rows)
+    never_broadcast(spark, tmp_path, "exact_matches")
