@@ -346,3 +346,19 @@ def test_wide_bands_find_the_best_alignment():
     picture = pairwise.show_band("ACGT", "ACT", pairwise.band_around([(0, 0)], 4, 3, 2, 1), pairwise.align("ACGT", "ACT", s, "global"))
     assert picture.count("\n") == 4 and picture[0] == picture[-1] == "\\" and "x" in picture
     assert pairwise.align_banded(["A" * 50], ["A" * 50], s, 5, 10, "global", max_cells=10)[0].ops == ""
+
+
+def test_models_trained_together():
+    """As trained one by one."""
+    rng = random.Random(9)
+    for end in (None, [0.1, 0.2, 0.3]):
+        m = hmm.Discrete([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]], [[0.7, 0.2, 0.1], [0.1, 0.6, 0.3], [0.3, 0.3, 0.4]], [0.5, 0.3, 0.2], end)
+        groups = [[[rng.randint(-1, 2) for _ in range(rng.choice([2, 7, 8, 9, 40, 300]))] for _ in range(n)] for n in (0, 1, 3, 6, 6, 2)] + [[[-1, -1, -1], [0, 1, 2, 1]]]
+        for group, (got, history) in zip(groups, hmm.train_batch(m, groups, 1e-2, 5)):
+            want, steps = hmm.train(m, group, 1e-2, 5) if group else (m, [])
+            assert history == pytest.approx(steps, nan_ok=True)
+            for name in ("transition", "emission", "initial", "end"):
+                assert end is None and name == "end" or np.allclose(getattr(got, name), getattr(want, name), atol=1e-9, equal_nan=True), name
+    with pytest.raises(ValueError):
+        hmm.train_batch(m, [[[]]])
+    assert [i for i, _ in pairs._several(enumerate(groups), lambda g: [len(x) for x in g])] == list(range(len(groups)))
