@@ -399,6 +399,118 @@ class BothStrands:
         return longest, count
 
 
+class Ends:
+    """Numbers of the symbols before a place, the nearest first, over the symbols that patterns have; others of a text match nothing."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.symbols = np.unique(symbols).astype(np.uint32)
+        self.bits = (len(self.symbols) + 1).bit_length()
+        self.count = 63 // self.bits  # symbols of a number
+        self.powers = 1 << (self.bits * np.arange(self.count, dtype=np.int64))
+
+    def codes(self, strings: list[str]) -> np.ndarray:
+        raw = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(self.symbols):
+            return np.zeros(len(raw), np.int64)
+        at = np.minimum(np.searchsorted(self.symbols, raw), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == raw, at + 1, 0)
+
+    def numbers(self, codes: np.ndarray, count: int = 0) -> np.ndarray:
+        """For each place the symbols that begin there, in one number; zeros follow the last."""
+        count = count or self.count
+        if count == 1:
+            return codes.astype(np.int64)
+        half = self.numbers(codes, count // 2)
+        shift = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), np.int64)))
+        out = half << (self.bits * (count // 2)) | shift(half, count // 2)
+        return out << self.bits | shift(codes, count - 1) if count % 2 else out
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many symbols two numbers begin alike with."""
+        return self.count - np.searchsorted(self.powers, a ^ b, "right")
+
+    def patterns(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers at all places of the patterns read backwards, where each begins); a code that no text has parts them."""
+        size = np.array([len(x) for x in strings], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        codes = np.full(int((size + 1).sum()), len(self.symbols) + 1, np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[begin + size] = False
+        codes[inside] = self.codes([x[::-1] for x in strings])
+        return self.numbers(codes), begin
+
+
+class Backwards:
+    """Places of texts sorted by the symbols before them, for patterns that are searched from their ends.
+
+    Patterns are given by the numbers of their last symbols; ``take`` gives those of some of them whole, as ``Ends.patterns`` does.
+    """
+
+    def __init__(self, texts: list[str], ends: Ends):
+        codes = [np.zeros(1, np.int64)]
+        for t in texts:
+            codes += [ends.codes([t]), codes[0]]
+        self.begins = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
+        back = np.concatenate(codes)[::-1]
+        self.ends, self.last, self.at = ends, len(back) - 1, ends.numbers(back)
+        live = np.flatnonzero(back > 0).astype(np.int32)
+        self.places = live[np.argsort(self.at[live])]
+        self.sorted = self.at[self.places]
+
+    @staticmethod
+    def _places(lo: np.ndarray, hi: np.ndarray, most: int = 500_000):
+        """(rows, ranks from lo to hi of each), ``most`` of them at once or those of one row."""
+        total = np.concatenate(([0], np.cumsum(hi - lo)))
+        a = 0
+        while a < len(lo):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+            n = (hi - lo)[a:b]
+            yield np.repeat(np.arange(a, b), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[a:b], n)
+            a = b
+
+    def _follow(self, numbers: np.ndarray, starts: np.ndarray):
+        """(rows, places, lengths) of the matches of patterns whose first number occurs."""
+        lo, hi = (np.searchsorted(self.sorted, numbers[starts], side) for side in ("left", "right"))
+        for row, rank in self._places(lo, hi):
+            x, y = starts[row], self.places[rank].astype(np.int64)
+            length, live = np.full(len(row), self.ends.count), np.arange(len(row))
+            while len(live):
+                more = self.ends.common(numbers[x[live] + length[live]], self.at[y[live] + length[live]])
+                length[live] += more
+                live = live[more == self.ends.count]
+            yield row, y, length
+
+    def longest(self, keys: np.ndarray, take) -> np.ndarray:
+        """Length of the longest suffix of each pattern that occurs."""
+        if not len(self.sorted):
+            return np.zeros(len(keys), np.int64)
+        up = np.searchsorted(self.sorted, keys)
+        best = np.maximum(self.ends.common(self.sorted[np.maximum(up - 1, 0)], keys), self.ends.common(self.sorted[np.minimum(up, len(self.sorted) - 1)], keys))
+        far = np.flatnonzero(best == self.ends.count)
+        if len(far):
+            for row, _, length in self._follow(*take(far)):
+                np.maximum.at(best, far[row], length)
+        return best
+
+    def found(self, keys: np.ndarray, length: np.ndarray, take):
+        """(patterns, where their suffixes of these lengths begin in the texts, each followed by one symbol), in bounded parts."""
+        near = np.flatnonzero((length > 0) & (length < self.ends.count))
+        shift = self.ends.bits * (self.ends.count - length[near])
+        low = keys[near] >> shift
+        lo, hi = np.searchsorted(self.sorted, low << shift), np.searchsorted(self.sorted, (low + 1) << shift)
+        some = hi > lo
+        near, lo, hi = near[some], lo[some], hi[some]
+        for row, rank in self._places(lo, hi):
+            yield near[row], self.last - self.places[rank].astype(np.int64) - length[near[row]] + 1
+        far = np.flatnonzero(length >= self.ends.count)
+        at = np.searchsorted(self.sorted, keys[far]) if len(self.sorted) else np.zeros(0, np.int64)
+        far = far[self.sorted[np.minimum(at, len(self.sorted) - 1)] == keys[far]] if len(self.sorted) else far[:0]
+        if len(far):
+            for row, y, n in self._follow(*take(far)):
+                whole = n == length[far[row]]
+                yield far[row[whole]], self.last - y[whole] - n[whole] + 1
+
+
 def wavelet_rank(text: str, symbol: str, at: int) -> int:
     """How often a symbol occurs up to a place, it included."""
     return text.count(symbol, 0, at + 1)

@@ -5,15 +5,21 @@ Kernels run on Arrow batches inside ``mapInArrow``; pairs are grouped by length
 
 from __future__ import annotations
 
+import functools
 import itertools
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.kernels import approx, hmm, integrate, pairhmm, pairwise, poa, sparse, textindex
+from strandline.session import checkpoint_root, materialize
 
 CELLS = 4_000_000
 #: Groups that are worked on at once, at most.
@@ -223,50 +229,144 @@ def _against_texts(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame
     return rows.repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("is_read").mapInArrow(task, f"id {reads.schema['id'].dataType.simpleString()}, {schema}")
 
 
+#: Reads, and symbols of them, that are searched at once, at most.
+READS, READ_SYMBOLS = 200_000, 64_000_000
+
+
 def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str) -> DataFrame:
     """(id, kind, length, text, pos): all places of each read, or of its longest suffix that occurs, in all texts. Ids of reads are unique.
 
-    Empty reads are Absent. Each block of texts is indexed; of a read's hits in the blocks the longest are kept.
+    Empty reads are Absent. Texts are dealt to tasks once and indexed in blocks; reads do not travel to the blocks, but lie
+    in files of the shared folder, with the numbers of their last symbols, from which each task reads them. A first
+    pass finds the longest suffix of each read in any block, one number a read and task, a second one its places.
     """
-    kind = texts.schema[text_id].dataType
+    import uuid
 
-    def run(block, pieces, batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        index = textindex.FMIndex("".join(p[4] + "\0" for p in pieces) or "\0")
-        begins = np.cumsum([0, *(len(p[4]) + 1 for p in pieces)])[:-1]
-        names, at, own = pa.array([p[0] for p in pieces], to_arrow_type(kind)), np.array([p[1] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64)
-        none = np.zeros(1, np.int64)
-        for ids, seqs in batches:
-            row, length, full, piece, pos = [], [], [], [], []
-            los, his, sizes = (np.concatenate(x) for x in zip(*(index.search_batch(seqs[k : k + 1000]) for k in range(0, len(seqs), 1000))))
-            for i, (lo, hi, n) in enumerate(zip(los.tolist(), his.tolist(), sizes.tolist())):
-                if n:
-                    places = index.sa[lo:hi]
-                    k = np.searchsorted(begins, places, "right") - 1
-                    places = places - begins[k]
-                    k, places = k[places < own[k]], places[places < own[k]]
-                elif block:
-                    continue
-                else:  # Absent, unless another block has it
-                    k, places = none - 1, none
-                row.append(np.full(len(k), i))
-                length.append(np.full(len(k), n))
-                full.append(np.full(len(k), n == len(seqs[i]) and n > 0))
-                piece.append(k)
-                pos.append(places)
-            if not row:
-                continue
-            row, length, full, piece, pos = map(np.concatenate, (row, length, full, piece, pos))
-            gone = piece < 0
-            what = np.where(gone, "Absent", np.where(full, "Complete", "Partial"))
-            text = names.take(pa.array(piece, pa.int64(), mask=gone))
-            where = pa.array(pos + (at[piece] if len(at) else 0), pa.int64(), mask=gone)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(what.tolist(), pa.string()), pa.array(length, pa.int64()), text, where], ["id", "kind", "length", "text", "pos"])
-
-    hits = _against_texts(reads, id_col, seq_col, texts, text_id, text_col, run, f"kind string, length bigint, text {kind.simpleString()}, pos bigint")
-    best = F.max("length").over(Window.partitionBy("id"))
-    return hits.withColumn("best", best).filter("length = best").drop("best")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = reads.sparkSession
+    kind, id_kind = texts.schema[text_id].dataType, reads.schema[id_col].dataType
+    reads = reads.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).filter("s is not null")
+    texts = texts.select(F.col(text_id).alias("text"), F.col(text_col).alias("s")).filter("s is not null and s <> ''")
+    longest = max(reads.agg(F.max(F.length("s"))).first()[0] or 0, 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    block, step = MAX_REFERENCE, max(MAX_REFERENCE // 4, 1)
+
+    def symbols(batches):
+        for b in batches:
+            seen = np.zeros(0, np.uint32)
+            for k in range(0, b.num_rows, 10_000):
+                raw = np.frombuffer("".join(b.column(0).slice(k, 10_000).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+                seen = np.union1d(seen, np.flatnonzero(np.bincount(raw)) if len(raw) else raw)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], ["c"])
+
+    ends = textindex.Ends(np.array([r.c for r in reads.select("s").mapInArrow(symbols, "c bigint").distinct().collect()], np.uint32))
+
+    def keyed(batches):
+        for b in batches:
+            numbers, begin = ends.patterns([s[-ends.count :] for s in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers[begin])], ["id", "s", "key"])
+
+    folder = f"{checkpoint_root(spark)}/patterns-{uuid.uuid4().hex}"
+    out = spread(reads).mapInArrow(keyed, f"id {id_kind.simpleString()}, s string, key bigint").sortWithinPartitions("key")
+    out.write.option("maxRecordsPerFile", max(1, min(READS, READ_SYMBOLS // longest))).parquet(folder)
+    files = _files(folder)
+
+    cut = texts.select("text", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(step))).alias("at"))
+    cut = cut.select("text", "at", F.least(F.length("s") - F.col("at"), F.lit(step)).alias("own"), F.substring("s", F.col("at") + 1, F.lit(step + longest - 1)).alias("s"))
+    cut = cut.repartition(tasks, "text", "at")
+
+    def blocks(batches):
+        """(index, pieces) of each block of a task."""
+        held, size = [], 0
+        for b in batches:
+            for piece in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(piece)
+                size += len(piece[3])
+                if size >= block:
+                    yield textindex.Backwards([p[3] for p in held], ends), held
+                    held, size = [], 0
+        if held:
+            yield textindex.Backwards([p[3] for p in held], ends), held
+
+    def whole(k):
+        texts = []
+
+        def take(rows):
+            if not texts:
+                texts.append(_column(files[k], "s"))
+            return ends.patterns(texts[0].take(pa.array(rows)).to_pylist())
+
+        return take
+
+    def measure(batches):
+        best = {}
+        for index, _ in blocks(batches):
+            for k, file in enumerate(files):
+                n = index.longest(_column(file, "key").to_numpy(), whole(k)).astype("<i4")
+                best[k] = np.maximum(best[k], n) if k in best else n
+        for k, n in best.items():
+            yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "lengths": [zlib.compress(n.tobytes(), 1)]})
+
+    def most(batches):
+        rows = ((k, n) for b in batches for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for k, same in itertools.groupby(rows, lambda r: r[0]):
+            n = functools.reduce(np.maximum, (np.frombuffer(zlib.decompress(x), "<i4") for _, x in same))
+            yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "lengths": [zlib.compress(n.tobytes(), 1)]})
+
+    per = "file int, lengths binary"
+    measured = _files(materialize(cut.mapInArrow(measure, per).repartition(tasks, "file").sortWithinPartitions("file").mapInArrow(most, per), "lengths").inputFiles())
+
+    def lengths():
+        return {k: np.frombuffer(zlib.decompress(n), "<i4").astype(np.int64) for f in measured for k, n in zip(*(_column(f, c).to_pylist() for c in ("file", "lengths")))}
+
+    names = ["id", "kind", "length", "text", "pos"]
+
+    def hits(batches):
+        best = None
+        for index, pieces in blocks(batches):
+            best = best or lengths()
+            text, at, own = pa.array([p[0] for p in pieces], to_arrow_type(kind)), *(np.array([p[k] for p in pieces], np.int64) for k in (1, 2))
+            for k, file in enumerate(files):
+                n, ids, full = best[k], None, None
+                for row, place in index.found(_column(file, "key").to_numpy(), n, whole(k)):
+                    piece = np.searchsorted(index.begins, place, "right") - 1
+                    place = place - index.begins[piece]
+                    row, piece, place = (x[place < own[piece]] for x in (row, piece, place))
+                    if not len(row):
+                        continue
+                    if ids is None:
+                        ids, full = _column(file, "id"), _column(file, "s")
+                        full = pc.equal(pc.utf8_length(full), pa.array(n)).to_numpy(zero_copy_only=False)
+                    what = pa.array(["Partial", "Complete"]).take(pa.array(full[row].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), what, pa.array(n[row]), text.take(pa.array(piece)), pa.array(place + at[piece])], names)
+
+    def absent(batches):
+        best = lengths()
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                ids = _column(files[k], "id")
+                gone = ids.take(pa.array(np.flatnonzero(best[k] == 0))) if k in best else ids
+                none = lambda t: pa.nulls(len(gone), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([gone, pa.array(["Absent"] * len(gone), pa.string()), pa.array(np.zeros(len(gone), np.int64)), none(to_arrow_type(kind)), none(pa.int64())], names)
+
+    schema = f"id {id_kind.simpleString()}, kind string, length bigint, text {kind.simpleString()}, pos bigint"
+    lost = spark.range(0, len(files), 1, max(1, min(tasks, len(files)))).mapInArrow(absent, schema)
+    return cut.mapInArrow(hits, schema).unionByName(lost)
+
+
+def _files(folder: str | list[str]) -> list[str]:
+    """Addresses of the Parquet files of a folder of the shared file system, or of a list, in order."""
+    if isinstance(folder, list):
+        return sorted(folder)
+    system, path = fs.FileSystem.from_uri(folder)
+    scheme = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
+    return sorted(scheme + f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+
+
+def _column(file: str, name: str) -> pa.Array:
+    system, path = fs.FileSystem.from_uri(file)
+    return pq.read_table(system.open_input_file(path), columns=[name], use_threads=False)[name].combine_chunks()
 
 
 def smems(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str, min_len: int) -> DataFrame:

@@ -74,6 +74,31 @@ def test_fm_map_searches_all_records(spark, tmp_path, monkeypatch, limit):
     assert sorted(map(str, ((g.id, g.kind, g.length, g.rec_id, g.pos) for g in got))) == sorted(map(str, want))
 
 
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_fm_map_sends_no_read_to_every_block(spark, tmp_path, monkeypatch):
+    """What is shuffled does not grow with the blocks of texts, and long matches are followed through all of them."""
+    rng = random.Random(14)
+    texts = [bases(rng, 100) for _ in range(300)]
+    reads = [bases(rng, 60) for _ in range(2000)] + [bases(rng, 20) + "N" + texts[k][5:85] for k in range(50)] + [texts[7], "é" + texts[8][-30:], "", "Q"]
+    monkeypatch.setattr(pairs, "MAX_REFERENCE", 1000)
+    before = shuffled(spark)
+    got = query(spark, tmp_path, "fm_map", fasta=([(i, f"f{i}", None, t) for i, t in enumerate(texts)], FASTA), fastq=([(i, f"r{i}", None, r, None) for i, r in enumerate(reads)], FASTQ))
+    assert shuffled(spark) - before < 1_000_000
+    got = [tuple(r) for r in got if r.id >= 2000]
+    want = [(2000 + k, "Partial", 80, k, 5) for k in range(50)] + [(2050, "Complete", 100, 7, 0), (2051, "Partial", 30, 8, 70), (2052, "Absent", 0, None, None), (2053, "Absent", 0, None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_fm_map_without_texts_or_reads(spark, tmp_path):
+    none, reads = ([], FASTA), ([(1, "r", None, "ACGT", None), (2, "r", None, None, None)], FASTQ)
+    assert [tuple(r) for r in query(spark, tmp_path, "fm_map", fasta=none, fastq=reads)] == [(1, "Absent", 0, None, None)]
+    assert query(spark, tmp_path, "fm_map", fasta=([(1, "f", None, "ACGT")], FASTA), fastq=([], FASTQ)) == []
+
+
 @pytest.mark.parametrize("limit", [0, 320])
 def test_smems_search_all_records(spark, tmp_path, monkeypatch, limit):
     texts, reads, got = searched(spark, monkeypatch, tmp_path, "smems", limit)
