@@ -497,9 +497,11 @@ class Backwards:
         near = np.flatnonzero((length > 0) & (length < self.ends.count))
         shift = self.ends.bits * (self.ends.count - length[near])
         low = keys[near] >> shift
-        lo, hi = np.searchsorted(self.sorted, low << shift), np.searchsorted(self.sorted, (low + 1) << shift)
-        some = hi > lo
-        near, lo, hi = near[some], lo[some], hi[some]
+        lo = np.searchsorted(self.sorted, low << shift)
+        some = np.flatnonzero(lo < len(self.sorted))
+        some = some[self.sorted[lo[some]] >> shift[some] == low[some]]
+        near, lo, low, shift = near[some], lo[some], low[some], shift[some]
+        hi = np.searchsorted(self.sorted, (low + 1) << shift)
         for row, rank in self._places(lo, hi):
             yield near[row], self.last - self.places[rank].astype(np.int64) - length[near[row]] + 1
         far = np.flatnonzero(length >= self.ends.count)

@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -264,11 +263,12 @@ def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame,
 
     def keyed(batches):
         for b in batches:
-            numbers, begin = ends.patterns([s[-ends.count :] for s in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers[begin])], ["id", "s", "key"])
+            whole = b.column(1).to_pylist()
+            numbers, begin = ends.patterns([s[-ends.count :] for s in whole])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in whole], pa.int32()), pa.array(numbers[begin])], ["id", "s", "size", "key"])
 
     folder = f"{checkpoint_root(spark)}/patterns-{uuid.uuid4().hex}"
-    out = spread(reads).mapInArrow(keyed, f"id {id_kind.simpleString()}, s string, key bigint").sortWithinPartitions("key")
+    out = spread(reads).mapInArrow(keyed, f"id {id_kind.simpleString()}, s string, size int, key bigint").sortWithinPartitions("key")
     out.write.option("maxRecordsPerFile", max(1, min(READS, READ_SYMBOLS // longest))).parquet(folder)
     files = _files(folder)
 
@@ -336,8 +336,7 @@ def fm_map_reads(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame,
                     if not len(row):
                         continue
                     if ids is None:
-                        ids, full = _column(file, "id"), _column(file, "s")
-                        full = pc.equal(pc.utf8_length(full), pa.array(n)).to_numpy(zero_copy_only=False)
+                        ids, full = _column(file, "id"), _column(file, "size").to_numpy() == n
                     what = pa.array(["Partial", "Complete"]).take(pa.array(full[row].astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), what, pa.array(n[row]), text.take(pa.array(piece)), pa.array(place + at[piece])], names)
 
