@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -301,6 +303,12 @@ for _i, _c in enumerate("ACGTN", 1):
     _CODES[[ord(_c), ord(_c.lower())]] = _i
 _OTHER_STRAND = np.array([0, 4, 3, 2, 1, 5], np.uint8)
 _POWERS = 8 ** np.arange(21, dtype=np.int64)
+#: Symbols of a prefix; zeros behind the last symbol, so that a key may begin at any.
+PREFIX, _PAD = 4, np.zeros(24, np.uint8)
+#: Prefixes that begin with a symbol that may match.
+FIRST, LAST = 8 ** (PREFIX - 1), 6 * 8 ** (PREFIX - 1)
+#: Symbols of reads with long matches that are held at once, about.
+FOLLOWED = 32_000_000
 
 
 def _codes(s: str) -> np.ndarray:
@@ -308,97 +316,229 @@ def _codes(s: str) -> np.ndarray:
     return np.where(raw < 128, _CODES[np.minimum(raw, 127)], 0).astype(np.uint8)
 
 
-def _keys(codes: np.ndarray) -> np.ndarray:
-    """For each place the 21 symbols that begin there, in one number; zeros follow the last."""
-    out, padded = np.zeros(len(codes), np.int64), np.concatenate((codes, np.zeros(20, np.uint8)))
-    for k in range(21):
-        out <<= 3
-        out |= padded[k : k + len(codes)]
-    return out
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many symbols two keys begin alike with."""
     return 21 - np.searchsorted(_POWERS, a ^ b, "right")
 
 
-class BothStrands:
-    """Sorted 21-symbol keys of texts and of their reverse complements; longer matches are followed place by place.
+def packed_texts(texts: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, spans of both strands at which no match may begin) of texts.
 
     Texts are (symbols, number of first places at which matches may begin, the same of the other strand).
     """
+    size = np.array([len(t[0]) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size
+    codes = _codes("".join(["$", *(t[0] + "$" for t in texts)]))
+    own, own_back = (np.array([t[k] for t in texts], np.int64) for k in (1, 2))
+    back = 2 * len(codes) - begin - size
+    skip = np.concatenate((np.stack((begin + own, begin + size), 1), np.stack((back + own_back, back + size), 1)))
+    return codes, skip[skip[:, 0] < skip[:, 1]].astype(np.int32)
 
-    def __init__(self, texts: list[tuple[str, int, int]]):
-        parts, owned = [np.zeros(1, np.uint8)], [np.zeros(1, bool)]
-        for s, own, own_back in texts:
-            c = _codes(s)
-            for strand, n in ((c, own), (_OTHER_STRAND[c[::-1]], own_back)):
-                parts += [strand, np.zeros(1, np.uint8)]
-                owned += [np.arange(len(c)) < n, np.zeros(1, bool)]
-        codes = np.concatenate(parts)
-        self.at = _keys(codes)
-        places = np.flatnonzero((codes > 0) & np.concatenate(owned)).astype(np.int32)
-        order = np.argsort(self.at[places])
-        self.places = places[order]
-        self.sorted = self.at[self.places]
 
-    def smems(self, reads: list[str], min_len: int) -> tuple[np.ndarray, ...]:
-        """(read, start, length, hits) of the super-maximal exact matches of at least min_len symbols, in order."""
-        parts = [_codes(s) for s in reads]
-        size = np.array([len(c) for c in parts], np.int64)
-        begin = np.cumsum(size + 1) - size - 1
-        codes = np.full(int((size + 1).sum()), 7, np.uint8)
-        owner = np.repeat(np.arange(len(reads)), size + 1)
-        inside = np.ones(len(codes), bool)
-        inside[begin + size] = False
-        if inside.any():
-            c = np.concatenate(parts)
-            codes[inside] = np.where(c == 0, 6, c)
-        if not len(self.sorted) or not len(codes):
-            return (np.zeros(0, np.int64),) * 4
-        keys = _keys(codes)
+def packed_reads(reads: list[str]) -> np.ndarray:
+    """Codes of reads, each closed by an end."""
+    codes = _codes("".join(s + "$" for s in reads))
+    codes[codes == 0] = 6
+    codes[np.cumsum([len(s) + 1 for s in reads]) - 1] = 7
+    return codes
+
+
+class Places:
+    """Places of codes, their prefixes and 21-symbol keys."""
+
+    def __init__(self, codes: np.ndarray, skip: np.ndarray | None = None):
+        """With ``skip``, codes are those of texts and go on with those of the other strand."""
+        self.codes = np.concatenate((codes, _PAD) if skip is None else (codes, _OTHER_STRAND[codes[::-1]], _PAD))
+        self.skip = None if skip is None else skip[np.argsort(skip[:, 0])]
+
+    @staticmethod
+    def _prefixes(codes: np.ndarray) -> np.ndarray:
+        two = codes << 3
+        two[:-1] |= codes[1:]
+        out = two.astype(np.uint16)
+        out <<= 6
+        out[:-2] |= two[2:]
+        return out
+
+    def _blocks(self, size: int = 1 << 16):
+        """(where it begins, prefixes of a block and of the 20 places behind it), in blocks that caches hold."""
+        for a in range(0, len(self.codes) - len(_PAD), size):
+            yield a, self._prefixes(self.codes[a : min(a + size, len(self.codes) - len(_PAD)) + 24])[:-4]
+
+    def prefixes(self) -> np.ndarray:
+        return self._prefixes(self.codes)[: -len(_PAD)]
+
+    def loads(self) -> np.ndarray:
+        """How many matches may begin with each prefix."""
+        n = sum((np.bincount(p[:-20], minlength=8**PREFIX) for _, p in self._blocks()), np.zeros(8**PREFIX, np.int64))
+        for a, b in () if self.skip is None else self.skip:
+            n -= np.bincount(self._prefixes(self.codes[a : b + PREFIX])[: b - a], minlength=8**PREFIX)
+        n[:FIRST], n[LAST:] = 0, 0
+        return n
+
+    def starts(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places whose prefixes are at least ``lo`` and below ``hi`` and where matches may begin, their keys)."""
+        places, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a, p in self._blocks():
+            at = np.flatnonzero(p[:-20] - np.uint16(lo) < np.uint16(hi - lo))
+            if self.skip is not None and len(self.skip):
+                i = np.searchsorted(self.skip[:, 0], at + a, "right") - 1
+                at = at[(i < 0) | (at + a >= self.skip[i, 1])]
+            key = p[at].astype(np.int64)
+            for k in range(PREFIX, 20, PREFIX):
+                key <<= 3 * PREFIX
+                key |= p[at + k]
+            key <<= 3
+            key |= p[at + 20] >> 3 * (PREFIX - 1)
+            places.append((at + a).astype(np.int32))
+            keys.append(key)
+        return np.concatenate(places), np.concatenate(keys)
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        for k in range(21):
+            out <<= 3
+            out |= self.codes[at + k]
+        return out
+
+    def reads_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the reads that have these places, the places there)."""
+        ends = np.flatnonzero(self.codes == 7)
+        size = np.diff(ends, prepend=-1)
+        read = np.searchsorted(ends, at)
+        kept = np.zeros(len(ends), bool)
+        kept[read] = True
+        gone = np.cumsum(np.where(kept, 0, size))
+        return self.codes[: len(self.codes) - len(_PAD)][np.repeat(kept, size)], at - gone[read]
+
+
+class Longest:
+    """Longest matches of the places of reads whose prefixes lie in a range with both strands of all texts.
+
+    ``reads(names)`` and ``texts(names)`` give (name, Places) of one part after the other, those of these names or all. The
+    keys of all ``size`` places of texts in the range are held, sorted, without their places; these are kept where a key may be one of a read's.
+    """
+
+    def __init__(self, reads: Callable, texts: Callable, lo: int, hi: int, size: int, min_len: int):
+        self.reads, self.texts, self.min_len = reads, texts, min_len
+        self.starts = {name: p.starts(lo, hi) for name, p in reads(None)}
+        bits = min(26, max(16, 3 + sum(len(keys) for _, keys in self.starts.values()).bit_length()))
+        seen = np.zeros(1 << bits, bool)
+        slot = lambda keys: (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        for _, keys in self.starts.values():
+            seen[slot(keys)] = True
+        self.sorted, n, self.some = np.empty(size, np.int64), 0, {}
+        for name, p in texts(None):
+            at, keys = p.starts(lo, hi)
+            self.sorted[n : n + len(keys)] = keys
+            n += len(keys)
+            maybe = np.flatnonzero(seen[slot(keys)])
+            self.some[name] = keys[maybe], at[maybe]
+        self.sorted.sort()
+
+    def found(self, most: int = 2_000_000):
+        """(part of the reads, longest matches of its places in the range, places of texts that have them): no places are counted, and lengths may be 0, for those below min_len.
+
+        ``most`` places are searched at once, or those of a part.
+        """
+        got, far, names, n = {}, {}, [], 0
+        for name in [*self.starts, None]:
+            size = 0 if name is None else len(self.starts[name][1])
+            if names and (name is None or n + size > most):
+                keys = np.concatenate([self.starts[x][1] for x in names])
+                longest, count = self._short(keys)
+                a = 0
+                for x in names:
+                    at, keys = self.starts.pop(x)
+                    got[x] = longest[a : a + len(at)], count[a : a + len(at)]
+                    a += len(at)
+                    if len(f := np.flatnonzero(got[x][0] == 21)):
+                        far[x] = f, at[f], keys[f]
+                names, n = [], 0
+            if name is not None:
+                names.append(name)
+                n += size
+        held, n = [], 0
+        for name, p in itertools.chain(self.reads(set(far)) if far else (), [(None, None)]):
+            if p is not None:
+                held.append((name, *p.reads_of(far[name][1])))
+                n += len(held[-1][1])
+            if held and (p is None or n > FOLLOWED):
+                begin = np.cumsum([0, *(len(c) for _, c, _ in held)])
+                x = np.concatenate([at + b for (_, _, at), b in zip(held, begin)])
+                length, count = self._follow(Places(np.concatenate([c for _, c, _ in held])), x, np.concatenate([far[k][2] for k, _, _ in held]))
+                a = 0
+                for k, _, at in held:
+                    f, longest = far[k][0], got[k][0].astype(np.int64)
+                    longest[f], got[k][1][f] = length[a : a + len(f)], count[a : a + len(f)]
+                    got[k] = longest, got[k][1]
+                    a += len(f)
+                held, n = [], 0
+        for name, (longest, count) in got.items():
+            yield name, longest.astype(np.int64), count.astype(np.int64)
+
+    def _short(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(longest match up to 21 symbols, places of texts that have it); of matches of 21 symbols places are not counted."""
+        longest, count = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.int32)
+        if not len(self.sorted):
+            return longest, count
         order = np.argsort(keys)
-        k = keys[order]
-        up = np.searchsorted(self.sorted, k)
-        best = np.maximum(_common(self.sorted[np.maximum(up - 1, 0)], k), _common(self.sorted[np.minimum(up, len(self.sorted) - 1)], k))
-        longest = np.empty(len(codes), np.int64)
+        keys = keys[order]
+        up = np.searchsorted(self.sorted, keys)
+        best = np.maximum(_common(self.sorted[np.maximum(up - 1, 0)], keys), _common(self.sorted[np.minimum(up, len(self.sorted) - 1)], keys))
+        best[best < min(self.min_len, 21)] = 0
         longest[order] = best
-        count = np.zeros(len(codes), np.int64)
-        far = order[best == 21]
-        longest[far], count[far] = self._follow(keys, far)
-        end = np.arange(len(codes)) + longest
-        first = np.zeros(len(codes), bool)
-        first[begin] = True
-        chosen = inside & (longest >= min_len) & (first | (end > np.concatenate(([-1], end[:-1]))))
-        near = order[chosen[order] & (best < 21)]
-        shift = 3 * (21 - longest[near])
+        near = np.flatnonzero((best > 0) & (best < 21))
+        shift = 3 * (21 - best[near])
         low = keys[near] >> shift
-        count[near] = np.searchsorted(self.sorted, (low + 1) << shift) - np.searchsorted(self.sorted, low << shift)
-        i = np.flatnonzero(chosen)
-        return owner[i], i - begin[owner[i]], longest[i], count[i]
-
-    def _follow(self, keys: np.ndarray, starts: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-        """(longest match, how many places have it) of places of the reads whose 21 symbols occur; ``most`` pairs are held at once."""
-        lo, hi = (np.searchsorted(self.sorted, keys[starts], side) for side in ("left", "right"))
-        longest, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        total = np.concatenate(([0], np.cumsum(hi - lo)))
-        a = 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
-            n = hi[a:b] - lo[a:b]
-            row = np.repeat(np.arange(a, b), n)
-            x, y = starts[row], self.places[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]].astype(np.int64)
-            length, live = np.full(len(row), 21), np.arange(len(row))
-            while len(live):
-                more = _common(keys[x[live] + length[live]], self.at[y[live] + length[live]])
-                length[live] += more
-                live = live[more == 21]
-            np.maximum.at(longest, row, length)
-            np.add.at(count, row[length == longest[row]], 1)
-            a = b
+        count[order[near]] = np.searchsorted(self.sorted, (low + 1) << shift) - np.searchsorted(self.sorted, low << shift)
+        return longest, count
+
+    def _follow(self, reads: Places, x: np.ndarray, keys: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+        """(longest match, how many places have it) of places of the reads whose 21 symbols, the keys, occur; ``most`` pairs are held at once, or those of one place of a text."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        longest, count = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        pairs = {}
+        for name, (some, at) in self.some.items():
+            lo = np.searchsorted(keys, some)
+            live = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == some)
+            if len(live):
+                pairs[name] = at[live], lo[live], np.searchsorted(keys, some[live], "right")
+        for name, text in self.texts(set(pairs)) if pairs else ():
+            at, lo, hi = pairs[name]
+            total = np.concatenate(([0], np.cumsum(hi - lo)))
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+                n = (hi - lo)[a:b]
+                row = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[a:b], n)]
+                y = np.repeat(at[a:b], n).astype(np.int64)
+                length, live = np.full(len(row), 21), np.arange(len(row))
+                while len(live):
+                    more = _common(reads.keys(x[row[live]] + length[live]), text.keys(y[live] + length[live]))
+                    length[live] += more
+                    live = live[more == 21]
+                before = longest[row]
+                np.maximum.at(longest, row, length)
+                count[row[longest[row] > before]] = 0
+                np.add.at(count, row[length == longest[row]], 1)
+                a = b
         return longest, count
 
 
+def super_maximal(codes: np.ndarray, longest: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, reads, starts) of the super-maximal matches of at least min_len symbols among the longest ones at each place of packed reads."""
+    ends = np.flatnonzero(codes == 7)
+    begin = np.concatenate(([0], ends[:-1] + 1))
+    end = np.arange(len(codes)) + longest
+    new = end > np.concatenate(([-1], end[:-1]))
+    new[begin] = True
+    at = np.flatnonzero(new & (longest >= min_len))
+    read = np.searchsorted(ends, at)
+    return at, read, at - begin[read]
+
+
 class Ends:
     """Numbers of the symbols before a place, the nearest first, over the symbols that patterns have; others of a text match nothing."""
 

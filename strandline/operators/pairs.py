@@ -185,49 +185,6 @@ def fm_search(texts: DataFrame, id_col: str, seq_col: str, patterns: list[str])
 MAX_REFERENCE = 2_000_000
 
 
-def _against_texts(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str, run: Callable, schema: str) -> DataFrame:
-    """``run(block, pieces, batches of (ids, reads))`` of every read and every block of texts, in one task for each block and share of the reads.
-
-    Pieces are (text id, place in the text, own, own_back, symbols): at its first ``own`` places matches may begin, and at
-    the first ``own_back`` of its other strand; from elsewhere they are another piece's. Pieces overlap by a read.
-    A task has its pieces first, then its reads.
-    """
-    reads = reads.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).filter("s is not null")
-    texts = texts.select(F.col(text_id).alias("text"), F.col(text_col).alias("s")).filter("s is not null")
-    total = texts.agg(F.sum(F.length("s"))).first()[0] or 0
-    over = max(reads.agg(F.max(F.length("s"))).first()[0] or 0, 1) - 1
-    spark = reads.sparkSession
-    blocks = -(-total // MAX_REFERENCE) or 1
-    shares = -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // blocks)
-    step = MAX_REFERENCE // 4
-    cut = texts.select("text", "s", F.explode(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(step))).alias("at"))
-    cut = cut.select("text", "at", F.least(F.length("s") - F.col("at"), F.lit(step)).alias("own"), F.substring("s", F.col("at") + 1, F.lit(step + over)).alias("s"))
-    cut = cut.withColumn("own_back", F.when(F.col("at") == 0, F.length("s")).otherwise(F.greatest(F.length("s") - over, F.lit(0))))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("text", "at"), F.lit(blocks)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    r = reads.withColumn("share", F.pmod(F.xxhash64("id", "s"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = cut.withColumn("is_read", F.lit(False)).unionByName(r.withColumn("is_read", F.lit(True)), allowMissingColumns=True)
-    rows = rows.select((F.col("block") * shares + F.col("share")).alias("task"), "block", "is_read", "id", "s", "text", "at", "own", "own_back")
-
-    def task(batches):
-        block, pieces = 0, []
-
-        def live():
-            nonlocal block
-            for b in batches:
-                block, flags = b.column(1)[0].as_py() if b.num_rows else block, b.column(2).to_pylist()
-                n = flags.index(True) if True in flags else len(flags)
-                pieces.extend(zip(*(b.column(k).slice(0, n).to_pylist() for k in (5, 6, 7, 8, 4))))
-                if n < len(flags):
-                    yield b.column(3).slice(n), b.column(4).slice(n).to_pylist()
-
-        shared = live()
-        first = next(shared, None)
-        if first is not None:
-            yield from run(block, pieces, itertools.chain([first], shared))
-
-    return rows.repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("is_read").mapInArrow(task, f"id {reads.schema['id'].dataType.simpleString()}, {schema}")
-
-
 #: Reads, and symbols of them, that are searched at once, at most.
 READS, READ_SYMBOLS = 200_000, 64_000_000
 
@@ -368,57 +325,142 @@ def _column(file: str, name: str) -> pa.Array:
     return pq.read_table(system.open_input_file(path), columns=[name], use_threads=False)[name].combine_chunks()
 
 
+#: Symbols of reads in a part, and places of texts that a task sorts at once, about.
+PART, RANGE = 1_000_000, 20_000_000
+
+
 def smems(reads: DataFrame, id_col: str, seq_col: str, texts: DataFrame, text_id: str, text_col: str, min_len: int) -> DataFrame:
-    """(id, start_pos, length, n_hits): super-maximal exact matches of reads with either strand of all texts. Ids of reads are unique.
+    """(id, start_pos, length, n_hits): super-maximal exact matches of reads with either strand of all texts, from min_len symbols on.
 
-    Symbols beyond ACGTN match nothing. A match that no block of texts can extend is super-maximal in each block that
-    has it, so the matches of the blocks are put together, those within others left out and hits of one span added.
+    Symbols beyond ACGTN match nothing. Reads and texts lie packed in files of the shared folder; long texts in pieces that
+    overlap by a read. A task takes a range of prefixes, reads all files, sorts the places of texts whose prefixes lie in
+    it and finds the longest match at each such place of the reads. Only these lengths and their counts travel, two bytes
+    a place, to the reads.
     """
+    import uuid
 
-    def run(block, pieces, batches):
-        index = textindex.BothStrands([(p[4], p[2], p[3]) for p in pieces])
-        for all_ids, all_seqs in batches:
-            for k in range(0, len(all_seqs), 2000):
-                ids, seqs = all_ids.slice(k, 2000), all_seqs[k : k + 2000]
-                row, start, length, n = index.smems(seqs, min_len)
-                ends = np.cumsum(np.bincount(row, minlength=len(seqs)))
-                # planes of bytes, most of them zero, shrink well on their way
-                spans = [np.stack([start[a:b], length[a:b], n[a:b]]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(spans, pa.binary())], ["id", "spans"])
-
-    def whole(parts):
-        m = np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view("<i4").reshape(3, -1) for p in parts], 1).astype(np.int64)
-        m = m[:, np.lexsort((-m[1], m[0]))]
-        new = np.flatnonzero(np.diff(m[0], prepend=-1) | np.diff(m[1], prepend=-1))
-        if not len(new):
-            return m
-        start, length, hits = m[0][new], m[1][new], np.add.reduceat(m[2], new)
-        end = start + length
-        keep = end > np.maximum.accumulate(np.concatenate(([0], end[:-1])))
-        return np.stack([start, length, hits])[:, keep]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if min_len < 1:
+        raise ValueError("matches have at least one symbol")
+    spark = reads.sparkSession
+    id_kind = reads.schema[id_col].dataType
+    arrow = to_arrow_type(id_kind)
+    reads = reads.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).filter("s is not null")
+    texts = texts.select(F.col(text_id).alias("text"), F.col(text_col).alias("s")).filter("s is not null and s <> ''")
+    over = max(reads.agg(F.max(F.length("s"))).first()[0] or 0, 1) - 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    block, step, part = MAX_REFERENCE, max(MAX_REFERENCE // 4, 1), PART
+
+    def parts(batches, size, pack):
+        """Rows together until they have so many symbols, which are in their last column."""
+        held, n = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(row)
+                n += len(row[-1])
+                if n >= size:
+                    yield pack(held)
+                    held, n = [], 0
+        if held:
+            yield pack(held)
+
+    def text_part(held):
+        codes, skip = textindex.packed_texts([(s, own, back) for own, back, s in held])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes, skip)], ["codes", "skip"])
+
+    def read_part(held):
+        ids, codes = pa.array([[i for i, _ in held]], pa.list_(arrow)), textindex.packed_reads([s for _, s in held])
+        return pa.RecordBatch.from_arrays([ids, pa.array([codes.tobytes()], pa.binary())], ["ids", "codes"])
+
+    cut = texts.select("text", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(step))).alias("at"))
+    cut = cut.select("text", "at", F.least(F.length("s") - F.col("at"), F.lit(step)).alias("own"), F.substring("s", F.col("at") + 1, F.lit(step + over)).alias("s"))
+    own_back = F.when(F.col("at") == 0, F.length("s")).otherwise(F.greatest(F.length("s") - over, F.lit(0)))
+    cut = cut.repartition(tasks, "text", "at").select("own", own_back.alias("own_back"), "s")
+    folder = f"{checkpoint_root(spark)}/strands-{uuid.uuid4().hex}"
+    cut.mapInArrow(lambda b: parts(b, block, text_part), "codes binary, skip binary").write.option("compression", "zstd").parquet(f"{folder}/texts")
+    spread(reads).mapInArrow(lambda b: parts(b, part, read_part), f"ids array<{id_kind.simpleString()}>, codes binary").write.option("compression", "zstd").parquet(f"{folder}/reads")
+    text_files, read_files = _files(f"{folder}/texts"), _files(f"{folder}/reads")
+
+    def text_parts(names):
+        """((file, row), Places) of texts."""
+        for f in range(len(text_files)) if names is None else sorted({f for f, _ in names}):
+            for row, (codes, skip) in enumerate(zip(_column(text_files[f], "codes"), _column(text_files[f], "skip"))):
+                if names is None or (f, row) in names:
+                    yield (f, row), textindex.Places(_numbers(codes, np.uint8), _numbers(skip, np.int32).reshape(-1, 2))
+
+    def read_parts(names):
+        for f in range(len(read_files)) if names is None else sorted({f for f, _ in names}):
+            for row, codes in enumerate(_column(read_files[f], "codes")):
+                if names is None or (f, row) in names:
+                    yield (f, row), textindex.Places(_numbers(codes, np.uint8))
+
+    def loads(batches):
+        n = np.zeros(8**textindex.PREFIX, np.int64)
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                for codes, skip in zip(_column(text_files[f], "codes"), _column(text_files[f], "skip")):
+                    n += textindex.Places(_numbers(codes, np.uint8), _numbers(skip, np.int32).reshape(-1, 2)).loads()
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["prefix", "n"])
+
+    n = np.zeros(textindex.LAST, np.int64)
+    for r in spark.range(0, len(text_files), 1, max(1, min(tasks, len(text_files)))).mapInArrow(loads, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).collect():
+        n[r.prefix] = r.n
+    width = 8 ** (textindex.PREFIX - min(textindex.PREFIX, min_len))  # prefixes that share what all matches have stay together
+    starts = np.arange(textindex.FIRST, textindex.LAST, width)
+    sizes = np.add.reduceat(n, starts)
+    before = np.cumsum(sizes) - sizes
+    count = max(tasks, -(-int(n.sum()) // RANGE))
+    first = np.flatnonzero(np.diff(before * count // max(int(n.sum()), 1), prepend=-1))
+    bounds, sizes = [*starts[first].tolist(), textindex.LAST], np.add.reduceat(sizes, first).tolist()
+
+    def match(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                for (f, row), longest, hits in textindex.Longest(read_parts, text_parts, bounds[k], bounds[k + 1], sizes[k], min_len).found():
+                    cells = [pa.array([x], pa.int32()) for x in (f, row, k)]
+                    yield pa.RecordBatch.from_arrays([*cells, pa.array([_small(longest)]), pa.array([_small(hits)])], ["file", "row", "range", "longest", "hits"])
+
+    ranges = len(sizes)
+    matched = spark.range(0, ranges, 1, ranges).mapInArrow(match, "file int, row int, range int, longest binary, hits binary")
+    matched = matched.repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "row", "range")
+    of = np.zeros(8**textindex.PREFIX, np.int32)
+    of[bounds[0] :] = 1 + np.searchsorted(bounds, np.arange(bounds[0], len(of)), "right")
+    of[bounds[-1] :] = 0
 
     def merge(batches):
-        """Rows come by id, those of one id perhaps in several batches."""
-        rows = ((i, p) for b in batches for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        ids, out = [], []
-        for i, same in itertools.groupby(rows, lambda r: r[0]):
-            ids.append(i)
-            out.append(whole([p for _, p in same]))
-            if len(ids) == 1000:
-                yield packed(ids, out)
-                ids, out = [], []
-        if ids:
-            yield packed(ids, out)
+        rows = ((b, i) for b in batches for i in range(b.num_rows))
+        for f, same in itertools.groupby(rows, lambda r: r[0].column(0)[r[1]].as_py()):
+            ids, codes = _column(read_files[f], "ids"), _column(read_files[f], "codes")
+            for row, ranged in itertools.groupby(same, lambda r: r[0].column(1)[r[1]].as_py()):
+                c = _numbers(codes[row], np.uint8)
+                task = of[textindex.Places(c).prefixes()]
+                at = np.argsort(task, kind="stable")[np.count_nonzero(task == 0) :]
+                lengths, counts = zip(*((_whole(b.column(3)[i].as_py()), _whole(b.column(4)[i].as_py())) for b, i in ranged))
+                longest, hits = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+                longest[at], hits[at] = np.concatenate(lengths), np.concatenate(counts)
+                at, read, start = textindex.super_maximal(c, longest, min_len)
+                yield pa.RecordBatch.from_arrays([ids[row].values.take(pa.array(read)), pa.array(start), pa.array(longest[at]), pa.array(hits[at])], ["id", "start_pos", "length", "n_hits"])
 
-    def packed(ids, out):
-        row = np.repeat(np.arange(len(ids)), [m.shape[1] for m in out])
-        return pa.RecordBatch.from_arrays([pa.array(ids, arrow).take(pa.array(row, pa.int64())), *map(pa.array, np.concatenate(out, 1))], ["id", "start_pos", "length", "n_hits"])
+    return matched.mapInArrow(merge, f"id {id_kind.simpleString()}, start_pos bigint, length bigint, n_hits bigint")
 
-    spans = _against_texts(reads, id_col, seq_col, texts, text_id, text_col, run, "spans binary")
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow, kind = to_arrow_type(spans.schema["id"].dataType), spans.schema["id"].dataType.simpleString()
-    return spread(spans, "id").sortWithinPartitions("id").mapInArrow(merge, f"id {kind}, start_pos bigint, length bigint, n_hits bigint")
+def _numbers(cell: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Mostly small numbers: a byte each, larger ones behind them."""
+    return zlib.compress(len(numbers).to_bytes(8, "little") + np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype("<i8").tobytes(), 1)
+
+
+def _whole(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=8 + n)
+    return out
 
 
 def chains(df: DataFrame, id_col: str, x: str, y: str, k: int, match: int = 1, gap_open: int = -1, gap_extend: int = -1, mismatches: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from strandline.kernels import hmm
+from strandline.kernels import hmm, textindex
 from strandline.operators import pairs
 
 
@@ -116,6 +116,27 @@ def test_smems_search_all_records(spark, tmp_path, monkeypatch, limit):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 200
 
 
+def test_smems_send_no_read_to_every_block(spark, tmp_path, monkeypatch):
+    """What is shuffled does not grow with the blocks of texts, and long matches are counted over all of them, in parts of any size."""
+    rng = random.Random(15)
+    shared = bases(rng, 30) + "N" * 25 + bases(rng, 45)
+    back = shared[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    texts = [bases(rng, 100) for _ in range(300)]
+    for k in range(0, 300, 3):
+        texts[k] = texts[k][:20] + (back if k % 2 else shared) + texts[k][:20] * 3
+    reads = [bases(rng, 60) for _ in range(2000)] + [bases(rng, 20) + "R" + texts[k][5:85] for k in range(1, 300, 6)] + [shared, back[10:], "Q" + shared[:60] + "é", "", "N" * 30]
+    monkeypatch.setattr(pairs, "MAX_REFERENCE", 1000)
+    for module, name, value in ((pairs, "PART", 5000), (pairs, "RANGE", 2000), (textindex, "FOLLOWED", 2000)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    before = shuffled(spark)
+    got = query(spark, tmp_path, "smems", fasta=([(i, f"f{i}", None, t) for i, t in enumerate(texts)], FASTA), fastq=([(i, f"r{i}", None, r, None) for i, r in enumerate(reads)], FASTQ))
+    assert shuffled(spark) - before < 1_000_000
+    got = [tuple(r) for r in got]
+    assert len(got) == len({r[:2] for r in got}) > 2000
+    want = [(2000 + k, 21, 80, 1) for k in range(50)] + [(2050, 0, 100, 100), (2051, 0, 90, 100), (2052, 1, 60, 100), (2054, 0, 25, 200), *((2054, a, 25, 200) for a in range(1, 6))]
+    assert sorted(r for r in got if r[0] >= 2000 and r[2] > 20) == sorted(want)
+
+
 def test_all_exons(spark, tmp_path):
     """Features of a transcript are all exons of its record, overlapping ones merged."""
     spans = [("Parent=t1", 60, 70), ("Parent=t1,t2", 10, 20), ("transcript_id 't1' ;", 15, 25), ("Parent=t1", 40, 45), ("ID=x", 5, 9), (None, 5, 8)]
