@@ -304,7 +304,7 @@ for _i, _c in enumerate("ACGTN", 1):
 _OTHER_STRAND = np.array([0, 4, 3, 2, 1, 5], np.uint8)
 _POWERS = 8 ** np.arange(21, dtype=np.int64)
 #: Symbols of a prefix; zeros behind the last symbol, so that a key may begin at any.
-PREFIX, _PAD = 4, np.zeros(24, np.uint8)
+PREFIX, _PAD = 4, np.zeros(48, np.uint8)
 #: Prefixes that begin with a symbol that may match.
 FIRST, LAST = 8 ** (PREFIX - 1), 6 * 8 ** (PREFIX - 1)
 #: Symbols of reads with long matches that are held at once, about.
@@ -416,7 +416,8 @@ class Longest:
     """Longest matches of the places of reads whose prefixes lie in a range with both strands of all texts.
 
     ``reads(names)`` and ``texts(names)`` give (name, Places) of one part after the other, those of these names or all. The
-    keys of all ``size`` places of texts in the range are held, sorted, without their places; these are kept where a key may be one of a read's.
+    keys of all ``size`` places of texts in the range are held, sorted, without their places; these are kept, with the
+    keys behind them, where a key may be one of a read's.
     """
 
     def __init__(self, reads: Callable, texts: Callable, lo: int, hi: int, size: int, min_len: int):
@@ -433,7 +434,7 @@ class Longest:
             self.sorted[n : n + len(keys)] = keys
             n += len(keys)
             maybe = np.flatnonzero(seen[slot(keys)])
-            self.some[name] = keys[maybe], at[maybe]
+            self.some[name] = keys[maybe], at[maybe], p.keys(at[maybe] + 21)
         self.sorted.sort()
 
     def found(self, most: int = 2_000_000):
@@ -485,7 +486,8 @@ class Longest:
         order = np.argsort(keys)
         keys = keys[order]
         up = np.searchsorted(self.sorted, keys)
-        best = np.maximum(_common(self.sorted[np.maximum(up - 1, 0)], keys), _common(self.sorted[np.minimum(up, len(self.sorted) - 1)], keys))
+        apart = np.minimum(self.sorted[np.maximum(up - 1, 0)] ^ keys, self.sorted[np.minimum(up, len(self.sorted) - 1)] ^ keys)
+        best = _common(apart, np.int64(0))  # with the nearer neighbour
         best[best < min(self.min_len, 21)] = 0
         longest[order] = best
         near = np.flatnonzero((best > 0) & (best < 21))
@@ -497,33 +499,47 @@ class Longest:
     def _follow(self, reads: Places, x: np.ndarray, keys: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
         """(longest match, how many places have it) of places of the reads whose 21 symbols, the keys, occur; ``most`` pairs are held at once, or those of one place of a text."""
         order = np.argsort(keys)
-        keys = keys[order]
+        keys, behind = keys[order], reads.keys(x + 21)
         longest, count = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        pairs = {}
-        for name, (some, at) in self.some.items():
+
+        def add(row, length):
+            before = longest[row]
+            np.maximum.at(longest, row, length)
+            count[row[longest[row] > before]] = 0
+            np.add.at(count, row[length == longest[row]], 1)
+
+        def pairs(name):
+            """(rows of x, places of a part of the texts, how many symbols up to 42 they begin alike with)."""
+            some, at, after = self.some[name]
             lo = np.searchsorted(keys, some)
             live = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == some)
-            if len(live):
-                pairs[name] = at[live], lo[live], np.searchsorted(keys, some[live], "right")
-        for name, text in self.texts(set(pairs)) if pairs else ():
-            at, lo, hi = pairs[name]
+            at, after, lo, hi = at[live], after[live], lo[live], np.searchsorted(keys, some[live], "right")
             total = np.concatenate(([0], np.cumsum(hi - lo)))
             a = 0
             while a < len(at):
                 b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
                 n = (hi - lo)[a:b]
                 row = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[a:b], n)]
-                y = np.repeat(at[a:b], n).astype(np.int64)
-                length, live = np.full(len(row), 21), np.arange(len(row))
+                yield row, np.repeat(at[a:b], n).astype(np.int64), 21 + _common(behind[row], np.repeat(after[a:b], n))
+                a = b
+
+        longer = set()
+        for name in self.some:
+            for row, _, length in pairs(name):
+                known = length < 42
+                if not known.all():
+                    longer.add(name)
+                add(row[known], length[known])
+        for name, text in self.texts(longer) if longer else ():
+            for row, y, length in pairs(name):
+                live = np.flatnonzero(length == 42)
+                row, y, length = row[live], y[live], length[live]
+                live = np.arange(len(row))
                 while len(live):
                     more = _common(reads.keys(x[row[live]] + length[live]), text.keys(y[live] + length[live]))
                     length[live] += more
                     live = live[more == 21]
-                before = longest[row]
-                np.maximum.at(longest, row, length)
-                count[row[longest[row] > before]] = 0
-                np.add.at(count, row[length == longest[row]], 1)
-                a = b
+                add(row, length)
         return longest, count
 
 
